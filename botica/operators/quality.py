@@ -91,7 +91,10 @@ def enforce_schema(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def split_corrupt(df: DataFrame, corrupt_column: str) -> tuple[DataFrame, DataFrame]:
-    """(well-formed rows, malformed source lines) of a permissive read."""
+    """(well-formed rows, malformed rows) of a permissive read.
+
+    A malformed row has its whole source line and whatever fields could be read;
+    Spark wants at least one of those fields read along with the line.
+    """
     good = df.filter(F.col(corrupt_column).isNull()).drop(corrupt_column)
-    bad = df.filter(F.col(corrupt_column).isNotNull()).select(corrupt_column)
-    return good, bad
+    return good, df.filter(F.col(corrupt_column).isNotNull())

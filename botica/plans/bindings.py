@@ -205,6 +205,18 @@ def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shipped_lines(lineitem: DataFrame) -> DataFrame:
+    """Bare lines from the line table alone, whether batch or stream."""
+    return lineitem.select(
+        F.col("l_orderkey").cast("string").alias("cart_id"),
+        transaction_key().alias("transaction_id"),
+        F.col("l_shipdate").cast("timestamp").alias("sale_datetime"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_discount").cast("decimal(9,4)").alias("discount_applied"),
+    )
+
+
 LINES_SQL = """
 sale_lines AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS cart_id,
@@ -257,6 +269,21 @@ enriched AS (
 )
 
 
+SHIPPED_SQL = (
+    CATALOG_SQL
+    + """,
+shipped AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS cart_id,
+         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id,
+         l_shipdate AS sale_datetime, c.industry_name, c.id AS product_id, c.product_name, c.unit_price,
+         CAST(l_discount AS DECIMAL(9,4)) AS discount_applied,
+         coalesce(c.taxes_price, CAST(0 AS DECIMAL(18,2))) AS taxes_price,
+         CAST(l_quantity AS INTEGER) AS quantity
+  FROM lineitem JOIN catalog c ON c.id = CAST(l_partkey AS VARCHAR)),"""
+    + priced_sql("shipped", "shipped_priced")
+)
+
+
 # --- lines typed in by hand -----------------------------------------------------------
 
 

@@ -9,7 +9,10 @@ from botica.operators.quality import enforce_schema
 from botica.schemas import SALES_SCHEMA
 from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
 
-SALES_PARTITION = "sale_date"
+# Partition column of the sales fact: the first day of the sale's period. A period
+# should fill at least some files: "day" suits large daily volumes.
+SALES_PARTITION = "sale_period"
+DEFAULT_PERIOD = "month"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -68,17 +71,19 @@ def overwrite_raw_names(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) ->
     writer.save(path)
 
 
-def _dated(sales: DataFrame) -> DataFrame:
-    return sales.withColumn(SALES_PARTITION, F.to_date("sale_datetime"))
+def _with_period(sales: DataFrame, period: str) -> DataFrame:
+    return sales.withColumn(SALES_PARTITION, F.date_trunc(period, "sale_datetime").cast("date"))
 
 
-def append_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
-    """Appends to the sales fact, which is partitioned by day.
+def append_sales(
+    sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
+) -> None:
+    """Appends to the sales fact, which is partitioned by the period of the sale.
 
-    Rebalancing gathers a day's rows into few files, while Spark splits a day
+    Rebalancing gathers a period's rows into few files, while Spark splits a period
     that is too large for one task.
     """
-    checked = _dated(enforce_schema(sales, SALES_SCHEMA))
+    checked = _with_period(enforce_schema(sales, SALES_SCHEMA), period)
     (
         checked.hint("rebalance", SALES_PARTITION)
         .write.format(fmt)
@@ -107,23 +112,28 @@ def first_per_transaction(sales: DataFrame) -> DataFrame:
     )
 
 
-def new_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
+def new_sales(
+    sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
+) -> DataFrame:
     """The batch's transactions that the sales fact does not have yet.
 
     A transaction keeps its sale time when it is delivered again, so only the
-    batch's days of the fact are read.
+    batch's periods of the fact are read.
     """
     spark = sales.sparkSession
-    batch = _dated(first_per_transaction(sales))
+    batch = _with_period(first_per_transaction(sales), period)
     if not table_exists(spark, path, fmt):
         return batch.drop(SALES_PARTITION)
-    days = batch.select(SALES_PARTITION).distinct()
-    stored = read_sales(spark, path, fmt).join(days, SALES_PARTITION, "left_semi")
+    periods = batch.select(SALES_PARTITION).distinct()
+    stored = read_sales(spark, path, fmt).join(periods, SALES_PARTITION, "left_semi")
     return batch.join(stored.select("transaction_id"), "transaction_id", "left_anti").drop(
         SALES_PARTITION
     )
 
 
-def append_new_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
+def append_new_sales(
+    sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
+) -> None:
     """Appends each transaction once, however often it is delivered."""
-    append_sales(new_sales(sales, path, fmt).select(*SALES_SCHEMA.fieldNames()), path, fmt)
+    fresh = new_sales(sales, path, fmt, period).select(*SALES_SCHEMA.fieldNames())
+    append_sales(fresh, path, fmt, period)
