@@ -9,13 +9,14 @@ from botica.functions.text import is_blank
 
 # Digits with an optional decimal comma or point, and an optional trailing star.
 _PRICE = r"^\s*([0-9]+(?:[.,][0-9]+)?)\s*\*?\s*$"
-_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
-_DECIMAL = r"^\s*[+-]?[0-9]+(?:[.,][0-9]+)?\s*$"
+
+
+def _point(column: Column) -> Column:
+    return F.translate(column, ",", ".")
 
 
 def parse_price(column: Column) -> Column:
-    digits = F.regexp_replace(F.regexp_extract(column, _PRICE, 1), ",", ".")
-    return digits.try_cast("decimal(18,2)")
+    return _point(F.regexp_extract(column, _PRICE, 1)).try_cast("decimal(18,2)")
 
 
 def price_flag(column: Column) -> Column:
@@ -24,12 +25,11 @@ def price_flag(column: Column) -> Column:
 
 
 def parse_int(column: Column) -> Column:
-    return F.when(column.rlike(_INTEGER), F.trim(column).try_cast("int"))
+    return F.trim(column).try_cast("int")
 
 
 def parse_decimal(column: Column, scale: int = 4) -> Column:
-    point = F.regexp_replace(F.trim(column), ",", ".")
-    return F.when(column.rlike(_DECIMAL), point.try_cast(f"decimal(18,{scale})"))
+    return _point(F.trim(column)).try_cast(f"decimal(18,{scale})")
 
 
 def int_or_default(column: Column, default: int = 0) -> Column:

@@ -18,7 +18,7 @@ def like_ignoring_case(column: Column, term: str) -> Column:
 
 
 def is_blank(column: Column) -> Column:
-    return column.isNull() | (F.trim(column) == "")
+    return F.coalesce(F.trim(column) == "", F.lit(True))
 
 
 def blank_to_null(column: Column) -> Column:

@@ -25,9 +25,9 @@ def _groups(text: Column, size: int) -> Column:
 
 
 def containment_pairs(needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str) -> DataFrame:
-    """All pairs (needle, haystack) of the distinct non-empty texts where one contains the other.
+    """Every row of ``haystacks`` with every needle that its text contains.
 
-    Extra columns of ``haystacks`` are kept; both columns must be free of duplicates.
+    Needles must be distinct and not empty.
     """
     by_size = F.array(
         *[F.coalesce(_groups(F.col(haystack), n), F.array().cast("array<string>")) for n in range(1, _SIZE + 1)]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from botica.functions.money import percent_to_fraction
 from botica.functions.numbers import parse_decimal, parse_int
-from botica.functions.text import blank_to_null, is_blank
+from botica.functions.text import is_blank
 from botica.functions.timing import parse_timestamp
 
 # The quantity editor's bounds.
@@ -19,42 +22,51 @@ AMOUNT_FIELDS = ("unit_price", "taxes_price")
 REQUIRED_FIELDS = (*TEXT_FIELDS, "sale_datetime", *AMOUNT_FIELDS, "quantity")
 
 
-def _problem(field: str, what: str, when: Column) -> Column:
-    return F.when(when, F.lit(f"{field} {what}"))
+# Parsers of the fields that are not text.
+PARSERS = {
+    "sale_datetime": parse_timestamp,
+    "unit_price": lambda c: parse_decimal(c, 2),
+    "taxes_price": lambda c: parse_decimal(c, 2),
+    "discount_applied": lambda c: percent_to_fraction(parse_decimal(c)),
+    "quantity": parse_int,
+}
 
 
-def checked_lines(raw: DataFrame) -> DataFrame:
-    """Typed fields of text lines, with ``errors`` holding every problem of the row."""
-    parsed = {
-        "sale_datetime": parse_timestamp(F.col("sale_datetime")),
-        **{f: parse_decimal(F.col(f), 2) for f in AMOUNT_FIELDS},
-        "discount_applied": percent_to_fraction(parse_decimal(F.col("discount_applied"))),
-        "quantity": parse_int(F.col("quantity")),
-    }
-    problems = [_problem(f, "is required", is_blank(F.col(f))) for f in REQUIRED_FIELDS]
-    problems += [
-        _problem(f, "is not a valid value", ~is_blank(F.col(f)) & value.isNull())
-        for f, value in parsed.items()
-    ]
-    problems.append(
-        _problem(
-            "quantity",
-            f"is not between {MIN_QUANTITY} and {MAX_QUANTITY}",
-            ~parsed["quantity"].between(MIN_QUANTITY, MAX_QUANTITY),
-        )
-    )
-    trimmed = {f: blank_to_null(F.col(f)) for f in TEXT_FIELDS}
-    return raw.withColumns({**trimmed, **parsed, "errors": F.array_compact(F.array(*problems))})
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Adds the struct ``_parsed``.
+
+    Exploding a one-element array keeps Spark from copying the parsers into every
+    condition that looks at their results.
+    """
+    values = F.struct(*[parse(F.col(f)).alias(f) for f, parse in PARSERS.items()])
+    return raw.select("*", F.explode(F.array(values)).alias("_parsed"))
+
+
+def _rules() -> list[tuple[str, Column]]:
+    """(message, whether a parsed row breaks the rule); conditions are never NULL."""
+    rules = [(f"{f} is required", is_blank(F.col(f))) for f in REQUIRED_FIELDS]
+    for field in PARSERS:
+        unreadable = ~is_blank(F.col(field)) & F.col(f"_parsed.{field}").isNull()
+        rules.append((f"{field} is not a valid value", F.coalesce(unreadable, F.lit(False))))
+    in_range = F.col("_parsed.quantity").between(MIN_QUANTITY, MAX_QUANTITY)
+    message = f"quantity is not between {MIN_QUANTITY} and {MAX_QUANTITY}"
+    return [*rules, (message, ~F.coalesce(in_range, F.lit(True)))]
 
 
 def accepted_lines(raw: DataFrame) -> DataFrame:
-    return checked_lines(raw).filter(F.size("errors") == 0).drop("errors")
+    """Rows that break no rule, with trimmed texts and typed values."""
+    typed = {f: F.trim(F.col(f)) for f in TEXT_FIELDS}
+    typed |= {f: F.col(f"_parsed.{f}") for f in PARSERS}
+    valid = reduce(and_, [~broken for _, broken in _rules()])
+    return _parsed(raw).filter(valid).withColumns(typed).drop("_parsed")
 
 
 def rejected_lines(raw: DataFrame) -> DataFrame:
-    """The rejected rows as they came, with their errors."""
-    errors = checked_lines(raw.withColumn("_raw", F.struct(*raw.columns)))
-    return errors.filter(F.size("errors") > 0).select("_raw.*", "errors")
+    """Rows that break a rule, as they came, with ``errors`` listing every broken rule."""
+    rules = _rules()
+    errors = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for text, broken in rules]))
+    invalid = reduce(or_, [broken for _, broken in rules])
+    return _parsed(raw).filter(invalid).withColumn("errors", errors).drop("_parsed")
 
 
 def positive_quantity(lines: DataFrame) -> DataFrame:

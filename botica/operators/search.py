@@ -43,6 +43,16 @@ def _lowered(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("_name", F.lower("product_name"))
 
 
+def _containing_substances(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_wanted, substance_name): the catalog's substances that contain a wanted text."""
+    known = distinct_substances(catalog).filter(F.col("substance_name").isNotNull())
+    spelled = known.withColumn("_known", F.lower("substance_name"))
+    needles = wanted.filter(F.col("_wanted") != "")
+    return containment_pairs(needles, "_wanted", spelled, "_known").select(
+        "_wanted", "substance_name"
+    )
+
+
 def _matched_substances(
     catalog: DataFrame, hits: DataFrame, substance_pick: str, substance_match: str
 ) -> DataFrame:
@@ -63,17 +73,9 @@ def _matched_substances(
         return picked.filter(F.col("_substance").isNotNull()).withColumnRenamed("_substance", "substance_name")
     if substance_match != "contains":
         raise ValueError("substance_match is 'contains' or 'equals'")
-    picked = picked.select("term", F.lower("_substance").alias("_wanted")).filter(F.col("_wanted") != "")
-    known = distinct_substances(catalog).filter(F.col("substance_name").isNotNull())
-    spelled = known.select(F.lower("substance_name").alias("_known")).distinct()
-    pairs = containment_pairs(picked.select("_wanted").distinct(), "_wanted", spelled, "_known")
-    spellings = known.withColumn("_known", F.lower("substance_name"))
-    return (
-        picked.join(pairs, "_wanted")
-        .join(spellings, "_known")
-        .select("term", "substance_name")
-        .distinct()
-    )
+    picked = picked.select("term", F.lower("_substance").alias("_wanted"))
+    containing = _containing_substances(catalog, picked.select("_wanted").distinct())
+    return picked.join(containing, "_wanted").select("term", "substance_name").distinct()
 
 
 def _name_hits(catalog: DataFrame, terms: DataFrame) -> DataFrame:
@@ -123,11 +125,26 @@ def search_batch(
     return same_substance.select(*columns).unionByName(other_substance.select(*columns))
 
 
-def search_substitutes(catalog: DataFrame, term: str, **options: str) -> DataFrame:
-    """One term's name matches followed by its alternatives, in display order."""
-    one = catalog.sparkSession.range(1).select(F.lit(term).alias("term"))
-    found = search_batch(catalog, one, **options)
-    return found.orderBy("match_rank", "product_name", "id")
+def search_substitutes(catalog: DataFrame, term: str) -> DataFrame:
+    """One term's name matches followed by the other products of its substance.
+
+    The term is part of the plan here, so one pass over the catalog finds both.
+    A blank term finds nothing.
+    """
+    if not term.strip():
+        return catalog.select(F.lit(term).alias("term"), "*", F.lit(NAME_MATCH).alias("match_rank")).limit(0)
+    picked = first_match(catalog, term).select(F.lower("substance_name").alias("_wanted"))
+    substances = _containing_substances(catalog, picked).select(
+        "substance_name", F.lit(True).alias("_same")
+    )
+    name_match = contains_ignoring_case(F.col("product_name"), term)
+    return (
+        catalog.join(substances, "substance_name", "left")
+        .filter(name_match | F.col("_same"))
+        .withColumn("match_rank", F.when(name_match, NAME_MATCH).otherwise(SUBSTANCE_MATCH))
+        .select(F.lit(term).alias("term"), *catalog.columns, "match_rank")
+        .orderBy("match_rank", "product_name", "id")
+    )
 
 
 def substance_group(catalog: DataFrame, terms: DataFrame) -> DataFrame:

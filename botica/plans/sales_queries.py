@@ -12,6 +12,9 @@ from botica.operators import reports
 from botica.operators.searches import debounce_searches as debounce
 from botica.plans import bindings as b
 from botica.plans.bindings import plain
+from botica.sinks.tables import write_new
+from botica.sources.tables import read_table
+from botica.workspace import new_folder
 
 DEBOUNCE_GAP = "600 seconds"
 
@@ -52,17 +55,24 @@ def sales_defaults(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def landed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The typed lines as a stored table of texts, which is how they reach validation."""
+    path = new_folder(spark, "typed-lines")
+    write_new(b.typed_lines(spark, sf), path)
+    return read_table(spark, path)
+
+
 def validate_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(q.accepted_lines(b.typed_lines(spark, sf)))
+    return plain(q.accepted_lines(landed_lines(spark, sf)))
 
 
 def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rejected = q.rejected_lines(b.typed_lines(spark, sf))
+    rejected = q.rejected_lines(landed_lines(spark, sf))
     return rejected.withColumn("errors", F.concat_ws("; ", "errors"))
 
 
 def positive_quantity(spark: SparkSession, sf: str) -> DataFrame:
-    accepted = q.accepted_lines(b.typed_lines(spark, sf))
+    accepted = q.accepted_lines(landed_lines(spark, sf))
     return q.positive_quantity(accepted).select("transaction_id", "quantity")
 
 

@@ -124,7 +124,7 @@ def new_sales(
     batch = _with_period(first_per_transaction(sales), period)
     if not table_exists(spark, path, fmt):
         return batch.drop(SALES_PARTITION)
-    periods = batch.select(SALES_PARTITION).distinct()
+    periods = _with_period(sales, period).select(SALES_PARTITION).distinct()
     stored = read_sales(spark, path, fmt).join(periods, SALES_PARTITION, "left_semi")
     return batch.join(stored.select("transaction_id"), "transaction_id", "left_anti").drop(
         SALES_PARTITION

@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         .appName("botica-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", str(shared))
         .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
