@@ -118,14 +118,18 @@ def new_sales(
     """The batch's transactions that the sales fact does not have yet.
 
     A transaction keeps its sale time when it is delivered again, so only the
-    batch's periods of the fact are read.
+    batch's periods of the fact are read. There are no more periods to list than
+    the fact has, or gets, partition folders.
     """
     spark = sales.sparkSession
     batch = _with_period(first_per_transaction(sales), period)
     if not table_exists(spark, path, fmt):
         return batch.drop(SALES_PARTITION)
-    periods = _with_period(sales, period).select(SALES_PARTITION).distinct()
-    stored = read_sales(spark, path, fmt).join(periods, SALES_PARTITION, "left_semi")
+    periods = [
+        row[SALES_PARTITION]
+        for row in _with_period(sales, period).select(SALES_PARTITION).distinct().collect()
+    ]
+    stored = read_sales(spark, path, fmt).filter(F.col(SALES_PARTITION).isin(periods))
     return batch.join(stored.select("transaction_id"), "transaction_id", "left_anti").drop(
         SALES_PARTITION
     )

@@ -9,7 +9,6 @@ delivered again.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +17,7 @@ from botica.operators.carts import SAVE, close_carts, number_carts, saved_carts
 from botica.schemas import CART_EVENT_SCHEMA
 from botica.sinks.tables import drop_folder
 from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
+from botica.streaming.staging import staged_batches
 
 EVENT_COLUMNS = CART_EVENT_SCHEMA.fieldNames()
 LINE_COLUMNS = ["cart", "product", "quantity", "save_event_id", "saved_at"]
@@ -32,29 +32,28 @@ def _pending(spark: SparkSession, state: str, batch_id: int, fmt: str) -> DataFr
 
 def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: str) -> None:
     spark = batch.sparkSession
-    waiting = _pending(spark, state, batch_id - 1, fmt)
+    waiting = _pending(spark, state, batch_id - 1, fmt).select(*EVENT_COLUMNS)
     reached = F.unix_micros(F.max("ts") - F.expr(f"interval {delay}")).alias("at")
     passed = waiting.agg(reached).first()["at"]
     fresh = batch.select(*EVENT_COLUMNS)
     if passed is not None:
+        # Their carts are settled; the stream's watermark drops such events too.
         fresh = fresh.filter(F.unix_micros("ts") > passed)
-    events = waiting.select(*EVENT_COLUMNS).unionByName(fresh).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        horizon = events.agg(reached).first()["at"]
-        numbered = number_carts(events)
-        settled = numbered.filter((F.col("action") == SAVE) & (F.unix_micros("ts") <= F.lit(horizon)))
-        lines = close_carts(numbered, settled).select(*LINE_COLUMNS)
-        lines.write.format(fmt).mode("overwrite").save(f"{state}/committed/batch_id={batch_id}")
-
-        closed = settled.groupBy("cart").agg(F.count(F.lit(1)).alias("_closed"))
-        open_events = (
-            numbered.join(closed, "cart", "left")
-            .filter(F.col("cart_seq") >= F.coalesce("_closed", F.lit(0)))
-            .select(*EVENT_COLUMNS)
-        )
-        open_events.write.format(fmt).mode("overwrite").save(f"{state}/pending/{batch_id}")
-    finally:
-        events.unpersist()
+    events = waiting.unionByName(fresh)
+    horizon = events.agg(reached).first()["at"]
+
+    numbered = number_carts(events)
+    settled = numbered.filter((F.col("action") == SAVE) & (F.unix_micros("ts") <= F.lit(horizon)))
+    lines = close_carts(numbered, settled).select(*LINE_COLUMNS)
+    lines.write.format(fmt).mode("overwrite").save(f"{state}/committed/batch_id={batch_id}")
+
+    closed = settled.groupBy("cart").agg(F.count(F.lit(1)).alias("_closed"))
+    open_events = (
+        numbered.join(closed, "cart", "left")
+        .filter(F.col("cart_seq") >= F.coalesce("_closed", F.lit(0)))
+        .select(*EVENT_COLUMNS)
+    )
+    open_events.write.format(fmt).mode("overwrite").save(f"{state}/pending/{batch_id}")
     # A replayed batch needs its predecessor's events only.
     drop_folder(spark, f"{state}/pending/{batch_id - 2}")
 
@@ -64,10 +63,12 @@ def stream_saved_carts(
 ) -> StreamingQuery:
     """Keeps the state tables up to date; repeated events count once."""
     unique = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        settle_batch(batch, batch_id, state, delay, fmt)
+
     return (
-        unique.writeStream.foreachBatch(
-            lambda batch, batch_id: settle_batch(batch, batch_id, state, delay, fmt)
-        )
+        unique.writeStream.foreachBatch(staged_batches(events.sparkSession, settle, fmt))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

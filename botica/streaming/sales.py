@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from botica.operators.pricing import enrich_lines
@@ -10,6 +9,7 @@ from botica.schemas import CORRUPT_COLUMN
 from botica.sinks.tables import append_new_sales
 from botica.sources.files import erp_to_sales, read_erp_extract
 from botica.sources.tables import DEFAULT_FORMAT
+from botica.streaming.staging import staged_batches
 
 
 def stream_erp_sales(
@@ -35,7 +35,7 @@ def stream_erp_sales(
 
     return (
         read_erp_extract(spark, landing, header, stream=True)
-        .writeStream.foreachBatch(append)
+        .writeStream.foreachBatch(staged_batches(spark, append, fmt))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -54,8 +54,3 @@ def stream_enriched_lines(
         .trigger(availableNow=True)
         .start(path)
     )
-
-
-def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
-    """Watermarks need a timestamp with a time zone; files may hold one without."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))

@@ -7,11 +7,15 @@ from botica.operators.searches import DEFAULT_GAP
 
 
 def debounce_stream(searches: DataFrame, gap: str = DEFAULT_GAP, delay: str = "1 minute") -> DataFrame:
-    """The last search of every burst of a user, on a stream of searches."""
+    """The last search of every burst of a user, on a stream of searches.
+
+    Session windows still join two searches exactly one gap apart, which both run;
+    hence the shorter window.
+    """
     last = F.max(F.struct("ts", "event_id", "text")).alias("last")
     return (
         searches.withWatermark("ts", delay)
-        .groupBy("user_id", F.session_window("ts", gap))
+        .groupBy("user_id", F.session_window("ts", f"{gap} -1 microseconds"))
         .agg(last)
         .select("user_id", "last.ts", "last.event_id", "last.text")
     )
