@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from botica.operators.carts import DELETE, SAVE, SEARCH, SET_QUANTITY
 from botica.operators.catalog import catalog_view, dim_product
 from botica.schemas import PRICE_LIST_HEADERS
+from botica.sources.tables import spread
 
 # Sequence numbers: line number first, part number second.
 LINE_NUMBER_WEIGHT = 1 << 40
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"))
+
+
 def comma_text(amount: Column) -> Column:
     return F.translate(amount.cast("decimal(18,2)").cast("string"), ".", ",")
 
@@ -173,7 +178,7 @@ def transaction_key() -> Column:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their order's time, before the catalog is looked up."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    lines = table(spark, sf_dir, "lineitem")
+    lines = line_table(spark, sf_dir)
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").cast("string").alias("cart_id"),
         transaction_key().alias("transaction_id"),
@@ -289,7 +294,7 @@ shipped AS (
 
 def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sale line as the text somebody typed, with the usual mistakes."""
-    lines = table(spark, sf_dir, "lineitem").withColumn(
+    lines = line_table(spark, sf_dir).withColumn(
         "k", F.col("l_orderkey") * 8 + F.col("l_linenumber")
     )
     part = table(spark, sf_dir, "part")

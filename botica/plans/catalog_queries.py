@@ -59,7 +59,7 @@ def format_money_br(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(18,4)") * (
         F.lit(1) - F.col("l_discount").cast("decimal(9,4)")
     )
-    return b.table(spark, sf, "lineitem").select(
+    return b.line_table(spark, sf).select(
         b.transaction_key().alias("transaction_id"), format_money(price).alias("price_text")
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 
 from botica.operators.pricing import SALES_COLUMNS
 from botica.plans import bindings as b
@@ -22,17 +21,11 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def finish(query: StreamingQuery) -> int:
-    """Waits until the available input is used; the last batch's number."""
-    query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else -1
-
-
 def stream_append_sales(spark: SparkSession, sf: str) -> DataFrame:
     landing = write_csv(b.erp_extract(spark, sf), new_folder(spark, "landing"))
     out, rejected, checkpoint = (new_folder(spark, n) for n in ("sales", "rejected", "checkpoint"))
     query = sales.stream_erp_sales(spark, landing, b.catalog(spark, sf), out, rejected, checkpoint)
-    finish(query)
+    query.awaitTermination()
     return plain(read_sales(spark, out).select(*SALES_COLUMNS))
 
 
@@ -40,15 +33,16 @@ def stream_enrich_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as they are shipped; the shipping time is the sale's time."""
     lines = b.shipped_lines(table_stream(spark, sf, "lineitem"))
     out, checkpoint = new_folder(spark, "enriched"), new_folder(spark, "checkpoint")
-    finish(sales.stream_enriched_lines(lines, b.catalog(spark, sf), out, checkpoint))
+    query = sales.stream_enriched_lines(lines, b.catalog(spark, sf), out, checkpoint)
+    query.awaitTermination()
     return plain(read_table(spark, out).select(*SALES_COLUMNS))
 
 
 def stream_cart_state(spark: SparkSession, sf: str) -> DataFrame:
     events = b.event_columns(table_stream(spark, sf, "events"))
     state, checkpoint = new_folder(spark, "carts"), new_folder(spark, "checkpoint")
-    last = finish(carts.stream_saved_carts(events, state, checkpoint))
-    return plain(carts.live_carts(spark, state, last))
+    carts.stream_saved_carts(events, state, checkpoint).awaitTermination()
+    return plain(carts.live_carts(spark, state))
 
 
 def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +53,7 @@ def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    finish(
+    query = (
         searches.debounce_stream(typed, DEBOUNCE_GAP)
         .writeStream.outputMode("complete")
         .foreachBatch(store)
@@ -67,6 +61,7 @@ def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
+    query.awaitTermination()
     return plain(read_table(spark, out))
 
 

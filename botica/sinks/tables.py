@@ -26,6 +26,15 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def numbered_folders(spark: SparkSession, path: str) -> list[int]:
+    """The numbers among the names of a folder's subfolders, in order; none if it is missing."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return sorted(int(name) for name in names if name.isdigit())
+
+
 def _rename(spark: SparkSession, source: str, target: str) -> None:
     fs, from_path = _file_system(spark, source)
     if not fs.rename(from_path, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):

@@ -26,6 +26,16 @@ def table_exists(spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT) -> b
     return True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out to all cores where a table comes in fewer pieces than there are cores.
+
+    That happens with a few files that cannot be split. A table large enough to
+    keep the cluster busy has more pieces and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rows_to_table(spark: SparkSession, rows: Iterable, schema: StructType) -> DataFrame:
     """A few rows typed in by hand; every value is verified against the schema."""
     return spark.createDataFrame(rows, schema, verifySchema=True)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from botica.operators.carts import SAVE, close_carts, number_carts, saved_carts
 from botica.schemas import CART_EVENT_SCHEMA
-from botica.sinks.tables import drop_folder
+from botica.sinks.tables import drop_folder, numbered_folders
 from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
 from botica.streaming.staging import staged_batches
 
@@ -23,16 +23,27 @@ EVENT_COLUMNS = CART_EVENT_SCHEMA.fieldNames()
 LINE_COLUMNS = ["cart", "product", "quantity", "save_event_id", "saved_at"]
 
 
-def _pending(spark: SparkSession, state: str, batch_id: int, fmt: str) -> DataFrame:
-    path = f"{state}/pending/{batch_id}"
-    if batch_id < 0:
+def _pending(spark: SparkSession, state: str, before: int | None, fmt: str) -> DataFrame:
+    """The events left by the newest batch, or by the newest one before a given batch."""
+    written = numbered_folders(spark, f"{state}/pending")
+    known = [n for n in written if before is None or n < before]
+    if not known:
         return spark.createDataFrame([], CART_EVENT_SCHEMA)
-    return read_table(spark, path, fmt)
+    return read_table(spark, f"{state}/pending/{known[-1]}", fmt)
+
+
+def _forget(spark: SparkSession, state: str, batch_id: int) -> None:
+    """Drops pending events that no replay needs: all but the last before this batch."""
+    written = numbered_folders(spark, f"{state}/pending")
+    for old in [n for n in written if n < batch_id][:-1]:
+        drop_folder(spark, f"{state}/pending/{old}")
 
 
 def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: str) -> None:
     spark = batch.sparkSession
-    waiting = _pending(spark, state, batch_id - 1, fmt).select(*EVENT_COLUMNS)
+    if batch.isEmpty():
+        return
+    waiting = _pending(spark, state, batch_id, fmt).select(*EVENT_COLUMNS)
     reached = F.unix_micros(F.max("ts") - F.expr(f"interval {delay}")).alias("at")
     passed = waiting.agg(reached).first()["at"]
     fresh = batch.select(*EVENT_COLUMNS)
@@ -54,8 +65,7 @@ def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: s
         .select(*EVENT_COLUMNS)
     )
     open_events.write.format(fmt).mode("overwrite").save(f"{state}/pending/{batch_id}")
-    # A replayed batch needs its predecessor's events only.
-    drop_folder(spark, f"{state}/pending/{batch_id - 2}")
+    _forget(spark, state, batch_id)
 
 
 def stream_saved_carts(
@@ -75,9 +85,9 @@ def stream_saved_carts(
     )
 
 
-def live_carts(spark: SparkSession, state: str, last_batch: int, fmt: str = DEFAULT_FORMAT) -> DataFrame:
+def live_carts(spark: SparkSession, state: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
     """Committed lines and those of saved carts that may still change."""
-    recent = saved_carts(_pending(spark, state, last_batch, fmt)).select(*LINE_COLUMNS)
+    recent = saved_carts(_pending(spark, state, None, fmt)).select(*LINE_COLUMNS)
     committed = f"{state}/committed"
     if not table_exists(spark, committed, fmt):
         return recent
