@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.operators.ordered import running_sum
@@ -14,11 +14,6 @@ SET_QUANTITY, DELETE, SAVE, SEARCH = "set_qty", "delete", "save", "search"
 SEQUENCE_STEP = 1 << 20
 
 
-def event_chunk(ts: str = "ts") -> Column:
-    """An hour of a cart's events is the largest piece one task handles."""
-    return F.date_trunc("hour", F.col(ts))
-
-
 def cart_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("cart_id").agg(
         F.sum("total_price_after_taxes").alias("cart_total"),
@@ -55,12 +50,15 @@ def delete_lines(lines: DataFrame, deletions: DataFrame) -> DataFrame:
     return lines.join(deletions.select(*keys), keys, "left_anti")
 
 
-def number_carts(events: DataFrame) -> DataFrame:
-    """Adds ``cart_seq``, the number of saves of the same till before each event."""
+def number_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
+    """Adds ``cart_seq``, the number of saves of the same till before each event.
+
+    A ``piece`` of time is the largest part of a till's events that one task handles.
+    """
     return running_sum(
         events.filter(F.col("action").isin(SET_QUANTITY, DELETE, SAVE)),
         ["cart"],
-        event_chunk(),
+        F.date_trunc(piece, F.col("ts")),
         ["ts", "event_id"],
         F.when(F.col("action") == SAVE, 1).otherwise(0),
         "cart_seq",
@@ -94,7 +92,7 @@ def close_carts(numbered: DataFrame, saves: DataFrame) -> DataFrame:
     return lines.join(closing, ["cart", "cart_seq"])
 
 
-def saved_carts(events: DataFrame) -> DataFrame:
+def saved_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
     """Lines of every saved cart; what is set after the last save is still open."""
-    numbered = number_carts(events)
+    numbered = number_carts(events, piece)
     return close_carts(numbered, numbered.filter(F.col("action") == SAVE))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from botica.functions.text import contains_ignoring_case, is_blank, like_ignoring_case
@@ -20,6 +20,18 @@ def lookup_by_name(catalog: DataFrame, name: str) -> DataFrame:
     return catalog.filter(F.col("product_name") == F.lit(name))
 
 
+def lookup_batch(catalog: DataFrame, names: DataFrame) -> DataFrame:
+    """For every exact name the first product by id; unknown names give no row."""
+    wanted = names.select("product_name").distinct()
+    by_id = Window.partitionBy("product_name").orderBy("id")
+    return (
+        catalog.join(wanted, "product_name", "left_semi")
+        .withColumn("_place", F.row_number().over(by_id))
+        .filter(F.col("_place") == 1)
+        .drop("_place")
+    )
+
+
 def first_match(catalog: DataFrame, term: str) -> DataFrame:
     """The first matching product by name and id, or no row."""
     return search_name(catalog, term).orderBy("product_name", "id").limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.operators.ordered import next_value
@@ -11,9 +11,14 @@ from botica.operators.ordered import next_value
 DEFAULT_GAP = "3 seconds"
 
 
-def debounce_searches(searches: DataFrame, gap: str = DEFAULT_GAP, chunk: Column | None = None) -> DataFrame:
-    """Searches not followed by another one of the same user within ``gap``."""
-    hour = F.date_trunc("hour", F.col("ts")) if chunk is None else chunk
-    ahead = next_value(searches, ["user_id"], hour, ["ts", "event_id"], "ts", "_next_ts")
+def debounce_searches(
+    searches: DataFrame, gap: str = DEFAULT_GAP, piece: str = "hour"
+) -> DataFrame:
+    """Searches not followed by another one of the same user within ``gap``.
+
+    A ``piece`` of time is the largest part of a user's searches that one task handles.
+    """
+    chunk = F.date_trunc(piece, F.col("ts"))
+    ahead = next_value(searches, ["user_id"], chunk, ["ts", "event_id"], "ts", "_next_ts")
     waited = F.col("_next_ts") >= F.col("ts") + F.expr(f"interval {gap}")
     return ahead.filter(F.col("_next_ts").isNull() | waited).drop("_next_ts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from botica.operators import search as s
 from botica.plans import bindings as b
@@ -44,6 +45,15 @@ def lookup_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return plain(s.lookup_by_name(b.catalog(spark, sf), NAME))
 
 
+def lookup_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The first product of every display name, and of names that no product has."""
+    catalog = b.catalog(spark, sf)
+    wanted = catalog.select("product_name").unionByName(
+        catalog.select(F.upper("product_name").alias("product_name"))
+    )
+    return plain(s.lookup_batch(catalog, wanted))
+
+
 def first_match(spark: SparkSession, sf: str) -> DataFrame:
     return plain(s.first_match(b.catalog(spark, sf), TERM))
 
@@ -64,6 +74,7 @@ QUERIES = {
     "search_batch_all_substances": search_batch_all_substances,
     "substance_group": substance_group,
     "lookup_by_name": lookup_by_name,
+    "lookup_batch": lookup_batch,
     "first_match": first_match,
     "distinct_substance": distinct_substance,
     "product_names_sorted": product_names_sorted,
@@ -100,6 +111,8 @@ FROM reached r JOIN catalog c ON c.substance_name = r.substance_name""",
 SELECT p.term, c.id, c.product_name, c.substance_name
 FROM picked p JOIN catalog c ON contains(lower(c.substance_name), lower(p.substance_name))""",
     "lookup_by_name": f"WITH {b.CATALOG_SQL} {CATALOG_SELECT} catalog WHERE product_name = '{NAME}'",
+    "lookup_batch": f"""WITH {b.CATALOG_SQL} {CATALOG_SELECT} (
+  SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY id) AS place FROM catalog) WHERE place = 1""",
     "first_match": f"""WITH {b.CATALOG_SQL} {CATALOG_SELECT} catalog
 WHERE contains(lower(product_name), '{TERM}') ORDER BY product_name, id LIMIT 1""",
     "distinct_substance": f"WITH {b.CATALOG_SQL} SELECT DISTINCT substance_name FROM catalog",

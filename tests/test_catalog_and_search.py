@@ -84,6 +84,12 @@ def test_lookups(catalog):
     assert ids(s.first_match(catalog, "orencia")) == ["3"]
 
 
+def test_lookup_batch(spark, catalog):
+    twice = catalog.unionByName(catalog.withColumn("id", F.concat(F.lit("0"), "id")))
+    names = spark.createDataFrame([("ORENCIA 250 MG",), ("ORENCIA 250 MG",), ("x",)], "product_name string")
+    assert ids(s.lookup_batch(twice, names)) == ["02"]
+
+
 def expected_batch(rows, terms, pick):
     """Search of every term by comparing it with every product."""
     found = set()

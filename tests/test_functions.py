@@ -6,7 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from botica import session
 from botica.functions import keys, money, numbers, text, timing
+from botica.sources.tables import spread
 from tests.frames import START
 
 
@@ -106,3 +108,18 @@ def test_sale_datetime_stamp(spark):
     given, stamped = (r[0] for r in frame.select(timing.sale_stamp(F.col("x"))).collect())
     assert given == START
     assert abs((datetime.now() - stamped).total_seconds()) < 600
+
+
+def test_settings_follow_the_data():
+    small = session.settings(10 << 20, 8)
+    large = session.settings(20 << 40, 4000)
+    assert small["spark.sql.shuffle.partitions"] == "8"
+    assert int(large["spark.sql.shuffle.partitions"]) == 81_920
+    assert large["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_spread_leaves_large_tables_alone(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many, few = spark.range(0, 100, 1, cores + 3), spark.range(0, 100, 1, 1)
+    assert spread(many) is many
+    assert spread(few).rdd.getNumPartitions() == cores

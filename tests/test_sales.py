@@ -245,12 +245,12 @@ def random_events(seed, n=1500, hot=0.4):
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_saved_carts_equal_folding(spark, seed):
+@pytest.mark.parametrize(("seed", "piece"), [(1, "hour"), (2, "minute"), (3, "year")])
+def test_saved_carts_equal_folding(spark, seed, piece):
     rows = random_events(seed)
     got = {
         (r["cart"], r["save_event_id"], r["product"], r["quantity"])
-        for r in c.saved_carts(events(spark, rows)).collect()
+        for r in c.saved_carts(events(spark, rows), piece).collect()
     }
     assert got == fold(rows)
 
