@@ -26,7 +26,7 @@ def cart_running_total(lines: DataFrame, step: int = SEQUENCE_STEP) -> DataFrame
     return running_sum(
         lines,
         ["cart_id"],
-        F.floor(F.col("line_seq") / F.lit(step)),
+        F.expr(f"line_seq div {int(step)}"),
         ["line_seq", "transaction_id", "quantity", "total_price_after_taxes"],
         F.col("total_price_after_taxes"),
         "running_total",

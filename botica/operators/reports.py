@@ -14,3 +14,8 @@ def newest_first(sales: DataFrame) -> DataFrame:
 
 def newest(sales: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     return newest_first(sales).limit(rows)
+
+
+def preview(table: DataFrame, *order: str, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """A table's first rows; with an order that has no ties they are always the same."""
+    return table.orderBy(*order).limit(rows)

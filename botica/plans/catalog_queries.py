@@ -11,6 +11,7 @@ from botica.functions.numbers import int_or_default, decimal_or_default, parse_p
 from botica.functions.text import blank_to_null, display_name, is_blank, placeholder_to_null
 from botica.functions.timing import day_start, from_epoch
 from botica.operators.catalog import dim_product
+from botica.operators.reports import preview
 from botica.plans import bindings as b
 from botica.plans.bindings import plain
 
@@ -121,7 +122,12 @@ def daily_trunc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def preview_dim_product(spark: SparkSession, sf: str) -> DataFrame:
+    return preview(b.dimension(spark, sf), "product_name", "id")
+
+
 QUERIES = {
+    "preview_dim_product": preview_dim_product,
     "concat_null_propagation": concat_null_propagation,
     "parse_price": parse_price_text,
     "taxes_price": taxes_price,
@@ -154,6 +160,8 @@ SELECT id, substance_name, industry_name, ean1, ean2, ean3, product_name, produc
 FROM """
 
 ORACLE = {
+    "preview_dim_product": f"""WITH {b.PRICE_LIST_SQL}
+{DIM_SELECT} price_list ORDER BY product_name, id LIMIT 20""",
     "concat_null_propagation": f"""WITH {b.PRICE_LIST_SQL}
 SELECT id, product_name || ' ' || product_presentation AS display_name FROM price_list""",
     "parse_price": f"""WITH {b.PRICE_LIST_SQL}

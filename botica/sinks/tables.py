@@ -50,19 +50,26 @@ def write_new(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
     df.write.format(fmt).mode("errorifexists").save(path)
 
 
-def overwrite_table(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
+def overwrite_table(
+    df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, options: dict[str, str] | None = None
+) -> None:
     """Replaces a table; the plan may read the table it replaces.
 
     Plain files are written next to the target and renamed into place once
     complete, so no reader sees a half-written table. Delta does that by itself.
     """
+    writer = df.write.format(fmt).options(**(options or {}))
     if fmt == "delta":
-        df.write.format(fmt).mode("overwrite").save(path)
+        writer.mode("overwrite").save(path)
         return
     spark = df.sparkSession
     mark = uuid.uuid4().hex
     staged, former = f"{path}__new_{mark}", f"{path}__old_{mark}"
-    df.write.format(fmt).mode("errorifexists").save(staged)
+    try:
+        writer.mode("errorifexists").save(staged)
+    except Exception:
+        drop_folder(spark, staged)
+        raise
     fs, target = _file_system(spark, path)
     if fs.exists(target):
         _rename(spark, path, former)
@@ -74,10 +81,8 @@ def overwrite_table(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None
 
 def overwrite_raw_names(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
     """Overwrites a table whose column names hold blanks and punctuation."""
-    writer = df.write.format(fmt).mode("overwrite")
-    if fmt == "delta":
-        writer = writer.option("delta.columnMapping.mode", "name")
-    writer.save(path)
+    options = {"delta.columnMapping.mode": "name"} if fmt == "delta" else None
+    overwrite_table(df, path, fmt, options)
 
 
 def _with_period(sales: DataFrame, period: str) -> DataFrame:
@@ -111,9 +116,9 @@ def first_per_transaction(sales: DataFrame) -> DataFrame:
 
     Spark cuts each task's rows to one per transaction before the shuffle.
     """
-    order = Window.partitionBy("transaction_id").orderBy(
-        "quantity", "total_price_after_taxes", "sale_datetime", "product_id"
-    )
+    first = ["quantity", "total_price_after_taxes", "sale_datetime", "product_id"]
+    rest = [c for c in sales.columns if c not in ("transaction_id", *first)]
+    order = Window.partitionBy("transaction_id").orderBy(*first, *rest)
     return (
         sales.withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == 1)
