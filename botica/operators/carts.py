@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from botica.operators.ordered import running_sum
@@ -66,33 +66,39 @@ def number_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
     )
 
 
-def close_carts(numbered: DataFrame, saves: DataFrame) -> DataFrame:
-    """Last quantity per product of the carts that the given saves close.
+def close_carts(numbered: DataFrame, counts: Column | None = None) -> DataFrame:
+    """Last quantity per product of the carts that a save closes.
 
     Products whose last action is a deletion or a quantity of 0 are not in the cart.
+    ``counts`` restricts the saves that close a cart. A cart's events shrink to one row per
+    product before its save meets them.
     """
-    last = F.max(
-        F.struct(
-            "ts",
-            "event_id",
-            (F.col("action") == DELETE).alias("deleted"),
-            "quantity",
+    is_save = F.col("action") == SAVE
+    last = F.max(F.struct("ts", "event_id", "action", "quantity")).alias("last")
+    per_product = numbered.groupBy(
+        "cart", "cart_seq", is_save.alias("is_save"), F.when(~is_save, F.col("product")).alias("product")
+    ).agg(last)
+    closing = F.col("is_save")
+    if counts is not None:
+        closing = closing & counts
+    stamp = F.struct("last.event_id", "last.ts")
+    cart = Window.partitionBy("cart", "cart_seq")
+    return (
+        per_product.withColumn("ts", F.col("last.ts"))
+        .withColumn("save", F.max(F.when(closing, stamp)).over(cart))
+        .filter(F.col("save").isNotNull() & (F.col("last.action") == SET_QUANTITY))
+        .filter(F.col("last.quantity") > 0)
+        .select(
+            "cart",
+            "cart_seq",
+            "product",
+            F.col("last.quantity").alias("quantity"),
+            F.col("save.event_id").alias("save_event_id"),
+            F.col("save.ts").alias("saved_at"),
         )
-    ).alias("last")
-    lines = (
-        numbered.filter(F.col("action").isin(SET_QUANTITY, DELETE))
-        .groupBy("cart", "cart_seq", "product")
-        .agg(last)
-        .filter(~F.col("last.deleted") & (F.col("last.quantity") > 0))
-        .select("cart", "cart_seq", "product", F.col("last.quantity").alias("quantity"))
-    )
-    closing = saves.select(
-        "cart", "cart_seq", F.col("event_id").alias("save_event_id"), F.col("ts").alias("saved_at")
     )
-    return lines.join(closing, ["cart", "cart_seq"])
 
 
 def saved_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
     """Lines of every saved cart; what is set after the last save is still open."""
-    numbered = number_carts(events, piece)
-    return close_carts(numbered, numbered.filter(F.col("action") == SAVE))
+    return close_carts(number_carts(events, piece))

@@ -53,11 +53,12 @@ def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: s
     events = waiting.unionByName(fresh)
     horizon = events.agg(reached).first()["at"]
 
+    past = F.unix_micros("ts") <= F.lit(horizon)
     numbered = number_carts(events)
-    settled = numbered.filter((F.col("action") == SAVE) & (F.unix_micros("ts") <= F.lit(horizon)))
-    lines = close_carts(numbered, settled).select(*LINE_COLUMNS)
+    lines = close_carts(numbered, past).select(*LINE_COLUMNS)
     lines.write.format(fmt).mode("overwrite").save(f"{state}/committed/batch_id={batch_id}")
 
+    settled = events.filter((F.col("action") == SAVE) & past)
     closed = settled.groupBy("cart").agg(F.count(F.lit(1)).alias("_closed"))
     open_events = (
         numbered.join(closed, "cart", "left")
