@@ -9,6 +9,7 @@ from botica.operators.ordered import running_sum
 from botica.operators.pricing import price_lines
 
 SET_QUANTITY, DELETE, SAVE, SEARCH = "set_qty", "delete", "save", "search"
+CART_ACTIONS = (SET_QUANTITY, DELETE, SAVE)
 
 # A running total is cut along the line sequence into steps of this width.
 SEQUENCE_STEP = 1 << 20
@@ -56,7 +57,7 @@ def number_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
     A ``piece`` of time is the largest part of a till's events that one task handles.
     """
     return running_sum(
-        events.filter(F.col("action").isin(SET_QUANTITY, DELETE, SAVE)),
+        events.filter(F.col("action").isin(*CART_ACTIONS)),
         ["cart"],
         F.date_trunc(piece, F.col("ts")),
         ["ts", "event_id"],

@@ -9,9 +9,11 @@ from botica.operators import carts as c
 from botica.operators import pricing as p
 from botica.operators import quality as q
 from botica.operators import reports
+from botica.operators.search import search_batch
 from botica.operators.searches import debounce_searches as debounce
 from botica.plans import bindings as b
 from botica.plans.bindings import plain
+from botica.plans.search_queries import PICK_SQL
 from botica.sinks.tables import write_new
 from botica.sources.tables import read_table
 from botica.workspace import new_folder
@@ -128,8 +130,6 @@ def preview_top20(spark: SparkSession, sf: str) -> DataFrame:
 
 def sold_substitutes(spark: SparkSession, sf: str) -> DataFrame:
     """For every search term: what the carts paid for name matches and for alternatives."""
-    from botica.operators.search import search_batch
-
     catalog = b.catalog(spark, sf)
     found = search_batch(catalog, b.search_terms(spark, sf)).select(
         "term", "match_rank", F.col("id").alias("product_id")
@@ -245,13 +245,7 @@ WHERE next_ts IS NULL OR next_ts >= ts + INTERVAL 600 SECOND""",
     "sales_newest_first": f"WITH {b.PRICED_SQL} {b.SALES_SELECT} priced ORDER BY sale_datetime DESC, transaction_id",
     "preview_top20": f"""WITH {b.PRICED_SQL}
 SELECT transaction_id, sale_datetime FROM priced ORDER BY sale_datetime DESC, transaction_id LIMIT 20""",
-}
-
-
-def _sold_substitutes_sql() -> str:
-    from botica.plans.search_queries import PICK_SQL
-
-    return f"""WITH {b.ENRICHED_SQL}, {b.TERMS_SQL}, {PICK_SQL},
+    "sold_substitutes": f"""WITH {b.ENRICHED_SQL}, {b.TERMS_SQL}, {PICK_SQL},
 found AS (
   SELECT p.term, c.id, CASE WHEN contains(lower(c.product_name), p.term) THEN 0 ELSE 1 END AS match_rank
   FROM picked p JOIN catalog c
@@ -259,7 +253,5 @@ found AS (
 sold AS (
   SELECT product_id, sum(total_price_after_taxes) AS paid, count(*) AS lines FROM enriched_priced GROUP BY product_id)
 SELECT term, match_rank, CAST(sum(paid) AS DOUBLE) AS paid, CAST(sum(lines) AS BIGINT) AS lines
-FROM found JOIN sold ON product_id = id GROUP BY term, match_rank"""
-
-
-ORACLE["sold_substitutes"] = _sold_substitutes_sql()
+FROM found JOIN sold ON product_id = id GROUP BY term, match_rank""",
+}

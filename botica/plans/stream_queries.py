@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from botica.operators.pricing import SALES_COLUMNS
 from botica.plans import bindings as b
+from botica.plans import sales_queries
 from botica.plans.bindings import plain
 from botica.plans.sales_queries import DEBOUNCE_GAP
 from botica.plans.storage_queries import FIRST_SQL, write_csv
@@ -73,17 +74,12 @@ QUERIES = {
 }
 
 
-def _oracle() -> dict[str, str]:
-    from botica.plans.sales_queries import ORACLE as batch
+_ERP_FIRST_SQL = FIRST_SQL.replace("FROM priced)", "FROM erp_sales)")
 
-    erp_first = FIRST_SQL.replace("FROM priced)", "FROM erp_sales)")
-    return {
-        "stream_append_sales": f"WITH {b.ERP_SALES_SQL}, {erp_first} {b.SALES_SELECT} first_sales",
-        "stream_enrich_lines": f"WITH {b.SHIPPED_SQL} {b.SALES_SELECT} shipped_priced",
-        "stream_cart_state": f"""WITH {b.SAVED_CARTS_SQL}
+ORACLE = {
+    "stream_append_sales": f"WITH {b.ERP_SALES_SQL}, {_ERP_FIRST_SQL} {b.SALES_SELECT} first_sales",
+    "stream_enrich_lines": f"WITH {b.SHIPPED_SQL} {b.SALES_SELECT} shipped_priced",
+    "stream_cart_state": f"""WITH {b.SAVED_CARTS_SQL}
 SELECT cart, product, quantity, save_event_id, saved_at FROM saved_carts""",
-        "stream_debounce": batch["debounce_searches"],
-    }
-
-
-ORACLE = _oracle()
+    "stream_debounce": sales_queries.ORACLE["debounce_searches"],
+}

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from botica.operators.carts import SAVE, close_carts, number_carts, saved_carts
+from botica.operators.carts import CART_ACTIONS, SAVE, close_carts, number_carts, saved_carts
 from botica.schemas import CART_EVENT_SCHEMA
 from botica.sinks.tables import drop_folder, numbered_folders
 from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
 from botica.streaming.staging import staged_batches
+from botica.workspace import new_folder
 
 EVENT_COLUMNS = CART_EVENT_SCHEMA.fieldNames()
 LINE_COLUMNS = ["cart", "product", "quantity", "save_event_id", "saved_at"]
@@ -41,24 +42,27 @@ def _forget(spark: SparkSession, state: str, batch_id: int) -> None:
 
 def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: str) -> None:
     spark = batch.sparkSession
-    if batch.isEmpty():
+    fresh = batch.select(*EVENT_COLUMNS).filter(F.col("action").isin(*CART_ACTIONS))
+    if fresh.isEmpty():
         return
     waiting = _pending(spark, state, batch_id, fmt).select(*EVENT_COLUMNS)
+    # The time up to which carts are settled: the newest event's, less the delay. That
+    # event always stays pending, so the next batch finds the same time again.
     reached = F.unix_micros(F.max("ts") - F.expr(f"interval {delay}")).alias("at")
     passed = waiting.agg(reached).first()["at"]
-    fresh = batch.select(*EVENT_COLUMNS)
     if passed is not None:
-        # Their carts are settled; the stream's watermark drops such events too.
         fresh = fresh.filter(F.unix_micros("ts") > passed)
-    events = waiting.unionByName(fresh)
-    horizon = events.agg(reached).first()["at"]
 
+    folder = new_folder(spark, "numbered")
+    number_carts(waiting.unionByName(fresh)).write.format(fmt).save(folder)
+    numbered = read_table(spark, folder, fmt)
+    horizon = numbered.agg(reached).first()["at"]
     past = F.unix_micros("ts") <= F.lit(horizon)
-    numbered = number_carts(events)
+
     lines = close_carts(numbered, past).select(*LINE_COLUMNS)
     lines.write.format(fmt).mode("overwrite").save(f"{state}/committed/batch_id={batch_id}")
 
-    settled = events.filter((F.col("action") == SAVE) & past)
+    settled = numbered.filter((F.col("action") == SAVE) & past)
     closed = settled.groupBy("cart").agg(F.count(F.lit(1)).alias("_closed"))
     open_events = (
         numbered.join(closed, "cart", "left")
@@ -67,6 +71,7 @@ def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: s
     )
     open_events.write.format(fmt).mode("overwrite").save(f"{state}/pending/{batch_id}")
     _forget(spark, state, batch_id)
+    drop_folder(spark, folder)
 
 
 def stream_saved_carts(
