@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent and Spark runs inside one machine, a temporary
-    folder stands in for it. On a cluster an absent setting is an error: a
-    machine-local folder would be lost with its machine.
-    """
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="botica-")
-        context.setCheckpointDir(_local_roots[app])
-    return _local_roots[app]
+    return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
+
+
+def application_folder(spark: SparkSession) -> str:
+    """The folder of this application; it goes when the driver's JVM ends."""
+    folder = f"{shared_root(spark)}/botica/{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh, not yet existing folder path below the shared root."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/botica/{app}/{label}-{uuid.uuid4().hex}"
+    """A fresh, not yet existing folder path below the application's folder."""
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
