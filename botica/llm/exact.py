@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botica.llm.staging import numbered, ship_code
+from botica.llm.staging import numbered, ship_code, widened
 from botica.llm.words import as_bytes
 
 # Bytes of a chunk: its sum of products stays below 2^64.
@@ -93,8 +93,7 @@ def _staged(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFram
     ship_code(docs.sparkSession)
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if keep else []
     slim = docs.select(F.col(id_col).alias("id"), *rest, F.col(text_col).cast("string").alias("text"))
-    schema = slim.select("id", *(["document"] if keep else [])).schema
-    schema = schema.add("text", "binary").add("sha256", "string").add("n_bytes", "long")
+    schema = widened(slim.drop("text"), "text binary, sha256 string, n_bytes long")
     return numbered(slim.mapInArrow(_normalise, schema), "exact-texts")
 
 
@@ -119,20 +118,24 @@ def _grouped(staged: DataFrame, chunk_bytes: int) -> DataFrame:
         .groupBy(*_KEY)
         .agg(F.bool_and(F.col("least") == F.col("most")).alias("same"))
     )
-    differing = compared.where(~F.col("same")).select(*_KEY, F.lit(True).alias("differs"))
     # Should unequal texts ever share a fingerprint, their digests tell them apart.
-    apart = F.when(F.col("differs"), F.col("sha256")).otherwise("")
-    rows = rows.join(differing, _KEY, "left").select("row", "id", "sha256", *_KEY, apart.alias("apart"))
-    groups = rows.groupBy(*_KEY, "apart").agg(
-        F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("group_size")
-    )
-    return rows.join(groups, [*_KEY, "apart"]).select(
-        "row",
-        "id",
-        "sha256",
-        F.col("last.row").alias("keep_row"),
-        F.col("last.id").alias("keep_id"),
-        "group_size",
+    last = [F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("group_size")]
+    groups = rows.groupBy(*_KEY).agg(*last)
+    differing = compared.where(~F.col("same")).select(*_KEY)
+    apart = rows.join(differing, _KEY, "left_semi").groupBy(*_KEY, "sha256").agg(*last)
+    apart = apart.withColumnsRenamed({"last": "own_last", "group_size": "own_size"})
+    last = F.coalesce("own_last", "last")
+    return (
+        rows.join(groups, _KEY)
+        .join(apart, [*_KEY, "sha256"], "left")
+        .select(
+            "row",
+            "id",
+            "sha256",
+            last.row.alias("keep_row"),
+            last.id.alias("keep_id"),
+            F.coalesce("own_size", "group_size").alias("group_size"),
+        )
     )
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botica.llm.staging import dense, numbered, ship_code
+from botica.llm.staging import dense, numbered, ship_code, widened
 from botica.llm.words import as_bytes, batches
 
 # Words whose ids a worker keeps; at this number it starts afresh.
@@ -140,8 +140,6 @@ def pack(
                 )
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = slim.select("id").schema
-    for name, kind in [("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long")]:
-        schema = schema.add(name, kind)
+    schema = widened(slim.drop("text"), "start long, length long, ids binary, doc_tokens long")
     packed = dense(numbered(slim.mapInArrow(pieces, schema), "packed"), "row", "sequence_id")
     return packed.drop("row").withColumn("offset", F.lit(0).cast("long"))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from botica.workspace import new_folder
 
@@ -32,6 +33,11 @@ def ship_code(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def widened(df: DataFrame, ddl: str) -> StructType:
+    """The frame's schema and further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: cut from its lineage and read only."""
     folder = new_folder(df.sparkSession, label)

@@ -112,8 +112,8 @@ def many_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """The distinct hashes of all runs of ``width`` words, sorted.
+def shingles(words: np.ndarray, width: int, distinct: bool = True) -> np.ndarray:
+    """The hashes of all runs of ``width`` words; distinct ones are sorted.
 
     Fewer words than that make one shingle; no words make none.
     """
@@ -124,7 +124,8 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     total = np.full(last, width, dtype=np.uint64)
     for k in range(width):
         total = mix(total) + words[k : k + last]
-    return np.unique(mix(total))
+    total = mix(total)
+    return np.unique(total) if distinct else total
 
 
 def batches(texts, limit: int = 8 << 20):

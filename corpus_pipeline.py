@@ -1,8 +1,68 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: good, distinct, mixed by source and packed.
+
+Each stage works on all rows of ``docs`` and returns a frame; ``run`` writes it to the
+shared folder and reads it back as the next stage's ``docs``. All but the last return
+the columns of the documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from botica.llm.exact import drop_exact_copies
+from botica.llm.mixing import mix_documents
+from botica.llm.ngrams import drop_near_copies
+from botica.llm.packing import pack
+from botica.llm.quality import keep_good
+from botica.llm.queries import word_bpe
+from botica.llm.staging import table, written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
+    return drop_exact_copies(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return drop_near_copies(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those it takes in part are cut."""
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    return pack(docs, word_bpe(), end_id=1).withColumnRenamed("id", "doc_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
+
+# Neither the model nor the tokenizer can be said in SQL.
 ORACLE_SQL = None
-QUERIES: dict = {}
-ORACLE: dict = {}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
