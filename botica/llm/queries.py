@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botica.llm import embeddings, exact, langid, mixing, ngrams, packing, quality, sharding, urls
+from botica.llm import embeddings, exact, hpylm, langid, mixing, ngrams, packing, quality, sharding, urls
 from botica.llm.staging import table
 
 
@@ -31,6 +31,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -77,6 +81,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
