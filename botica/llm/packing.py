@@ -8,6 +8,7 @@ in the bucket of its length, so that no sequence crosses documents and none is p
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,21 @@ _TAIL = b".,;:!?*#$%&|-()\""
 _loaded: dict[bytes, WordTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte.
+
+    Printable bytes stand for themselves, the others for what follows letter 255.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of texts, as little-endian unsigned 32-bit numbers, by a tokenizer file.
 
-    For tokenizers that never join across white space: each stretch between blanks is
-    encoded once and remembered.
+    For byte-level tokenizers that lower-case and never join across white space: each
+    stretch between blanks is encoded once and remembered.
     """
 
     def __init__(self, json: str):
@@ -36,41 +47,47 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_str(json)
         self.model = self.whole.model
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
         self.kept: dict[bytes, bytes] = {}
 
     def _encode(self, stretch: bytes) -> bytes:
-        if stretch.isalpha() and stretch.isascii():
-            ids = [t.id for t in self.model.tokenize(stretch.lower().decode())]
-        elif any(s in stretch for s in self.special):
-            ids = self.whole.encode(stretch.decode(), add_special_tokens=False).ids
-        else:
-            text = self.whole.normalizer.normalize_str(stretch.decode())
-            parts = self.whole.pre_tokenizer.pre_tokenize_str(text)
-            ids = [t.id for part, _ in parts for t in self.model.tokenize(part)]
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, stretch: bytes) -> None:
+        if stretch.isalpha():
+            ids = [t.id for t in self.model.tokenize(stretch.decode())]
+            return array("I", ids).tobytes()
+        text = stretch.decode()
+        if text.isalpha() and max(text) <= "\xff":
+            # Such letters are composed already and are one word to the tokenizer.
+            low = text.lower().encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+        parts = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
+        return array("I", [t.id for part, _ in parts for t in self.model.tokenize(part)]).tobytes()
+
+    def _learn(self, stretch: bytes) -> bytes:
+        known = self.kept.get(stretch)
+        if known is not None:
+            return known
         # Letters and the signs after them are encoded apart by the tokenizer, too.
         core = stretch.rstrip(_TAIL)
-        tail = stretch[len(core) :]
-        if not (tail and core.isalpha() and core.isascii()):
-            self.kept[stretch] = self._encode(stretch)
-            return
-        low = core.lower()
-        for part in (low, tail):
-            if part not in self.kept:
-                self.kept[part] = self._encode(part)
-        self.kept[stretch] = self.kept[low] + self.kept[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if core and len(core) < len(stretch) and core[-1:].isalpha() and core.decode().isalpha():
+            ids = self._learn(core) + self._learn(stretch[len(core) :])
+        else:
+            ids = self._encode(stretch)
+        self.kept[stretch] = ids
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        if b"<|" in text:
+            # Special tokens may be spelt out; the text is encoded as a whole then.
+            return array("I", self.whole.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        stretches = [t.split() for t in texts]
-        for new in set().union(*stretches) - self.kept.keys():
-            self._learn(new)
-        ids = self.kept.__getitem__
-        return [b"".join(map(ids, s)) for s in stretches]
+        stretches = text.lower().split()
+        ids = list(map(self.kept.get, stretches))
+        if None in ids:
+            for k, known in enumerate(ids):
+                if known is None:
+                    ids[k] = self._learn(stretches[k])
+        return b"".join(ids)
 
 
 def tokenizer(json: str) -> WordTokenizer:
@@ -119,8 +136,8 @@ def pack(
             texts = as_bytes(batch.column("text"))
             for first, last in batches(texts):
                 source, start, ids, total = [], [], [], []
-                for k, raw in enumerate(encoder.encode(texts[first:last]), first):
-                    raw += end
+                for k in range(first, last):
+                    raw = encoder.encode(texts[k]) + end
                     at = 0
                     for stop in cuts(len(raw) // 4, sequence_length):
                         source.append(k)

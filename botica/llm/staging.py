@@ -57,6 +57,10 @@ def numbered(df: DataFrame, label: str, row: str = "row") -> DataFrame:
     return stored.select("*", number.alias(row))
 
 
+# Written files whose row counts are sent to every task; beyond it they are joined.
+FEW_FILES = 100_000
+
+
 def dense(df: DataFrame, row: str, number: str) -> DataFrame:
     """Adds ``number``: 0, 1, 2, ... in the order of ``row``, made by ``numbered``.
 
@@ -66,11 +70,11 @@ def dense(df: DataFrame, row: str, number: str) -> DataFrame:
 
     file = F.shiftright(row, 40)
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        df.groupBy(file.alias("file_no"))
-        .agg(F.count("*").alias("file_rows"))
-        .select("file_no", F.coalesce(F.sum("file_rows").over(before), F.lit(0)).alias("file_start"))
-    )
+    counts = written(df.groupBy(file.alias("file_no")).agg(F.count("*").alias("file_rows")), "file-rows")
+    start = F.coalesce(F.sum("file_rows").over(before), F.lit(0)).alias("file_start")
+    starts = counts.select("file_no", start)
+    if counts.count() <= FEW_FILES:
+        starts = F.broadcast(starts)
     place = F.col(row).bitwiseAND(F.lit((1 << 40) - 1))
     return (
         df.withColumn("file_no", file)
