@@ -1,12 +1,12 @@
 """Scores of texts by a hierarchical Pitman-Yor model.
 
-A text is its lower-cased words with one blank between them and an end. The model
-predicts its bytes: each context of up to five bytes is a restaurant whose customers
-are the symbols seen after it, and whose tables are the customers of its parent, the
-context without its oldest byte. A word's probability is that of its bytes and of what
-ends it, so that unknown words have one too, and contexts reach across words.
+A text is its lower-cased words and an end. Words sit in one restaurant. Where it opens
+a table it asks its parent, which spells the word byte by byte: there, each context of
+up to five bytes is a restaurant, contexts reach across words, and a context's parent
+is the one without its oldest byte. Tables of a restaurant are customers of its parent.
+Words never seen in training are one unknown word, as they are to the base score.
 
-Customers are seated by Gibbs sampling. Restaurants of two bytes and more lie below one
+Customers are seated by Gibbs sampling. Byte contexts of two and more lie below one
 of their last two bytes: such a subtree is one piece of work, however many texts it
 came from, since it holds each distinct context and symbol once. The upper restaurants,
 at most 65,792 numbers, are seated on the driver. Predictive probabilities are averaged
@@ -35,13 +35,16 @@ BLOCK_BYTES = 32 << 20
 # Discounts by length of context, and the strength of every restaurant.
 DISCOUNTS = (0.5, 0.5, 0.6, 0.7, 0.75, 0.8)
 STRENGTH = 1.0
+WORD_DISCOUNT = 0.75
+# The share of a new table's words that are unknown; known ones are spelt out.
+UNKNOWN = 0.5
 # The hash that stands for the end of a text among those of words.
 END_WORD = np.uint64(1)
 
 
 def symbols(text: bytes) -> bytes:
-    """The words of a text, lower-cased, a blank between them, and the end."""
-    return b" ".join(text.lower().split()) + bytes([END])
+    """The words of a text, lower-cased, a blank after each, and the end."""
+    return b" ".join([*text.lower().split(), bytes([END])])
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,6 +282,24 @@ def _sampled(uppers: list[np.ndarray], burn_in: int, seed: int):
     return sample
 
 
+def _seated_words(opening: float, samples: int, seed: int):
+    def seated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Mean tables of each word over several seatings."""
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            counts = batch.column("n").to_numpy()
+            random = np.random.default_rng([seed, int(counts.sum()), len(counts)])
+            tables = sum(
+                seat(counts, lambda k, t: np.full(len(k), opening), WORD_DISCOUNT, random) for _ in range(samples)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(tables / samples)], ["key", "n", "tables"]
+            )
+
+    return seated
+
+
 _RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -296,9 +317,10 @@ def score_texts(
     The model learns from documents whose crc32 of the id as text isn't a multiple of
     ``folds`` (a null id counts as empty text). Tokens are words, parted by ASCII white
     space, A-Z counted as a-z, and one end; null texts have the end alone. ``score`` is
-    the model's log10 probability of the text, ``base_score`` that of add-0.1 unigrams.
-    Repeated ids are rows like others. An empty table gives an empty result, and texts
-    scored without any learned ones have all symbols equally likely.
+    the model's log10 probability of the text, ``base_score`` that of add-0.1 unigrams;
+    a text's perplexity is 10 to the minus score by n_tokens. Repeated ids are rows like
+    others. An empty table gives an empty result; where nothing was learned, all words
+    are unknown.
     """
     ship_code(docs.sparkSession)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
@@ -317,7 +339,15 @@ def score_texts(
     )
     totals = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-totals")
     words = totals.where((F.col("kind") == WORD) & (F.col("n") > 0))
+    words = words.select("key", "n").repartition("key").sortWithinPartitions("key")
     n_train, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tables = n_distinct
+    for sweep in range(2):
+        # The weight of a new table for a word, were all words and the unknown one alike.
+        opening = (STRENGTH + WORD_DISCOUNT * tables) / (n_distinct + 1)
+        seats = words.mapInArrow(_seated_words(opening, samples, seed + sweep), "key long, n long, tables double")
+        seats = written(seats, "lm-words")
+        tables = seats.agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0]
 
     subtree = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("subtree")
     trees = totals.where(F.col("kind") == GRAM).select(subtree, "key", "n")
@@ -328,54 +358,60 @@ def score_texts(
         customers[cell] = n
     uppers = [seat_upper(customers.reshape(256, 256), burn_in + 1, seed + k) for k in range(samples)]
     model = trees.mapInArrow(_sampled(uppers, burn_in, seed), "key long, value double")
-    known = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"))
-    values = written(known.unionByName(model.select(F.lit(GRAM).alias("kind"), "key", "value")), "lm-values")
+    known = seats.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"), "tables")
+    model = model.select(F.lit(GRAM).alias("kind"), "key", "value", F.lit(0.0).alias("tables"))
+    values = written(known.unionByName(model), "lm-values")
     answers = counted.select("kind", "key", "block").join(values, ["kind", "key"])
 
     def score(texts: pa.Table, facts: pa.Table) -> pa.Table:
         found = {}
         for kind in (WORD, GRAM):
             own = facts.filter(pa.compute.equal(facts.column("kind"), kind)).sort_by("key")
-            found[kind] = (own.column("key").to_numpy(), own.column("value").to_numpy())
-        return _scored(texts, found, n_train, n_distinct)
+            found[kind] = [own.column(c).to_numpy() for c in ("key", "value", "tables")]
+        return _scored(texts, found, n_train, n_distinct, tables)
 
     return (
         blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {id_kind}, {_RESULT}")
     )
 
 
-def _scored(row: pa.Table, found: dict, n_train: int, n_distinct: int) -> pa.Table:
-    """The results of one block's texts, from its distinct words' counts and grams' logs."""
+def _scored(row: pa.Table, found: dict, n_train: int, n_distinct: int, n_tables: float) -> pa.Table:
+    """The results of one block's texts, from its words' counts and tables and its grams' logs."""
     ids = row.column("ids").combine_chunks().flatten()
     held = row.column("held").combine_chunks().flatten()
-    scale = np.log10(n_train + 0.1 * (n_distinct + 1))
     texts = _opened(row.column("symbols")[0].as_py(), row.column("sizes")[0].as_py())
 
-    def looked_up(kind: int, keys: np.ndarray, missing: float) -> np.ndarray:
-        known, value = found[kind]
+    def looked_up(kind: int, keys: np.ndarray) -> list[np.ndarray]:
+        known, *values = found[kind]
         if not len(known):
-            return np.full(len(keys), missing)
+            return [np.zeros(len(keys)) for _ in values]
         place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[place] == keys, value[place], missing)
+        return [np.where(known[place] == keys, v[place], 0.0) for v in values]
 
     def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return np.bincount(np.repeat(np.arange(len(sizes)), sizes), values, len(sizes))
 
     words, n_tokens = _words(texts)
-    counts = looked_up(WORD, words.astype(np.int64), 0.0)
-    base = per_text(np.log10(counts + 0.1) - scale, n_tokens)
-    known = per_text((counts > 0).astype(np.float64), n_tokens)
-    keys, sizes = grams(texts)
-    score = per_text(looked_up(GRAM, keys, 0.0), sizes)
+    counts, tables = looked_up(WORD, words.astype(np.int64))
+    base = per_text(np.log10(counts + 0.1) - np.log10(n_train + 0.1 * (n_distinct + 1)), n_tokens)
+    n_known = per_text((counts > 0).astype(np.float64), n_tokens)
+    keys, _ = grams(texts)
+    symbol = keys & 0xFF
+    # A token ends with its blank, or is the end.
+    last = np.flatnonzero((symbol == 32) | (symbol == END))
+    spelt = np.add.reduceat(looked_up(GRAM, keys)[0], np.append(0, last[:-1] + 1))
+    new = STRENGTH + WORD_DISCOUNT * n_tables
+    new = new * np.where(counts > 0, (1 - UNKNOWN) * 10.0**spelt, UNKNOWN)
+    chance = (counts - WORD_DISCOUNT * tables + new) / (STRENGTH + n_train)
     return pa.Table.from_arrays(
         [
             ids,
             held,
             pa.array(n_tokens),
-            pa.array(known.astype(np.int64)),
-            pa.array(np.full(len(sizes), n_train, dtype=np.int64)),
+            pa.array(n_known.astype(np.int64)),
+            pa.array(np.full(len(n_tokens), n_train, dtype=np.int64)),
             pa.array(base),
-            pa.array(score),
+            pa.array(per_text(np.log10(chance), n_tokens)),
         ],
         ["id", *(x.split()[0] for x in _RESULT.split(", "))],
     )

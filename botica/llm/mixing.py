@@ -124,7 +124,8 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
         .withColumn("block", F.explode(F.sequence(F.col("drawn"), F.col("blocks") - 1)))
         .select(F.lit(slots).cast("long").alias("slot"), *source, "block")
     )
-    return ranked.join(blocks, source).where("block < blocks").drop("blocks").unionByName(closing)
+    ranked = ranked.join(blocks, source).where("block < blocks")
+    return ranked.unionByName(closing, allowMissingColumns=True).select("slot", *source, "block")
 
 
 def _mix(sized: DataFrame, block_words: int | None, **shares) -> tuple[DataFrame, DataFrame]:

@@ -228,8 +228,10 @@ def _joined(
     pruned = pruned.mapInArrow(
         _pruned(threshold, tolerance), "tile long, rep long, copies long, partners binary"
     )
-    # Only documents that still have a partner fetch their texts.
-    pairs = written(pruned, "ngram-pairs").join(texts.select(F.col("row").alias("rep"), "text"), "rep")
+    # Only documents that still have a partner fetch their texts. Both sides grow with
+    # the input, so neither is ever broadcast.
+    pairs = written(pruned, "ngram-pairs").hint("merge")
+    pairs = pairs.join(texts.select(F.col("row").alias("rep"), "text"), "rep")
     found = pairs.repartition("tile").sortWithinPartitions("tile")
     found = found.mapInArrow(_verified(width, threshold), "rep long, weight long, root long")
     return texts, grouped(rows, classes, found)
