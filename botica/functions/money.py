@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from botica.schemas import FRACTION
+
 
 def money(column: Column) -> Column:
     return F.round(column, 2).cast("decimal(18,2)")
@@ -15,14 +17,18 @@ def format_money(column: Column) -> Column:
     return F.translate(money(column).cast("string"), ".", ",")
 
 
+def to_fraction(part: Column, whole: Column) -> Column:
+    return F.round(part / whole, FRACTION.scale).cast(FRACTION)
+
+
 def percent_to_fraction(column: Column) -> Column:
-    return F.round(column / F.lit(100), 4).cast("decimal(9,4)")
+    return to_fraction(column, F.lit(100))
 
 
 def clamp_fraction(column: Column) -> Column:
     """Limits a discount to 0..1; NULL stays NULL."""
-    zero, one = F.lit(0).cast("decimal(9,4)"), F.lit(1).cast("decimal(9,4)")
-    return F.when(column.isNotNull(), F.greatest(zero, F.least(one, column))).cast("decimal(9,4)")
+    zero, one = F.lit(0).cast(FRACTION), F.lit(1).cast(FRACTION)
+    return F.when(column.isNotNull(), F.greatest(zero, F.least(one, column))).cast(FRACTION)
 
 
 def tax_amount(after_taxes: Column, price: Column) -> Column:
@@ -30,7 +36,7 @@ def tax_amount(after_taxes: Column, price: Column) -> Column:
 
 
 def liquid_price(unit_price: Column, discount: Column) -> Column:
-    return money(unit_price * (F.lit(1) - F.coalesce(discount, F.lit(0).cast("decimal(9,4)"))))
+    return money(unit_price * (F.lit(1) - F.coalesce(discount, F.lit(0).cast(FRACTION))))
 
 
 def line_total(quantity: Column, unit_amount: Column) -> Column:

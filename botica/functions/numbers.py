@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from botica.functions.text import is_blank
+from botica.functions.text import is_blank, trimmed
 
 # Digits with an optional decimal comma or point, and an optional trailing star.
 _PRICE = r"^\s*([0-9]+(?:[.,][0-9]+)?)\s*\*?\s*$"
@@ -21,15 +21,15 @@ def parse_price(column: Column) -> Column:
 
 def price_flag(column: Column) -> Column:
     """True where the price carries the star mark."""
-    return F.coalesce(F.rtrim(column).endswith("*"), F.lit(False))
+    return F.coalesce(trimmed(column).endswith("*"), F.lit(False))
 
 
 def parse_int(column: Column) -> Column:
-    return F.trim(column).try_cast("int")
+    return trimmed(column).try_cast("int")
 
 
 def parse_decimal(column: Column, scale: int = 4) -> Column:
-    return _point(F.trim(column)).try_cast(f"decimal(18,{scale})")
+    return _point(trimmed(column)).try_cast(f"decimal(18,{scale})")
 
 
 def int_or_default(column: Column, default: int = 0) -> Column:

@@ -7,23 +7,33 @@ from pyspark.sql import functions as F
 PLACEHOLDER = "-"
 
 
+# White space of any script, and the separators that text tools strip with it.
+_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def trimmed(column: Column) -> Column:
+    """Without white space at either end: blanks, tabs, line ends, no-break spaces."""
+    return F.regexp_replace(column, _EDGES, "")
+
+
 def contains_ignoring_case(column: Column, term: str) -> Column:
     """Literal, case-insensitive 'contains': no wildcards, no quoting problems."""
     return F.contains(F.lower(column), F.lower(F.lit(term)))
 
 
 def like_ignoring_case(column: Column, term: str) -> Column:
-    """As above, but ``%`` and ``_`` in the term act as SQL wildcards."""
-    return F.lower(column).like(f"%{term.lower()}%")
+    """As above, but ``%`` and ``_`` in the term act as SQL wildcards; a backslash is itself."""
+    pattern = "%" + term.replace("\\", "\\\\") + "%"
+    return F.like(F.lower(column), F.lower(F.lit(pattern)))
 
 
 def is_blank(column: Column) -> Column:
-    return F.coalesce(F.trim(column) == "", F.lit(True))
+    return F.coalesce(trimmed(column) == "", F.lit(True))
 
 
 def blank_to_null(column: Column) -> Column:
     """Trimmed text, NULL where nothing is left."""
-    return F.nullif(F.trim(column), F.lit(""))
+    return F.nullif(trimmed(column), F.lit(""))
 
 
 def placeholder_to_null(column: Column) -> Column:

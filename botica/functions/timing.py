@@ -3,12 +3,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from botica.functions.text import trimmed
+
 # Fixed value: how dates and times are typed and exported.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def parse_timestamp(column: Column) -> Column:
-    return F.try_to_timestamp(F.trim(column), F.lit(TIMESTAMP_FORMAT))
+    return F.try_to_timestamp(trimmed(column), F.lit(TIMESTAMP_FORMAT))
 
 
 def day_start(column: Column) -> Column:

@@ -11,9 +11,6 @@ from botica.operators.pricing import price_lines
 SET_QUANTITY, DELETE, SAVE, SEARCH = "set_qty", "delete", "save", "search"
 CART_ACTIONS = (SET_QUANTITY, DELETE, SAVE)
 
-# A running total is cut along the line sequence into steps of this width.
-SEQUENCE_STEP = 1 << 20
-
 
 def cart_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("cart_id").agg(
@@ -22,21 +19,24 @@ def cart_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def cart_running_total(lines: DataFrame, step: int = SEQUENCE_STEP) -> DataFrame:
+def cart_running_total(lines: DataFrame, pieces: int | None = None) -> DataFrame:
     """The cart's total after each line, in the order of ``line_seq``."""
     return running_sum(
         lines,
         ["cart_id"],
-        F.expr(f"line_seq div {int(step)}"),
         ["line_seq", "transaction_id", "quantity", "total_price_after_taxes"],
         F.col("total_price_after_taxes"),
         "running_total",
+        pieces=pieces,
     )
 
 
 def cart_what_if(lines: DataFrame, candidates: DataFrame) -> DataFrame:
-    """What each cart would cost with one candidate line added; unknown carts start at 0."""
-    totals = cart_totals(lines).select("cart_id", F.col("cart_total").alias("committed_total"))
+    """What each cart would cost with one candidate line added; unknown carts start at 0.
+
+    Only carts that have a candidate are summed.
+    """
+    totals = cart_totals(lines.join(candidates.select("cart_id"), "cart_id", "left_semi")).select("cart_id", F.col("cart_total").alias("committed_total"))
     return (
         price_lines(candidates)
         .join(totals, "cart_id", "left")
@@ -51,19 +51,16 @@ def delete_lines(lines: DataFrame, deletions: DataFrame) -> DataFrame:
     return lines.join(deletions.select(*keys), keys, "left_anti")
 
 
-def number_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
-    """Adds ``cart_seq``, the number of saves of the same till before each event.
-
-    A ``piece`` of time is the largest part of a till's events that one task handles.
-    """
+def number_carts(events: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Adds ``cart_seq``, the number of saves of the same till before each event."""
     return running_sum(
         events.filter(F.col("action").isin(*CART_ACTIONS)),
         ["cart"],
-        F.date_trunc(piece, F.col("ts")),
         ["ts", "event_id"],
         F.when(F.col("action") == SAVE, 1).otherwise(0),
         "cart_seq",
         inclusive=False,
+        pieces=pieces,
     )
 
 
@@ -100,6 +97,6 @@ def close_carts(numbered: DataFrame, counts: Column | None = None) -> DataFrame:
     )
 
 
-def saved_carts(events: DataFrame, piece: str = "hour") -> DataFrame:
+def saved_carts(events: DataFrame, pieces: int | None = None) -> DataFrame:
     """Lines of every saved cart; what is set after the last save is still open."""
-    return close_carts(number_carts(events, piece))
+    return close_carts(number_carts(events, pieces))

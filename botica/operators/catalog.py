@@ -14,6 +14,7 @@ from botica.schemas import DIM_PRODUCT_COLUMNS, PRICE_LIST_HEADERS
 # Natural key of a product presentation in the price list.
 NATURAL_KEY = ("ggrem_code",)
 
+# The catalog's columns; the last three are computed.
 CATALOG_COLUMNS = [
     "id",
     "substance_name",
@@ -30,17 +31,20 @@ CATALOG_COLUMNS = [
 ]
 
 
-def dim_product(price_list: DataFrame, key: Column | None = None) -> DataFrame:
-    """Renames the price list's headers and adds a key per row."""
+def dim_product(
+    price_list: DataFrame, key: Column | None = None, keep: dict[str, Column] | None = None
+) -> DataFrame:
+    """Renames the price list's headers and adds a key per row; ``keep`` adds more columns."""
     missing = [h for h in PRICE_LIST_HEADERS.values() if h not in price_list.columns]
     if missing:
         raise ValueError(f"price list lacks the headers {missing}")
     renamed = price_list.select(
-        *[F.col(f"`{header}`").alias(name) for name, header in PRICE_LIST_HEADERS.items()]
+        *[F.col(f"`{header}`").alias(name) for name, header in PRICE_LIST_HEADERS.items()],
+        *[column.alias(name) for name, column in (keep or {}).items()],
     )
     if key is None:
         key = surrogate_key(*[F.col(c) for c in NATURAL_KEY])
-    return renamed.withColumn("id", key).select(*DIM_PRODUCT_COLUMNS)
+    return renamed.withColumn("id", key).select(*DIM_PRODUCT_COLUMNS, *(keep or {}))
 
 
 def catalog_view(dim: DataFrame) -> DataFrame:

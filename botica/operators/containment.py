@@ -32,9 +32,11 @@ def containment_pairs(needles: DataFrame, needle: str, haystacks: DataFrame, hay
     by_size = F.array(
         *[F.coalesce(_groups(F.col(haystack), n), F.array().cast("array<string>")) for n in range(1, _SIZE + 1)]
     )
-    hay = haystacks.withColumn("_group", F.explode(F.flatten(by_size)))
     own = F.coalesce(*[_groups(F.col(needle), n) for n in range(_SIZE, 0, -1)])
     wanted = needles.select(needle).withColumn("_group", F.explode(own))
+    # Groups that no needle has are dropped before anything is counted or shuffled.
+    hay = haystacks.withColumn("_group", F.explode(F.flatten(by_size)))
+    hay = hay.join(wanted.select("_group").distinct(), "_group", "left_semi")
 
     frequency = hay.groupBy("_group").agg(F.count(F.lit(1)).alias("_count"))
     rarest = (

@@ -1,10 +1,9 @@
 """Running sums and look-ahead over groups too large for one task.
 
-A window over a whole group puts the group into one task. Here a group is cut
-into chunks along its order; only one row per chunk meets in a task per group,
-and each chunk's rows are finished on their own. ``chunk`` must never fall along the order (an
-hour for events in time order, a quotient of a sequence number). Key columns
-must not be NULL.
+A window over a whole group puts the group into one task. Here the rows are dealt out
+by ranges of (key, order), which Spark measures on the data, and stored once. A group
+that fills several ranges is worked on range by range; only one row per range meets in a
+task per group. Key columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -14,18 +13,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from botica.workspace import new_folder
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None) -> DataFrame:
+    """The rows with ``_chunk``, the number of their range, as a stored table.
+
+    Without ``pieces`` adaptive execution sizes the ranges.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(pieces, *by) if pieces else df.repartitionByRange(*by)
+    folder = new_folder(df.sparkSession, "ranges")
+    dealt.withColumn("_chunk", F.spark_partition_id()).write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
 
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
-    chunk: Column,
     order: Sequence[str],
     value: Column,
     name: str,
     inclusive: bool = True,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Adds the sum of ``value`` over the group's rows up to (or before) each row."""
-    rows = df.withColumn("_chunk", chunk).withColumn("_value", value)
+    rows = in_ranges(df.withColumn("_value", value), keys, order, pieces)
     totals = rows.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     earlier = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,13 +61,13 @@ def running_sum(
 def next_value(
     df: DataFrame,
     keys: Sequence[str],
-    chunk: Column,
     order: Sequence[str],
     value: str,
     name: str,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Adds the group's next row's ``value`` (never NULL itself), or NULL on the last row."""
-    rows = df.withColumn("_chunk", chunk)
+    rows = in_ranges(df, keys, order, pieces)
     head = F.struct(*order, F.col(value).alias("_first_value"))
     firsts = rows.groupBy(*keys, "_chunk").agg(F.min(head).alias("_head"))
     later = Window.partitionBy(*keys).orderBy("_chunk")

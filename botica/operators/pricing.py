@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.functions.money import clamp_fraction, line_total, liquid_price
-from botica.schemas import SALES_SCHEMA
+from botica.schemas import FRACTION, SALES_SCHEMA
 
 SALES_COLUMNS = SALES_SCHEMA.fieldNames()
 
@@ -28,24 +28,25 @@ def price_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _sellable(catalog: DataFrame) -> DataFrame:
+    """Products with a price and a known tax: no other can be sold from the catalog."""
+    return catalog.filter(F.col("unit_price").isNotNull() & F.col("taxes_price").isNotNull()).select(
+        F.col("id").alias("product_id"), "industry_name", "product_name", "unit_price", "taxes_price"
+    )
+
+
 def enrich_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """Takes industry, name, price and tax of each line from the catalog.
 
-    Lines without a catalog row are left out; ``unmatched_lines`` lists them.
+    Lines of products that the catalog does not have, or whose price or tax it does not
+    know, are left out; ``unmatched_lines`` lists them.
     """
-    product = catalog.select(
-        F.col("id").alias("product_id"),
-        "industry_name",
-        "product_name",
-        "unit_price",
-        F.coalesce("taxes_price", F.lit(0).cast("decimal(18,2)")).alias("taxes_price"),
-    )
-    return price_lines(lines.join(product, "product_id")).select(*SALES_COLUMNS)
+    return price_lines(lines.join(_sellable(catalog), "product_id")).select(*SALES_COLUMNS)
 
 
 def unmatched_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
-    known = catalog.select(F.col("id").alias("product_id"))
-    return lines.join(known, "product_id", "left_anti")
+    """The lines that ``enrich_lines`` leaves out, as they came."""
+    return lines.join(_sellable(catalog).select("product_id"), "product_id", "left_anti")
 
 
 def with_sales_defaults(lines: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def with_sales_defaults(lines: DataFrame) -> DataFrame:
         {
             "product_id": F.coalesce("product_id", F.lit("0")),
             "product_name": F.coalesce("product_name", F.lit("")),
-            "discount_applied": F.coalesce("discount_applied", F.lit(0).cast("decimal(9,4)")),
+            "discount_applied": F.coalesce("discount_applied", F.lit(0).cast(FRACTION)),
             "quantity": F.coalesce("quantity", F.lit(0)),
         }
     )

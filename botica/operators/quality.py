@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +10,9 @@ from pyspark.sql.types import StructType
 
 from botica.functions.money import percent_to_fraction
 from botica.functions.numbers import parse_decimal, parse_int
-from botica.functions.text import is_blank
+from botica.functions.text import is_blank, trimmed
 from botica.functions.timing import parse_timestamp
+from botica.sources.tables import DEFAULT_FORMAT, read_table
 
 # The quantity editor's bounds.
 MIN_QUANTITY, MAX_QUANTITY = 0, 9999
@@ -21,52 +21,75 @@ TEXT_FIELDS = ("cart_id", "transaction_id", "industry_name", "product_id", "prod
 AMOUNT_FIELDS = ("unit_price", "taxes_price")
 REQUIRED_FIELDS = (*TEXT_FIELDS, "sale_datetime", *AMOUNT_FIELDS, "quantity")
 
-
 # Parsers of the fields that are not text.
-PARSERS = {
+PARSERS: dict[str, Callable[[Column], Column]] = {
     "sale_datetime": parse_timestamp,
     "unit_price": lambda c: parse_decimal(c, 2),
     "taxes_price": lambda c: parse_decimal(c, 2),
-    "discount_applied": lambda c: percent_to_fraction(parse_decimal(c)),
+    "discount_applied": lambda c: percent_to_fraction(parse_decimal(c, 8)),
     "quantity": parse_int,
 }
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
-    """Adds the struct ``_parsed``.
+def check_fields(
+    raw: DataFrame,
+    required: Sequence[str],
+    texts: Sequence[str],
+    parsers: dict[str, Callable[[Column], Column]],
+    problem: Column | None = None,
+) -> DataFrame:
+    """raw (the row as it came), typed (trimmed and parsed), errors (all rules it breaks).
 
-    Exploding a one-element array keeps Spark from copying the parsers into every
-    condition that looks at their results.
+    A row with a ``problem`` has that as its only error. Exploding a one-element array
+    keeps Spark from copying the parsers into every condition that looks at their results.
     """
-    values = F.struct(*[parse(F.col(f)).alias(f) for f, parse in PARSERS.items()])
-    return raw.select("*", F.explode(F.array(values)).alias("_parsed"))
-
-
-def _rules() -> list[tuple[str, Column]]:
-    """(message, whether a parsed row breaks the rule); conditions are never NULL."""
-    rules = [(f"{f} is required", is_blank(F.col(f))) for f in REQUIRED_FIELDS]
-    for field in PARSERS:
+    values = F.struct(*[parse(F.col(f)).alias(f) for f, parse in parsers.items()])
+    parsed = raw.select("*", F.explode(F.array(values)).alias("_parsed"))
+    rules = [(f"{f} is required", is_blank(F.col(f))) for f in required]
+    for field in parsers:
         unreadable = ~is_blank(F.col(field)) & F.col(f"_parsed.{field}").isNull()
         rules.append((f"{field} is not a valid value", F.coalesce(unreadable, F.lit(False))))
     in_range = F.col("_parsed.quantity").between(MIN_QUANTITY, MAX_QUANTITY)
     message = f"quantity is not between {MIN_QUANTITY} and {MAX_QUANTITY}"
-    return [*rules, (message, ~F.coalesce(in_range, F.lit(True)))]
+    rules.append((message, ~F.coalesce(in_range, F.lit(True))))
+    errors = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for text, broken in rules]))
+    if problem is not None:
+        errors = F.when(problem.isNotNull(), F.array(problem)).otherwise(errors)
+    typed = {f: F.col(f"_parsed.{f}") for f in parsers} | {f: trimmed(F.col(f)) for f in texts}
+    return parsed.select(
+        F.struct(*raw.columns).alias("raw"),
+        F.struct(*[typed.get(c, F.col(c)).alias(c) for c in raw.columns]).alias("typed"),
+        errors.alias("errors"),
+    )
 
 
-def accepted_lines(raw: DataFrame) -> DataFrame:
+def check_lines(raw: DataFrame) -> DataFrame:
+    return check_fields(raw, REQUIRED_FIELDS, TEXT_FIELDS, PARSERS)
+
+
+def accepted(checked: DataFrame) -> DataFrame:
     """Rows that break no rule, with trimmed texts and typed values."""
-    typed = {f: F.trim(F.col(f)) for f in TEXT_FIELDS}
-    typed |= {f: F.col(f"_parsed.{f}") for f in PARSERS}
-    valid = reduce(and_, [~broken for _, broken in _rules()])
-    return _parsed(raw).filter(valid).withColumns(typed).drop("_parsed")
+    return checked.filter(F.size("errors") == 0).select("typed.*")
 
 
-def rejected_lines(raw: DataFrame) -> DataFrame:
+def rejected(checked: DataFrame) -> DataFrame:
     """Rows that break a rule, as they came, with ``errors`` listing every broken rule."""
-    rules = _rules()
-    errors = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for text, broken in rules]))
-    invalid = reduce(or_, [broken for _, broken in rules])
-    return _parsed(raw).filter(invalid).withColumn("errors", errors).drop("_parsed")
+    return checked.filter(F.size("errors") > 0).select("raw.*", "errors")
+
+
+def split_lines(raw: DataFrame, folder: str, fmt: str = DEFAULT_FORMAT) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) lines, checked in one pass and stored in a folder of their own."""
+    check_lines(raw).write.format(fmt).save(folder)
+    checked = read_table(raw.sparkSession, folder, fmt)
+    return accepted(checked), rejected(checked)
+
+
+def accepted_lines(raw: DataFrame) -> DataFrame:
+    return accepted(check_lines(raw))
+
+
+def rejected_lines(raw: DataFrame) -> DataFrame:
+    return rejected(check_lines(raw))
 
 
 def positive_quantity(lines: DataFrame) -> DataFrame:
@@ -102,11 +125,15 @@ def enforce_schema(df: DataFrame, schema: StructType) -> DataFrame:
     )
 
 
-def split_corrupt(df: DataFrame, corrupt_column: str) -> tuple[DataFrame, DataFrame]:
-    """(well-formed rows, malformed rows) of a permissive read.
+def split_corrupt(
+    df: DataFrame, corrupt_column: str, folder: str, fmt: str = DEFAULT_FORMAT
+) -> tuple[DataFrame, DataFrame]:
+    """(well-formed rows, malformed rows) of a permissive read, parsed once.
 
-    A malformed row has its whole source line and whatever fields could be read;
-    Spark wants at least one of those fields read along with the line.
+    The parsed rows are stored in a folder of their own first. A malformed row has its
+    whole source line and whatever fields could be read.
     """
-    good = df.filter(F.col(corrupt_column).isNull()).drop(corrupt_column)
-    return good, df.filter(F.col(corrupt_column).isNotNull())
+    df.write.format(fmt).save(folder)
+    stored = read_table(df.sparkSession, folder, fmt)
+    corrupt = F.col(corrupt_column).isNotNull()
+    return stored.filter(~corrupt).drop(corrupt_column), stored.filter(corrupt)

@@ -8,8 +8,11 @@ PREVIEW_ROWS = 20
 
 
 def newest_first(sales: DataFrame) -> DataFrame:
-    """Newest sales first, those without a time last."""
-    return sales.orderBy(F.desc_nulls_last("sale_datetime"), "transaction_id")
+    """Newest sales first, those without a time last; all other columns break ties."""
+    first = ["transaction_id", "quantity", "total_price_after_taxes"]
+    rest = [c for c in sales.columns if c not in ("sale_datetime", *first)]
+    own = [c for c in first if c in sales.columns]
+    return sales.orderBy(F.desc_nulls_last("sale_datetime"), *own, *rest)
 
 
 def newest(sales: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -140,19 +140,16 @@ def search_batch(
 def search_substitutes(catalog: DataFrame, term: str) -> DataFrame:
     """One term's name matches followed by the other products of its substance.
 
-    The term is part of the plan here, so one pass over the catalog finds both.
+    The first match's substance is a single value, so one filter finds both.
     A blank term finds nothing.
     """
     if not term.strip():
         return catalog.select(F.lit(term).alias("term"), "*", F.lit(NAME_MATCH).alias("match_rank")).limit(0)
-    picked = first_match(catalog, term).select(F.lower("substance_name").alias("_wanted"))
-    substances = _containing_substances(catalog, picked).select(
-        "substance_name", F.lit(True).alias("_same")
-    )
+    wanted = F.nullif(F.lower("substance_name"), F.lit(""))
+    picked = first_match(catalog, term).select(wanted).scalar()
     name_match = contains_ignoring_case(F.col("product_name"), term)
     return (
-        catalog.join(substances, "substance_name", "left")
-        .filter(name_match | F.col("_same"))
+        catalog.filter(name_match | F.contains(F.lower("substance_name"), picked))
         .withColumn("match_rank", F.when(name_match, NAME_MATCH).otherwise(SUBSTANCE_MATCH))
         .select(F.lit(term).alias("term"), *catalog.columns, "match_rank")
         .orderBy("match_rank", "product_name", "id")

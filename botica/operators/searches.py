@@ -12,13 +12,9 @@ DEFAULT_GAP = "3 seconds"
 
 
 def debounce_searches(
-    searches: DataFrame, gap: str = DEFAULT_GAP, piece: str = "hour"
+    searches: DataFrame, gap: str = DEFAULT_GAP, pieces: int | None = None
 ) -> DataFrame:
-    """Searches not followed by another one of the same user within ``gap``.
-
-    A ``piece`` of time is the largest part of a user's searches that one task handles.
-    """
-    chunk = F.date_trunc(piece, F.col("ts"))
-    ahead = next_value(searches, ["user_id"], chunk, ["ts", "event_id"], "ts", "_next_ts")
+    """Searches not followed by another one of the same user within ``gap``."""
+    ahead = next_value(searches, ["user_id"], ["ts", "event_id"], "ts", "_next_ts", pieces)
     waited = F.col("_next_ts") >= F.col("ts") + F.expr(f"interval {gap}")
     return ahead.filter(F.col("_next_ts").isNull() | waited).drop("_next_ts")

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from botica.functions.timing import TIMESTAMP_FORMAT
 from botica.operators.carts import DELETE, SAVE, SEARCH, SET_QUANTITY
 from botica.operators.catalog import catalog_view, dim_product
-from botica.schemas import PRICE_LIST_HEADERS
-from botica.sources.tables import spread
+from botica.schemas import ERP_SCHEMA, PRICE_LIST_HEADERS
+from botica.workspace import new_folder
 
 # Sequence numbers: line number first, part number second.
 LINE_NUMBER_WEIGHT = 1 << 40
@@ -24,13 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem"))
+    return table(spark, sf_dir, "lineitem")
 
 
 def comma_text(amount: Column) -> Column:
     return F.translate(amount.cast("decimal(18,2)").cast("string"), ".", ",")
 
 
+def trimmed_sql(column: str) -> str:
+    """SQL form of ``functions.text.trimmed`` for the white space that the rows hold."""
+    return rf"regexp_replace({column}, '^\s+|\s+$', '', 'g')"
+
+
 def divisible(column: str, by: int) -> Column:
     return F.col(column) % by == 0
 
@@ -268,8 +274,8 @@ ENRICHED_SQL = (
 enriched AS (
   SELECT l.cart_id, l.transaction_id, l.line_seq, l.sale_datetime, c.industry_name, l.product_id,
          c.product_name, c.unit_price, l.discount_applied,
-         coalesce(c.taxes_price, CAST(0 AS DECIMAL(18,2))) AS taxes_price, l.quantity
-  FROM sale_lines l JOIN catalog c ON l.product_id = c.id),"""
+         c.taxes_price, l.quantity
+  FROM sale_lines l JOIN catalog c ON l.product_id = c.id AND c.unit_price + c.taxes_price IS NOT NULL),"""
     + priced_sql("enriched", "enriched_priced")
 )
 
@@ -282,9 +288,9 @@ shipped AS (
          l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id,
          l_shipdate AS sale_datetime, c.industry_name, c.id AS product_id, c.product_name, c.unit_price,
          CAST(l_discount AS DECIMAL(9,4)) AS discount_applied,
-         coalesce(c.taxes_price, CAST(0 AS DECIMAL(18,2))) AS taxes_price,
-         CAST(l_quantity AS INTEGER) AS quantity
-  FROM lineitem JOIN catalog c ON c.id = CAST(l_partkey AS VARCHAR)),"""
+         c.taxes_price, CAST(l_quantity AS INTEGER) AS quantity
+  FROM lineitem JOIN catalog c
+    ON c.id = CAST(l_partkey AS VARCHAR) AND c.unit_price + c.taxes_price IS NOT NULL),"""
     + priced_sql("shipped", "shipped_priced")
 )
 
@@ -314,8 +320,8 @@ def typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("sale_datetime"),
             F.col("p_brand").alias("industry_name"),
             F.col("l_partkey").cast("string").alias("product_id"),
-            F.when(divisible("k", 37), "   ")
-            .otherwise(F.concat(F.lit(" "), F.col("p_name")))
+            F.when(divisible("k", 37), " \t ")
+            .otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("\t")))
             .alias("product_name"),
             F.when(divisible("k", 41), "x1").otherwise(comma_text(price)).alias("unit_price"),
             F.when(divisible("k", 43), "")
@@ -344,7 +350,7 @@ typed_lines AS (
               ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS sale_datetime,
          p_brand AS industry_name,
          CAST(l_partkey AS VARCHAR) AS product_id,
-         CASE WHEN k % 37 = 0 THEN '   ' ELSE ' ' || p_name END AS product_name,
+         CASE WHEN k % 37 = 0 THEN ' ' || chr(9) || ' ' ELSE ' ' || p_name || chr(9) END AS product_name,
          CASE WHEN k % 41 = 0 THEN 'x1'
               ELSE replace(CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '.', ',') END AS unit_price,
          CASE WHEN k % 43 = 0 THEN '' WHEN k % 47 = 0 THEN 'n/a' WHEN k % 53 = 0 THEN '150'
@@ -367,8 +373,11 @@ def erp_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sale line as a row of the ERP extract; the discount is an amount."""
     lines = sale_lines(spark, sf_dir)
     gross = F.col("unit_price") * F.col("quantity")
-    amount = F.round(gross * F.col("discount_applied"), 2).cast("decimal(18,2)")
     number = F.col("cart_id").cast("long")
+    # Some discounts are a dime on the whole line, however large it is.
+    amount = F.when(number % 11 == 0, F.lit("0.10").cast("decimal(18,2)")).otherwise(
+        F.round(gross * F.col("discount_applied"), 2).cast("decimal(18,2)")
+    )
     return lines.select(
         "transaction_id",
         "sale_datetime",
@@ -401,13 +410,49 @@ erp AS (
          CASE WHEN number % 4 > 0 THEN number % 4 = 1 END AS is_prescription_item,
          amount AS discount_applied,
          CAST(number % 50 AS INTEGER) AS loyalty_points_earned,
-         'LOC' || (number % 7) AS store_location_id
+         'LOC' || (number % 7) AS store_location_id, number
   FROM (SELECT *, CAST(cart_id AS BIGINT) AS number,
-               CAST(round(unit_price * quantity * discount_applied, 2) AS DECIMAL(18,2)) AS amount
+               CASE WHEN CAST(cart_id AS BIGINT) % 11 = 0 THEN CAST(0.10 AS DECIMAL(18,2))
+                    ELSE CAST(round(unit_price * quantity * discount_applied, 2) AS DECIMAL(18,2)) END AS amount
         FROM sale_lines))"""
 )
 
-# SQL form of mapping ERP rows to sales; the fraction is rounded in whole cents.
+def erp_landing(spark: SparkSession, sf_dir: str) -> str:
+    """The extract as landed files with headers of three orders, and fields left blank.
+
+    One third has its columns reversed, one third an unknown column in front.
+    """
+    extract = erp_extract(spark, sf_dir)
+    number = F.col("store_location_id")
+    own = F.split_part("transaction_id", F.lit("-"), F.lit(1)).cast("long")
+    texts = {f: F.col(f).cast("string") for f in ERP_SCHEMA.fieldNames()}
+    texts["sale_datetime"] = F.date_format("sale_datetime", TIMESTAMP_FORMAT)
+    texts["quantity"] = F.when(own % 17 != 0, texts["quantity"])
+    texts["product_name"] = F.when(own % 19 == 0, " \t").otherwise(texts["product_name"])
+    rows = extract.select(*[c.alias(f) for f, c in texts.items()], (own % 3).alias("_part"))
+    folder = new_folder(spark, "erp-landing")
+    layouts = [texts, reversed(texts), ["note", *texts]]
+    for part, names in enumerate(layouts):
+        own_rows = rows.filter(F.col("_part") == part).withColumn("note", number)
+        write_csv(own_rows.select(*names), f"{folder}/{part}")
+    return folder
+
+
+def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> str:
+    """A CSV folder with headers; blanks around values are part of the value."""
+    (
+        df.write.option("header", True)
+        .option("delimiter", delimiter)
+        .option("timestampFormat", TIMESTAMP_FORMAT)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    return path
+
+
+# SQL form of mapping ERP rows to sales. Amounts are whole cents; the fraction is rounded
+# at its tenth decimal, and both totals follow from the stated amounts.
 ERP_SALES_SQL = (
     ERP_SQL
     + ","
@@ -416,17 +461,28 @@ ERP_SALES_SQL = (
 erp_lines AS (
   SELECT e.transaction_id AS cart_id, e.transaction_id, e.sale_datetime,
          coalesce(c.industry_name, 'UNKNOWN') AS industry_name, e.product_id, e.product_name, e.unit_price,
-         CAST(CAST(CAST(e.discount_applied * 100 AS BIGINT) * 20000
-                   + CAST(e.unit_price * e.quantity * 100 AS BIGINT) AS BIGINT)
-              // (2 * CAST(e.unit_price * e.quantity * 100 AS BIGINT)) AS DECIMAL(18,4))
-           / 10000 AS fraction,
-         coalesce(c.taxes_price, CAST(0 AS DECIMAL(18,2))) AS taxes_price, e.quantity, e.total_price AS stated_total
-  FROM erp e LEFT JOIN catalog c ON e.product_id = c.id),
-erp_fraction AS (
-  SELECT * EXCLUDE (fraction), CAST(fraction AS DECIMAL(9,4)) AS discount_applied FROM erp_lines),"""
-    + priced_sql("erp_fraction", "erp_priced")
-    + """,
-erp_sales AS (SELECT * REPLACE (stated_total AS total_price) FROM erp_priced)"""
+         CAST((CAST(e.discount_applied * 100 AS HUGEINT) * 20000000000
+               + CAST(e.unit_price * e.quantity * 100 AS HUGEINT))
+              // (2 * CAST(e.unit_price * e.quantity * 100 AS HUGEINT)) AS DECIMAL(18,0))
+           * CAST(0.0000000001 AS DECIMAL(10,10)) AS fraction,
+         coalesce(c.taxes_price, CAST(0 AS DECIMAL(18,2))) AS taxes_price, e.quantity, e.total_price
+  FROM erp e LEFT JOIN catalog c ON e.product_id = c.id
+  WHERE e.number % 17 <> 0 AND e.number % 19 <> 0),
+erp_sales AS (
+  SELECT *, CAST(liquid_price + taxes_price AS DECIMAL(18,2)) AS liquid_price_after_taxes,
+         CAST(total_price + quantity * taxes_price AS DECIMAL(18,2)) AS total_price_after_taxes
+  FROM (SELECT * EXCLUDE (fraction), CAST(fraction AS DOUBLE) AS discount_applied,
+               CAST(round(unit_price * (1 - CAST(fraction AS DECIMAL(12,10))), 2) AS DECIMAL(18,2)) AS liquid_price
+        FROM erp_lines))"""
+)
+
+ERP_REJECTED_SQL = (
+    ERP_SQL
+    + """
+SELECT transaction_id, customer_id,
+       concat_ws('; ', CASE WHEN number % 19 = 0 THEN 'product_name is required' END,
+                 CASE WHEN number % 17 = 0 THEN 'quantity is required' END) AS errors
+FROM erp WHERE number % 17 = 0 OR number % 19 = 0"""
 )
 
 

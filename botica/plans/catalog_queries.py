@@ -146,6 +146,17 @@ QUERIES = {
 _INTEGER_TEXT = r"'^\s*[+-]?[0-9]+\s*$'"
 _DECIMAL_TEXT = r"'^\s*[+-]?[0-9]+([.,][0-9]+)?\s*$'"
 
+
+
+def _part_sql(column: str) -> str:
+    """A key's part with its length."""
+    return f"coalesce(length({column}) || ':' || {column}, '-')"
+
+
+def dim_select(source: str) -> str:
+    return f"{DIM_SELECT} (SELECT * REPLACE (sha256({_part_sql('ggrem_code')}) AS id) FROM {source})"
+
+
 DIM_SELECT = """
 SELECT id, industry_name, industry_cnpj, ggrem_code, registro, ean1, ean2, ean3, substance_name, product_name,
        product_presentation, terapy_class, product_type, price_regime, unit_price, unit_price_after_taxes,
@@ -177,10 +188,11 @@ SELECT id, CAST(unit_price AS DOUBLE) AS unit_price,
        CAST(taxes_price AS DOUBLE) AS taxes_price FROM catalog""",
     "project_catalog": f"WITH {b.CATALOG_SQL} {CATALOG_SELECT} catalog",
     "dim_product_rename": f"""WITH {b.PRICE_LIST_SQL}
-{DIM_SELECT} (SELECT * REPLACE (sha256(ggrem_code) AS id) FROM price_list)""",
+{dim_select("price_list")}""",
     "surrogate_key": f"""WITH {b.PRICE_LIST_SQL}
-SELECT ggrem_code, sha256(ggrem_code) AS code_key,
-       sha256(industry_name || '|' || product_name || '|' || coalesce(product_presentation, '')) AS name_key
+SELECT ggrem_code, sha256({_part_sql("ggrem_code")}) AS code_key,
+       sha256({_part_sql("industry_name")} || '|' || {_part_sql("product_name")} || '|'
+              || {_part_sql("product_presentation")}) AS name_key
 FROM price_list""",
     "format_money_br": """
 SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id,
@@ -197,7 +209,7 @@ SELECT transaction_id,
        trim(quantity) <> '' AND NOT regexp_matches(quantity, {_INTEGER_TEXT}) AS bad_quantity
 FROM typed_lines""",
     "blank_to_null": f"""WITH {b.TYPED_SQL}
-SELECT transaction_id, nullif(trim(product_name), '') AS product_name,
+SELECT transaction_id, nullif({b.trimmed_sql('product_name')}, '') AS product_name,
        nullif(trim(discount_applied), '') AS discount_text
 FROM typed_lines""",
     "placeholder_to_null": f"""WITH {b.PRICE_LIST_SQL}
@@ -208,7 +220,7 @@ SELECT transaction_id,
        CASE WHEN trim(discount_applied) = '' THEN 0.0::DOUBLE
             WHEN regexp_matches(discount_applied, {_DECIMAL_TEXT})
             THEN CAST(greatest(0, least(1, CAST(TRY_CAST(trim(discount_applied) AS DECIMAL(18,2)) / 100
-                      AS DECIMAL(9,4)))) AS DOUBLE) END AS discount
+                      AS DECIMAL(18,10)))) AS DOUBLE) END AS discount
 FROM typed_lines""",
     "display_total": f"""WITH {b.TYPED_SQL}, amounts AS (
 SELECT transaction_id,

@@ -14,8 +14,7 @@ from botica.operators.searches import debounce_searches as debounce
 from botica.plans import bindings as b
 from botica.plans.bindings import plain
 from botica.plans.search_queries import PICK_SQL
-from botica.sinks.tables import write_new
-from botica.sources.tables import read_table
+from botica.schemas import SALES_SCHEMA
 from botica.workspace import new_folder
 
 DEBOUNCE_GAP = "600 seconds"
@@ -57,27 +56,29 @@ def sales_defaults(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def landed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The typed lines as a stored table of texts, which is how they reach validation."""
-    path = new_folder(spark, "typed-lines")
-    write_new(b.typed_lines(spark, sf), path)
-    return read_table(spark, path)
+def checked_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return q.split_lines(b.typed_lines(spark, sf), new_folder(spark, "checked-lines"))
 
 
 def validate_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(q.accepted_lines(landed_lines(spark, sf)))
+    return plain(checked_lines(spark, sf)[0])
 
 
 def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rejected = q.rejected_lines(landed_lines(spark, sf))
-    return rejected.withColumn("errors", F.concat_ws("; ", "errors"))
+    return checked_lines(spark, sf)[1].withColumn("errors", F.concat_ws("; ", "errors"))
 
 
 def positive_quantity(spark: SparkSession, sf: str) -> DataFrame:
-    accepted = q.accepted_lines(landed_lines(spark, sf))
+    accepted = q.accepted_lines(b.typed_lines(spark, sf))
     return q.positive_quantity(accepted).select("transaction_id", "quantity")
 
 
+def enforce_sales_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Sales with their columns in another order, checked and put in the fact's."""
+    sales = priced_lines(spark, sf).select(*reversed(p.SALES_COLUMNS))
+    return plain(q.enforce_schema(sales, SALES_SCHEMA))
+
+
 def cart_totals(spark: SparkSession, sf: str) -> DataFrame:
     return plain(c.cart_totals(priced_lines(spark, sf)))
 
@@ -123,24 +124,30 @@ def sales_newest_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preview_top20(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest 20 sales; equal rows of a repeated transaction cannot be told apart."""
-    sales = priced_lines(spark, sf).select(*p.SALES_COLUMNS)
-    return plain(reports.newest(sales).select("transaction_id", "sale_datetime"))
+    """The newest 20 sales."""
+    return plain(reports.newest(priced_lines(spark, sf).select(*p.SALES_COLUMNS)))
 
 
 def sold_substitutes(spark: SparkSession, sf: str) -> DataFrame:
     """For every search term: what the carts paid for name matches and for alternatives."""
     catalog = b.catalog(spark, sf)
-    found = search_batch(catalog, b.search_terms(spark, sf)).select(
-        "term", "match_rank", F.col("id").alias("product_id")
-    )
     per_product = (
         p.enrich_lines(b.order_lines(spark, sf), catalog)
-        .groupBy("product_id")
+        .groupBy(F.col("product_id").alias("id"))
         .agg(F.sum("total_price_after_taxes").alias("paid"), F.count(F.lit(1)).alias("lines"))
     )
+    # One row per spelling and substance, with its first product: terms never meet products.
+    first = F.min(F.struct("product_name", "id")).alias("first")
+    spelled = (
+        catalog.select("id", "product_name", "substance_name")
+        .join(per_product, "id", "left")
+        .groupBy(F.lower("product_name").alias("_spelled"), "substance_name")
+        .agg(first, F.sum("paid").alias("paid"), F.sum("lines").alias("lines"))
+        .select("first.id", "first.product_name", "substance_name", "paid", "lines")
+    )
     return plain(
-        found.join(per_product, "product_id")
+        search_batch(spelled, b.search_terms(spark, sf))
+        .filter(F.col("lines").isNotNull())
         .groupBy("term", "match_rank")
         .agg(F.sum("paid").alias("paid"), F.sum("lines").alias("lines"))
     )
@@ -151,6 +158,7 @@ QUERIES = {
     "enrich_lines": enrich_lines,
     "unmatched_lines": unmatched_lines,
     "sales_defaults": sales_defaults,
+    "enforce_sales_schema": enforce_sales_schema,
     "validate_lines": validate_lines,
     "rejected_lines": rejected_lines,
     "positive_quantity": positive_quantity,
@@ -178,12 +186,12 @@ fields AS (
     try_strptime(trim(sale_datetime), '%Y-%m-%d %H:%M:%S') AS sold_at,
     TRY_CAST(replace(trim(unit_price), ',', '.') AS DECIMAL(18,2)) AS price,
     TRY_CAST(replace(trim(taxes_price), ',', '.') AS DECIMAL(18,2)) AS tax,
-    CAST(TRY_CAST(replace(trim(discount_applied), ',', '.') AS DECIMAL(18,4)) / 100 AS DECIMAL(9,4)) AS fraction,
+    CAST(TRY_CAST(replace(trim(discount_applied), ',', '.') AS DECIMAL(18,8)) / 100 AS DECIMAL(18,10)) AS fraction,
     TRY_CAST(trim(quantity) AS INTEGER) AS pieces
   FROM typed_lines),
 checked AS (
   SELECT *, concat_ws('; ',
-    CASE WHEN trim(product_name) = '' THEN 'product_name is required' END,
+    CASE WHEN regexp_full_match(product_name, '\s*') THEN 'product_name is required' END,
     CASE WHEN trim(quantity) = '' THEN 'quantity is required' END,
     CASE WHEN sold_at IS NULL THEN 'sale_datetime is not a valid value' END,
     CASE WHEN price IS NULL THEN 'unit_price is not a valid value' END,
@@ -199,7 +207,8 @@ ORACLE = {
     "enrich_lines": f"WITH {b.ENRICHED_SQL} {b.SALES_SELECT} enriched_priced",
     "unmatched_lines": f"""WITH {b.LINES_SQL}, {b.CATALOG_SQL}
 SELECT transaction_id, product_id FROM sale_lines l
-WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.id = l.product_id)""",
+WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.id = l.product_id AND c.unit_price + c.taxes_price IS NOT NULL)""",
+    "enforce_sales_schema": f"WITH {b.PRICED_SQL} {b.SALES_SELECT} priced",
     "sales_defaults": f"""WITH {b.LINES_SQL}
 SELECT transaction_id,
        CASE WHEN l_returnflag = 'R' THEN '0' ELSE product_id END AS product_id,
@@ -209,7 +218,7 @@ SELECT transaction_id,
 FROM sale_lines""",
     "validate_lines": f"""WITH {CHECKED_SQL}
 SELECT cart_id, transaction_id, CAST(sold_at AS TIMESTAMP) AS sale_datetime, industry_name, product_id,
-       trim(product_name) AS product_name, CAST(price AS DOUBLE) AS unit_price,
+       {b.trimmed_sql("product_name")} AS product_name, CAST(price AS DOUBLE) AS unit_price,
        CAST(fraction AS DOUBLE) AS discount_applied, CAST(tax AS DOUBLE) AS taxes_price, pieces AS quantity
 FROM checked WHERE errors = ''""",
     "rejected_lines": f"""WITH {CHECKED_SQL}
@@ -243,8 +252,10 @@ SELECT user_id, ts, event_id, text FROM (
   FROM events WHERE event_type = 'view')
 WHERE next_ts IS NULL OR next_ts >= ts + INTERVAL 600 SECOND""",
     "sales_newest_first": f"WITH {b.PRICED_SQL} {b.SALES_SELECT} priced ORDER BY sale_datetime DESC, transaction_id",
-    "preview_top20": f"""WITH {b.PRICED_SQL}
-SELECT transaction_id, sale_datetime FROM priced ORDER BY sale_datetime DESC, transaction_id LIMIT 20""",
+    "preview_top20": f"""WITH {b.PRICED_SQL} {b.SALES_SELECT} priced
+ORDER BY sale_datetime DESC, transaction_id, quantity, priced.total_price_after_taxes, cart_id, industry_name,
+         product_id, product_name, priced.unit_price, priced.discount_applied, priced.liquid_price,
+         priced.taxes_price, priced.liquid_price_after_taxes, priced.total_price LIMIT 20""",
     "sold_substitutes": f"""WITH {b.ENRICHED_SQL}, {b.TERMS_SQL}, {PICK_SQL},
 found AS (
   SELECT p.term, c.id, CASE WHEN contains(lower(c.product_name), p.term) THEN 0 ELSE 1 END AS match_rank

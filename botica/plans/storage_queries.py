@@ -8,44 +8,31 @@ from pyspark.sql import functions as F
 from botica.functions.timing import TIMESTAMP_FORMAT
 from botica.operators.catalog import catalog_view
 from botica.operators.pricing import SALES_COLUMNS
-from botica.operators.quality import split_corrupt
+from botica.operators.quality import accepted, split_corrupt
 from botica.plans import bindings as b
 from botica.plans.bindings import plain
-from botica.plans.catalog_queries import CATALOG_SELECT, DIM_SELECT
+from botica.plans.catalog_queries import CATALOG_SELECT, DIM_SELECT, dim_select
 from botica.plans.sales_queries import priced_lines
 from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA, PRICE_LIST_HEADERS, SALES_SCHEMA
 from botica.sinks import tables as sinks
+from botica.sinks.refresh import refresh_if_stale
 from botica.sources import files, tables
 from botica.workspace import new_folder
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> str:
-    """A CSV folder with headers; blanks around values are part of the value."""
-    (
-        df.write.option("header", True)
-        .option("delimiter", delimiter)
-        .option("timestampFormat", TIMESTAMP_FORMAT)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    return path
-
-
 def scan_csv_typed(spark: SparkSession, sf: str) -> DataFrame:
-    path = write_csv(priced_lines(spark, sf).select(*SALES_COLUMNS), new_folder(spark, "sales-csv"))
+    path = b.write_csv(priced_lines(spark, sf).select(*SALES_COLUMNS), new_folder(spark, "sales-csv"))
     return plain(files.read_typed_csv(spark, path, SALES_SCHEMA))
 
 
 def scan_csv_semicolon(spark: SparkSession, sf: str) -> DataFrame:
-    path = write_csv(b.price_list(spark, sf), new_folder(spark, "price-list"), ";")
+    path = b.write_csv(b.price_list(spark, sf), new_folder(spark, "price-list"), ";")
     return files.read_semicolon_csv(spark, path)
 
 
 def erp_to_sales(spark: SparkSession, sf: str) -> DataFrame:
-    path = write_csv(b.erp_extract(spark, sf), new_folder(spark, "erp"))
-    extract, _ = split_corrupt(files.read_erp_extract(spark, path), CORRUPT_COLUMN)
-    return plain(files.erp_to_sales(extract, b.catalog(spark, sf)))
+    rows = files.read_erp_files(spark, [b.erp_landing(spark, sf)])
+    return plain(files.erp_to_sales(accepted(files.check_erp(rows)), b.catalog(spark, sf)))
 
 
 def erp_text_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +49,8 @@ def csv_corrupt_split(spark: SparkSession, sf: str) -> DataFrame:
     """Well-formed rows with their total, malformed ones with their whole line."""
     path = new_folder(spark, "erp-ragged")
     erp_text_lines(spark, sf).write.text(path)
-    good, bad = split_corrupt(files.read_erp_extract(spark, path, header=False), CORRUPT_COLUMN)
+    parsed = files.read_checked_csv(spark, path, ERP_SCHEMA, header=False)
+    good, bad = split_corrupt(parsed, CORRUPT_COLUMN, new_folder(spark, "erp-parsed"))
     return good.select(
         "transaction_id",
         F.lit(None).cast("string").alias("malformed_line"),
@@ -99,14 +87,31 @@ def append_sales_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def append_sales_idempotent(spark: SparkSession, sf: str) -> DataFrame:
-    """The sales up to 1998 are delivered first, then all of them; none is stored twice."""
+    """All sales are delivered; then some again with another month; none is stored twice."""
     path = new_folder(spark, "daily-sales")
     sales = priced_lines(spark, sf).select(*SALES_COLUMNS)
-    sinks.append_new_sales(sales.filter(F.year("sale_datetime") <= 1998), path)
     sinks.append_new_sales(sales, path)
+    corrected = F.col("sale_datetime") + F.expr("interval 40 days")
+    sinks.append_new_sales(
+        sales.filter(F.col("quantity") % 5 == 0).withColumn("sale_datetime", corrected), path
+    )
     return plain(sinks.read_sales(spark, path).select(*SALES_COLUMNS))
 
 
+def refresh_dimension_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The dimension refreshed from landed lists: products without a code, and torn lines, stay out."""
+    landed, path = new_folder(spark, "landed"), new_folder(spark, "dim-product")
+    listed = b.price_list(spark, sf)
+    code = F.col("`CÓDIGO GGREM`")
+    blank = F.when(code.cast("long") % 29 == 0, " \t").otherwise(code)
+    b.write_csv(listed.withColumn("CÓDIGO GGREM", blank), landed, ";")
+    listed.filter(code.cast("long") % 7 == 0).select(F.concat(F.lit("torn;"), code).alias("value")).write.mode(
+        "append"
+    ).text(landed)
+    assert refresh_if_stale(spark, landed, path)
+    return tables.read_table(spark, path)
+
+
 def overwrite_dim_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The dimension is replaced by a version computed from itself."""
     path = new_folder(spark, "dim-product")
@@ -131,6 +136,7 @@ QUERIES = {
     "range_source": range_source,
     "append_sales_roundtrip": append_sales_roundtrip,
     "append_sales_idempotent": append_sales_idempotent,
+    "refresh_dimension_roundtrip": refresh_dimension_roundtrip,
     "overwrite_dim_roundtrip": overwrite_dim_roundtrip,
     "raw_names_roundtrip": raw_names_roundtrip,
 }
@@ -162,6 +168,9 @@ FROM erp""",
     "range_source": "SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM orders))) AS id",
     "append_sales_roundtrip": f"WITH {b.PRICED_SQL} {b.SALES_SELECT} priced",
     "append_sales_idempotent": f"WITH {b.PRICED_SQL}, {FIRST_SQL} {b.SALES_SELECT} first_sales",
+    "refresh_dimension_roundtrip": f"""WITH {b.PRICE_LIST_SQL},
+usable AS (SELECT * FROM price_list WHERE CAST(ggrem_code AS BIGINT) % 29 <> 0)
+{dim_select("usable")}""",
     "overwrite_dim_roundtrip": f"WITH {b.PRICE_LIST_SQL} {DIM_SELECT} (SELECT * REPLACE ('Sim' AS cap) FROM price_list)",
     "raw_names_roundtrip": f"WITH {b.PRICE_LIST_SQL} SELECT {_RAW_SELECT} FROM price_list",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
+    BinaryType,
     BooleanType,
     DecimalType,
     IntegerType,
@@ -14,7 +15,8 @@ from pyspark.sql.types import (
 )
 
 MONEY = DecimalType(18, 2)
-FRACTION = DecimalType(9, 4)
+# A discount: an amount of cents in a gross of up to some 100 million keeps its value.
+FRACTION = DecimalType(18, 10)
 
 # The sales fact's columns, in their stored order.
 SALES_SCHEMA = StructType(
@@ -90,6 +92,38 @@ ERP_SCHEMA = StructType(
 
 CORRUPT_COLUMN = "_corrupt_record"
 
+# Saved carts, and how many of them a till has settled, as a stream keeps them.
+CART_LINE_SCHEMA = StructType(
+    [
+        StructField("cart", LongType()),
+        StructField("cart_seq", LongType()),
+        StructField("product", LongType()),
+        StructField("quantity", IntegerType()),
+        StructField("save_event_id", LongType()),
+        StructField("saved_at", TimestampType()),
+    ]
+)
+CLOSED_CARTS_SCHEMA = StructType([StructField("cart", LongType()), StructField("closed", LongType())])
+
+SEARCH_SCHEMA = StructType(
+    [
+        StructField("user_id", LongType()),
+        StructField("ts", TimestampType()),
+        StructField("event_id", LongType()),
+        StructField("text", StringType()),
+    ]
+)
+
+# Fixed value: the columns of Spark's source of whole files.
+FILE_SCHEMA = StructType(
+    [
+        StructField("path", StringType()),
+        StructField("modificationTime", TimestampType()),
+        StructField("length", LongType()),
+        StructField("content", BinaryType()),
+    ]
+)
+
 CART_EVENT_SCHEMA = StructType(
     [
         StructField("event_id", LongType()),

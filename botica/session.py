@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 # A shuffle partition of this size fits an executor core's share of memory.
 PARTITION_BYTES = 256 << 20
-MOST_PARTITIONS = 200_000
 
 
 def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
@@ -16,7 +15,7 @@ def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
     the number it starts with, so that number follows the data.
     """
     wanted = -(-shuffle_bytes // PARTITION_BYTES)
-    partitions = min(max(wanted, cores), MOST_PARTITIONS)
+    partitions = max(wanted, cores)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",

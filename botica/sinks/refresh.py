@@ -4,34 +4,62 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botica.functions.timing import day_start
-from botica.operators.catalog import dim_product
-from botica.sinks.tables import overwrite_table
-from botica.sources.files import read_semicolon_csv
+from botica.functions.text import is_blank
+from botica.operators.catalog import NATURAL_KEY, dim_product
+from botica.operators.quality import enforce_schema
+from botica.schemas import CORRUPT_COLUMN, DIM_PRODUCT_SCHEMA, PRICE_LIST_HEADERS
+from botica.sinks.tables import newest_file, overwrite_table
+from botica.sources.files import read_checked_semicolon_csv
 from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
-
-# Fixed value: the age of a table that does not exist.
-NEVER = datetime(2000, 1, 1)
+from botica.workspace import new_folder, scratch
 
 
 def is_stale(spark: SparkSession, path: str, as_of: datetime, fmt: str = DEFAULT_FORMAT) -> bool:
-    """Whether the table was last written before the day of ``as_of`` began."""
+    """Whether the table is missing, or was last written before the day of ``as_of`` began."""
     if not table_exists(spark, path, fmt):
         return True
-    written = read_table(spark, path, fmt).agg(
-        F.max("_metadata.file_modification_time").alias("at")
-    )
-    stale = F.coalesce("at", F.lit(NEVER)) < day_start(F.lit(as_of))
-    return written.select(stale.alias("stale")).first()["stale"]
+    return newest_file(spark, path) < as_of.replace(hour=0, minute=0, second=0, microsecond=0)
+
+
+def check_price_list(price_list: DataFrame) -> DataFrame:
+    """The dimension's columns and ``error``: why a line cannot be a product, if it can't."""
+    required = [PRICE_LIST_HEADERS[c] for c in (*NATURAL_KEY, "product_name")]
+    error = F.when(F.col(CORRUPT_COLUMN).isNotNull(), "the line does not fit the header")
+    for header in required:
+        error = error.when(is_blank(F.col(f"`{header}`")), f"{header} is required")
+    return dim_product(price_list, keep={"error": error, "line": F.col(CORRUPT_COLUMN)})
 
 
 def refresh_dimension(
-    spark: SparkSession, price_file: str, path: str, fmt: str = DEFAULT_FORMAT
+    spark: SparkSession,
+    price_file: str,
+    path: str,
+    fmt: str = DEFAULT_FORMAT,
+    rejected_path: str | None = None,
 ) -> None:
-    overwrite_table(dim_product(read_semicolon_csv(spark, price_file)), path, fmt)
+    """Replaces the dimension by the landed file's products.
+
+    Lines that do not fit the header or lack the natural key or the name are left out and,
+    with ``rejected_path``, stored there. A file without any product, or with two of one id,
+    leaves the dimension as it is and raises ``ValueError``.
+    """
+    with scratch(spark):
+        folder = new_folder(spark, "price-list")
+        check_price_list(read_checked_semicolon_csv(spark, price_file)).write.format(fmt).save(folder)
+        checked = read_table(spark, folder, fmt)
+        good = checked.filter(F.col("error").isNull()).drop("error", "line")
+        if good.isEmpty():
+            raise ValueError(f"{price_file} has no product")
+        repeated = good.groupBy("id").count().filter("count > 1")
+        if not repeated.isEmpty():
+            raise ValueError(f"{price_file} has several products of one id")
+        if rejected_path is not None:
+            bad = checked.filter(F.col("error").isNotNull())
+            bad.write.format(fmt).mode("overwrite").save(rejected_path)
+        overwrite_table(enforce_schema(good, DIM_PRODUCT_SCHEMA), path, fmt)
 
 
 def refresh_if_stale(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,15 +27,37 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def numbered_folders(spark: SparkSession, path: str) -> list[int]:
-    """The numbers among the names of a folder's subfolders, in order; none if it is missing."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it is missing."""
     fs, target = _file_system(spark, path)
     if not fs.exists(target):
         return []
-    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return [status.getPath().getName() for status in fs.listStatus(target)]
+
+
+def numbered_folders(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
+    """The numbers among the names in a folder, after a prefix, in order."""
+    names = [n.removeprefix(prefix) for n in names_in(spark, path) if n.startswith(prefix)]
     return sorted(int(name) for name in names if name.isdigit())
 
 
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file, made at once; one that exists stays."""
+    fs, target = _file_system(spark, path)
+    fs.mkdirs(target.getParent())
+    if not fs.exists(target):
+        fs.create(target, False).close()
+
+
+def newest_file(spark: SparkSession, path: str) -> datetime:
+    """When a file of a folder was last written, by the driver's clock."""
+    fs, target = _file_system(spark, path)
+    found, newest = fs.listFiles(target, True), 0
+    while found.hasNext():
+        newest = max(newest, found.next().getModificationTime())
+    return datetime.fromtimestamp(newest / 1000)
+
+
 def _rename(spark: SparkSession, source: str, target: str) -> None:
     fs, from_path = _file_system(spark, source)
     if not fs.rename(from_path, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
@@ -56,13 +79,15 @@ def overwrite_table(
     """Replaces a table; the plan may read the table it replaces.
 
     Plain files are written next to the target and renamed into place once
-    complete, so no reader sees a half-written table. Delta does that by itself.
+    complete, so no reader sees a half-written table; if that fails, the former table
+    comes back. What a broken run left behind is removed. Delta does all that by itself.
     """
     writer = df.write.format(fmt).options(**(options or {}))
     if fmt == "delta":
         writer.mode("overwrite").save(path)
         return
     spark = df.sparkSession
+    _tidy(spark, path)
     mark = uuid.uuid4().hex
     staged, former = f"{path}__new_{mark}", f"{path}__old_{mark}"
     try:
@@ -71,12 +96,28 @@ def overwrite_table(
         drop_folder(spark, staged)
         raise
     fs, target = _file_system(spark, path)
-    if fs.exists(target):
-        _rename(spark, path, former)
+    if not fs.exists(target):
         _rename(spark, staged, path)
-        drop_folder(spark, former)
-    else:
+        return
+    _rename(spark, path, former)
+    try:
         _rename(spark, staged, path)
+    except Exception:
+        _rename(spark, former, path)
+        drop_folder(spark, staged)
+        raise
+    drop_folder(spark, former)
+
+
+def _tidy(spark: SparkSession, path: str) -> None:
+    """Removes what a run that broke off left beside a table, or brings the table back."""
+    fs, target = _file_system(spark, path)
+    parent, name = str(target.getParent()), target.getName()
+    for left in names_in(spark, parent):
+        if left.startswith(f"{name}__old_") and not fs.exists(target):
+            _rename(spark, f"{parent}/{left}", path)
+        elif left.startswith((f"{name}__new_", f"{name}__old_")):
+            drop_folder(spark, f"{parent}/{left}")
 
 
 def overwrite_raw_names(df: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> None:
@@ -95,8 +136,13 @@ def append_sales(
     """Appends to the sales fact, which is partitioned by the period of the sale.
 
     Rebalancing gathers a period's rows into few files, while Spark splits a period
-    that is too large for one task.
+    that is too large for one task. The period is noted in the table's folder; another
+    one is refused.
     """
+    spark, mark = sales.sparkSession, "_period-"
+    noted = [n.removeprefix(mark) for n in names_in(spark, path) if n.startswith(mark)]
+    if noted and noted != [period]:
+        raise ValueError(f"{path} is partitioned by {noted[0]}, not by {period}")
     checked = _with_period(enforce_schema(sales, SALES_SCHEMA), period)
     (
         checked.hint("rebalance", SALES_PARTITION)
@@ -105,6 +151,7 @@ def append_sales(
         .partitionBy(SALES_PARTITION)
         .save(path)
     )
+    create_file(spark, f"{path}/{mark}{period}")
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
@@ -126,32 +173,21 @@ def first_per_transaction(sales: DataFrame) -> DataFrame:
     )
 
 
-def new_sales(
-    sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
-) -> DataFrame:
+def new_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
     """The batch's transactions that the sales fact does not have yet.
 
-    A transaction keeps its sale time when it is delivered again, so only the
-    batch's periods of the fact are read. There are no more periods to list than
-    the fact has, or gets, partition folders.
+    A transaction is known by its id alone, whatever time it is delivered with. Of the
+    fact only the ids are read.
     """
     spark = sales.sparkSession
-    batch = _with_period(first_per_transaction(sales), period)
+    batch = first_per_transaction(sales)
     if not table_exists(spark, path, fmt):
-        return batch.drop(SALES_PARTITION)
-    periods = [
-        row[SALES_PARTITION]
-        for row in _with_period(sales, period).select(SALES_PARTITION).distinct().collect()
-    ]
-    stored = read_sales(spark, path, fmt).filter(F.col(SALES_PARTITION).isin(periods))
-    return batch.join(stored.select("transaction_id"), "transaction_id", "left_anti").drop(
-        SALES_PARTITION
-    )
+        return batch
+    return batch.join(read_sales(spark, path, fmt).select("transaction_id"), "transaction_id", "left_anti")
 
 
 def append_new_sales(
     sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
 ) -> None:
     """Appends each transaction once, however often it is delivered."""
-    fresh = new_sales(sales, path, fmt, period).select(*SALES_SCHEMA.fieldNames())
-    append_sales(fresh, path, fmt, period)
+    append_sales(new_sales(sales, path, fmt).select(*SALES_SCHEMA.fieldNames()), path, fmt, period)

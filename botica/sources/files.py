@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from botica.functions.money import clamp_fraction
-from botica.functions.timing import TIMESTAMP_FORMAT
+from botica.functions.money import clamp_fraction, line_total, to_fraction
+from botica.functions.numbers import parse_decimal, parse_int
+from botica.functions.timing import TIMESTAMP_FORMAT, parse_timestamp
 from botica.operators.pricing import SALES_COLUMNS, price_lines
-from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA
+from botica.operators.quality import check_fields
+from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA, MONEY
 
 # Fixed value: stands in where the catalog does not know the product.
 UNKNOWN_INDUSTRY = "UNKNOWN"
@@ -35,16 +41,28 @@ def read_semicolon_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("delimiter", ";").option("header", True).csv(path)
 
 
+def read_checked_semicolon_csv(spark: SparkSession, path: str) -> DataFrame:
+    """As above; lines that do not fit the header are kept whole in ``_corrupt_record``."""
+    names = read_semicolon_csv(spark, path).schema
+    return (
+        spark.read.schema(with_corrupt_column(names))
+        .option("delimiter", ";")
+        .option("header", True)
+        .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
+        .option("columnPruning", False)
+        .csv(path)
+    )
+
+
 def read_checked_csv(
-    spark: SparkSession, path: str, schema: StructType, header: bool = True, stream: bool = False
+    spark: SparkSession, path: str | list[str], schema: StructType, header: bool = True
 ) -> DataFrame:
     """Typed rows; lines that do not fit the schema are kept whole in ``_corrupt_record``.
 
     Column pruning is off: a line's field count is only checked when all fields are read.
     """
-    reader = spark.readStream if stream else spark.read
     return (
-        reader.schema(with_corrupt_column(schema))
+        spark.read.schema(with_corrupt_column(schema))
         .option("header", header)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
@@ -54,17 +72,93 @@ def read_checked_csv(
     )
 
 
+# Columns without which an extract cannot become sales.
+ERP_REQUIRED = (
+    "transaction_id", "sale_datetime", "product_id", "product_name", "quantity", "unit_price",
+    "total_price", "discount_applied",
+)
+PROBLEM_COLUMN = "_problem"
+
+
+def _file_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """The files by their first line; files that are empty have none."""
+    lines = spark.read.option("recursiveFileLookup", True).text(list(files)).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = F.min_by("value", "place")
+    found = lines.filter("file_block_start = 0").groupBy("file").agg(first.alias("header"))
+    by_header = found.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return {row["header"]: row["files"] for row in by_header.collect()}
+
+
+def read_erp_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """ERP extracts as text, each column found by the name in its file's own header.
+
+    Columns may come in any order, and others may lie between them; a column that is
+    not needed and missing is NULL. A line that does not fit its header, and every line of
+    a file whose header lacks or repeats a required column, has its whole text in
+    ``_corrupt_record`` and the reason in ``_problem``. Files with one header are read
+    together; the driver holds the names of files and the distinct headers.
+    """
+    parts = []
+    for header, own in _file_headers(spark, files).items():
+        names = [trim_name(name) for name in next(csv.reader([header]), [])]
+        missing = [c for c in ERP_REQUIRED if names.count(c) != 1]
+        if missing:
+            text = spark.read.text(own).filter(F.col("value") != header)
+            empty = [F.lit(None).cast("string").alias(c) for c in ERP_SCHEMA.fieldNames()]
+            reason = F.lit(f"the header must have each of these once: {', '.join(missing)}")
+            parts.append(text.select(*empty, F.col("value").alias(CORRUPT_COLUMN), reason.alias(PROBLEM_COLUMN)))
+            continue
+        wanted = {n: k for k, n in enumerate(names) if n in ERP_SCHEMA.fieldNames()}
+        layout = StructType([StructField(f"_{k}", StringType()) for k in range(len(names))])
+        rows = read_checked_csv(spark, own, layout)
+        columns = [
+            (F.col(f"_{wanted[c]}") if c in wanted else F.lit(None).cast("string")).alias(c)
+            for c in ERP_SCHEMA.fieldNames()
+        ]
+        reason = F.when(F.col(CORRUPT_COLUMN).isNotNull(), "the line does not fit its header")
+        parts.append(rows.select(*columns, CORRUPT_COLUMN, reason.alias(PROBLEM_COLUMN)))
+    if not parts:
+        names = [*ERP_SCHEMA.fieldNames(), CORRUPT_COLUMN, PROBLEM_COLUMN]
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def trim_name(name: str) -> str:
+    return name.lstrip("\ufeff").strip()
+
+
+def check_erp(rows: DataFrame) -> DataFrame:
+    """``quality.check_fields`` of rows read by ``read_erp_files``."""
+    amounts = ("unit_price", "total_price", "discount_applied")
+    parsers = {"sale_datetime": parse_timestamp, "quantity": parse_int}
+    parsers |= {f: lambda c: parse_decimal(c, 2) for f in amounts}
+    return check_fields(
+        rows,
+        ("transaction_id", "product_id", "product_name", "sale_datetime", "quantity", "unit_price"),
+        ("transaction_id", "product_id", "product_name"),
+        parsers,
+        F.col(PROBLEM_COLUMN),
+    )
+
+
 def erp_to_sales(extract: DataFrame, catalog: DataFrame) -> DataFrame:
     """ERP rows as sales, matched by column name and completed from the catalog.
 
-    The extract states the discount as an amount; the sales fact holds a fraction.
-    A product the catalog does not have keeps its row.
+    The extract states the discount of the whole line as an amount, and its total. Both
+    totals of a sale follow from those, the second by adding the taxes; the fact's
+    fraction and unit amounts are derived. A product that the catalog does not have
+    keeps its row.
     """
     known = catalog.select(
         F.col("id").alias("product_id"), F.col("industry_name"), F.col("taxes_price")
     )
     gross = F.col("unit_price") * F.col("quantity")
-    fraction = F.when(gross > 0, F.round(F.col("discount_applied") / gross, 4))
+    fraction = F.when(gross > 0, to_fraction(F.col("discount_applied"), gross))
     lines = (
         extract.select(
             F.col("transaction_id").alias("cart_id"),
@@ -75,19 +169,18 @@ def erp_to_sales(extract: DataFrame, catalog: DataFrame) -> DataFrame:
             "unit_price",
             "quantity",
             clamp_fraction(fraction).alias("discount_applied"),
-            F.col("total_price").alias("_stated_total"),
+            F.coalesce(
+                "total_price", gross - F.coalesce("discount_applied", F.lit(0).cast(MONEY))
+            ).cast(MONEY).alias("_stated_total"),
         )
         .join(known, "product_id", "left")
         .withColumn("industry_name", F.coalesce("industry_name", F.lit(UNKNOWN_INDUSTRY)))
-        .withColumn("taxes_price", F.coalesce("taxes_price", F.lit(0).cast("decimal(18,2)")))
+        .withColumn("taxes_price", F.coalesce("taxes_price", F.lit(0).cast(MONEY)))
     )
-    priced = price_lines(lines)
-    return priced.withColumn("total_price", F.coalesce("_stated_total", "total_price")).select(
-        *SALES_COLUMNS
+    taxes = line_total(F.col("quantity"), F.col("taxes_price"))
+    return (
+        price_lines(lines)
+        .withColumn("total_price", F.col("_stated_total"))
+        .withColumn("total_price_after_taxes", (F.col("_stated_total") + taxes).cast(MONEY))
+        .select(*SALES_COLUMNS)
     )
-
-
-def read_erp_extract(
-    spark: SparkSession, path: str, header: bool = True, stream: bool = False
-) -> DataFrame:
-    return read_checked_csv(spark, path, ERP_SCHEMA, header, stream)

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -17,23 +16,17 @@ def read_table(
 
 
 def table_exists(spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT) -> bool:
-    try:
-        read_table(spark, path, fmt)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out to all cores where a table comes in fewer pieces than there are cores.
-
-    That happens with a few files that cannot be split. A table large enough to
-    keep the cluster busy has more pieces and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Whether the folder holds a file, below any subfolder; hidden ones don't count."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return False
+    found = files.listFiles(target, True)
+    while found.hasNext():
+        if not found.next().getPath().getName().startswith(("_", ".")):
+            return True
+    return False
 
 
 def rows_to_table(spark: SparkSession, rows: Iterable, schema: StructType) -> DataFrame:

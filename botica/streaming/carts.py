@@ -1,90 +1,69 @@
 """Saved carts on a stream of cart events.
 
-Two tables make up the state: ``committed`` has the lines of carts whose save the
-watermark has passed, ``pending`` the events not yet settled. A batch reads the
-pending events the batch before left, so its cost follows the open carts and
-not the history. Both are written per batch and replaced when a batch is
-delivered again.
+``committed`` has the lines of carts whose save is settled, ``pending`` the events that
+are not, ``late`` those that came too late, and ``closed`` how many carts each till has
+settled, which keeps the carts' numbers going.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from botica.operators.carts import CART_ACTIONS, SAVE, close_carts, number_carts, saved_carts
-from botica.schemas import CART_EVENT_SCHEMA
-from botica.sinks.tables import drop_folder, numbered_folders
-from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
+from botica.operators.carts import CART_ACTIONS, SAVE, close_carts, number_carts
+from botica.schemas import CART_EVENT_SCHEMA, CART_LINE_SCHEMA, CLOSED_CARTS_SCHEMA
+from botica.sources.tables import DEFAULT_FORMAT
+from botica.streaming.settling import LATE, PENDING, newest_batch, of_all_batches, of_batch, settle_batch
 from botica.streaming.staging import staged_batches
-from botica.workspace import new_folder
 
 EVENT_COLUMNS = CART_EVENT_SCHEMA.fieldNames()
-LINE_COLUMNS = ["cart", "product", "quantity", "save_event_id", "saved_at"]
-
-
-def _pending(spark: SparkSession, state: str, before: int | None, fmt: str) -> DataFrame:
-    """The events left by the newest batch, or by the newest one before a given batch."""
-    written = numbered_folders(spark, f"{state}/pending")
-    known = [n for n in written if before is None or n < before]
-    if not known:
-        return spark.createDataFrame([], CART_EVENT_SCHEMA)
-    return read_table(spark, f"{state}/pending/{known[-1]}", fmt)
-
-
-def _forget(spark: SparkSession, state: str, batch_id: int) -> None:
-    """Drops pending events that no replay needs: all but the last before this batch."""
-    written = numbered_folders(spark, f"{state}/pending")
-    for old in [n for n in written if n < batch_id][:-1]:
-        drop_folder(spark, f"{state}/pending/{old}")
-
-
-def settle_batch(batch: DataFrame, batch_id: int, state: str, delay: str, fmt: str) -> None:
-    spark = batch.sparkSession
-    fresh = batch.select(*EVENT_COLUMNS).filter(F.col("action").isin(*CART_ACTIONS))
-    if fresh.isEmpty():
-        return
-    waiting = _pending(spark, state, batch_id, fmt).select(*EVENT_COLUMNS)
-    # The time up to which carts are settled: the newest event's, less the delay. That
-    # event always stays pending, so the next batch finds the same time again.
-    reached = F.unix_micros(F.max("ts") - F.expr(f"interval {delay}")).alias("at")
-    passed = waiting.agg(reached).first()["at"]
-    if passed is not None:
-        fresh = fresh.filter(F.unix_micros("ts") > passed)
-
-    folder = new_folder(spark, "numbered")
-    number_carts(waiting.unionByName(fresh)).write.format(fmt).save(folder)
-    numbered = read_table(spark, folder, fmt)
-    horizon = numbered.agg(reached).first()["at"]
-    past = F.unix_micros("ts") <= F.lit(horizon)
-
-    lines = close_carts(numbered, past).select(*LINE_COLUMNS)
-    lines.write.format(fmt).mode("overwrite").save(f"{state}/committed/batch_id={batch_id}")
-
-    settled = numbered.filter((F.col("action") == SAVE) & past)
-    closed = settled.groupBy("cart").agg(F.count(F.lit(1)).alias("_closed"))
-    open_events = (
-        numbered.join(closed, "cart", "left")
-        .filter(F.col("cart_seq") >= F.coalesce("_closed", F.lit(0)))
-        .select(*EVENT_COLUMNS)
-    )
-    open_events.write.format(fmt).mode("overwrite").save(f"{state}/pending/{batch_id}")
-    _forget(spark, state, batch_id)
-    drop_folder(spark, folder)
+LINE_COLUMNS = CART_LINE_SCHEMA.fieldNames()
+COMMITTED, CLOSED = "committed", "closed"
+
+
+def _numbered(events: DataFrame, closed: DataFrame) -> DataFrame:
+    """Cart events with ``cart_seq``, counted from the carts a till has settled before."""
+    known = number_carts(events).join(closed, "cart", "left")
+    seq = F.col("cart_seq") + F.coalesce("closed", F.lit(0))
+    return known.withColumn("cart_seq", seq.cast("long")).withColumn("closed", F.coalesce("closed", F.lit(0)))
+
+
+def settle_carts(spark: SparkSession, state: str, fmt: str):
+    def settle(events: DataFrame, horizon: Column, before: int | None) -> dict[str, DataFrame]:
+        closed = of_batch(spark, state, CLOSED, before, fmt, CLOSED_CARTS_SCHEMA)
+        numbered = _numbered(events, closed)
+        past = F.col("ts") <= horizon
+        saves = numbered.filter((F.col("action") == SAVE) & past)
+        settled = saves.groupBy("cart").agg(F.count(F.lit(1)).alias("_more"))
+        totals = (
+            closed.join(settled, "cart", "full")
+            .withColumn("closed", F.coalesce("closed", F.lit(0)) + F.coalesce("_more", F.lit(0)))
+            .select("cart", "closed")
+        )
+        waiting = (
+            numbered.join(settled, "cart", "left")
+            .filter(F.col("cart_seq") >= F.col("closed") + F.coalesce("_more", F.lit(0)))
+            .select(*EVENT_COLUMNS)
+        )
+        lines = close_carts(numbered, past).select(*LINE_COLUMNS)
+        return {COMMITTED: lines, CLOSED: totals, PENDING: waiting}
+
+    return settle
 
 
 def stream_saved_carts(
     events: DataFrame, state: str, checkpoint: str, delay: str = "1 hour", fmt: str = DEFAULT_FORMAT
 ) -> StreamingQuery:
     """Keeps the state tables up to date; repeated events count once."""
-    unique = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    spark = events.sparkSession
+    wanted = events.select(*EVENT_COLUMNS).filter(F.col("action").isin(*CART_ACTIONS))
 
-    def settle(batch: DataFrame, batch_id: int) -> None:
-        settle_batch(batch, batch_id, state, delay, fmt)
+    def work(batch: DataFrame, batch_id: int) -> None:
+        settle_batch(batch, batch_id, state, delay, settle_carts(spark, state, fmt), fmt)
 
     return (
-        unique.writeStream.foreachBatch(staged_batches(events.sparkSession, settle, fmt))
+        wanted.writeStream.foreachBatch(staged_batches(spark, work, fmt))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -93,8 +72,13 @@ def stream_saved_carts(
 
 def live_carts(spark: SparkSession, state: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
     """Committed lines and those of saved carts that may still change."""
-    recent = saved_carts(_pending(spark, state, None, fmt)).select(*LINE_COLUMNS)
-    committed = f"{state}/committed"
-    if not table_exists(spark, committed, fmt):
-        return recent
-    return read_table(spark, committed, fmt).select(*LINE_COLUMNS).unionByName(recent)
+    newest = newest_batch(spark, state)
+    waiting = of_batch(spark, state, PENDING, newest, fmt, CART_EVENT_SCHEMA)
+    closed = of_batch(spark, state, CLOSED, newest, fmt, CLOSED_CARTS_SCHEMA)
+    recent = close_carts(_numbered(waiting, closed)).select(*LINE_COLUMNS)
+    return of_all_batches(spark, state, COMMITTED, fmt, CART_LINE_SCHEMA).unionByName(recent)
+
+
+def late_events(spark: SparkSession, state: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
+    """Events that arrived after their time had been settled."""
+    return of_all_batches(spark, state, LATE, fmt, CART_EVENT_SCHEMA)

@@ -3,13 +3,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from botica.operators.pricing import enrich_lines
-from botica.operators.quality import split_corrupt
-from botica.schemas import CORRUPT_COLUMN
+from botica.operators.pricing import enrich_lines, unmatched_lines
+from botica.operators.quality import accepted, rejected
+from botica.schemas import FILE_SCHEMA
 from botica.sinks.tables import append_new_sales
-from botica.sources.files import erp_to_sales, read_erp_extract
-from botica.sources.tables import DEFAULT_FORMAT
+from botica.sources.files import check_erp, erp_to_sales, read_erp_files
+from botica.sources.tables import DEFAULT_FORMAT, read_table
 from botica.streaming.staging import staged_batches
+from botica.workspace import new_folder, scratch
 
 
 def stream_erp_sales(
@@ -20,22 +21,36 @@ def stream_erp_sales(
     rejected_path: str,
     checkpoint: str,
     fmt: str = DEFAULT_FORMAT,
-    header: bool = True,
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Appends the extracts that arrived in a folder to the sales fact, each transaction once.
 
-    A batch that is delivered again adds nothing: its transactions are known, and
-    its rejected lines replace themselves.
+    The stream tells which files are new; they are read by their own headers. Rows that
+    break a rule, and lines or files that cannot be mapped, go to the rejected table with
+    their errors, so that no row stops the stream. A batch that is delivered again adds
+    nothing: its transactions are known, and its rejected rows replace themselves.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_corrupt(batch, CORRUPT_COLUMN)
-        bad.write.format(fmt).mode("overwrite").save(f"{rejected_path}/batch_id={batch_id}")
-        append_new_sales(erp_to_sales(good, catalog), sales_path, fmt)
+        with scratch(spark):
+            files = [row["path"] for row in batch.select("path").distinct().collect()]
+            if not files:
+                return
+            folder = new_folder(spark, "erp-checked")
+            check_erp(read_erp_files(spark, files)).write.format(fmt).save(folder)
+            checked = read_table(spark, folder, fmt)
+            bad = rejected(checked)
+            bad.write.format(fmt).mode("overwrite").save(f"{rejected_path}/batch_id={batch_id}")
+            append_new_sales(erp_to_sales(accepted(checked), catalog), sales_path, fmt)
 
     return (
-        read_erp_extract(spark, landing, header, stream=True)
-        .writeStream.foreachBatch(staged_batches(spark, append, fmt))
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(landing)
+        .select("path")
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -43,14 +58,26 @@ def stream_erp_sales(
 
 
 def stream_enriched_lines(
-    lines: DataFrame, catalog: DataFrame, path: str, checkpoint: str, fmt: str = DEFAULT_FORMAT
+    lines: DataFrame,
+    catalog: DataFrame,
+    path: str,
+    unmatched_path: str,
+    checkpoint: str,
+    fmt: str = DEFAULT_FORMAT,
 ) -> StreamingQuery:
-    """Prices a stream of lines against the stored catalog and appends them to a table."""
+    """Prices a stream of lines against the stored catalog and stores them by batch.
+
+    Lines that the catalog cannot price go to a table of their own.
+    """
+
+    def enrich(batch: DataFrame, batch_id: int) -> None:
+        own = f"batch_id={batch_id}"
+        enrich_lines(batch, catalog).write.format(fmt).mode("overwrite").save(f"{path}/{own}")
+        unmatched_lines(batch, catalog).write.format(fmt).mode("overwrite").save(f"{unmatched_path}/{own}")
+
     return (
-        enrich_lines(lines, catalog)
-        .writeStream.format(fmt)
-        .outputMode("append")
+        lines.writeStream.foreachBatch(staged_batches(lines.sparkSession, enrich, fmt))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )

@@ -4,9 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from botica.sinks.tables import drop_folder
 from botica.sources.tables import read_table
-from botica.workspace import new_folder
+from botica.workspace import new_folder, scratch
 
 
 def staged_batches(
@@ -14,16 +13,15 @@ def staged_batches(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that hands ``work`` each batch as a stored table.
 
-    Streams with state run without adaptive execution, and a batch is computed anew
-    each time it is read. Work that joins or reads a batch twice is better done on a
-    written copy, in the caller's session, where skewed joins are split.
+    A batch is computed anew each time it is read; work that joins or reads it twice is
+    better done on a written copy, in the caller's session, where skewed joins are split.
+    The copy, and what the work itself stores in scratch folders, goes at its end.
     """
-    folder = new_folder(spark, "batches")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        path = f"{folder}/{batch_id}"
-        batch.write.format(fmt).mode("overwrite").save(path)
-        work(read_table(spark, path, fmt), batch_id)
-        drop_folder(spark, path)
+        with scratch(spark):
+            path = new_folder(spark, "batch")
+            batch.write.format(fmt).save(path)
+            work(read_table(spark, path, fmt), batch_id)
 
     return process

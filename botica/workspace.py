@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _marked: set[str] = set()
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,9 +33,26 @@ def application_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing folder path below the application's folder."""
-    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(folder)
+    return folder
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders made inside the block at its end, also when it fails."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for folder in made:
+            remove_folder(spark, folder)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from botica import session
 from botica.functions import keys, money, numbers, text, timing
-from botica.sources.tables import spread
 from tests.frames import START
 
 
@@ -118,8 +117,26 @@ def test_settings_follow_the_data():
     assert large["spark.sql.adaptive.enabled"] == "true"
 
 
-def test_spread_leaves_large_tables_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many, few = spark.range(0, 100, 1, cores + 3), spark.range(0, 100, 1, 1)
-    assert spread(many) is many
-    assert spread(few).rdd.getNumPartitions() == cores
+def test_no_limit_on_shuffle_partitions():
+    huge = session.settings(500 << 40, 4000)
+    assert int(huge["spark.sql.shuffle.partitions"]) == 500 * 4096
+
+
+@pytest.mark.parametrize("value", ["\tx", "x\r\n", "\u00a0x\u2003", " \x1cx ", "x"])
+def test_all_white_space_is_trimmed(spark, value):
+    assert values(spark, [value], text.trimmed(F.col("x"))) == ["x"]
+    assert values(spark, [value.replace("x", "")], text.is_blank(F.col("x"))) == [True]
+    assert values(spark, [value.replace("x", "")], text.blank_to_null(F.col("x"))) == [None]
+
+
+def test_like_takes_a_backslash_as_itself(spark):
+    rows = ["a\\b", "ab", "A\\B%"]
+    assert values(spark, rows, text.like_ignoring_case(F.col("x"), "a\\b")) == [True, False, True]
+    assert values(spark, rows, text.like_ignoring_case(F.col("x"), "A_B")) == [True, False, True]
+
+
+def test_surrogate_key_tells_parts_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, ""), ("", None), ("", ""), (None, None), ("-", ""), ("1:a", "")]
+    frame = spark.createDataFrame(rows, "x string, y string")
+    found = frame.select(keys.surrogate_key(F.col("x"), F.col("y")).alias("k")).distinct().count()
+    assert found == len(rows)

@@ -8,16 +8,27 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from botica.operators import carts as c
-from botica.operators.quality import enforce_schema, split_corrupt
+from botica.operators.quality import accepted, enforce_schema, rejected, split_corrupt, split_lines
 from botica.operators.searches import debounce_searches
-from botica.schemas import CART_EVENT_SCHEMA, CORRUPT_COLUMN, PRICE_LIST_HEADERS, SALES_SCHEMA
+from botica.schemas import (
+    CART_EVENT_SCHEMA,
+    CORRUPT_COLUMN,
+    ERP_SCHEMA,
+    PRICE_LIST_HEADERS,
+    SALES_SCHEMA,
+    SEARCH_SCHEMA,
+)
 from botica.sinks import tables as sinks
-from botica.sinks.refresh import is_stale, refresh_if_stale
+from botica.sinks.refresh import is_stale, refresh_dimension, refresh_if_stale
 from botica.sources import files
 from botica.sources.tables import read_table, table_exists
 from botica.streaming import carts as live
+from botica.streaming import settling
 from botica.streaming.sales import stream_erp_sales
-from botica.streaming.searches import debounce_stream
+from botica.streaming.searches import late_searches, live_searches, stream_debounced
+from botica.streaming.settling import settle_batch
+from botica.streaming.staging import staged_batches
+from botica.workspace import new_folder
 from tests.frames import START, at, events, money
 from tests.test_sales import fold, random_events
 
@@ -80,13 +91,22 @@ def test_append_is_idempotent(spark, tmp_path, period):
     assert {r["quantity"] for r in stored} == {1}
 
 
-def test_append_reads_only_the_batch_periods(spark, tmp_path):
+def test_a_corrected_time_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "sales")
-    sinks.append_new_sales(sales(spark, *[sale(i, i) for i in range(5)]), path, period="day")
-    fresh = sinks.new_sales(sales(spark, sale(2, 2), sale(9, 3)), path, period="day")
+    sinks.append_new_sales(sales(spark, *[sale(i, i) for i in range(5)]), path)
+    fresh = sinks.new_sales(sales(spark, sale(2, 70), sale(9, 3)), path)
     assert [r["transaction_id"] for r in fresh.collect()] == ["9"]
-    plan = fresh._jdf.queryExecution().toString()
-    assert "IN (2024-05-03,2024-05-04)]" in plan
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<transaction_id:string>" in plan
+
+
+def test_another_period_is_refused(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    sinks.append_new_sales(sales(spark, sale(1)), path, period="month")
+    with pytest.raises(ValueError, match="partitioned by month"):
+        sinks.append_new_sales(sales(spark, sale(2)), path, period="day")
+    sinks.append_new_sales(sales(spark, sale(2)), path, period="month")
+    assert sinks.read_sales(spark, path).count() == 2
 
 
 def test_deduplication_cuts_before_the_shuffle(spark):
@@ -112,6 +132,33 @@ def test_failed_overwrite_keeps_the_table(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["numbers"]
 
 
+def test_a_failed_swap_brings_the_table_back(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "numbers")
+    sinks.overwrite_table(spark.range(5), path)
+    rename = sinks._rename
+
+    def broken(spark, source, target):
+        if "__new_" in source:
+            raise OSError("no")
+        rename(spark, source, target)
+
+    monkeypatch.setattr(sinks, "_rename", broken)
+    with pytest.raises(OSError):
+        sinks.overwrite_table(spark.range(9), path)
+    assert read_table(spark, path).count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["numbers"]
+
+
+def test_what_a_broken_run_left_is_tidied(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    spark.range(3).write.parquet(f"{path}__old_a")
+    spark.range(4).write.parquet(f"{path}__new_b")
+    spark.range(1).write.parquet(f"{path}__other")
+    sinks._tidy(spark, path)
+    assert read_table(spark, path).count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["numbers", "numbers__other"]
+
+
 def test_write_error_if_exists(spark, tmp_path):
     path = str(tmp_path / "once")
     sinks.write_new(spark.range(1), path)
@@ -171,18 +218,44 @@ def test_refresh_if_stale(spark, tmp_path):
     assert [r["ggrem_code"] for r in read_table(spark, path).collect()] == ["3"]
 
 
+def test_refresh_checks_before_it_replaces(spark, tmp_path):
+    path, rejected_path = str(tmp_path / "dim"), str(tmp_path / "rejected")
+    refresh_dimension(spark, price_file(tmp_path, ("1", "A"), ("2", "B")), path)
+
+    with pytest.raises(ValueError, match="no product"):
+        refresh_dimension(spark, price_file(tmp_path), path)
+    with pytest.raises(ValueError, match="several products"):
+        refresh_dimension(spark, price_file(tmp_path, ("3", "A"), ("3", "B")), path)
+    assert sorted(r["ggrem_code"] for r in read_table(spark, path).collect()) == ["1", "2"]
+
+    landed = price_file(tmp_path, ("4", "A"), (" \t", "B"), ("", "C"))
+    with open(landed, "a", encoding="utf-8") as out:
+        out.write("torn;line\n")
+    refresh_dimension(spark, landed, path, rejected_path=rejected_path)
+    assert [r["ggrem_code"] for r in read_table(spark, path).collect()] == ["4"]
+    errors = sorted(r["error"] for r in read_table(spark, rejected_path).collect())
+    assert errors == ["CÓDIGO GGREM is required"] * 2 + ["the line does not fit the header"]
+
+
 # --- ERP files ------------------------------------------------------------------------
 
 
-def erp_file(folder, name, rows):
+def erp_file(folder, name, rows, header=ERP_HEADER):
     folder.mkdir(exist_ok=True)
-    (folder / name).write_text("\n".join([ERP_HEADER, *rows]) + "\n")
+    (folder / name).write_text("\n".join([header, *rows]) + "\n")
+
+
+def erp_rows(spark, folder):
+    checked = files.check_erp(files.read_erp_files(spark, [str(folder)]))
+    return accepted(checked), {r["transaction_id"] or r[CORRUPT_COLUMN]: r for r in rejected(checked).collect()}
 
 
 def test_erp_extract(spark, tmp_path, catalog):
     erp_file(tmp_path / "in", "a.csv", ERP_ROWS)
-    good, bad = split_corrupt(files.read_erp_extract(spark, str(tmp_path / "in")), CORRUPT_COLUMN)
-    assert [(r["transaction_id"], r[CORRUPT_COLUMN]) for r in bad.collect()] == [("A2", ERP_ROWS[1])]
+    good, bad = erp_rows(spark, tmp_path / "in")
+    assert [(r["errors"], r[CORRUPT_COLUMN]) for r in bad.values()] == [
+        (["the line does not fit its header"], ERP_ROWS[1])
+    ]
     rows = {r["transaction_id"]: r for r in files.erp_to_sales(good, catalog).collect()}
     assert set(rows) == {"A1", "A3", "A4"}
     third = rows["A3"]
@@ -193,26 +266,91 @@ def test_erp_extract(spark, tmp_path, catalog):
     enforce_schema(files.erp_to_sales(good, catalog), SALES_SCHEMA).collect()
 
 
+def test_erp_columns_are_found_by_name(spark, tmp_path, catalog):
+    names = ERP_HEADER.split(",")
+    swapped = ERP_HEADER.replace("product_id,product_name", "product_name,product_id")
+    swapped = swapped.replace("unit_price,total_price", "total_price,unit_price")
+    row = "C1,2025-05-23 10:00:00,Tablets,P1,30,3000.00,100.00,Cash,E1,C1,,FALSE,0.00,10,L1"
+    erp_file(tmp_path / "in", "swapped.csv", [row], swapped)
+    fields = dict(zip(names, ERP_ROWS[0].split(",")))
+    erp_file(tmp_path / "in", "extra.csv", [",".join(["note", *fields.values()]).replace("A1", "D1")], "remark," + ERP_HEADER)
+    few = [n for n in names if n not in ("payment_method", "customer_id")]
+    erp_file(tmp_path / "in", "few.csv", [",".join(fields[n] for n in few).replace("A1", "E1", 1)], ",".join(few))
+    erp_file(tmp_path / "in", "lost.csv", ["x,y", "z"], "transaction_id,quantity")
+    erp_file(tmp_path / "in", "twice.csv", ["q"], ERP_HEADER + ",quantity")
+    (tmp_path / "in" / "empty.csv").write_text("")
+    good, bad = erp_rows(spark, tmp_path / "in")
+    rows = {r["transaction_id"]: r for r in files.erp_to_sales(good, catalog).collect()}
+    assert set(rows) == {"C1", "D1", "E1"}
+    first = rows["C1"]
+    assert (first["product_id"], first["product_name"]) == ("P1", "Tablets")
+    assert (first["unit_price"], first["total_price"]) == (money("100.00"), money("3000.00"))
+    assert first["total_price_after_taxes"] == money("3015.00")
+    assert set(bad) == {"x,y", "z", "q"}
+    assert "product_id" in bad["z"]["errors"][0] and "quantity" in bad["q"]["errors"][0]
+
+
+def test_a_small_discount_on_a_large_line(spark, tmp_path, catalog):
+    erp_file(tmp_path / "in", "a.csv", ["F1,2025-05-23 10:00:00,P1,T,30,100.00,2999.90,Cash,E1,C1,,FALSE,0.10,10,L1"])
+    row = files.erp_to_sales(erp_rows(spark, tmp_path / "in")[0], catalog).first()
+    assert row["discount_applied"] == money("0.0000333333")
+    assert (row["total_price"], row["total_price_after_taxes"]) == (money("2999.90"), money("3014.90"))
+
+
+def test_no_extracts(spark, tmp_path, catalog):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "empty.csv").write_text("")
+    good, bad = erp_rows(spark, tmp_path / "in")
+    assert files.erp_to_sales(good, catalog).count() == 0 and not bad
+
+
 def test_unknown_product_keeps_its_row(spark, tmp_path, catalog):
     erp_file(tmp_path / "in", "a.csv", ["B1,2025-05-23 10:00:00,P9,New,1,5.50,5.50,Cash,E1,C1,,FALSE,0.00,10,L1"])
-    good, _ = split_corrupt(files.read_erp_extract(spark, str(tmp_path / "in")), CORRUPT_COLUMN)
-    row = files.erp_to_sales(good, catalog).first()
+    row = files.erp_to_sales(erp_rows(spark, tmp_path / "in")[0], catalog).first()
     assert row["industry_name"] == files.UNKNOWN_INDUSTRY and row["taxes_price"] == 0
 
 
+def test_malformed_rows_can_be_counted(spark, tmp_path):
+    erp_file(tmp_path / "in", "a.csv", ERP_ROWS)
+    parsed = files.read_checked_csv(spark, str(tmp_path / "in"), ERP_SCHEMA)
+    good, bad = split_corrupt(parsed, CORRUPT_COLUMN, str(tmp_path / "parsed"))
+    assert (good.count(), bad.count()) == (3, 1)
+
+
+def test_checked_lines_are_parsed_once(spark, tmp_path):
+    fields = ["cart_id", "transaction_id", "industry_name", "product_id", "product_name", "sale_datetime",
+              "unit_price", "taxes_price", "quantity", "discount_applied"]
+    rows = [("k", "1", "i", "p", "\tname\u00a0", "2025-05-23 10:00:00", "1,50", "0", "2", "0,003"),
+            ("k", "2", "i", "p", "\t", "2025-05-23 10:00:00", "1,50", "0", "2", None)]
+    raw = spark.createDataFrame(rows, ", ".join(f"{f} string" for f in fields))
+    good, bad = split_lines(raw, str(tmp_path / "checked"))
+    row = good.first()
+    assert row["product_name"] == "name" and row["discount_applied"] == money("0.00003")
+    assert [(r["transaction_id"], r["errors"]) for r in bad.collect()] == [("2", ["product_name is required"])]
+
+
 def test_stream_of_erp_files(spark, tmp_path, catalog):
-    landing, out, rejected, checkpoint = (tmp_path / n for n in ("in", "out", "rejected", "checkpoint"))
+    landing, out, rejected_path, checkpoint = (tmp_path / n for n in ("in", "out", "rejected", "checkpoint"))
 
     def load():
-        stream_erp_sales(spark, str(landing), catalog, str(out), str(rejected), str(checkpoint)).awaitTermination()
+        stream_erp_sales(
+            spark, str(landing), catalog, str(out), str(rejected_path), str(checkpoint)
+        ).awaitTermination()
         return sorted(r["transaction_id"] for r in sinks.read_sales(spark, str(out)).collect())
 
     erp_file(landing, "a.csv", ERP_ROWS[:3])
     assert load() == ["A1", "A3"]
-    erp_file(landing, "b.csv", ERP_ROWS)
+    blank = "G1,2025-05-23 10:00:00,P1,Tablets,,5.50,11.00,Cash,E1,C1,,FALSE,0.00,10,L1"
+    erp_file(landing, "b.csv", [*ERP_ROWS, blank, blank.replace(",,5.50", ",x,5.50")])
+    erp_file(landing, "c.csv", ["lost"], "no,such,header")
     assert load() == ["A1", "A3", "A4"]
     assert load() == ["A1", "A3", "A4"]
-    assert read_table(spark, str(rejected)).count() == 2
+    errors = sorted(r["errors"][0] for r in read_table(spark, str(rejected_path)).collect())
+    assert errors[:2] == ["quantity is not a valid value", "quantity is required"]
+    assert errors[2:4] == ["the header must have each of these once: " + ", ".join(files.ERP_REQUIRED)] + [
+        "the line does not fit its header"
+    ]
+    assert len(errors) == 5
 
 
 # --- cart streams ---------------------------------------------------------------------
@@ -242,12 +380,25 @@ def test_stream_cart_state(spark, tmp_path, seed):
     folder, state, checkpoint = (str(tmp_path / n) for n in ("events", "state", "checkpoint"))
     write_event_files(spark, rows + rows[::9], folder, 4, seed)
     run_cart_stream(spark, folder, state, checkpoint, "1 hour")
-    committed = read_table(spark, f"{state}/committed")
-    assert committed.count() > 0
+    assert read_table(spark, f"{state}/committed").count() > 0
     lines = live.live_carts(spark, state).collect()
     got = [(r["cart"], r["save_event_id"], r["product"], r["quantity"]) for r in lines]
     assert len(got) == len(set(got))
     assert set(got) == fold(rows)
+    batch = c.saved_carts(events(spark, rows)).select("cart", "cart_seq", "save_event_id").distinct()
+    numbers = {(r["cart"], r["cart_seq"], r["save_event_id"]) for r in lines}
+    assert numbers == {tuple(r) for r in batch.collect()}
+
+
+def settle(spark, rows, batch_id, state):
+    batch = events(spark, [r for r in rows if r[3] != "search"])
+    settle_batch(batch, batch_id, state, "1 hour", live.settle_carts(spark, state, "parquet"), "parquet")
+
+
+def settled_lines(spark, state):
+    return sorted(
+        (r["cart"], r["save_event_id"], r["product"], r["quantity"]) for r in live.live_carts(spark, state).collect()
+    )
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
@@ -255,9 +406,36 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     rows.sort(key=lambda r: r[2])
     state = str(tmp_path / "state")
     for batch_id, part in ((0, rows[:100]), (1, rows[100:]), (1, rows[100:])):
-        live.settle_batch(events(spark, part), batch_id, state, "1 hour", "parquet")
-    lines = [(r[0], r[3], r[1], r[2]) for r in live.live_carts(spark, state).collect()]
-    assert sorted(lines) == sorted(fold(rows))
+        settle(spark, part, batch_id, state)
+    assert settled_lines(spark, state) == sorted(fold(rows))
+
+
+def test_a_crash_between_the_writes_shows_nothing(spark, tmp_path, monkeypatch):
+    rows = random_events(6, n=200)
+    rows.sort(key=lambda r: r[2])
+    state = str(tmp_path / "state")
+    settle(spark, rows[:100], 0, state)
+    before = settled_lines(spark, state)
+
+    def crash(*args):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(settling, "create_file", crash)
+        with pytest.raises(RuntimeError):
+            settle(spark, rows[100:], 1, state)
+    assert settled_lines(spark, state) == before
+    settle(spark, rows[100:], 1, state)
+    assert settled_lines(spark, state) == sorted(fold(rows))
+
+
+def test_late_events_are_kept_apart(spark, tmp_path):
+    state = str(tmp_path / "state")
+    settle(spark, [(1, 7, 0, "set_qty", 1, 2), (2, 7, 9000, "set_qty", 1, 3)], 0, state)
+    late = [(3, 7, 100, "set_qty", 2, 2), (4, 7, 200, "save", None, None)]
+    settle(spark, [*late, (5, 7, 9100, "save", None, None)], 1, state)
+    assert sorted(r["event_id"] for r in live.late_events(spark, state).collect()) == [3, 4]
+    assert settled_lines(spark, state) == [(7, 5, 1, 3)]
 
 
 def test_pending_events_do_not_pile_up(spark, tmp_path):
@@ -265,9 +443,23 @@ def test_pending_events_do_not_pile_up(spark, tmp_path):
     folder, state, checkpoint = (str(tmp_path / n) for n in ("events", "state", "checkpoint"))
     write_event_files(spark, rows, folder, 3)
     run_cart_stream(spark, folder, state, checkpoint, "30 minutes")
-    kept = sinks.numbered_folders(spark, f"{state}/pending")
+    kept = sinks.numbered_folders(spark, f"{state}/pending", "batch_id=")
     assert len(kept) == 2
-    assert read_table(spark, f"{state}/pending/{kept[-1]}").count() < 30
+    assert read_table(spark, f"{state}/pending/batch_id={kept[-1]}").count() < 30
+
+
+def test_scratch_goes_when_the_work_fails(spark):
+    made = []
+
+    def work(batch, batch_id):
+        made.append(new_folder(spark, "inner"))
+        batch.write.parquet(made[0])
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        staged_batches(spark, work, "parquet")(spark.range(3), 0)
+    names = sinks.names_in(spark, made[0].rsplit("/", 1)[0])
+    assert made[0].rsplit("/", 1)[1] not in names and not [n for n in names if n.startswith("batch-")]
 
 
 # --- search streams -------------------------------------------------------------------
@@ -276,27 +468,25 @@ def test_pending_events_do_not_pile_up(spark, tmp_path):
 def test_stream_debounce(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.randrange(5), at(rng.randrange(4000)), i, f"t{i}") for i in range(200)]
-    schema = "user_id long, ts timestamp, event_id long, text string"
-    frame = spark.createDataFrame(rows, schema)
-    folder = str(tmp_path / "searches")
-    frame.repartition(3).write.parquet(folder)
-    stream = spark.readStream.schema(schema).parquet(folder)
-    out = {}
-
-    def keep(batch, batch_id):
-        out["rows"] = [(r["user_id"], r["event_id"]) for r in batch.collect()]
-
-    (
-        debounce_stream(stream, "20 seconds")
-        .writeStream.outputMode("complete")
-        .foreachBatch(keep)
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    want = [(r["user_id"], r["event_id"]) for r in debounce_searches(frame, "20 seconds").collect()]
-    assert sorted(out["rows"]) == sorted(want)
+    rows.sort(key=lambda r: r[1])
+    frame = spark.createDataFrame(rows, SEARCH_SCHEMA)
+    folder, state, checkpoint = (str(tmp_path / n) for n in ("searches", "state", "checkpoint"))
+    open_rows = []
+    for k in range(4):
+        part = spark.createDataFrame(rows[50 * k : 50 * k + 50], SEARCH_SCHEMA)
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(SEARCH_SCHEMA).parquet(folder)
+        stream_debounced(stream, state, checkpoint, "20 seconds").awaitTermination()
+        newest = settling.newest_batch(spark, state)
+        open_rows.append(read_table(spark, f"{state}/pending/batch_id={newest}").count())
+    want = sorted(tuple(r) for r in debounce_searches(frame, "20 seconds").select(*SEARCH_SCHEMA.fieldNames()).collect())
+    assert sorted(map(tuple, live_searches(spark, state, "20 seconds").collect())) == want
+    assert max(open_rows) < 30
+    late = [(rows[0][0], rows[0][1], 999, "late")]
+    spark.createDataFrame(late, SEARCH_SCHEMA).write.mode("append").parquet(folder)
+    stream_debounced(spark.readStream.schema(SEARCH_SCHEMA).parquet(folder), state, checkpoint, "20 seconds").awaitTermination()
+    assert [r["event_id"] for r in late_searches(spark, state).collect()] == [999]
+    assert sorted(map(tuple, live_searches(spark, state, "20 seconds").collect())) == want
 
 
 def test_saved_carts_plan_has_no_python(spark):
