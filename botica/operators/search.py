@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from botica.functions.text import contains_ignoring_case, is_blank, like_ignoring_case
 from botica.operators.containment import containment_pairs
+from botica.workspace import new_folder
 
 NAME_MATCH, SUBSTANCE_MATCH = 0, 1
 
@@ -51,22 +52,35 @@ def clean_terms(terms: DataFrame) -> DataFrame:
     return terms.filter(~is_blank(F.col("term"))).select(F.lower("term").alias("term")).distinct()
 
 
-def _lowered(catalog: DataFrame) -> DataFrame:
-    return catalog.withColumn("_name", F.lower("product_name"))
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """A small intermediate result that several joins read, written once."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def _containing_substances(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_wanted, substance_name): the catalog's substances that contain a wanted text."""
-    known = distinct_substances(catalog).filter(F.col("substance_name").isNotNull())
-    spelled = known.withColumn("_known", F.lower("substance_name"))
+def _spellings(catalog: DataFrame) -> DataFrame:
+    """(_name, substance_name, _first): distinct lower-case names of each substance."""
+    first = F.min(F.struct("product_name", "id", "substance_name")).alias("_first")
+    return catalog.groupBy(F.lower("product_name").alias("_name"), "substance_name").agg(first)
+
+
+def _name_hits(spelled: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, _name, _first): distinct matched names with their first product."""
+    names = spelled.groupBy("_name").agg(F.min("_first").alias("_first"))
+    return containment_pairs(clean_terms(terms), "term", names, "_name")
+
+
+def _containing_substances(spelled: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_wanted, substance_name): the substances that contain a wanted text."""
+    known = distinct_substances(spelled).filter(F.col("substance_name").isNotNull())
     needles = wanted.filter(F.col("_wanted") != "")
-    return containment_pairs(needles, "_wanted", spelled, "_known").select(
-        "_wanted", "substance_name"
-    )
+    found = containment_pairs(needles, "_wanted", known.withColumn("_known", F.lower("substance_name")), "_known")
+    return found.select("_wanted", "substance_name")
 
 
 def _matched_substances(
-    catalog: DataFrame, hits: DataFrame, substance_pick: str, substance_match: str
+    spelled: DataFrame, hits: DataFrame, substance_pick: str, substance_match: str
 ) -> DataFrame:
     """(term, substance_name) for every substance a term leads to."""
     if substance_pick == "first":
@@ -76,7 +90,7 @@ def _matched_substances(
             .select("term", F.col("_first.substance_name").alias("_substance"))
         )
     elif substance_pick == "all":
-        per_name = _lowered(catalog).select("_name", F.col("substance_name").alias("_substance")).distinct()
+        per_name = spelled.select("_name", F.col("substance_name").alias("_substance"))
         picked = hits.select("term", "_name").join(per_name, "_name").select("term", "_substance").distinct()
     else:
         raise ValueError("substance_pick is 'first' or 'all'")
@@ -86,20 +100,10 @@ def _matched_substances(
     if substance_match != "contains":
         raise ValueError("substance_match is 'contains' or 'equals'")
     picked = picked.select("term", F.lower("_substance").alias("_wanted"))
-    containing = _containing_substances(catalog, picked.select("_wanted").distinct())
+    containing = _containing_substances(spelled, picked.select("_wanted").distinct())
     return picked.join(containing, "_wanted").select("term", "substance_name").distinct()
 
 
-def _name_hits(catalog: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, _name, _first): distinct matched names with their first product."""
-    names = (
-        _lowered(catalog)
-        .groupBy("_name")
-        .agg(F.min(F.struct("product_name", "id", "substance_name")).alias("_first"))
-    )
-    return containment_pairs(clean_terms(terms), "term", names, "_name")
-
-
 def search_batch(
     catalog: DataFrame,
     terms: DataFrame,
@@ -111,30 +115,31 @@ def search_batch(
     ``match_rank`` is 0 for a name match and 1 for an alternative. With
     ``substance_pick="first"`` the substance is that of the first matching
     product by name and id; with ``"all"`` every matching product's substance counts.
+    Everything is settled on distinct spellings, which are stored; products are joined once.
     """
-    hits = _name_hits(catalog, terms)
-    substances = _matched_substances(catalog, hits, substance_pick, substance_match)
-    name_match = F.contains(F.lower("product_name"), F.col("term"))
-    same_substance = catalog.join(substances, "substance_name").withColumn(
-        "match_rank", F.when(name_match, NAME_MATCH).otherwise(SUBSTANCE_MATCH)
+    spelled = _stored(_spellings(catalog), "spellings")
+    hits = _stored(_name_hits(spelled, terms), "name-hits")
+    substances = _stored(
+        _matched_substances(spelled, hits, substance_pick, substance_match), "matched-substances"
     )
-    # Name matches of another substance: settled per distinct (name, substance)
-    # before the products themselves are touched.
-    spelled = _lowered(catalog).select("_name", "substance_name").distinct()
-    strays = (
+    names = spelled.select("_name", "substance_name")
+    rank = F.when(F.contains("_name", F.col("term")), NAME_MATCH).otherwise(SUBSTANCE_MATCH)
+    same_substance = names.join(substances, "substance_name").select(
+        "term", "_name", "substance_name", rank.alias("match_rank")
+    )
+    other_substance = (
         hits.select("term", "_name")
-        .join(spelled, "_name")
+        .join(names, "_name")
         .join(substances, ["term", "substance_name"], "left_anti")
-        .withColumnRenamed("_name", "_stray_name")
-        .withColumnRenamed("substance_name", "_stray_substance")
+        .select("term", "_name", "substance_name", F.lit(NAME_MATCH).alias("match_rank"))
+    )
+    found = same_substance.unionByName(other_substance).withColumnsRenamed(
+        {"_name": "_found_name", "substance_name": "_found_substance"}
+    )
+    spelling = (F.lower("product_name") == F.col("_found_name")) & F.col("substance_name").eqNullSafe(
+        F.col("_found_substance")
     )
-    other_substance = _lowered(catalog).join(
-        strays,
-        (F.col("_name") == F.col("_stray_name"))
-        & F.col("substance_name").eqNullSafe(F.col("_stray_substance")),
-    ).withColumn("match_rank", F.lit(NAME_MATCH))
-    columns = ["term", *catalog.columns, "match_rank"]
-    return same_substance.select(*columns).unionByName(other_substance.select(*columns))
+    return catalog.join(found, spelling).select("term", *catalog.columns, "match_rank")
 
 
 def search_substitutes(catalog: DataFrame, term: str) -> DataFrame:
@@ -158,6 +163,7 @@ def search_substitutes(catalog: DataFrame, term: str) -> DataFrame:
 
 def substance_group(catalog: DataFrame, terms: DataFrame) -> DataFrame:
     """For every term the whole group of its substance, sorted by product name."""
-    hits = _name_hits(catalog, terms)
-    substances = _matched_substances(catalog, hits, "first", "contains")
+    spelled = _stored(_spellings(catalog), "spellings")
+    hits = _name_hits(spelled, terms)
+    substances = _matched_substances(spelled, hits, "first", "contains")
     return catalog.join(substances, "substance_name").orderBy("term", "product_name", "id")

@@ -33,12 +33,11 @@ def search_batch_all_substances(spark: SparkSession, sf: str) -> DataFrame:
     found = s.search_batch(
         b.catalog(spark, sf), b.search_terms(spark, sf), substance_pick="all", substance_match="equals"
     )
-    return found.select("term", "id", "product_name", "substance_name", "match_rank")
+    return plain(found)
 
 
 def substance_group(spark: SparkSession, sf: str) -> DataFrame:
-    found = s.substance_group(b.catalog(spark, sf), b.search_terms(spark, sf))
-    return found.select("term", "id", "product_name", "substance_name")
+    return plain(s.substance_group(b.catalog(spark, sf), b.search_terms(spark, sf)))
 
 
 def lookup_by_name(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,12 +103,13 @@ ORACLE = {
     "search_batch": f"WITH {b.CATALOG_SQL}, {b.TERMS_SQL}, {PICK_SQL} {_ROW} ({_RANKED})",
     "search_batch_all_substances": f"""WITH {b.CATALOG_SQL}, {b.TERMS_SQL}, reached AS (
   SELECT DISTINCT t.term, c.substance_name FROM terms t JOIN catalog c ON contains(lower(c.product_name), t.term))
-SELECT r.term, c.id, c.product_name, c.substance_name,
-       CASE WHEN contains(lower(c.product_name), r.term) THEN 0 ELSE 1 END AS match_rank
-FROM reached r JOIN catalog c ON c.substance_name = r.substance_name""",
+{_ROW} (
+  SELECT r.term, c.*, CASE WHEN contains(lower(c.product_name), r.term) THEN 0 ELSE 1 END AS match_rank
+  FROM reached r JOIN catalog c ON c.substance_name = r.substance_name)""",
     "substance_group": f"""WITH {b.CATALOG_SQL}, {b.TERMS_SQL}, {PICK_SQL}
-SELECT p.term, c.id, c.product_name, c.substance_name
-FROM picked p JOIN catalog c ON contains(lower(c.substance_name), lower(p.substance_name))""",
+{_ROW.replace("match_rank, ", "")} (
+  SELECT p.term, c.*
+  FROM picked p JOIN catalog c ON contains(lower(c.substance_name), lower(p.substance_name)))""",
     "lookup_by_name": f"WITH {b.CATALOG_SQL} {CATALOG_SELECT} catalog WHERE product_name = '{NAME}'",
     "lookup_batch": f"""WITH {b.CATALOG_SQL} {CATALOG_SELECT} (
   SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY id) AS place FROM catalog) WHERE place = 1""",

@@ -158,3 +158,20 @@ def test_sorted_names(catalog):
 def test_distinct_substances(catalog):
     found = {r[0] for r in s.distinct_substances(catalog.filter(F.col("id").isin("2", "3", "4"))).collect()}
     assert found == {"ABATACEPTE", "abatacepte"}
+
+
+def executed(df):
+    """The plan that ran, after adaptive execution."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_one_term_needs_neither_join_nor_explode(spark, catalog):
+    plan = executed(s.search_substitutes(catalog, "a"))
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_batch_search_joins_products_once(spark, catalog):
+    terms = spark.createDataFrame([("a",), ("b",)], "term string")
+    plan = executed(s.search_batch(catalog, terms))
+    assert "Generate" not in plan and plan.count("Scan parquet") <= 6
