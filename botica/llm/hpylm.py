@@ -2,7 +2,7 @@
 
 A text is its lower-cased words and an end. Words sit in one restaurant. Where it opens
 a table it asks its parent, which spells the word byte by byte: there, each context of
-up to five bytes is a restaurant, contexts reach across words, and a context's parent
+up to four bytes is a restaurant, contexts reach across words, and a context's parent
 is the one without its oldest byte. Tables of a restaurant are customers of its parent.
 Words never seen in training are one unknown word, as they are to the base score.
 
@@ -15,6 +15,7 @@ over several seatings.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +23,21 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from botica.llm.links import by_group
-from botica.llm.staging import numbered, ship_code, written
-from botica.llm.words import as_bytes, many_word_hashes
+from botica.llm.staging import ship_code, written
+from botica.llm.words import as_bytes, batches, many_word_hashes
 
 # Bytes of the longest context; a context and a symbol fit a 64-bit number.
-ORDER = 5
+ORDER = 4
 END = 10
 # Text bytes that are counted and scored as one block.
 BLOCK_BYTES = 32 << 20
+# Text bytes whose grams are in memory at once.
+SLICE_BYTES = 1 << 20
 # Discounts by length of context, and the strength of every restaurant.
-DISCOUNTS = (0.5, 0.5, 0.6, 0.7, 0.75, 0.8)
+DISCOUNTS = (0.5, 0.5, 0.6, 0.7, 0.75)
 STRENGTH = 1.0
 WORD_DISCOUNT = 0.75
 # The share of a new table's words that are unknown; known ones are spelt out.
@@ -77,15 +81,50 @@ def seat(customers: np.ndarray, opening, discount: float, random: np.random.Gene
     active = np.flatnonzero(customers > 1)
     while len(active):
         run = max(1, at // 32)
-        more = np.minimum(customers[active] - at, run)
-        new = opening(active, tables[active])
-        chance = new / (new + np.maximum(at - discount * tables[active], 1e-12))
-        tables[active] += random.binomial(more, chance)
+        held = tables[active]
+        new = opening(active, held)
+        chance = new / (new + np.maximum(at - discount * held, 1e-12))
+        if run == 1:
+            tables[active] = held + (random.random(len(active)) < chance)
+        else:
+            tables[active] = held + random.binomial(np.minimum(customers[active] - at, run), chance)
         at += run
         active = active[customers[active] > at]
     return tables
 
 
+class Index:
+    """Finds the places of many numbers among distinct ones, by hashed slots."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(63 - max(4, len(keys).bit_length()))
+        slots = self._slots(keys)
+        self.order = np.argsort(slots, kind="stable")
+        self.keys = keys[self.order]
+        counts = np.bincount(slots.astype(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, or -1."""
+        found = np.full(len(wanted), -1, dtype=np.int64)
+        if not len(self.keys):
+            return found
+        slots = self._slots(wanted).astype(np.int64)
+        at, end = self.starts[slots], self.starts[slots + 1]
+        left = np.flatnonzero(at < end)
+        at, end, sought = at[left], end[left], wanted[left]
+        while len(left):
+            same = self.keys[at] == sought
+            found[left[same]] = self.order[at[same]]
+            at = at + 1
+            on = ~same & (at < end)
+            left, at, end, sought = left[on], at[on], end[on], sought[on]
+        return found
+
+
 class Subtrees:
     """The restaurants below contexts of two bytes, for a table of contexts and symbols."""
 
@@ -166,43 +205,6 @@ def seat_upper(customers: np.ndarray, sweeps: int, seed: int) -> np.ndarray:
     raise AssertionError
 
 
-def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a task tied into blocks: ids, flags, and the symbols of all texts in a row."""
-
-    def tied(rows: list[pa.RecordBatch], texts: list[bytes], held: list[bool]) -> pa.RecordBatch:
-        ids = pa.concat_arrays([r.column("id") for r in rows])
-        lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        sizes = np.array([len(t) for t in texts], dtype="<i8")
-        return pa.RecordBatch.from_arrays(
-            [
-                lists,
-                pa.array([held], pa.list_(pa.bool_())),
-                pa.array([sizes.tobytes()], pa.binary()),
-                pa.array([b"".join(texts)], pa.binary()),
-            ],
-            ["ids", "held", "sizes", "symbols"],
-        )
-
-    rows: list[pa.RecordBatch] = []
-    texts: list[bytes] = []
-    held: list[bool] = []
-    total = 0
-    for batch in parts:
-        first = 0
-        flags = batch.column("held").to_pylist()
-        for k, text in enumerate(as_bytes(batch.column("text"))):
-            texts.append(symbols(text))
-            held.append(flags[k])
-            total += len(texts[-1])
-            if total >= BLOCK_BYTES:
-                yield tied([*rows, batch.slice(first, k + 1 - first)], texts, held)
-                rows, texts, held, total, first = [], [], [], 0, k + 1
-        if first < batch.num_rows:
-            rows.append(batch.slice(first))
-    if texts:
-        yield tied(rows, texts, held)
-
-
 def _opened(raw: bytes, sizes: bytes) -> list[bytes]:
     ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -214,37 +216,92 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END_WORD), counts + 1
 
 
-# What is counted: words, or contexts with a symbol.
-WORD, GRAM = 0, 1
+# What a row of a block holds: a count of a word, of a context with a symbol, or texts.
+WORD, GRAM, TEXTS = 0, 1, 2
 
 
 def _weighed(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers, and how often each occurs in training."""
-    found, place = np.unique(keys, return_inverse=True)
-    return found, np.bincount(place, train, len(found)).astype(np.int64)
-
-
-def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's distinct words and grams, with their counts in training texts."""
-    for batch in parts:
-        columns = [batch.column(c).to_pylist() for c in ("block", "held", "sizes", "symbols")]
-        for block, held, sizes, raw in zip(*columns, strict=True):
-            texts = _opened(raw, sizes)
-            learns = ~np.array(held, dtype=bool)
-            for kind, (keys, per_text) in ((WORD, _words(texts)), (GRAM, grams(texts))):
-                found, counts = _weighed(keys.astype(np.int64), np.repeat(learns, per_text))
-                for at in range(0, len(found), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    n = len(found[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(n, kind, dtype=np.int32)),
-                            pa.array(found[part]),
-                            pa.array(np.full(n, block)),
-                            pa.array(counts[part]),
-                        ],
-                        ["kind", "key", "block", "n"],
-                    )
+    order = np.sort(keys[train])
+    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])[: len(order)])
+    learned, counts = order[first], np.diff(np.append(first, len(order)))
+    others = np.unique(keys[~train])
+    return np.concatenate([learned, others]), np.concatenate([counts, np.zeros(len(others), dtype=np.int64)])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of several such tables, in the order of the numbers."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _blocks(id_type: pa.DataType):
+    """A task's texts in blocks: rows of texts, a slice each, and rows of each block's counts."""
+    schema = pa.schema(
+        [
+            ("kind", pa.int32()),
+            ("block", pa.int64()),
+            ("key", pa.int64()),
+            ("n", pa.int64()),
+            ("ids", pa.list_(id_type)),
+            ("held", pa.list_(pa.bool_())),
+            ("sizes", pa.binary()),
+            ("symbols", pa.binary()),
+        ]
+    )
+
+    def rows(height: int, **columns) -> pa.RecordBatch:
+        given = {k: v if isinstance(v, pa.Array) else pa.array(v, schema.field(k).type) for k, v in columns.items()}
+        return pa.RecordBatch.from_arrays(
+            [given[f.name] if f.name in given else pa.nulls(height, f.type) for f in schema], schema=schema
+        )
+
+    def counts_of(block: int, seen: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for kind, parts in seen.items():
+            keys, counts = _summed(parts)
+            for at in range(0, len(keys), 1 << 16):
+                own = keys[at : at + (1 << 16)]
+                n = len(own)
+                yield rows(
+                    n,
+                    kind=np.full(n, kind, dtype=np.int32),
+                    block=np.full(n, block),
+                    key=own,
+                    n=counts[at : at + n],
+                )
+
+    def tie(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list] = {WORD: [], GRAM: []}
+        block, size = int.from_bytes(os.urandom(8), "big") >> 1, 0
+        for batch in parts:
+            raw = as_bytes(batch.column("text"))
+            flags = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            for first, last in batches(raw, SLICE_BYTES):
+                texts = [symbols(t) for t in raw[first:last]]
+                learns = ~flags[first:last]
+                for kind, symbols_of in ((WORD, _words), (GRAM, grams)):
+                    keys, per_text = symbols_of(texts)
+                    seen[kind].append(_weighed(keys.astype(np.int64), np.repeat(learns, per_text)))
+                ids = batch.column("id").slice(first, last - first)
+                ids = pa.concat_arrays([ids])
+                yield rows(
+                    1,
+                    kind=[TEXTS],
+                    block=[block],
+                    ids=pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    held=[flags[first:last].tolist()],
+                    sizes=[np.array([len(t) for t in texts], dtype="<i8").tobytes()],
+                    symbols=[b"".join(texts)],
+                )
+                size += sum(map(len, texts))
+                if size >= BLOCK_BYTES:
+                    yield from counts_of(block, seen)
+                    seen = {WORD: [], GRAM: []}
+                    block, size = int.from_bytes(os.urandom(8), "big") >> 1, 0
+        if seen[WORD]:
+            yield from counts_of(block, seen)
+
+    return tie
 
 
 def _first_customers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,17 +383,13 @@ def score_texts(
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     id_kind = dict(slim.dtypes)["id"]
-    blocks = numbered(
-        slim.mapInArrow(_blocks, f"ids array<{id_kind}>, held array<boolean>, sizes binary, symbols binary"),
-        "lm-blocks",
-        "block",
-    )
-    counted = written(
-        blocks.select("block", "held", "sizes", "symbols").mapInArrow(
-            _counted, "kind int, key long, block long, n long"
-        ),
-        "lm-counts",
-    )
+    layout = f"""kind int, block long, key long, n long, ids array<{id_kind}>, held array<boolean>,
+                 sizes binary, symbols binary"""
+    id_type = to_arrow_type(slim.schema["id"].dataType)
+    # A block's number is drawn by the task that wrote it: only what is written counts.
+    tied = written(slim.mapInArrow(_blocks(id_type), layout), "lm-blocks")
+    blocks = tied.where(F.col("kind") == TEXTS).select("block", "ids", "held", "sizes", "symbols")
+    counted = tied.where(F.col("kind") != TEXTS).select("kind", "key", "block", "n")
     totals = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-totals")
     words = totals.where((F.col("kind") == WORD) & (F.col("n") > 0))
     words = words.select("key", "n").repartition("key").sortWithinPartitions("key")
@@ -361,57 +414,58 @@ def score_texts(
     known = seats.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"), "tables")
     model = model.select(F.lit(GRAM).alias("kind"), "key", "value", F.lit(0.0).alias("tables"))
     values = written(known.unionByName(model), "lm-values")
-    answers = counted.select("kind", "key", "block").join(values, ["kind", "key"])
+    answers = counted.select("kind", "key", F.col("block").alias("asker")).join(values, ["kind", "key"])
 
     def score(texts: pa.Table, facts: pa.Table) -> pa.Table:
         found = {}
         for kind in (WORD, GRAM):
-            own = facts.filter(pa.compute.equal(facts.column("kind"), kind)).sort_by("key")
-            found[kind] = [own.column(c).to_numpy() for c in ("key", "value", "tables")]
-        return _scored(texts, found, n_train, n_distinct, tables)
+            own = facts.filter(pa.compute.equal(facts.column("kind"), kind))
+            keys, value, held = (own.column(c).to_numpy() for c in ("key", "value", "tables"))
+            found[kind] = (Index(np.ascontiguousarray(keys)), value, held)
+        scored = [
+            _scored(row, found, n_train, n_distinct, tables)
+            for part in texts.to_batches()
+            for row in (part.slice(k, 1) for k in range(part.num_rows))
+        ]
+        return pa.Table.from_batches(scored)
 
     return (
-        blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {id_kind}, {_RESULT}")
+        blocks.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(score, f"id {id_kind}, {_RESULT}")
     )
 
 
-def _scored(row: pa.Table, found: dict, n_train: int, n_distinct: int, n_tables: float) -> pa.Table:
-    """The results of one block's texts, from its words' counts and tables and its grams' logs."""
-    ids = row.column("ids").combine_chunks().flatten()
-    held = row.column("held").combine_chunks().flatten()
+def _scored(row: pa.RecordBatch, found: dict, n_train: int, n_distinct: int, n_tables: float) -> pa.RecordBatch:
+    """The results of one slice's texts, from its words' counts and tables and its grams' logs."""
     texts = _opened(row.column("symbols")[0].as_py(), row.column("sizes")[0].as_py())
 
     def looked_up(kind: int, keys: np.ndarray) -> list[np.ndarray]:
-        known, *values = found[kind]
-        if not len(known):
-            return [np.zeros(len(keys)) for _ in values]
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return [np.where(known[place] == keys, v[place], 0.0) for v in values]
+        index, *values = found[kind]
+        place = index.places(keys)
+        return [np.where(place >= 0, v[place], 0.0) if len(v) else np.zeros(len(keys)) for v in values]
 
-    def per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), values, len(sizes))
+    def per_text(values: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(n_tokens)), n_tokens), values, len(n_tokens))
 
     words, n_tokens = _words(texts)
     counts, tables = looked_up(WORD, words.astype(np.int64))
-    base = per_text(np.log10(counts + 0.1) - np.log10(n_train + 0.1 * (n_distinct + 1)), n_tokens)
-    n_known = per_text((counts > 0).astype(np.float64), n_tokens)
+    base = np.log10(counts + 0.1) - np.log10(n_train + 0.1 * (n_distinct + 1))
     keys, _ = grams(texts)
     symbol = keys & 0xFF
     # A token ends with its blank, or is the end.
-    last = np.flatnonzero((symbol == 32) | (symbol == END))
-    spelt = np.add.reduceat(looked_up(GRAM, keys)[0], np.append(0, last[:-1] + 1))
+    ends = np.flatnonzero((symbol == 32) | (symbol == END))
+    spelt = np.add.reduceat(looked_up(GRAM, keys)[0], np.append(0, ends[:-1] + 1))
     new = STRENGTH + WORD_DISCOUNT * n_tables
     new = new * np.where(counts > 0, (1 - UNKNOWN) * 10.0**spelt, UNKNOWN)
     chance = (counts - WORD_DISCOUNT * tables + new) / (STRENGTH + n_train)
-    return pa.Table.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [
-            ids,
-            held,
+            row.column("ids").flatten(),
+            row.column("held").flatten(),
             pa.array(n_tokens),
-            pa.array(n_known.astype(np.int64)),
+            pa.array(per_text((counts > 0).astype(np.float64)).astype(np.int64)),
             pa.array(np.full(len(n_tokens), n_train, dtype=np.int64)),
-            pa.array(base),
-            pa.array(per_text(np.log10(chance), n_tokens)),
+            pa.array(per_text(base)),
+            pa.array(per_text(np.log10(chance))),
         ],
         ["id", *(x.split()[0] for x in _RESULT.split(", "))],
     )
