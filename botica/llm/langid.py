@@ -143,10 +143,11 @@ def page_languages(
         counts = written(rows.groupBy(key).agg(votes.alias(name)), "language-votes")
         return df.join(counts, key)
 
-    # Everyone's counts, as one row with a key that all rows share.
-    rows = rows.withColumn("everyone", F.lit(0))
-    rows = rows.withColumn("said", F.coalesce("declared", F.lit("")))
-    for key, name in (("everyone", "n_all"), ("suffix", "n_suffix"), ("host", "n_host"), ("said", "n_said")):
+    # One number for each language goes to the driver.
+    everyone = rows.agg(votes).first()[0] or [0.0] * len(langs)
+    n_all = F.array(*(F.lit(float(n or 0)) for n in everyone))
+    rows = rows.withColumn("n_all", n_all).withColumn("said", F.coalesce("declared", F.lit("")))
+    for key, name in (("suffix", "n_suffix"), ("host", "n_host"), ("said", "n_said")):
         rows = lifted(rows, key, name)
     fused = []
     for k in range(len(langs)):
