@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botica.llm.staging import numbered, ship_code, widened
+from botica.llm.staging import beside, numbered, restored, ship_code, widened
 from botica.llm.words import as_bytes
 
 # Bytes of a chunk: its sum of products stays below 2^64.
@@ -49,23 +49,23 @@ def shifted(value: int, length: int, which: int) -> int:
     return value * pow(RADIXES[which], length, PRIMES[which]) % PRIMES[which]
 
 
-def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x.lower() for x in as_bytes(batch.column("text"))]
+def _digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the digest of the normalised text, and its bytes."""
+    for batch in parts:
+        texts = as_bytes(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [
-                *(batch.column(k) for k in range(batch.num_columns - 1)),
-                pa.array(texts, pa.binary()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+                *batch.columns,
+                pa.array([hashlib.sha256(x.lower()).hexdigest() for x in texts], pa.string()),
                 pa.array([len(x) for x in texts], pa.int64()),
             ],
-            [*batch.schema.names[:-1], "text", "sha256", "n_bytes"],
+            [*batch.schema.names, "sha256", "n_bytes"],
         )
 
 
-def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        chunks = as_bytes(batch.column("chunk"))
+def _hash_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        chunks = [c.lower() for c in as_bytes(batch.column("chunk"))]
         after = batch.column("after").to_pylist()
         hashes = [
             [shifted(chunk_hash(c, w), n, w) for c, n in zip(chunks, after, strict=True)] for w in (0, 1)
@@ -75,11 +75,19 @@ def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _lower_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        at = batch.schema.get_field_index("chunk")
+        chunks = pa.array([c.lower() for c in as_bytes(batch.column(at))], pa.binary())
+        yield batch.set_column(at, "chunk", chunks)
+
+
 def _chunks(staged: DataFrame, chunk_bytes: int, *columns: str) -> DataFrame:
-    """A row per chunk; an empty text has one empty chunk."""
+    """A row per chunk of the text's bytes; an empty text has one empty chunk."""
     last = F.floor((F.greatest("n_bytes", F.lit(1)) - 1) / chunk_bytes)
     start = F.col("chunk_no") * chunk_bytes
-    cut = F.substring("text", (start + 1).cast("int"), F.lit(chunk_bytes))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    cut = F.substring(text, (start + 1).cast("int"), F.lit(chunk_bytes))
     after = F.greatest(F.col("n_bytes") - start - chunk_bytes, F.lit(0))
     return staged.select(
         *columns, "text", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no")
@@ -91,10 +99,9 @@ _KEY = ["n_bytes", "h0", "h1"]
 
 def _staged(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> DataFrame:
     ship_code(docs.sparkSession)
-    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if keep else []
+    rest = [beside(docs, text_col)] if keep else []
     slim = docs.select(F.col(id_col).alias("id"), *rest, F.col(text_col).cast("string").alias("text"))
-    schema = widened(slim.drop("text"), "text binary, sha256 string, n_bytes long")
-    return numbered(slim.mapInArrow(_normalise, schema), "exact-texts")
+    return numbered(slim.mapInArrow(_digest, widened(slim, "sha256 string, n_bytes long")), "exact-texts")
 
 
 def _grouped(staged: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -111,8 +118,9 @@ def _grouped(staged: DataFrame, chunk_bytes: int) -> DataFrame:
     repeated = rows.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     suspects = rows.join(repeated, _KEY, "left_semi").select("row", *_KEY)
     # Chunk by chunk, all texts of a fingerprint hold the same bytes or they don't.
+    chunks = _chunks(staged.join(suspects.select("row", "h0", "h1"), "row"), chunk_bytes, *_KEY).drop("after")
     compared = (
-        _chunks(staged.join(suspects.select("row", "h0", "h1"), "row"), chunk_bytes, *_KEY)
+        chunks.mapInArrow(_lower_chunks, chunks.schema)
         .groupBy(*_KEY, "chunk_no")
         .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
         .groupBy(*_KEY)
@@ -161,4 +169,5 @@ def drop_exact_copies(
     """The documents, all their columns, less those that repeat a kept one's text."""
     staged = _staged(docs, id_col, text_col, True)
     dropped = _grouped(staged, chunk_bytes).where("row != keep_row").select("row")
-    return staged.select("row", "document").join(dropped, "row", "left_anti").select("document.*")
+    kept = staged.select("row", "text", "rest").join(dropped, "row", "left_anti")
+    return restored(kept, docs, text_col)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.llm.links import by_group, forest, grouped, tiles
-from botica.llm.staging import numbered, ship_code, widened, written
+from botica.llm.staging import beside, numbered, restored, ship_code, widened, written
 from botica.llm.words import as_bytes, batches, many_word_hashes, mix, shingles
 
 # MinHash values of a document, and of a band: similar pairs (0.8) miss all bands once
@@ -210,7 +210,7 @@ def _joined(
     docs: DataFrame, id_col: str, text_col: str, keep: bool, width: int, threshold: float, tolerance: float, block: int
 ) -> tuple[DataFrame, DataFrame]:
     ship_code(docs.sparkSession)
-    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if keep else []
+    rest = [beside(docs, text_col)] if keep else []
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *rest)
     schema = widened(slim, "digest binary, bands array<long>")
     texts = numbered(slim.mapInArrow(_measured(width), schema), "ngram-texts")
@@ -273,4 +273,5 @@ def drop_near_copies(
     """The documents, all their columns, less those of a group other than its kept one."""
     texts, found = _joined(docs, id_col, text_col, True, width, threshold, tolerance, block)
     dropped = found.where(~F.col("kept")).select("row")
-    return texts.select("row", "document").join(dropped, "row", "left_anti").select("document.*")
+    kept = texts.select("row", "text", "rest").join(dropped, "row", "left_anti")
+    return restored(kept, docs, text_col)

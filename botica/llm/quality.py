@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botica.llm.staging import numbered, ship_code, widened, written
+from botica.llm.staging import ship_code, widened, written
 from botica.llm.words import SPAN, as_bytes, batches, mix, word_hashes
 
 _KINDS = ("lower", "upper", "digit", "blank", "line", "stop", "sign", "pipe", "high")
@@ -124,7 +124,7 @@ class QuadraticDiscriminant:
     """
 
     def __init__(
-        self, sums: dict[int, np.ndarray], towards_pooled: float = 0.1, towards_diagonal: float = 0.05
+        self, sums: dict[int, np.ndarray], towards_pooled: float = 0.7, towards_diagonal: float = 0.05
     ):
         p = len(FEATURES)
         counts = {label: s[0, 0] for label, s in sums.items()}
@@ -232,15 +232,23 @@ def keep_good(
     text_col: str = "text",
     threshold: float = 0.3,
 ) -> DataFrame:
-    """The documents, all their columns, that score at least ``threshold``."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
-    staged = numbered(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), whole), "good"
-    )
-    measured = written(text_statistics(staged, "text", "row", "id"), "quality")
-    known = measured.join(_labelled(labels), "id").where(~_held_out())
-    rejected = scored(measured.drop("id"), fit(known)).where(F.col("score") < threshold).select("row")
-    return staged.join(rejected, "row", "left_anti").select("document.*")
+    """The documents, all their columns, that score at least ``threshold``.
+
+    The texts are measured twice, to fit the model and to drop rows where they are read:
+    no document is shuffled or stored.
+    """
+    measured = text_statistics(docs, text_col, F.col(id_col).alias("id"))
+    model = fit(measured.join(_labelled(labels), "id").where(~_held_out()))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    place = docs.columns.index(text_col)
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            texts = as_bytes(batch.column(place).cast(pa.string()))
+            good = [model.score(np.array([statistics(t)]))[0] >= threshold for t in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.toDF(*names).mapInArrow(keep, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def describe(model: QuadraticDiscriminant) -> str:

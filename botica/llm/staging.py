@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,6 +57,20 @@ def numbered(df: DataFrame, label: str, row: str = "row") -> DataFrame:
     return stored.select("*", number.alias(row))
 
 
+def beside(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text, as one that no name can clash with: ``rest``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return F.struct(F.lit(True).alias("_"), *(c.alias(f"c{k}") for k, c in enumerate(others))).alias("rest")
+
+
+def restored(df: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` from ``text`` and ``rest``."""
+    others = iter(range(len(docs.columns)))
+    return df.select(
+        *(F.col("text").alias(c) if c == text_col else F.col(f"rest.c{next(others)}").alias(c) for c in docs.columns)
+    )
+
+
 # Written files whose row counts are sent to every task; beyond it they are joined.
 FEW_FILES = 100_000
 

@@ -17,7 +17,8 @@ from botica.llm.ngrams import drop_near_copies
 from botica.llm.packing import pack
 from botica.llm.quality import keep_good
 from botica.llm.queries import word_bpe
-from botica.llm.staging import table, written
+from botica.llm.staging import table
+from botica.workspace import new_folder, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        folder = new_folder(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
     return docs
 
 
