@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.llm.staging import dense, numbered, ship_code, widened
-from botica.llm.words import as_bytes, batches
+from botica.llm.words import as_bytes
 
 # Words whose ids a worker keeps; at this number it starts afresh.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
+# Documents whose pieces are held at once.
+ROWS = 1000
 _TAIL = b".,;:!?*#$%&|-()\""
 _loaded: dict[bytes, WordTokenizer] = {}
 
@@ -133,11 +135,10 @@ def pack(
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(shared.value)
         for batch in parts:
-            texts = as_bytes(batch.column("text"))
-            for first, last in batches(texts):
+            for first in range(0, batch.num_rows, ROWS):
                 source, start, ids, total = [], [], [], []
-                for k in range(first, last):
-                    raw = encoder.encode(texts[k]) + end
+                for k, text in enumerate(as_bytes(batch.column("text").slice(first, ROWS)), first):
+                    raw = encoder.encode(text) + end
                     at = 0
                     for stop in cuts(len(raw) // 4, sequence_length):
                         source.append(k)
