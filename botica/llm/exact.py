@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.llm.staging import beside, numbered, restored, ship_code, widened
-from botica.llm.words import as_bytes
+from botica.llm.words import as_bytes, release
 
 # Bytes of a chunk: its sum of products stays below 2^64.
 CHUNK = 1 << 16
@@ -61,6 +61,7 @@ def _digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             [*batch.schema.names, "sha256", "n_bytes"],
         )
+    release()
 
 
 def _hash_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +74,7 @@ def _hash_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), *(pa.array(h, pa.int64()) for h in hashes)], ["row", "h0", "h1"]
         )
+    release()
 
 
 def _lower_chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from botica.llm.links import by_group, forest, grouped, tiles
 from botica.llm.staging import beside, numbered, restored, ship_code, widened, written
-from botica.llm.words import as_bytes, batches, many_word_hashes, mix, shingles
+from botica.llm.words import as_bytes, batches, many_word_hashes, mix, release, shingles
 
 # MinHash values of a document, and of a band: similar pairs (0.8) miss all bands once
 # in 20 million. Values have 16 bits, so that a band is one 64-bit number.
@@ -118,6 +118,7 @@ def _measured(width: int):
                     [*rest, pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     [*batch.schema.names, "digest", "bands"],
                 )
+        release()
 
     return measure
 
@@ -152,6 +153,7 @@ def _pruned(threshold: float, tolerance: float):
                 [pa.array(tile[rows]), pa.array(rep[rows]), pa.array(copies[rows]), pa.array(partners, pa.binary())],
                 ["tile", "rep", "copies", "partners"],
             )
+        release()
 
     return compare
 
@@ -202,6 +204,7 @@ def _verified(width: int, threshold: float):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["rep", "weight", "root"]
             )
+        release()
 
     return check
 

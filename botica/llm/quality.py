@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from botica.llm.staging import ship_code, widened, written
-from botica.llm.words import SPAN, as_bytes, batches, mix, word_hashes
+from botica.llm.words import SPAN, as_bytes, batches, mix, release, word_hashes
 
 _KINDS = ("lower", "upper", "digit", "blank", "line", "stop", "sign", "pipe", "high")
 _kind = np.full(256, _KINDS.index("sign"), dtype=np.uint8)
@@ -91,6 +91,7 @@ def _measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 [*(batch.schema.names[k] for k in rest), "features"],
             )
+    release()
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text", *columns) -> DataFrame:
@@ -247,6 +248,7 @@ def keep_good(
             texts = as_bytes(batch.column(place).cast(pa.string()))
             good = [model.score(np.array([statistics(t)]))[0] >= threshold for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
+        release()
 
     return docs.toDF(*names).mapInArrow(keep, docs.toDF(*names).schema).toDF(*docs.columns)
 

@@ -6,6 +6,8 @@ and carriage return; A-Z count as a-z. Null texts are empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 # Bytes of text hashed at once: a table of powers has as many entries.
@@ -128,6 +130,16 @@ def shingles(words: np.ndarray, width: int, distinct: bool = True) -> np.ndarray
     return np.unique(total) if distinct else total
 
 
+def release() -> None:
+    """Gives memory that a task is done with back to the system: workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(texts, limit: int = 8 << 20):
     """Slices of a list of byte strings, each of about ``limit`` bytes."""
     first, size = 0, 0
