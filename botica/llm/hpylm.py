@@ -1,16 +1,18 @@
 """Scores of texts by a hierarchical Pitman-Yor model.
 
-A text is its lower-cased words and an end. Words sit in one restaurant. Where it opens
-a table it asks its parent, which spells the word byte by byte: there, each context of
-up to four bytes is a restaurant, contexts reach across words, and a context's parent
-is the one without its oldest byte. Tables of a restaurant are customers of its parent.
-Words never seen in training are one unknown word, as they are to the base score.
-
-Customers are seated by Gibbs sampling. Byte contexts of two and more lie below one
-of their last two bytes: such a subtree is one piece of work, however many texts it
-came from, since it holds each distinct context and symbol once. The upper restaurants,
-at most 65,792 numbers, are seated on the driver. Predictive probabilities are averaged
-over several seatings.
+A text is its lower-cased words and an end. The word before is a restaurant; its parent
+is one restaurant of words without context, whose parent spells a word byte by byte:
+there, each context of up to four bytes of the word is a restaurant, and a context's
+parent is the one without its oldest byte. Tables of a restaurant are customers of its
+parent, at every step. Words never seen in training are spelt like all others.
+
+Customers are seated by Gibbs sampling, from the longest contexts up. Restaurants are
+dealt out by hash of the context, words by hash of the word, spellings by a context's
+last two bytes; counts are summed per block of texts before they are sent, and answers
+come back in the order of what was asked. What is seeded by its own content is seated
+alike when it is read again. The upper restaurants of the spelling, at most 65,792
+numbers, are seated on the driver. Predictive probabilities are averaged over several
+seatings.
 """
 
 from __future__ import annotations
@@ -20,27 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from botica.llm.links import by_group
 from botica.llm.staging import ship_code, written
-from botica.llm.words import as_bytes, batches, many_word_hashes
+from botica.llm.words import as_bytes, many_word_hashes, mix, release
 
 # Bytes of the longest context; a context and a symbol fit a 64-bit number.
 ORDER = 4
 END = 10
 # Text bytes that are counted and scored as one block.
-BLOCK_BYTES = 32 << 20
-# Text bytes whose grams are in memory at once.
-SLICE_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
+# Text bytes for each of the parts that contexts, words and spellings are dealt to.
+PART_BYTES = 16 << 20
 # Discounts by length of context, and the strength of every restaurant.
 DISCOUNTS = (0.5, 0.5, 0.6, 0.7, 0.75)
 STRENGTH = 1.0
 WORD_DISCOUNT = 0.75
-# The share of a new table's words that are unknown; known ones are spelt out.
+CONTEXT_DISCOUNT = 0.75
+# The probability of each word where nothing was learned, not even to spell.
 UNKNOWN = 0.5
 # The hash that stands for the end of a text among those of words.
 END_WORD = np.uint64(1)
@@ -93,38 +96,6 @@ def seat(customers: np.ndarray, opening, discount: float, random: np.random.Gene
     return tables
 
 
-class Index:
-    """Finds the places of many numbers among distinct ones, by hashed slots."""
-
-    def __init__(self, keys: np.ndarray):
-        self.shift = np.uint64(63 - max(4, len(keys).bit_length()))
-        slots = self._slots(keys)
-        self.order = np.argsort(slots, kind="stable")
-        self.keys = keys[self.order]
-        counts = np.bincount(slots.astype(np.int64), minlength=1 << (64 - int(self.shift)))
-        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def places(self, wanted: np.ndarray) -> np.ndarray:
-        """The place of each number, or -1."""
-        found = np.full(len(wanted), -1, dtype=np.int64)
-        if not len(self.keys):
-            return found
-        slots = self._slots(wanted).astype(np.int64)
-        at, end = self.starts[slots], self.starts[slots + 1]
-        left = np.flatnonzero(at < end)
-        at, end, sought = at[left], end[left], wanted[left]
-        while len(left):
-            same = self.keys[at] == sought
-            found[left[same]] = self.order[at[same]]
-            at = at + 1
-            on = ~same & (at < end)
-            left, at, end, sought = left[on], at[on], end[on], sought[on]
-        return found
-
-
 class Subtrees:
     """The restaurants below contexts of two bytes, for a table of contexts and symbols."""
 
@@ -216,145 +187,225 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END_WORD), counts + 1
 
 
-# What a row of a block holds: a count of a word, of a context with a symbol, or texts.
-WORD, GRAM, TEXTS = 0, 1, 2
+def _blocks(id_type: pa.DataType):
+    """A task's texts in blocks, a row each; their bytes are compressed."""
+    names = ["block", "ids", "held", "sizes", "size", "symbols"]
 
+    def tie(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, texts, size = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            values = pa.concat_arrays(ids)
+            columns = [
+                pa.array([int.from_bytes(os.urandom(8), "big") >> 1]),
+                pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values),
+                pa.array([held], pa.list_(pa.bool_())),
+                pa.array([np.array([len(t) for t in texts], dtype="<i8").tobytes()], pa.binary()),
+                pa.array([sum(map(len, texts))]),
+                pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
 
-def _weighed(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, and how often each occurs in training."""
-    order = np.sort(keys[train])
-    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])[: len(order)])
-    learned, counts = order[first], np.diff(np.append(first, len(order)))
-    others = np.unique(keys[~train])
-    return np.concatenate([learned, others]), np.concatenate([counts, np.zeros(len(others), dtype=np.int64)])
+        for batch in parts:
+            flags = batch.column("held").to_pylist()
+            column, first = batch.column("id").cast(id_type), 0
+            for k, text in enumerate(as_bytes(batch.column("text"))):
+                texts.append(symbols(text))
+                held.append(flags[k])
+                size += len(texts[-1])
+                if size >= BLOCK_BYTES:
+                    ids.append(column.slice(first, k + 1 - first))
+                    yield block()
+                    ids, held, texts, size, first = [], [], [], 0, k + 1
+            ids.append(column.slice(first))
+        if texts:
+            yield block()
 
+    return tie
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of several such tables, in the order of the numbers."""
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
+def _same(key: int) -> int:
+    return key
 
-def _blocks(id_type: pa.DataType):
-    """A task's texts in blocks: rows of texts, a slice each, and rows of each block's counts."""
-    schema = pa.schema(
-        [
-            ("kind", pa.int32()),
-            ("block", pa.int64()),
-            ("key", pa.int64()),
-            ("n", pa.int64()),
-            ("ids", pa.list_(id_type)),
-            ("held", pa.list_(pa.bool_())),
-            ("sizes", pa.binary()),
-            ("symbols", pa.binary()),
-        ]
-    )
 
-    def rows(height: int, **columns) -> pa.RecordBatch:
-        given = {k: v if isinstance(v, pa.Array) else pa.array(v, schema.field(k).type) for k, v in columns.items()}
-        return pa.RecordBatch.from_arrays(
-            [given[f.name] if f.name in given else pa.nulls(height, f.type) for f in schema], schema=schema
-        )
+def _dealt(pieces: RDD, parts: int) -> RDD:
+    """Pieces (part, ...) at their parts; stored once, however often they are read."""
+    return pieces.partitionBy(parts, _same)
+
+
+def _gathered(pieces: RDD, work) -> RDD:
+    """``work(key, pieces by kind)`` for every key; a piece is (key, (kind, from, ...))."""
 
-    def counts_of(block: int, seen: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        for kind, parts in seen.items():
-            keys, counts = _summed(parts)
-            for at in range(0, len(keys), 1 << 16):
-                own = keys[at : at + (1 << 16)]
-                n = len(own)
-                yield rows(
-                    n,
-                    kind=np.full(n, kind, dtype=np.int32),
-                    block=np.full(n, block),
-                    key=own,
-                    n=counts[at : at + n],
-                )
+    def run(rows):
+        held: dict[int, dict[str, list]] = {}
+        for key, (kind, *rest) in rows:
+            held.setdefault(key, {}).setdefault(kind, []).append(rest)
+        for key in sorted(held):
+            of_key = held.pop(key)
+            for kind in of_key:
+                of_key[kind].sort(key=lambda piece: piece[0])
+            yield from work(key, of_key)
+        release()
+
+    return pieces.mapPartitions(run)
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest of them needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def _cut(homes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part, and the places of what goes there, in order."""
+    order = np.argsort(homes, kind="stable")
+    found, first = np.unique(homes[order], return_index=True)
+    return zip(found.tolist(), np.split(order, first)[1:], strict=True)
+
+
+def _home(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(parts)).astype(np.int64)
+
+
+class Block:
+    """A block's words and pairs of words, in the order in which they are asked for."""
+
+    def __init__(self, row: dict):
+        whole = pa.decompress(row["symbols"], row["size"], "zstd", asbytes=True)
+        self.raw = np.frombuffer(whole, dtype=np.uint8)
+        words, self.n_tokens = _words(_opened(whole, row["sizes"]))
+        learns = np.repeat(~np.array(row["held"], dtype=bool), self.n_tokens)
+        self.words, self.first, self.word_of = np.unique(words, return_index=True, return_inverse=True)
+        self.learned = np.bincount(self.word_of[learns], minlength=len(self.words))
+        self._learns = learns
+
+    def pair(self) -> None:
+        # The word before a text's first one is the end of the text before.
+        end = np.searchsorted(self.words, END_WORD)
+        before = np.concatenate([[end], self.word_of[:-1]])
+        pairs, self.pair_of = np.unique(before * len(self.words) + self.word_of, return_inverse=True)
+        self.pair_learned = np.bincount(self.pair_of[self._learns], minlength=len(pairs))
+        self.before, self.word = np.divmod(pairs, len(self.words))
+
+    def spellings(self) -> list[bytes]:
+        # A token ends with its blank, or is the end.
+        ends = np.flatnonzero((self.raw == 32) | (self.raw == END))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        whole = self.raw.tobytes()
+        return [whole[a : b + 1] for a, b in zip(starts[self.first].tolist(), ends[self.first].tolist(), strict=True)]
+
+    def to_words(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        return _cut(_home(self.words, parts))
+
+    def to_contexts(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        return _cut(_home(self.words, parts)[self.before])
+
+
+class Contexts:
+    """A part's restaurants: the words that follow each word, with their counts."""
+
+    def __init__(self, pieces: list):
+        runs = [np.repeat(contexts, lengths) for _, contexts, lengths, _, _ in pieces]
+        before = np.concatenate(runs)
+        word = np.concatenate([p[3] for p in pieces])
+        n = np.concatenate([p[4].astype(np.int64) for p in pieces])
+        order = np.lexsort((word, before))
+        before, word = before[order], word[order]
+        new_room = np.concatenate([[True], before[1:] != before[:-1]])
+        new = new_room | np.concatenate([[True], word[1:] != word[:-1]])
+        self.place = np.empty(len(order), dtype=np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.room = (np.cumsum(new_room) - 1)[new]
+        self.n = np.bincount(self.place, n, int(new.sum())).astype(np.int64)
+        self.word = word[new]
+        self.asked, self.asks = np.unique(self.word[self.n > 0], return_inverse=True)
+        self.seed = [len(self.n), int(self.n.sum())]
+
+    def in_room(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.room, values)[self.room]
+
+    def seatings(self, parent: np.ndarray, sweeps: int, seed: int) -> Iterator[np.ndarray]:
+        """Tables after each sweep; ``parent`` has the probabilities of the asked words."""
+        random, d = np.random.default_rng([seed, *self.seed]), CONTEXT_DISCOUNT
+        chance = np.zeros(len(self.n))
+        chance[self.n > 0] = parent[self.asks]
+        tables = np.minimum(self.n, 1)
+        for _ in range(sweeps):
+            others = STRENGTH + d * (self.in_room(tables) - tables)
+            tables = seat(self.n, lambda k, t, o=others: (o[k] + d * t) * chance[k], d, random)
+            yield tables
+
+
+class Words:
+    """A part's words: how often learned, spelling, and customers sent by the contexts."""
+
+    def __init__(self, pieces: dict[str, list]):
+        own = pieces["word"]
+        every = np.concatenate([p[1] for p in own])
+        self.words, first, self.place = np.unique(every, return_index=True, return_inverse=True)
+        self.n = np.bincount(self.place, np.concatenate([p[2] for p in own]), len(self.words)).astype(np.int64)
+        self.cuts = np.cumsum([len(p[1]) for p in own])[:-1]
+        self.senders = [p[0] for p in own]
+        self._first, self._own = first, own
+        asks = pieces.get("ask", [])
+        self.asks = [(p[0], np.searchsorted(self.words, p[1])) for p in asks]
+        # The latest numbers of tables that the contexts sent, part by part.
+        sent = {p[0]: p[1] for p in pieces.get("tables", [])} or {p[0]: p[2] for p in asks}
+        self.customers = np.zeros(len(self.words), dtype=np.int64)
+        for part, at in self.asks:
+            self.customers[at] += sent[part].astype(np.int64)
+
+    def spellings(self) -> list[bytes]:
+        starts = np.concatenate([[0], self.cuts]).astype(np.int64)
+        piece = np.searchsorted(starts, self._first, side="right") - 1
+        opened = [(p[3], np.concatenate([[0], np.cumsum(p[4], dtype=np.int64)])) for p in self._own]
+        found = []
+        for k, at in zip(piece.tolist(), (self._first - starts[piece]).tolist(), strict=True):
+            raw, ends = opened[k]
+            found.append(raw[ends[at] : ends[at + 1]])
+        return found
 
-    def tie(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list] = {WORD: [], GRAM: []}
-        block, size = int.from_bytes(os.urandom(8), "big") >> 1, 0
-        for batch in parts:
-            raw = as_bytes(batch.column("text"))
-            flags = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            for first, last in batches(raw, SLICE_BYTES):
-                texts = [symbols(t) for t in raw[first:last]]
-                learns = ~flags[first:last]
-                for kind, symbols_of in ((WORD, _words), (GRAM, grams)):
-                    keys, per_text = symbols_of(texts)
-                    seen[kind].append(_weighed(keys.astype(np.int64), np.repeat(learns, per_text)))
-                ids = batch.column("id").slice(first, last - first)
-                ids = pa.concat_arrays([ids])
-                yield rows(
-                    1,
-                    kind=[TEXTS],
-                    block=[block],
-                    ids=pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    held=[flags[first:last].tolist()],
-                    sizes=[np.array([len(t) for t in texts], dtype="<i8").tobytes()],
-                    symbols=[b"".join(texts)],
-                )
-                size += sum(map(len, texts))
-                if size >= BLOCK_BYTES:
-                    yield from counts_of(block, seen)
-                    seen = {WORD: [], GRAM: []}
-                    block, size = int.from_bytes(os.urandom(8), "big") >> 1, 0
-        if seen[WORD]:
-            yield from counts_of(block, seen)
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts and bytes of all spellings, where each byte's is, the spellings' sizes."""
+        every, sizes = grams(self.spellings())
+        keys, place = np.unique(every, return_inverse=True)
+        return keys, place, sizes
 
-    return tie
+    def spelt(self, pieces: list, parts: int) -> np.ndarray:
+        """Logs of the words' probabilities by their spelling."""
+        keys, place, sizes = self.grams()
+        values, answers = np.zeros(len(keys)), {p[0]: p[1] for p in pieces}
+        for part, at in _cut(_subtree(keys) % parts):
+            values[at] = answers[part]
+        return np.add.reduceat(values[place], np.cumsum(sizes) - sizes)
 
+    def seatings(self, spelt: np.ndarray, tables: float, sweeps: int, seed: int) -> Iterator[np.ndarray]:
+        """Tables after each seating; ``tables`` is the number in the whole restaurant."""
+        random = np.random.default_rng([seed, len(self.words), int(self.customers.sum())])
+        for _ in range(sweeps):
+            new = (STRENGTH + WORD_DISCOUNT * tables) * 10.0**spelt
+            yield seat(self.customers, lambda k, t, o=new: o[k], WORD_DISCOUNT, random)
 
-def _first_customers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the subtrees' tables send to the contexts of one byte."""
-    total = np.zeros(1 << 16, dtype=np.int64)
-    for part in by_group(parts, "subtree", 1 << 18):
-        keys, counts = part.column("key").to_numpy(), part.column("n").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        tree = Subtrees(keys[order], counts[order])
-        np.add.at(total, tree.keys[1], tree.customers[1])
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
-
-
-def _sampled(uppers: list[np.ndarray], burn_in: int, seed: int):
-    def sample(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Predictive probabilities averaged over seatings, one for each upper seating."""
-        for part in by_group(parts, "subtree", 1 << 18):
-            keys, counts = part.column("key").to_numpy(), part.column("n").to_numpy()
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            tree = Subtrees(keys, counts[order])
-            # Seeded by what is seated, so that a repeated task seats alike.
-            random = np.random.default_rng([seed, int(keys[0]), len(keys)])
-            for _ in range(burn_in):
-                tree.sweep(uppers[0], random)
-            mean = np.zeros(len(keys))
-            for upper in uppers:
-                tree.sweep(upper, random)
-                mean += tree.predictive(upper)[ORDER]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.log10(mean / len(uppers)))], ["key", "value"]
-            )
 
-    return sample
+def _subtree(keys: np.ndarray) -> np.ndarray:
+    return (keys >> 8) & 0xFFFF
 
 
-def _seated_words(opening: float, samples: int, seed: int):
-    def seated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Mean tables of each word over several seatings."""
-        for batch in parts:
-            if not batch.num_rows:
-                continue
-            counts = batch.column("n").to_numpy()
-            random = np.random.default_rng([seed, int(counts.sum()), len(counts)])
-            tables = sum(
-                seat(counts, lambda k, t: np.full(len(k), opening), WORD_DISCOUNT, random) for _ in range(samples)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(tables / samples)], ["key", "n", "tables"]
-            )
+class Spellings:
+    """A part's subtrees, for the contexts and bytes that the parts of the words ask for."""
+
+    def __init__(self, pieces: list, weights: list | None = None):
+        keys, self.place = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
+        counts = {p[0]: p[1] for p in weights or ()} or {p[0]: p[2] for p in pieces}
+        n = np.bincount(self.place, np.concatenate([counts[p[0]] for p in pieces]), len(keys)).astype(np.int64)
+        self.tree = Subtrees(keys, n)
+        self.cuts = np.cumsum([len(p[1]) for p in pieces])[:-1]
+        self.senders = [p[0] for p in pieces]
 
-    return seated
+
+def _log_sum(a: np.ndarray, b, logs: np.ndarray) -> np.ndarray:
+    """log10(a + b * 10 ** logs): the spelling of a long word is less than the least float."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp2(np.log2(a), np.log2(b) + logs * np.log2(10)) / np.log2(10)
 
 
 _RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -374,98 +425,223 @@ def score_texts(
     The model learns from documents whose crc32 of the id as text isn't a multiple of
     ``folds`` (a null id counts as empty text). Tokens are words, parted by ASCII white
     space, A-Z counted as a-z, and one end; null texts have the end alone. ``score`` is
-    the model's log10 probability of the text, ``base_score`` that of add-0.1 unigrams;
-    a text's perplexity is 10 to the minus score by n_tokens. Repeated ids are rows like
-    others. An empty table gives an empty result; where nothing was learned, all words
-    are unknown.
+    the model's log10 probability of the text, ``base_score`` that of add-0.1 unigrams,
+    to which unseen words are one word; a text's perplexity is 10 to the minus score by
+    n_tokens. Repeated ids are rows like others. An empty table gives an empty result;
+    where nothing was learned, there is no spelling either and all words are unknown.
     """
-    ship_code(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_code(spark)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    id_kind = dict(slim.dtypes)["id"]
-    layout = f"""kind int, block long, key long, n long, ids array<{id_kind}>, held array<boolean>,
-                 sizes binary, symbols binary"""
-    id_type = to_arrow_type(slim.schema["id"].dataType)
+    id_field = slim.schema["id"]
+    layout = f"block long, ids array<{dict(slim.dtypes)['id']}>, held array<boolean>, sizes binary, size long, symbols binary"
     # A block's number is drawn by the task that wrote it: only what is written counts.
-    tied = written(slim.mapInArrow(_blocks(id_type), layout), "lm-blocks")
-    blocks = tied.where(F.col("kind") == TEXTS).select("block", "ids", "held", "sizes", "symbols")
-    counted = tied.where(F.col("kind") != TEXTS).select("kind", "key", "block", "n")
-    totals = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-totals")
-    words = totals.where((F.col("kind") == WORD) & (F.col("n") > 0))
-    words = words.select("key", "n").repartition("key").sortWithinPartitions("key")
-    n_train, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tables = n_distinct
-    for sweep in range(2):
-        # The weight of a new table for a word, were all words and the unknown one alike.
-        opening = (STRENGTH + WORD_DISCOUNT * tables) / (n_distinct + 1)
-        seats = words.mapInArrow(_seated_words(opening, samples, seed + sweep), "key long, n long, tables double")
-        seats = written(seats, "lm-words")
-        tables = seats.agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0]
-
-    subtree = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("subtree")
-    trees = totals.where(F.col("kind") == GRAM).select(subtree, "key", "n")
-    trees = trees.repartition("subtree").sortWithinPartitions("subtree")
-    sent = trees.mapInArrow(_first_customers, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    customers = np.zeros(1 << 16, dtype=np.int64)
-    for cell, n in sent.collect():
-        customers[cell] = n
-    uppers = [seat_upper(customers.reshape(256, 256), burn_in + 1, seed + k) for k in range(samples)]
-    model = trees.mapInArrow(_sampled(uppers, burn_in, seed), "key long, value double")
-    known = seats.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value"), "tables")
-    model = model.select(F.lit(GRAM).alias("kind"), "key", "value", F.lit(0.0).alias("tables"))
-    values = written(known.unionByName(model), "lm-values")
-    answers = counted.select("kind", "key", F.col("block").alias("asker")).join(values, ["kind", "key"])
-
-    def score(texts: pa.Table, facts: pa.Table) -> pa.Table:
-        found = {}
-        for kind in (WORD, GRAM):
-            own = facts.filter(pa.compute.equal(facts.column("kind"), kind))
-            keys, value, held = (own.column(c).to_numpy() for c in ("key", "value", "tables"))
-            found[kind] = (Index(np.ascontiguousarray(keys)), value, held)
-        scored = [
-            _scored(row, found, n_train, n_distinct, tables)
-            for part in texts.to_batches()
-            for row in (part.slice(k, 1) for k in range(part.num_rows))
-        ]
-        return pa.Table.from_batches(scored)
-
-    return (
-        blocks.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(score, f"id {id_kind}, {_RESULT}")
-    )
+    tied = written(slim.mapInArrow(_blocks(to_arrow_type(id_field.dataType)), layout), "lm-blocks")
+    result = T.StructType([T.StructField("id", id_field.dataType), *T.StructType.fromDDL(_RESULT).fields])
+    drawn = tied.select("block", "size").collect()
+    if not drawn:
+        return spark.createDataFrame([], result)
+    number = {r.block: k for k, r in enumerate(sorted(drawn))}
+    parts = -(-sum(r.size for r in drawn) // PART_BYTES)
+    texts = tied.rdd.map(lambda row: (number[row["block"]], row.asDict()))
+
+    def words_of(rows):
+        for key, row in rows:
+            block = Block(row)
+            spelt = np.array(block.spellings(), dtype=object)
+            for part, at in block.to_words(parts):
+                own = spelt[at].tolist()
+                sizes = _small(np.array([len(w) for w in own], dtype=np.int64))
+                yield part, ("word", key, block.words[at], _small(block.learned[at]), b"".join(own), sizes)
+        release()
+
+    def pairs_of(rows):
+        for key, row in rows:
+            block = Block(row)
+            block.pair()
+            for part, at in block.to_contexts(parts):
+                contexts, lengths = np.unique(block.before[at], return_counts=True)
+                piece = block.words[contexts], _small(lengths), block.words[block.word[at]], _small(block.pair_learned[at])
+                yield part, ("pair", key, *piece)
+        release()
+
+    vocabulary, pairs = (_dealt(texts.mapPartitions(of), parts) for of in (words_of, pairs_of))
+
+    def asks(part, pieces):
+        rooms = Contexts(pieces["pair"])
+        n = np.bincount(rooms.asks, minlength=len(rooms.asked))
+        for home, at in _cut(_home(rooms.asked, parts)):
+            yield home, ("ask", part, rooms.asked[at], _small(n[at]))
+
+    asking = _dealt(_gathered(pairs, asks), parts)
+
+    def spelling(words: RDD, weights, seed: int, asked: RDD | None = None) -> tuple[RDD, RDD]:
+        """The words' spellings, given customers of each word, and the grams asked for."""
+        again = asked is not None
+
+        def spell(part, pieces):
+            own = Words(pieces)
+            keys, place, sizes = own.grams()
+            n = np.bincount(place, np.repeat(weights(own, pieces), sizes), len(keys)).astype(np.int64)
+            for home, at in _cut(_subtree(keys) % parts):
+                yield home, ("weights", part, _small(n[at])) if again else ("gram", part, keys[at], _small(n[at]))
+
+        told = _dealt(_gathered(words, spell), parts)
+        asked, told = (asked, asked.union(told)) if again else (told, told)
+
+        def first_customers(part, pieces):
+            tree = Spellings(pieces["gram"], pieces.get("weights")).tree
+            total = np.bincount(tree.keys[1], tree.customers[1], 1 << 16).astype(np.int64)
+            yield np.flatnonzero(total), total[total > 0]
+
+        customers = np.zeros(1 << 16, dtype=np.int64)
+        for cells, n in _gathered(told, first_customers).collect():
+            customers[cells] += n
+        uppers = [seat_upper(customers.reshape(256, 256), burn_in + 1, seed + k) for k in range(samples)]
+
+        def sampled(part, pieces):
+            own = Spellings(pieces["gram"], pieces.get("weights"))
+            random = np.random.default_rng([seed, part, len(own.place)])
+            for _ in range(burn_in):
+                own.tree.sweep(uppers[0], random)
+            mean = 0.0
+            for upper in uppers:
+                own.tree.sweep(upper, random)
+                mean = mean + own.tree.predictive(upper)[ORDER] / len(uppers)
+            for home, values in zip(own.senders, np.split(np.log10(mean)[own.place], own.cuts), strict=True):
+                yield home, ("gram", part, values.astype(np.float32))
+
+        def summed(part, pieces):
+            yield part, ("spelt", part, Words(pieces).spelt(pieces["gram"], parts))
 
+        answered = vocabulary.union(_dealt(_gathered(told, sampled), parts))
+        return _dealt(_gathered(answered, summed), parts), asked
 
-def _scored(row: pa.RecordBatch, found: dict, n_train: int, n_distinct: int, n_tables: float) -> pa.RecordBatch:
-    """The results of one slice's texts, from its words' counts and tables and its grams' logs."""
-    texts = _opened(row.column("symbols")[0].as_py(), row.column("sizes")[0].as_py())
+    # First every word has one table in each context, and one of its own.
+    words = vocabulary.union(asking)
+    spelt, grams_asked = spelling(words, lambda own, _: np.minimum(own.customers, 1), seed)
+
+    def sums(part, pieces):
+        own = Words(pieces)
+        yield int(own.n.sum()), int((own.n > 0).sum()), int(own.customers.sum())
+
+    n_train, n_distinct, n_customers = map(sum, zip(*_gathered(words, sums).collect(), strict=True))
+
+    def tables_of(words: RDD, seed: int, tables: float) -> float:
+        def total(part, pieces):
+            own = Words(pieces)
+            yield sum(t.sum() for t in own.seatings(pieces["spelt"][0][1], tables, samples, seed)) / samples
+
+        return float(sum(_gathered(words, total).collect()))
+
+    def chances(own: Words, pieces, seed: int, before: float, tables: float, customers: int) -> np.ndarray:
+        """Logs of the words' probabilities without context, averaged over seatings."""
+        spelt = pieces["spelt"][0][1]
+        mean = sum(own.seatings(spelt, before, samples, seed)) / samples
+        return _log_sum(own.customers - WORD_DISCOUNT * mean, STRENGTH + WORD_DISCOUNT * tables, spelt) - np.log10(
+            STRENGTH + customers
+        )
 
-    def looked_up(kind: int, keys: np.ndarray) -> list[np.ndarray]:
-        index, *values = found[kind]
-        place = index.places(keys)
-        return [np.where(place >= 0, v[place], 0.0) if len(v) else np.zeros(len(keys)) for v in values]
+    if n_train:
+        words = words.union(spelt)
+        tables = tables_of(words, seed, n_distinct)
+
+        def answers(part, pieces):
+            own = Words(pieces)
+            chance = chances(own, pieces, seed, n_distinct, tables, n_customers)
+            for home, at in own.asks:
+                yield home, ("parent", part, (10.0 ** chance[at]).astype(np.float32))
+
+        seated = pairs.union(_dealt(_gathered(words, answers), parts))
+
+        def parents(rooms: Contexts, pieces) -> np.ndarray:
+            found, given = np.zeros(len(rooms.asked)), {p[0]: p[1] for p in pieces.get("parent", [])}
+            for home, at in _cut(_home(rooms.asked, parts)):
+                found[at] = given[home]
+            return found
+
+        def tables_sent(part, pieces):
+            rooms = Contexts(pieces["pair"])
+            every = list(rooms.seatings(parents(rooms, pieces), burn_in + samples, seed))[burn_in:]
+            yield part, ("seated", part, _small(sum(every)))
+            last = every[-1]
+            n = np.bincount(rooms.asks, last[rooms.n > 0], len(rooms.asked)).astype(np.int64)
+            for home, at in _cut(_home(rooms.asked, parts)):
+                yield home, ("tables", part, _small(n[at]))
+
+        told = _dealt(_gathered(seated, tables_sent), parts)
+        words = vocabulary.union(asking).union(told)
+        n_customers = sum(c for _, _, c in _gathered(words, sums).collect())
+
+        # Each table of a word is a customer of its spelling.
+        before = tables
+        first = words.union(spelt)
+        spelt, _ = spelling(
+            first, lambda own, p: list(own.seatings(p["spelt"][0][1], before, samples, seed + 1))[-1], seed + 1, grams_asked
+        )
+        words = words.union(spelt)
+        tables = tables_of(words, seed + 2, before)
+
+        def to_blocks(part, pieces):
+            own = Words(pieces)
+            chance = chances(own, pieces, seed + 2, before, tables, n_customers)[own.place].astype(np.float32)
+            n = _small(own.n[own.place])
+            for key, c, m in zip(own.senders, np.split(chance, own.cuts), np.split(n, own.cuts), strict=True):
+                yield key, ("word", part, m, c)
+
+        def pairs_to_blocks(part, pieces):
+            rooms = Contexts(pieces["pair"])
+            mean = pieces["seated"][0][1] / samples
+            total = STRENGTH + rooms.in_room(rooms.n)
+            back = (STRENGTH + CONTEXT_DISCOUNT * rooms.in_room(mean)) / total
+            own = (rooms.n - CONTEXT_DISCOUNT * mean) / total
+            cuts = np.cumsum([len(p[3]) for p in pieces["pair"]])[:-1]
+            for piece, at in zip(pieces["pair"], np.split(rooms.place, cuts), strict=True):
+                starts = np.cumsum(piece[2], dtype=np.int64) - piece[2]
+                yield piece[0], ("pair", part, own[at].astype(np.float32), back[at[starts]].astype(np.float32), piece[2])
+
+        replies = _dealt(_gathered(words, to_blocks), len(drawn)).union(
+            _dealt(_gathered(pairs.union(told), pairs_to_blocks), len(drawn))
+        )
+    else:
+
+        def unknown(part, pieces):
+            own = Words(pieces)
+            none = np.zeros(len(own.place), dtype=np.int64)
+            for key, n in zip(own.senders, np.split(none, own.cuts), strict=True):
+                yield key, ("word", part, n, np.full(len(n), np.log10(UNKNOWN)))
+
+        replies = _dealt(_gathered(words, unknown), len(drawn))
+
+    asking_texts = texts.map(lambda r: (r[0], ("text", 0, r[1])))
+    scored = _gathered(
+        _dealt(asking_texts, len(drawn)).union(replies), lambda key, p: _scored(p, parts, n_train, n_distinct)
+    )
+    return written(spark.createDataFrame(scored, result, verifySchema=False), "lm-scores")
+
+
+def _scored(pieces: dict[str, list], parts: int, n_train: int, n_distinct: int) -> Iterator[tuple]:
+    """The results of a block's texts."""
+    row = pieces["text"][0][1]
+    block = Block(row)
+    block.pair()
+    counts, parent = np.zeros(len(block.words)), np.zeros(len(block.words))
+    given = {p[0]: p[1:] for p in pieces["word"]}
+    for part, at in block.to_words(parts):
+        counts[at], parent[at] = given[part]
+    chance = parent[block.word]
+    given = {p[0]: p[1:] for p in pieces.get("pair", [])}
+    if given:
+        for part, at in block.to_contexts(parts):
+            own, back, lengths = given[part]
+            chance[at] = _log_sum(own, np.repeat(back, lengths), chance[at])
 
     def per_text(values: np.ndarray) -> np.ndarray:
-        return np.bincount(np.repeat(np.arange(len(n_tokens)), n_tokens), values, len(n_tokens))
+        return np.bincount(np.repeat(np.arange(len(block.n_tokens)), block.n_tokens), values, len(block.n_tokens))
 
-    words, n_tokens = _words(texts)
-    counts, tables = looked_up(WORD, words.astype(np.int64))
     base = np.log10(counts + 0.1) - np.log10(n_train + 0.1 * (n_distinct + 1))
-    keys, _ = grams(texts)
-    symbol = keys & 0xFF
-    # A token ends with its blank, or is the end.
-    ends = np.flatnonzero((symbol == 32) | (symbol == END))
-    spelt = np.add.reduceat(looked_up(GRAM, keys)[0], np.append(0, ends[:-1] + 1))
-    new = STRENGTH + WORD_DISCOUNT * n_tables
-    new = new * np.where(counts > 0, (1 - UNKNOWN) * 10.0**spelt, UNKNOWN)
-    chance = (counts - WORD_DISCOUNT * tables + new) / (STRENGTH + n_train)
-    return pa.RecordBatch.from_arrays(
-        [
-            row.column("ids").flatten(),
-            row.column("held").flatten(),
-            pa.array(n_tokens),
-            pa.array(per_text((counts > 0).astype(np.float64)).astype(np.int64)),
-            pa.array(np.full(len(n_tokens), n_train, dtype=np.int64)),
-            pa.array(per_text(base)),
-            pa.array(per_text(np.log10(chance))),
-        ],
-        ["id", *(x.split()[0] for x in _RESULT.split(", "))],
-    )
+    known = per_text((counts > 0)[block.word_of]).astype(np.int64)
+    columns = block.n_tokens, known, per_text(base[block.word_of]), per_text(chance[block.pair_of])
+    for id_, held, n, k, b, s in zip(row["ids"], row["held"], *(c.tolist() for c in columns), strict=True):
+        yield id_, held, n, k, n_train, b, s

@@ -93,3 +93,47 @@ def test_nothing(spark, nothing):
     docs = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     row = score_texts(docs).collect()[0]
     assert (row.n_known, row.train_tokens) == (0, 0) and row.score == pytest.approx(3 * log10(0.5))
+
+
+def numbers(held):
+    """Ids of texts that are held out, or that are not."""
+    return (k for k in range(10**6) if (crc32(str(k).encode()) % 10 == 0) == held)
+
+
+def scored(spark, learned, *held):
+    """The scores of held-out texts, given texts to learn from."""
+    rows = [(k, t) for texts, ids in ((learned, numbers(False)), (held, numbers(True))) for t, k in zip(texts, ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.id: r.score for r in score_texts(docs).collect()}
+    return [found[k] for _, k in zip(held, numbers(True))]
+
+
+def test_order_of_words_counts(spark):
+    rng = np.random.default_rng(11)
+    follow = rng.integers(0, 150, (150, 3))
+
+    def text(n):
+        at, out = 0, []
+        for _ in range(n):
+            at = follow[at][rng.integers(3)]
+            out.append(f"w{at * 7919 % 1009}")
+        return out
+
+    held = [text(60) for _ in range(20)]
+    mixed = [list(rng.permutation(t)) for t in held]
+    found = scored(spark, [" ".join(text(100)) for _ in range(200)], *(" ".join(t) for t in held + mixed))
+    assert all(a > b + 20 for a, b in zip(found[:20], found[20:]))
+
+
+def test_unknown_words_are_spelt(spark):
+    learned = ["walk walks walked walking talk talks talked talking stalk stalks balk balked " * 3] * 5
+    like, unlike, long = scored(spark, learned, "walk balking", "walk xqzjvkw", "walk " + "xq" * 2000)
+    assert like > unlike + 3 and np.isfinite(long) and long < 100 * unlike
+
+
+def test_parts_agree(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    once = {r.id: r.score for r in score_texts(docs).collect()}
+    monkeypatch.setattr("botica.llm.hpylm.PART_BYTES", 1 << 17)
+    again = {r.id: r.score for r in score_texts(docs).collect()}
+    assert all(abs(s - again[k]) < 0.01 * abs(s) + 0.5 for k, s in once.items())
