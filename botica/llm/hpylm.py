@@ -2,7 +2,7 @@
 
 A text is its lower-cased words and an end. The word before is a restaurant; its parent
 is one restaurant of words without context, whose parent spells a word byte by byte:
-there, each context of up to four bytes of the word is a restaurant, and a context's
+there, each context of up to five bytes of the word is a restaurant, and a context's
 parent is the one without its oldest byte. Tables of a restaurant are customers of its
 parent, at every step. Words never seen in training are spelt like all others.
 
@@ -32,14 +32,14 @@ from botica.llm.staging import ship_code, written
 from botica.llm.words import as_bytes, many_word_hashes, mix, release
 
 # Bytes of the longest context; a context and a symbol fit a 64-bit number.
-ORDER = 4
+ORDER = 5
 END = 10
 # Text bytes that are counted and scored as one block.
 BLOCK_BYTES = 8 << 20
 # Text bytes for each of the parts that contexts, words and spellings are dealt to.
 PART_BYTES = 16 << 20
 # Discounts by length of context, and the strength of every restaurant.
-DISCOUNTS = (0.5, 0.5, 0.6, 0.7, 0.75)
+DISCOUNTS = (0.5, 0.5, 0.6, 0.7, 0.75, 0.8)
 STRENGTH = 1.0
 WORD_DISCOUNT = 0.75
 CONTEXT_DISCOUNT = 0.75

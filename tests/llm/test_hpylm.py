@@ -137,3 +137,17 @@ def test_parts_agree(spark, monkeypatch):
     monkeypatch.setattr("botica.llm.hpylm.PART_BYTES", 1 << 17)
     again = {r.id: r.score for r in score_texts(docs).collect()}
     assert all(abs(s - again[k]) < 0.01 * abs(s) + 0.5 for k, s in once.items())
+
+
+def test_spelling_looks_five_bytes_back(spark):
+    assert ORDER == 5
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijkl"
+
+    def word(shift):
+        k = int(rng.integers(12))
+        return "".join(rng.choice(list("pqrst"), 6)) + letters[k] + "mmmm" + letters[(k + shift) % 12]
+
+    learned = [" ".join(word(1) for _ in range(40)) for _ in range(60)]
+    right, wrong = scored(spark, learned, " ".join(word(1) for _ in range(30)), " ".join(word(5) for _ in range(30)))
+    assert right > wrong + 20
