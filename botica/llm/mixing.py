@@ -3,7 +3,8 @@
 Each source is a stream of its documents in a fixed shuffled order, cut into blocks of
 equal numbers of words. Golden-ratio points, mapped through the cumulative targets,
 give a source to each slot of the mix; the k-th slot of a source takes its k-th block.
-A stream that is used up begins again. Built-in functions only.
+A stream that is used up begins again. ``mix`` has the mix itself, in the order of its
+slots; documents are given in that order too. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     """slot, unnamed, name, block: the order in which the mix takes the sources' blocks.
 
     Slots over a source's quota fall away; what the points leave short is taken at
-    the end.
+    the end. No two blocks have the same slot.
     """
     spark = targets.sparkSession
     words = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
@@ -122,14 +123,18 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
         .withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         .where("drawn < blocks")
         .withColumn("block", F.explode(F.sequence(F.col("drawn"), F.col("blocks") - 1)))
-        .select(F.lit(slots).cast("long").alias("slot"), *source, "block")
+        .withColumn("slot", F.lit(slots) + F.row_number().over(Window.orderBy("block", *source)) - 1)
+        .select(F.col("slot").cast("long"), *source, "block")
     )
     ranked = ranked.join(blocks, source).where("block < blocks")
     return ranked.unionByName(closing, allowMissingColumns=True).select("slot", *source, "block")
 
 
 def _mix(sized: DataFrame, block_words: int | None, **shares) -> tuple[DataFrame, DataFrame]:
-    """(row, slot, block, pass, start, words) of all pieces taken, and the targets."""
+    """(row, slot, block, at, pass, start, words) of all pieces taken, and the targets.
+
+    ``at`` is the piece's first word in its source's stream.
+    """
     targets = written(source_targets(sized, **shares), "mix-targets")
     words = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     if block_words is None:
@@ -165,12 +170,44 @@ def _mix(sized: DataFrame, block_words: int | None, **shares) -> tuple[DataFrame
     start = F.greatest(F.col("block") * block_words, "begin")
     words_here = F.least((F.col("block") + 1) * block_words, "end") - start
     pieces = pieces.select(
-        "row", *source, "block", "pass", (start - F.col("begin")).alias("start"), words_here.alias("words")
+        "row",
+        *source,
+        "block",
+        "pass",
+        start.alias("at"),
+        (start - F.col("begin")).alias("start"),
+        words_here.alias("words"),
     )
     mixed = schedule(targets, block_words).join(pieces, [*source, "block"])
     return mixed.drop(*source), targets
 
 
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    block_words: int | None = None,
+    **shares,
+) -> DataFrame:
+    """The mix, a row for each piece of a document: slot, id, source, pass, start, words.
+
+    Pieces are dealt to partitions by ranges and ordered within them, by slot and then
+    by their place in the stream; ``pass`` counts the times that the document has been
+    taken before, ``start`` its words before the piece. Every run of slots from the first
+    on has the sources' words near their shares. Empty tables give an empty result.
+    """
+    sized = _sized(docs, id_col, text_col, source_col, False)
+    mixed, _ = _mix(sized, block_words, **shares)
+    return (
+        sized.select("row", "id", "source")
+        .join(mixed, "row")
+        .repartitionByRange("slot", "at")
+        .sortWithinPartitions("slot", "at")
+        .select("slot", "id", "source", "pass", "start", "words")
+    )
+
+
 def mixed_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -207,11 +244,15 @@ def mix_documents(
 ) -> DataFrame:
     """The documents of the mix, with their columns: a row for each time one is taken.
 
+    They are dealt to partitions by ranges and ordered within them, by the slot and place
+    of their first piece: a document over several blocks comes whole at the first of them.
     A document taken in part keeps the words taken, with one blank between them.
     """
     sized = _sized(docs, id_col, text_col, source_col, True)
     mixed, _ = _mix(sized, block_words, **shares)
-    times = mixed.groupBy("row", "pass").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
+    times = mixed.groupBy("row", "pass").agg(
+        F.min("start").alias("start"), F.sum("words").alias("words"), F.min(F.struct("at", "slot")).alias("first")
+    )
     part = F.array_join(
         F.slice(
             F.regexp_extract_all(f"document.`{text_col}`", F.lit(WORD), F.lit(0)),
@@ -224,5 +265,7 @@ def mix_documents(
     return (
         sized.select("row", "size", "document")
         .join(times, "row")
+        .repartitionByRange("first.slot", "first.at")
+        .sortWithinPartitions("first.slot", "first.at")
         .select(*(text.alias(c) if c == text_col else F.col(f"document.`{c}`") for c in docs.columns))
     )

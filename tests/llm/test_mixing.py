@@ -87,3 +87,46 @@ def test_reruns_agree(messy):
 def test_nothing(nothing):
     assert mixed_sources(nothing).count() == 0
     assert mix_documents(nothing).count() == 0
+
+
+def near_shares(taken, quota, most):
+    """The words of every source in each run from the first on, against its share of them."""
+    seen, total = Counter(), sum(quota.values())
+    for name, words in taken:
+        seen[name] += words
+        so_far = sum(seen.values())
+        assert all(abs(seen[s] - n / total * so_far) <= most for s, n in quota.items())
+    assert seen == quota
+
+
+def test_the_mix_is_even_in_the_order_of_its_slots(spark, tmp_path):
+    from botica.llm.mixing import mix
+
+    rows = [(k, f"w{k} " * 100, "aaaabbc"[k % 7]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = mix(docs, block_words=50).collect()
+    quota = Counter()
+    for r in pieces:
+        quota[r.source] += r.words
+    assert [r.slot for r in pieces] == sorted(r.slot for r in pieces)
+    near_shares([(r.source, r.words) for r in pieces], quota, 250)
+    taken = Counter()
+    for r in pieces:
+        taken[r.id] += r.words
+        assert 0 <= r.start and r.start + r.words <= 100 and r["pass"] in (0, 1)
+    assert taken == Counter({r.id: r.taken for r in mixed_sources(docs, block_words=50).collect() if r.taken})
+    # The documents too, file by file.
+    folder = f"{tmp_path}/mixed"
+    mix_documents(docs, block_words=50).write.parquet(folder)
+    read = spark.read.parquet(folder).selectExpr("_metadata.file_name f", "_metadata.row_index n", "source", "text")
+    in_order = sorted(read.collect(), key=lambda r: (r.f, r.n))
+    near_shares([(r.source, len(words(r.text))) for r in in_order], quota, 500)
+
+
+def test_the_mix_of_messy_rows(messy, nothing):
+    from botica.llm.mixing import mix
+
+    pieces = mix(messy, block_words=5).collect()
+    assert sum(r.words for r in pieces) == sum(r.taken for r in mixed_sources(messy).collect())
+    assert [r.slot for r in pieces] == sorted(r.slot for r in pieces)
+    assert mix(nothing).count() == 0
