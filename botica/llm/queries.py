@@ -18,6 +18,7 @@ from botica.llm import (
     negatives,
     ngrams,
     packing,
+    passages,
     quality,
     sharding,
     urls,
@@ -103,6 +104,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.withColumnRenamed("id", "doc_id")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").drop("spans", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {
