@@ -28,13 +28,14 @@ from botica.llm.words import as_bytes, mix, release
 # stretches that are sorted at once; a document or a key's stretches are never cut.
 BLOCK = 1 << 20
 BUCKET = 1 << 24
-SORTED = 1 << 22
+SORTED = 1 << 20
 # Strings that are hashed at once.
 SPAN = 1 << 20
-# A key in more blocks than this, or with more bytes in one block, is split by its strings.
-HOT_BLOCKS = 256
+# A key in more blocks than this, or with more bytes in one block, is split by its strings:
+# in most blocks a key has a stretch or a few of some 70 bytes.
+HOT_BLOCKS = 1 << 12
 HOT_BYTES = 1 << 16
-# Places of one string in one block that a row holds.
+# Places of one stretch in one block that a row holds.
 SPOTS = 1 << 16
 # Never a byte of UTF-8 text.
 BETWEEN = b"\xff"
@@ -92,7 +93,9 @@ def stretches(raw: np.ndarray, lens: np.ndarray, width: int, gram: int):
         for have, new in zip(got, (doc[on], start[on], stop[on], key[cut[:-1]][on]), strict=True):
             have.append(new)
     empty = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
-    return tuple(np.concatenate(g) if g else e for g, e in zip(got, empty, strict=True))
+    doc, start, stop, key = (np.concatenate(g) if g else e for g, e in zip(got, empty, strict=True))
+    # The least of many hashes is small: keys are spread again, for buckets of one size.
+    return doc, start, stop, mix(key)
 
 
 def _blocked(size: int):
@@ -246,7 +249,9 @@ def _asked(row: dict, width: int, gram: int, bits: int):
     return doc[on], start[on], stop[on], key[on], marks[1][place][on]
 
 
-_HEADER = np.dtype([("key", "<u8"), ("id", "<i8"), ("doc", "<u4"), ("start", "<u4"), ("size", "<u4")])
+# What a stretch is sent with, column after column: its key's last bits, the document's id
+# and place in the block, where the stretch begins in it, and its bytes.
+_HEADER = (("key", "<u4"), ("id", "<i8"), ("doc", "<u4"), ("start", "<u4"), ("size", "<u4"))
 
 
 def _cold(width: int, gram: int, bits: int):
@@ -256,22 +261,28 @@ def _cold(width: int, gram: int, bits: int):
         for batch in parts:
             for row in _entries(batch):
                 doc, start, stop, key, hot = _asked(row, width, gram, bits)
+                short = _short(key, bits)
                 order = np.flatnonzero(~hot)
-                order = order[np.argsort(key[order], kind="stable")]
+                # Those of one document stay together, which makes them small.
+                order = order[np.argsort(short[order] >> np.uint64(30), kind="stable")]
                 if not len(order):
                     continue
                 ids = np.array([i or 0 for i in row["ids"]], dtype=np.int64)
                 begin = np.cumsum(row["lens"]) - row["lens"]
-                head = np.empty(len(order), dtype=_HEADER)
-                head["key"], head["id"], head["doc"] = key[order], ids[doc[order]], doc[order]
-                head["start"] = start[order] - begin[doc[order]]
-                head["size"] = stop[order] - start[order] + width - 1
+                head = {
+                    "key": short[order] & np.uint64((1 << 30) - 1),
+                    "id": ids[doc[order]],
+                    "doc": doc[order],
+                    "start": start[order] - begin[doc[order]],
+                    "size": stop[order] - start[order] + width - 1,
+                }
                 raw = row["raw"]
                 out = []
-                for bucket, x, y in _buckets(_short(key[order], bits)):
+                for bucket, x, y in _buckets(short[order]):
                     own = order[x:y]
-                    texts = b"".join(raw[a:b] for a, b in zip(start[own].tolist(), (stop[own] + width - 1).tolist(), strict=True))
-                    blob = head[x:y].tobytes() + texts
+                    ends = (stop[own] + width - 1).tolist()
+                    columns = [head[c][x:y].astype(t).tobytes() for c, t in _HEADER]
+                    blob = b"".join([*columns, *(raw[a:b] for a, b in zip(start[own].tolist(), ends, strict=True))])
                     out.append((bucket, row["block"], y - x, len(blob), _packed(blob)))
                 columns = zip(*out, strict=True)
                 types = (*(pa.int64(),) * 4, pa.binary())
@@ -328,9 +339,10 @@ def _spans(block: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarr
     )
 
 
-def _judged(head: np.ndarray, block: np.ndarray, texts: list[bytes], width: int):
+def _judged(head: dict[str, np.ndarray], block: np.ndarray, texts: list[bytes], width: int):
     """block, doc, start, stop of what goes, for stretches in order of their keys."""
-    cut = np.append(np.flatnonzero(np.append(True, head["key"][1:] != head["key"][:-1])), len(head)).tolist()
+    key = head["key"]
+    cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).tolist()
     got = []
     at = 0
     while at < len(cut) - 1:
@@ -351,16 +363,15 @@ def _judged(head: np.ndarray, block: np.ndarray, texts: list[bytes], width: int)
         ids = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(ids, context, head["id"][own])
         smallest, begin = smallest_ids(list(number), ids, width)
-        run, inside = _ranges(head["size"][own].astype(np.int64) - width + 1)
+        run, inside = _ranges(head["size"][own] - width + 1)
         goes = smallest[begin[context[run]] + inside] < head["id"][own][run]
         # Neighbouring strings that go make one span.
         new = np.append(True, run[1:] != run[:-1])
         first = goes & (new | ~np.append(True, goes[:-1]))
         last = goes & np.append(new[1:] | ~goes[1:], True)
         who = run[first]
-        start = head["start"][own][who].astype(np.int64) + inside[first]
-        stop = head["start"][own][who].astype(np.int64) + inside[last] + width
-        got.append((block[own][who], head["doc"][own][who].astype(np.int64), start, stop))
+        begins = head["start"][own][who]
+        got.append((block[own][who], head["doc"][own][who], begins + inside[first], begins + inside[last] + width))
     return [np.concatenate(c) for c in zip(*got, strict=True)]
 
 
@@ -372,19 +383,22 @@ def _sorted(width: int):
             bucket = part.column("bucket").to_numpy()
             cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
             for first, last in zip(cut, cut[1:], strict=False):
-                heads, blocks, texts = [], [], []
+                heads, blocks, texts = defaultdict(list), [], []
                 for row in part.slice(first, last - first).to_pylist():
                     blob = _unpacked(row["packed"], row["n_bytes"])
-                    size = row["many"] * _HEADER.itemsize
-                    head = np.frombuffer(blob[:size], dtype=_HEADER)
-                    ends = (size + np.cumsum(head["size"].astype(np.int64))).tolist()
-                    heads.append(head)
-                    blocks.append(np.full(len(head), row["block"], dtype=np.int64))
-                    texts += [blob[a:b] for a, b in zip([size, *ends], ends, strict=False)]
-                head, block = np.concatenate(heads), np.concatenate(blocks)
+                    at = 0
+                    for column, kind in _HEADER:
+                        got = np.frombuffer(blob, kind, row["many"], at)
+                        at += got.nbytes
+                        heads[column].append(got.astype(np.int64))
+                    blocks.append(np.full(row["many"], row["block"], dtype=np.int64))
+                    ends = (at + np.cumsum(heads["size"][-1])).tolist()
+                    texts += [blob[a:b] for a, b in zip([at, *ends], ends, strict=False)]
+                head = {c: np.concatenate(h) for c, h in heads.items()}
                 order = np.argsort(head["key"], kind="stable")
                 texts = [texts[k] for k in order.tolist()]
-                yield _spans(*_judged(head[order], block[order], texts, width))
+                head = {c: h[order] for c, h in head.items()}
+                yield _spans(*_judged(head, np.concatenate(blocks)[order], texts, width))
         release()
 
     return work
@@ -394,7 +408,7 @@ _SPOT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("start", "<u4")])
 
 
 def _hot(width: int, gram: int, bits: int):
-    """Each string of hot keys once for each block, with its smallest id there and its places."""
+    """Each stretch of hot keys once for each block, with its smallest id there and its places."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -403,27 +417,25 @@ def _hot(width: int, gram: int, bits: int):
                     continue
                 doc, start, stop, _, hot = _asked(row, width, gram, bits)
                 doc, start, stop = doc[hot], start[hot], stop[hot]
-                run, inside = _ranges(stop - start)
-                at = start[run] + inside
                 begin = np.cumsum(row["lens"]) - row["lens"]
-                spot = np.empty(len(at), dtype=_SPOT)
-                spot["id"] = np.array([i or 0 for i in row["ids"]], dtype=np.int64)[doc[run]]
-                spot["doc"], spot["start"] = doc[run], at - begin[doc[run]]
+                spot = np.empty(len(doc), dtype=_SPOT)
+                spot["id"] = np.array([i or 0 for i in row["ids"]], dtype=np.int64)[doc]
+                spot["doc"], spot["start"] = doc, start - begin[doc]
                 raw = row["raw"]
                 places = defaultdict(list)
-                for k, p in enumerate(at.tolist()):
-                    places[raw[p : p + width]].append(k)
+                for k, (a, b) in enumerate(zip(start.tolist(), (stop + width - 1).tolist(), strict=True)):
+                    places[raw[a:b]].append(k)
                 out = []
-                for string, ks in places.items():
+                for stretch, ks in places.items():
                     own = spot[ks]
-                    first = int(own["id"].min())
-                    out += [(string, row["block"], first, own[j : j + SPOTS].tobytes()) for j in range(0, len(own), SPOTS)]
+                    least_id = int(own["id"].min())
+                    out += [(stretch, row["block"], least_id, own[j : j + SPOTS].tobytes()) for j in range(0, len(own), SPOTS)]
                 if not out:
                     continue
                 columns = zip(*out, strict=True)
                 types = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["string", "block", "least", "spots"]
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["stretch", "block", "least", "spots"]
                 )
         release()
 
@@ -431,18 +443,44 @@ def _hot(width: int, gram: int, bits: int):
 
 
 def _settled(width: int):
+    """What goes of each block, from stretches, their places, and the smallest id of each string in them."""
+
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             blobs = batch.column("spots").to_pylist()
             spot = np.frombuffer(b"".join(blobs), dtype=_SPOT)
-            run = np.repeat(np.arange(len(blobs)), [len(b) // _SPOT.itemsize for b in blobs])
-            on = np.flatnonzero(spot["id"] > batch.column("first").to_numpy()[run])
-            start = spot["start"][on].astype(np.int64)
-            yield _spans(batch.column("block").to_numpy()[run[on]], spot["doc"][on].astype(np.int64), start, start + width)
+            row = np.repeat(np.arange(len(blobs)), [len(b) // _SPOT.itemsize for b in blobs])
+            firsts = batch.column("firsts")
+            sizes = np.diff(firsts.offsets.to_numpy())
+            values = firsts.flatten().to_numpy()
+            run, inside = _ranges(sizes[row])
+            begin = np.cumsum(sizes) - sizes
+            on = values[begin[row[run]] + inside] < spot["id"][run]
+            run, inside = run[on], inside[on]
+            start = spot["start"][run].astype(np.int64) + inside
+            block = batch.column("block").to_numpy()[row[run]]
+            yield _spans(block, spot["doc"][run].astype(np.int64), start, start + width)
 
     return work
 
 
+def _hot_spans(stretches_of: DataFrame, width: int) -> DataFrame:
+    """block, spans: what goes of the stretches of hot keys, string by string.
+
+    Equal stretches, and then equal strings in them, are brought down to their smallest
+    id by sums in parts, so that no task meets all places of one.
+    """
+    distinct = stretches_of.groupBy("stretch").agg(F.min("least").alias("least"))
+    last = F.octet_length("stretch") - width
+    strings = distinct.select("stretch", "least", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    strings = strings.withColumn("string", F.substring("stretch", F.col("at") + 1, F.lit(width)))
+    least_ids = strings.groupBy("string").agg(F.min("least").alias("first"))
+    firsts = strings.join(least_ids, "string").groupBy("stretch")
+    firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("at", "first")))["first"].alias("firsts"))
+    told = stretches_of.join(firsts, "stretch").select("block", "spots", "firsts")
+    return told.mapInArrow(_settled(width), "block long, spans binary")
+
+
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, lens: np.ndarray):
     """The spans of all documents without overlaps: doc, start, stop; those that touch are one."""
     # One place lies between two documents, so that their spans never touch.
@@ -565,13 +603,8 @@ def repeated_passages(
         _cold(width, gram, bits), "bucket long, block long, many long, n_bytes long, packed binary"
     )
     met = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted(width), "block long, spans binary")
-    # Strings of keys that very many blocks hold are counted by string, in parts that add up.
-    strings = open_blocks.mapInArrow(
-        _hot(width, gram, bits), "string binary, block long, least long, spots binary"
-    )
-    least_ids = strings.groupBy("string").agg(F.min("least").alias("first"))
-    hot = strings.join(least_ids, "string").select("block", "first", "spots")
-    hot = hot.mapInArrow(_settled(width), "block long, spans binary")
+    hot = open_blocks.mapInArrow(_hot(width, gram, bits), "stretch binary, block long, least long, spots binary")
+    hot = _hot_spans(written(hot, "passage-hot"), width)
     spans = met.unionByName(hot).groupBy("block").agg(F.collect_list("spans").alias("spans"))
     spans = written(spans, "passage-spans")
     whole = blocks.join(spans, "block", "left").join(asked.select("block", "copies"), "block", "left")
