@@ -24,12 +24,22 @@ def price_flag(column: Column) -> Column:
     return F.coalesce(trimmed(column).endswith("*"), F.lit(False))
 
 
+def int_of(text: Column) -> Column:
+    """The number in a trimmed text."""
+    return text.try_cast("int")
+
+
+def decimal_of(text: Column, scale: int = 4) -> Column:
+    """The number in a trimmed text, with a decimal comma or point."""
+    return _point(text).try_cast(f"decimal(18,{scale})")
+
+
 def parse_int(column: Column) -> Column:
-    return trimmed(column).try_cast("int")
+    return int_of(trimmed(column))
 
 
 def parse_decimal(column: Column, scale: int = 4) -> Column:
-    return _point(trimmed(column)).try_cast(f"decimal(18,{scale})")
+    return decimal_of(trimmed(column), scale)
 
 
 def int_or_default(column: Column, default: int = 0) -> Column:

@@ -12,8 +12,12 @@ _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def trimmed(column: Column) -> Column:
-    """Without white space at either end: blanks, tabs, line ends, no-break spaces."""
-    return F.regexp_replace(column, _EDGES, "")
+    """Without white space at either end: blanks, tabs, line ends, no-break spaces.
+
+    Most texts begin and end with a visible ASCII character, which is soon seen.
+    """
+    plain = F.substring(column, 1, 1).between("!", "~") & F.substring(column, -1, 1).between("!", "~")
+    return F.when(plain, column).otherwise(F.regexp_replace(column, _EDGES, ""))
 
 
 def contains_ignoring_case(column: Column, term: str) -> Column:

@@ -9,8 +9,13 @@ from botica.functions.text import trimmed
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def timestamp_of(text: Column) -> Column:
+    """The time in a trimmed text."""
+    return F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))
+
+
 def parse_timestamp(column: Column) -> Column:
-    return F.try_to_timestamp(trimmed(column), F.lit(TIMESTAMP_FORMAT))
+    return timestamp_of(trimmed(column))
 
 
 def day_start(column: Column) -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from botica.functions.money import percent_to_fraction
-from botica.functions.numbers import parse_decimal, parse_int
-from botica.functions.text import is_blank, trimmed
-from botica.functions.timing import parse_timestamp
+from botica.functions.numbers import decimal_of, int_of
+from botica.functions.text import trimmed
+from botica.functions.timing import timestamp_of
 from botica.sources.tables import DEFAULT_FORMAT, read_table
 
 # The quantity editor's bounds.
@@ -21,16 +21,24 @@ TEXT_FIELDS = ("cart_id", "transaction_id", "industry_name", "product_id", "prod
 AMOUNT_FIELDS = ("unit_price", "taxes_price")
 REQUIRED_FIELDS = (*TEXT_FIELDS, "sale_datetime", *AMOUNT_FIELDS, "quantity")
 
-# Parsers of the fields that are not text.
+# What reads the fields that are not text, from their trimmed text.
 PARSERS: dict[str, Callable[[Column], Column]] = {
-    "sale_datetime": parse_timestamp,
-    "unit_price": lambda c: parse_decimal(c, 2),
-    "taxes_price": lambda c: parse_decimal(c, 2),
-    "discount_applied": lambda c: percent_to_fraction(parse_decimal(c, 8)),
-    "quantity": parse_int,
+    "sale_datetime": timestamp_of,
+    "unit_price": lambda t: decimal_of(t, 2),
+    "taxes_price": lambda t: decimal_of(t, 2),
+    "discount_applied": lambda t: percent_to_fraction(decimal_of(t, 8)),
+    "quantity": int_of,
 }
 
 
+def _once(df: DataFrame, name: str, values: dict[str, Column]) -> DataFrame:
+    """Adds a struct of values that Spark works out once for each row.
+
+    Exploding a one-element array keeps it from copying them into whatever uses them.
+    """
+    return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias(name))
+
+
 def check_fields(
     raw: DataFrame,
     required: Sequence[str],
@@ -38,28 +46,45 @@ def check_fields(
     parsers: dict[str, Callable[[Column], Column]],
     problem: Column | None = None,
 ) -> DataFrame:
-    """raw (the row as it came), typed (trimmed and parsed), errors (all rules it breaks).
+    """typed (trimmed and parsed), raw (the row as it came), errors (all rules it breaks).
 
-    A row with a ``problem`` has that as its only error. Exploding a one-element array
-    keeps Spark from copying the parsers into every condition that looks at their results.
+    A row that breaks no rule has ``typed`` and no errors, one that breaks some has
+    ``raw`` and its errors; the other struct is NULL. A row with a ``problem`` has that as
+    its only error. Each field is trimmed once and parsed once; broken rules are the bits
+    of a number, which becomes texts for rejected rows only.
     """
-    values = F.struct(*[parse(F.col(f)).alias(f) for f, parse in parsers.items()])
-    parsed = raw.select("*", F.explode(F.array(values)).alias("_parsed"))
-    rules = [(f"{f} is required", is_blank(F.col(f))) for f in required]
+    fields = list(dict.fromkeys([*required, *texts, *parsers]))
+    # One trimming expression for all fields keeps the compiled code small enough for the JVM to optimise.
+    rows = raw.select("*", F.explode(F.array(F.transform(F.array(*fields), trimmed))).alias("_text"))
+    text = {f: F.col("_text")[k] for k, f in enumerate(fields)}
+    blank = {f: F.coalesce(text[f] == "", F.lit(True)) for f in fields}
+    rows = _once(rows, "_value", {f: parse(text[f]) for f, parse in parsers.items()})
+    rules = [(f"{f} is required", blank[f]) for f in required]
     for field in parsers:
-        unreadable = ~is_blank(F.col(field)) & F.col(f"_parsed.{field}").isNull()
-        rules.append((f"{field} is not a valid value", F.coalesce(unreadable, F.lit(False))))
-    in_range = F.col("_parsed.quantity").between(MIN_QUANTITY, MAX_QUANTITY)
+        unreadable = ~blank[field] & F.col(f"_value.{field}").isNull()
+        rules.append((f"{field} is not a valid value", unreadable))
+    out_of_range = ~F.col("_value.quantity").between(MIN_QUANTITY, MAX_QUANTITY)
     message = f"quantity is not between {MIN_QUANTITY} and {MAX_QUANTITY}"
-    rules.append((message, ~F.coalesce(in_range, F.lit(True))))
-    errors = F.array_compact(F.array(*[F.when(broken, F.lit(text)) for text, broken in rules]))
+    rules.append((message, F.coalesce(out_of_range, F.lit(False))))
+    broken = F.lit(0).cast("long")
+    for k, (_, rule) in enumerate(rules):
+        broken = broken + F.when(rule, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    if problem is not None:
+        broken = F.when(problem.isNotNull(), F.lit(-1).cast("long")).otherwise(broken)
+    rows = _once(rows, "_broken", {"rules": broken})
+    rules_broken = F.col("_broken.rules")
+    named = [
+        F.when(rules_broken.bitwiseAND(F.lit(1 << k)) != 0, F.lit(said)) for k, (said, _) in enumerate(rules)
+    ]
+    errors = F.when(rules_broken == 0, F.array().cast("array<string>"))
     if problem is not None:
-        errors = F.when(problem.isNotNull(), F.array(problem)).otherwise(errors)
-    typed = {f: F.col(f"_parsed.{f}") for f in parsers} | {f: trimmed(F.col(f)) for f in texts}
-    return parsed.select(
-        F.struct(*raw.columns).alias("raw"),
-        F.struct(*[typed.get(c, F.col(c)).alias(c) for c in raw.columns]).alias("typed"),
-        errors.alias("errors"),
+        errors = errors.when(rules_broken == -1, F.array(problem))
+    values = {f: F.col(f"_value.{f}") for f in parsers} | {f: text[f] for f in texts}
+    typed = F.struct(*[values.get(c, F.col(c)).alias(c) for c in raw.columns])
+    return rows.select(
+        F.when(rules_broken == 0, typed).alias("typed"),
+        F.when(rules_broken != 0, F.struct(*raw.columns)).alias("raw"),
+        errors.otherwise(F.array_compact(F.array(*named))).alias("errors"),
     )
 
 

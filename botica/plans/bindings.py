@@ -417,10 +417,14 @@ erp AS (
         FROM sale_lines))"""
 )
 
+_ODD_NAMES = ("till 7 [north]", "100%41#b", "{a,b} *?")
+
+
 def erp_landing(spark: SparkSession, sf_dir: str) -> str:
     """The extract as landed files with headers of three orders, and fields left blank.
 
-    One third has its columns reversed, one third an unknown column in front.
+    One third has its columns reversed, one third an unknown column in front. The names of
+    their folders hold blanks and signs that mean something in patterns and addresses.
     """
     extract = erp_extract(spark, sf_dir)
     number = F.col("store_location_id")
@@ -434,7 +438,7 @@ def erp_landing(spark: SparkSession, sf_dir: str) -> str:
     layouts = [texts, reversed(texts), ["note", *texts]]
     for part, names in enumerate(layouts):
         own_rows = rows.filter(F.col("_part") == part).withColumn("note", number)
-        write_csv(own_rows.select(*names), f"{folder}/{part}")
+        write_csv(own_rows.select(*names), f"{folder}/{_ODD_NAMES[part]}")
     return folder
 
 

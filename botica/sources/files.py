@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from botica.functions.money import clamp_fraction, line_total, to_fraction
-from botica.functions.numbers import parse_decimal, parse_int
-from botica.functions.timing import TIMESTAMP_FORMAT, parse_timestamp
+from botica.functions.numbers import decimal_of, int_of
+from botica.functions.timing import TIMESTAMP_FORMAT, timestamp_of
 from botica.operators.pricing import SALES_COLUMNS, price_lines
 from botica.operators.quality import check_fields
 from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA, MONEY
+from botica.workspace import new_folder
 
 # Fixed value: stands in where the catalog does not know the product.
 UNKNOWN_INDUSTRY = "UNKNOWN"
@@ -77,55 +80,110 @@ ERP_REQUIRED = (
     "transaction_id", "sale_datetime", "product_id", "product_name", "quantity", "unit_price",
     "total_price", "discount_applied",
 )
-PROBLEM_COLUMN = "_problem"
+PROBLEM_COLUMN, FILE_COLUMN = "_problem", "_file"
+ERP_NAMES = ERP_SCHEMA.fieldNames()
 
 
-def _file_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
-    """The files by their first line; files that are empty have none."""
-    lines = spark.read.option("recursiveFileLookup", True).text(list(files)).select(
+# What Spark says when a file is not there, or cannot be read to its end.
+_UNREADABLE = ("FAILED_READ_FILE", "PATH_NOT_FOUND")
+_NOT_READ = "the file cannot be read"
+
+
+def as_pattern(path: str) -> str:
+    """A path that stands for itself where readers take patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _store_lines(spark: SparkSession, paths: Sequence[str], folder: str) -> None:
+    """The lines that are not blank: text, the file as Spark names it, and place."""
+    lines = spark.read.option("recursiveFileLookup", True).text(list(paths))
+    lines.filter(F.col("value").rlike(r"[^\x00-\x20]")).select(
         "value",
-        F.col("_metadata.file_path").alias("file"),
-        "_metadata.file_block_start",
-        F.monotonically_increasing_id().alias("place"),
-    )
-    first = F.min_by("value", "place")
-    found = lines.filter("file_block_start = 0").groupBy("file").agg(first.alias("header"))
-    by_header = found.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return {row["header"]: row["files"] for row in by_header.collect()}
+        F.col("_metadata.file_path").alias(FILE_COLUMN),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"),
+    ).write.parquet(folder)
+
+
+def _stored_lines(spark: SparkSession, files: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Folders of the lines of all files, and the files that cannot be read.
+
+    Only where a read fails are the files halved, to tell which of them it is.
+    """
+    folder = new_folder(spark, "erp-lines")
+    try:
+        _store_lines(spark, [as_pattern(f) for f in files], folder)
+    except (PySparkException, Py4JJavaError) as error:
+        if not any(name in str(error) for name in _UNREADABLE):
+            raise
+        if len(files) == 1:
+            return [], list(files)
+        parts = [_stored_lines(spark, half) for half in (files[: len(files) // 2], files[len(files) // 2 :])]
+        return [f for folders, _ in parts for f in folders], [f for _, lost in parts for f in lost]
+    return [folder], []
+
+
+def _read_line(header: str) -> tuple[Column, Column, Column]:
+    """A line's needed fields, its corrupt text and problem, by one file header."""
+    names = [trim_name(name) for name in next(csv.reader([header]), [])]
+    missing = [c for c in ERP_REQUIRED if names.count(c) != 1]
+    if missing:
+        reason = F.lit(f"the header must have each of these once: {', '.join(missing)}")
+        return F.struct(*[F.lit(None).cast("string").alias(c) for c in ERP_NAMES]), F.col("value"), reason
+    wanted = {n: k for k, n in enumerate(names) if n in ERP_NAMES}
+    layout = ", ".join(f"{c} string" for c in [*(f"_{k}" for k in range(len(names))), CORRUPT_COLUMN])
+    read = F.from_csv("value", layout, {"columnNameOfCorruptRecord": CORRUPT_COLUMN})
+    found = [
+        (read[f"_{wanted[c]}"] if c in wanted else F.lit(None).cast("string")).alias(c) for c in ERP_NAMES
+    ]
+    torn = read[CORRUPT_COLUMN]
+    return F.struct(*found), torn, F.when(torn.isNotNull(), "the line does not fit its header")
 
 
 def read_erp_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """ERP extracts as text, each column found by the name in its file's own header.
 
-    Columns may come in any order, and others may lie between them; a column that is
-    not needed and missing is NULL. A line that does not fit its header, and every line of
-    a file whose header lacks or repeats a required column, has its whole text in
-    ``_corrupt_record`` and the reason in ``_problem``. Files with one header are read
-    together; the driver holds the names of files and the distinct headers.
+    ``files`` are files or folders, by their plain names: no character of theirs is a
+    pattern. Columns may come in any order, and others may lie between them; a column
+    that is not needed and missing is NULL. A line that does not fit its header, and every
+    line of a file whose header lacks or repeats a required column, has its whole text in
+    ``_corrupt_record`` and the reason in ``_problem``; a file that cannot be read is one
+    row with a problem. ``_file`` is where a row came from. Blank lines are no rows.
+
+    The files are read once, as lines; a header is the first line of its file, found on the
+    stored lines. The driver holds the distinct headers, not the names of files.
     """
-    parts = []
-    for header, own in _file_headers(spark, files).items():
-        names = [trim_name(name) for name in next(csv.reader([header]), [])]
-        missing = [c for c in ERP_REQUIRED if names.count(c) != 1]
-        if missing:
-            text = spark.read.text(own).filter(F.col("value") != header)
-            empty = [F.lit(None).cast("string").alias(c) for c in ERP_SCHEMA.fieldNames()]
-            reason = F.lit(f"the header must have each of these once: {', '.join(missing)}")
-            parts.append(text.select(*empty, F.col("value").alias(CORRUPT_COLUMN), reason.alias(PROBLEM_COLUMN)))
-            continue
-        wanted = {n: k for k, n in enumerate(names) if n in ERP_SCHEMA.fieldNames()}
-        layout = StructType([StructField(f"_{k}", StringType()) for k in range(len(names))])
-        rows = read_checked_csv(spark, own, layout)
-        columns = [
-            (F.col(f"_{wanted[c]}") if c in wanted else F.lit(None).cast("string")).alias(c)
-            for c in ERP_SCHEMA.fieldNames()
-        ]
-        reason = F.when(F.col(CORRUPT_COLUMN).isNotNull(), "the line does not fit its header")
-        parts.append(rows.select(*columns, CORRUPT_COLUMN, reason.alias(PROBLEM_COLUMN)))
-    if not parts:
-        names = [*ERP_SCHEMA.fieldNames(), CORRUPT_COLUMN, PROBLEM_COLUMN]
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in names))
-    return reduce(DataFrame.unionByName, parts)
+    folders, lost = _stored_lines(spark, files)
+    names = [*ERP_NAMES, CORRUPT_COLUMN, PROBLEM_COLUMN, FILE_COLUMN]
+    schema = ", ".join(f"{c} string" for c in names)
+    gone = spark.createDataFrame([(*[None] * (len(names) - 2), _NOT_READ, f) for f in lost], schema)
+    if not folders:
+        return gone
+    lines = spark.read.parquet(*folders)
+    # Places of the lines of one file ascend; those of different folders are never compared.
+    first = lines.filter("_start = 0").groupBy(FILE_COLUMN).agg(F.min(F.struct("_place", "value")).alias("_first"))
+    headers = first.select(FILE_COLUMN, "_first._place", F.col("_first.value").alias("_header"))
+    folder = new_folder(spark, "erp-headers")
+    headers.write.parquet(folder)
+    headers = spark.read.parquet(folder)
+    known = [row["_header"] for row in headers.select("_header").distinct().collect()]
+    if not known:
+        return gone
+    own = lines.join(headers.withColumnRenamed("_place", "_at"), FILE_COLUMN).filter("_place != _at")
+    read = F.lit(None)
+    for header in known:
+        fields, torn, problem = _read_line(header)
+        row = F.struct(fields.alias("fields"), torn.alias("torn"), problem.alias("problem"))
+        read = F.when(F.col("_header") == header, row).otherwise(read)
+    # Exploding a one-element array keeps Spark from parsing a line once for each of its fields.
+    rows = own.select(FILE_COLUMN, F.explode(F.array(read)).alias("_read"))
+    rows = rows.select(
+        "_read.fields.*",
+        F.col("_read.torn").alias(CORRUPT_COLUMN),
+        F.col("_read.problem").alias(PROBLEM_COLUMN),
+        FILE_COLUMN,
+    )
+    return rows.unionByName(gone) if lost else rows
 
 
 def trim_name(name: str) -> str:
@@ -135,8 +193,8 @@ def trim_name(name: str) -> str:
 def check_erp(rows: DataFrame) -> DataFrame:
     """``quality.check_fields`` of rows read by ``read_erp_files``."""
     amounts = ("unit_price", "total_price", "discount_applied")
-    parsers = {"sale_datetime": parse_timestamp, "quantity": parse_int}
-    parsers |= {f: lambda c: parse_decimal(c, 2) for f in amounts}
+    parsers = {"sale_datetime": timestamp_of, "quantity": int_of}
+    parsers |= {f: lambda t: decimal_of(t, 2) for f in amounts}
     return check_fields(
         rows,
         ("transaction_id", "product_id", "product_name", "sale_datetime", "quantity", "unit_price"),

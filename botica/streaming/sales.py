@@ -25,9 +25,9 @@ def stream_erp_sales(
 ) -> StreamingQuery:
     """Appends the extracts that arrived in a folder to the sales fact, each transaction once.
 
-    The stream tells which files are new; they are read by their own headers. Rows that
-    break a rule, and lines or files that cannot be mapped, go to the rejected table with
-    their errors, so that no row stops the stream. A batch that is delivered again adds
+    The stream tells which files are new; they are read once, by their own headers and
+    whatever their names. Rows that break a rule, and lines or files that cannot be read or
+    mapped, go to the rejected table with their errors, so that no file stops the stream. A batch that is delivered again adds
     nothing: its transactions are known, and its rejected rows replace themselves.
     """
 

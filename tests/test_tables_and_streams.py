@@ -290,6 +290,50 @@ def test_erp_columns_are_found_by_name(spark, tmp_path, catalog):
     assert "product_id" in bad["z"]["errors"][0] and "quantity" in bad["q"]["errors"][0]
 
 
+ODD_NAMES = ["with space.csv", "p%41.csv", "b[1].csv", "{x,y}.csv", "a*.csv", "q?.csv", "h#1.csv", "ü+&=;.csv"]
+
+
+def test_files_of_any_name(spark, tmp_path, catalog):
+    for k, name in enumerate(ODD_NAMES):
+        erp_file(tmp_path / "in [1] {a,b}", name, [ERP_ROWS[0].replace("A1", f"N{k}")])
+    # Names that a pattern would also match.
+    erp_file(tmp_path / "in [1] {a,b}", "b1.csv", [ERP_ROWS[0].replace("A1", "N8")])
+    rows = files.read_erp_files(spark, [str(tmp_path / "in [1] {a,b}" / n) for n in ODD_NAMES])
+    assert sorted(r["transaction_id"] for r in rows.collect()) == [f"N{k}" for k in range(len(ODD_NAMES))]
+    good, bad = erp_rows(spark, tmp_path / "in [1] {a,b}")
+    assert good.count() == len(ODD_NAMES) + 1 and not bad
+
+
+def test_a_file_that_cannot_be_read_is_rejected(spark, tmp_path, catalog):
+    for k in range(5):
+        erp_file(tmp_path / "in", f"f{k}.csv", [ERP_ROWS[0].replace("A1", f"U{k}")])
+    (tmp_path / "in" / "broken.csv.gz").write_bytes(b"\x1f\x8b\x08\x00 no archive")
+    names = sorted(str(p) for p in (tmp_path / "in").iterdir()) + [str(tmp_path / "in" / "vanished.csv")]
+    checked = files.check_erp(files.read_erp_files(spark, names))
+    assert sorted(r["transaction_id"] for r in accepted(checked).collect()) == [f"U{k}" for k in range(5)]
+    bad = rejected(checked).collect()
+    assert sorted(r["_file"].rsplit("/", 1)[1] for r in bad) == ["broken.csv.gz", "vanished.csv"]
+    assert {tuple(r["errors"]) for r in bad} == {("the file cannot be read",)}
+
+
+def test_other_failures_are_not_taken_for_unreadable_files(spark, tmp_path, monkeypatch):
+    def fail(*_):
+        raise PySparkException("the cluster is gone")
+
+    monkeypatch.setattr(files, "_store_lines", fail)
+    with pytest.raises(PySparkException, match="gone"):
+        files.read_erp_files(spark, ["a", "b"])
+
+
+def test_extracts_are_scanned_once(spark, tmp_path):
+    erp_file(tmp_path / "in", "a.csv", ERP_ROWS)
+    erp_file(tmp_path / "in", "b.csv", ["\n \n", ERP_ROWS[0]], "remark," + ERP_HEADER)
+    rows = files.read_erp_files(spark, [str(tmp_path / "in")])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan csv" not in plan
+    assert rows.count() == 5 and rows.where("_problem is null").count() == 3
+
+
 def test_a_small_discount_on_a_large_line(spark, tmp_path, catalog):
     erp_file(tmp_path / "in", "a.csv", ["F1,2025-05-23 10:00:00,P1,T,30,100.00,2999.90,Cash,E1,C1,,FALSE,0.10,10,L1"])
     row = files.erp_to_sales(erp_rows(spark, tmp_path / "in")[0], catalog).first()
@@ -342,7 +386,7 @@ def test_stream_of_erp_files(spark, tmp_path, catalog):
     assert load() == ["A1", "A3"]
     blank = "G1,2025-05-23 10:00:00,P1,Tablets,,5.50,11.00,Cash,E1,C1,,FALSE,0.00,10,L1"
     erp_file(landing, "b.csv", [*ERP_ROWS, blank, blank.replace(",,5.50", ",x,5.50")])
-    erp_file(landing, "c.csv", ["lost"], "no,such,header")
+    erp_file(landing, "c [1] 5%.csv", ["lost"], "no,such,header")
     assert load() == ["A1", "A3", "A4"]
     assert load() == ["A1", "A3", "A4"]
     errors = sorted(r["errors"][0] for r in read_table(spark, str(rejected_path)).collect())
