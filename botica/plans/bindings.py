@@ -417,6 +417,7 @@ erp AS (
         FROM sale_lines))"""
 )
 
+LANDED_FILES = 8
 _ODD_NAMES = ("till 7 [north]", "100%41#b", "{a,b} *?")
 
 
@@ -434,6 +435,8 @@ def erp_landing(spark: SparkSession, sf_dir: str) -> str:
     texts["quantity"] = F.when(own % 17 != 0, texts["quantity"])
     texts["product_name"] = F.when(own % 19 == 0, " \t").otherwise(texts["product_name"])
     rows = extract.select(*[c.alias(f) for f, c in texts.items()], (own % 3).alias("_part"))
+    # Every till delivers files of its own.
+    rows = rows.repartition(LANDED_FILES)
     folder = new_folder(spark, "erp-landing")
     layouts = [texts, reversed(texts), ["note", *texts]]
     for part, names in enumerate(layouts):

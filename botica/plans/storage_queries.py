@@ -12,6 +12,8 @@ from botica.operators.quality import accepted, split_corrupt
 from botica.plans import bindings as b
 from botica.plans.bindings import plain
 from botica.plans.catalog_queries import CATALOG_SELECT, DIM_SELECT, dim_select
+from botica.operators.reports import PREVIEW_ROWS
+from botica.plans import sales_queries
 from botica.plans.sales_queries import priced_lines
 from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA, PRICE_LIST_HEADERS, SALES_SCHEMA
 from botica.sinks import tables as sinks
@@ -86,6 +88,13 @@ def append_sales_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return plain(sinks.read_sales(spark, path).select(*SALES_COLUMNS))
 
 
+def newest_stored_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest 20 sales of the stored fact, of which only the last periods are read."""
+    path = new_folder(spark, "daily-sales")
+    sinks.append_sales(priced_lines(spark, sf).select(*SALES_COLUMNS), path)
+    return plain(sinks.newest_sales(spark, path, PREVIEW_ROWS).select(*SALES_COLUMNS))
+
+
 def append_sales_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     """All sales are delivered; then some again with another month; none is stored twice."""
     path = new_folder(spark, "daily-sales")
@@ -135,6 +144,7 @@ QUERIES = {
     "scan_dim_product": scan_dim_product,
     "range_source": range_source,
     "append_sales_roundtrip": append_sales_roundtrip,
+    "newest_stored_sales": newest_stored_sales,
     "append_sales_idempotent": append_sales_idempotent,
     "refresh_dimension_roundtrip": refresh_dimension_roundtrip,
     "overwrite_dim_roundtrip": overwrite_dim_roundtrip,
@@ -167,6 +177,7 @@ FROM erp""",
     "scan_dim_product": f"WITH {b.CATALOG_SQL} {CATALOG_SELECT} catalog",
     "range_source": "SELECT unnest(range(0, (SELECT max(o_orderkey) + 1 FROM orders))) AS id",
     "append_sales_roundtrip": f"WITH {b.PRICED_SQL} {b.SALES_SELECT} priced",
+    "newest_stored_sales": sales_queries.ORACLE["preview_top20"],
     "append_sales_idempotent": f"WITH {b.PRICED_SQL}, {FIRST_SQL} {b.SALES_SELECT} first_sales",
     "refresh_dimension_roundtrip": f"""WITH {b.PRICE_LIST_SQL},
 usable AS (SELECT * FROM price_list WHERE CAST(ggrem_code AS BIGINT) % 29 <> 0)

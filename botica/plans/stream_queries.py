@@ -29,7 +29,7 @@ def _erp_stream(spark: SparkSession, sf: str) -> tuple[str, str]:
     landing = b.erp_landing(spark, sf)
     out, rejected, checkpoint = (new_folder(spark, n) for n in ("sales", "rejected", "checkpoint"))
     sales.stream_erp_sales(
-        spark, landing, b.catalog(spark, sf), out, rejected, checkpoint, files_per_batch=4
+        spark, landing, b.catalog(spark, sf), out, rejected, checkpoint, files_per_batch=b.LANDED_FILES * 3 // 2
     ).awaitTermination()
     return out, rejected
 
@@ -61,6 +61,7 @@ def stream_unmatched_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- events, delivered in four parts by time; every 97th comes with the last part ---------
+# Every 89th of the earlier parts is delivered again with the last one.
 
 PARTS = 4
 
@@ -76,7 +77,8 @@ def _delivered(spark: SparkSession, sf: str, late: bool, run) -> None:
         part = F.when(F.col("event_id") % 97 == 0, PARTS - 1).otherwise(part)
     landing = new_folder(spark, "events")
     for k in range(PARTS):
-        events.filter(part == k).write.mode("append").parquet(landing)
+        again = (part < k) & (F.col("event_id") % 89 == 0) if late and k == PARTS - 1 else F.lit(False)
+        events.filter((part == k) | again).write.mode("append").parquet(landing)
         run(b.event_columns(spark.readStream.schema(events.schema).parquet(landing)))
 
 

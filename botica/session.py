@@ -6,6 +6,10 @@ from pyspark.sql import SparkSession
 
 # A shuffle partition of this size fits an executor core's share of memory.
 PARTITION_BYTES = 256 << 20
+# Fixed value: Spark's state store on local disks, with its log in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Fixed value: the JVM interprets methods of more bytes than this, however often they run.
+HUGE_METHOD_BYTES = 8000
 
 
 def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
@@ -22,6 +26,10 @@ def settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
         "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
         "spark.sql.shuffle.partitions": str(partitions),
+        # What streams remember lies on disk, not in the heap.
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        # Wide rows of checks and formulas run operator by operator rather than interpreted.
+        "spark.sql.codegen.hugeMethodLimit": str(HUGE_METHOD_BYTES),
     }
 
 

@@ -3,17 +3,20 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from botica.operators.quality import enforce_schema
+from botica.operators.reports import newest
 from botica.schemas import SALES_SCHEMA
-from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
+from botica.sources.tables import DEFAULT_FORMAT, as_pattern, read_table, table_exists
 
 # Partition column of the sales fact: the first day of the sale's period. A period
 # should fill at least some files: "day" suits large daily volumes.
 SALES_PARTITION = "sale_period"
 DEFAULT_PERIOD = "month"
+# Fixed value: where Spark puts rows whose partition column is NULL.
+_NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -130,6 +133,34 @@ def _with_period(sales: DataFrame, period: str) -> DataFrame:
     return sales.withColumn(SALES_PARTITION, F.date_trunc(period, "sale_datetime").cast("date"))
 
 
+class LostRows(RuntimeError):
+    """What a table holds after a write is not what was written."""
+
+
+def _digest() -> list[Column]:
+    """Rows, both totals and a sum over keys, whatever the order of the rows."""
+    key = F.xxhash64("transaction_id", "product_id", "quantity").cast("decimal(38,0)")
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("total_price").alias("total_price"),
+        F.sum("total_price_after_taxes").alias("total_price_after_taxes"),
+        F.sum(key).alias("keys"),
+    ]
+
+
+def data_files(spark: SparkSession, path: str) -> set[str]:
+    """The files of a table that hold rows, by their names below it."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return set()
+    names, found, root = set(), fs.listFiles(target, True), fs.resolvePath(target).toString()
+    while found.hasNext():
+        name = found.next().getPath().toString().removeprefix(root).lstrip("/")
+        if not any(step.startswith(("_", ".")) for step in name.split("/")):
+            names.add(name)
+    return names
+
+
 def append_sales(
     sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
 ) -> None:
@@ -137,27 +168,70 @@ def append_sales(
 
     Rebalancing gathers a period's rows into few files, while Spark splits a period
     that is too large for one task. The period is noted in the table's folder; another
-    one is refused.
+    one is refused. The rows, totals and keys that go out are counted while they are
+    written and compared with those of the files that are new after it, so that the batch
+    is worked out once; a difference raises ``LostRows``. The names of the fact's files
+    are listed for it, as every reader of plain files does.
     """
     spark, mark = sales.sparkSession, "_period-"
     noted = [n.removeprefix(mark) for n in names_in(spark, path) if n.startswith(mark)]
     if noted and noted != [period]:
         raise ValueError(f"{path} is partitioned by {noted[0]}, not by {period}")
     checked = _with_period(enforce_schema(sales, SALES_SCHEMA), period)
+    before = data_files(spark, path)
+    sent = Observation("sales sent")
     (
         checked.hint("rebalance", SALES_PARTITION)
+        .observe(sent, *_digest())
         .write.format(fmt)
         .mode("append")
         .partitionBy(SALES_PARTITION)
         .save(path)
     )
     create_file(spark, f"{path}/{mark}{period}")
+    if fmt != "delta":
+        check_written(spark, path, data_files(spark, path) - before, sent.get, fmt)
+
+
+def check_written(
+    spark: SparkSession, path: str, names: set[str], sent: dict[str, object], fmt: str = DEFAULT_FORMAT
+) -> None:
+    """Raises ``LostRows`` where the named files of a table do not hold what was sent."""
+    files = [as_pattern(f"{path}/{name}") for name in sorted(names)]
+    stored = spark.read.format(fmt).schema(SALES_SCHEMA).load(files) if files else spark.createDataFrame([], SALES_SCHEMA)
+    found = stored.agg(*_digest()).first().asDict()
+    if found != sent:
+        raise LostRows(f"{path}: sent {sent}, found {found}")
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
     return read_table(spark, path, fmt)
 
 
+def newest_sales(
+    spark: SparkSession, path: str, rows: int, fmt: str = DEFAULT_FORMAT
+) -> DataFrame:
+    """The fact's newest rows, reading only the periods that can hold them.
+
+    Periods are counted from the newest down, twice as many each time, until they hold
+    enough rows; counting reads no column. Rows without a time lie in a period of their
+    own, which comes last.
+    """
+    sales = read_sales(spark, path, fmt)
+    found = (n.removeprefix(f"{SALES_PARTITION}=") for n in names_in(spark, path) if n.startswith(f"{SALES_PARTITION}="))
+    periods = sorted((p for p in found if p != _NO_PERIOD), reverse=True)
+    taken = 1
+    while True:
+        wanted = [F.lit(p).cast("date") for p in periods[:taken]]
+        recent = sales.filter(F.col(SALES_PARTITION).isin(*wanted)) if wanted else sales
+        if taken >= len(periods):
+            # All dated periods: those without a time may be needed too.
+            return newest(sales.drop(SALES_PARTITION), rows)
+        if recent.limit(rows).count() >= rows:
+            return newest(recent.drop(SALES_PARTITION), rows)
+        taken *= 2
+
+
 def first_per_transaction(sales: DataFrame) -> DataFrame:
     """One row per transaction: the one with the smallest quantity, then total.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -18,6 +17,7 @@ from botica.functions.timing import TIMESTAMP_FORMAT, timestamp_of
 from botica.operators.pricing import SALES_COLUMNS, price_lines
 from botica.operators.quality import check_fields
 from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA, MONEY
+from botica.sources.tables import as_pattern
 from botica.workspace import new_folder
 
 # Fixed value: stands in where the catalog does not know the product.
@@ -89,11 +89,6 @@ _UNREADABLE = ("FAILED_READ_FILE", "PATH_NOT_FOUND")
 _NOT_READ = "the file cannot be read"
 
 
-def as_pattern(path: str) -> str:
-    """A path that stands for itself where readers take patterns."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
-
-
 def _store_lines(spark: SparkSession, paths: Sequence[str], folder: str) -> None:
     """The lines that are not blank: text, the file as Spark names it, and place."""
     lines = spark.read.option("recursiveFileLookup", True).text(list(paths))

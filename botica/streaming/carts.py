@@ -14,7 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 from botica.operators.carts import CART_ACTIONS, SAVE, close_carts, number_carts
 from botica.schemas import CART_EVENT_SCHEMA, CART_LINE_SCHEMA, CLOSED_CARTS_SCHEMA
 from botica.sources.tables import DEFAULT_FORMAT
-from botica.streaming.settling import LATE, PENDING, newest_batch, of_all_batches, of_batch, settle_batch
+from botica.streaming.settling import (
+    LATE,
+    PENDING,
+    newest_batch,
+    of_all_batches,
+    of_batch,
+    settle_batch,
+    without_repeats,
+)
 from botica.streaming.staging import staged_batches
 
 EVENT_COLUMNS = CART_EVENT_SCHEMA.fieldNames()
@@ -55,7 +63,7 @@ def settle_carts(spark: SparkSession, state: str, fmt: str):
 def stream_saved_carts(
     events: DataFrame, state: str, checkpoint: str, delay: str = "1 hour", fmt: str = DEFAULT_FORMAT
 ) -> StreamingQuery:
-    """Keeps the state tables up to date; repeated events count once."""
+    """Keeps the state tables up to date; an event that is delivered again counts nowhere."""
     spark = events.sparkSession
     wanted = events.select(*EVENT_COLUMNS).filter(F.col("action").isin(*CART_ACTIONS))
 
@@ -63,7 +71,8 @@ def stream_saved_carts(
         settle_batch(batch, batch_id, state, delay, settle_carts(spark, state, fmt), fmt)
 
     return (
-        wanted.writeStream.foreachBatch(staged_batches(spark, work, fmt))
+        without_repeats(wanted)
+        .writeStream.foreachBatch(staged_batches(spark, work, fmt))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

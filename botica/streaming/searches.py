@@ -9,7 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from botica.operators.searches import DEFAULT_GAP, debounce_searches
 from botica.schemas import SEARCH_SCHEMA
 from botica.sources.tables import DEFAULT_FORMAT
-from botica.streaming.settling import LATE, PENDING, newest_batch, of_all_batches, of_batch, settle_batch
+from botica.streaming.settling import (
+    LATE,
+    PENDING,
+    newest_batch,
+    of_all_batches,
+    of_batch,
+    settle_batch,
+    without_repeats,
+)
 from botica.streaming.staging import staged_batches
 
 SEARCH_COLUMNS = SEARCH_SCHEMA.fieldNames()
@@ -40,7 +48,7 @@ def stream_debounced(
         settle_batch(batch, batch_id, state, delay, settle, fmt)
 
     return (
-        searches.select(*SEARCH_COLUMNS)
+        without_repeats(searches.select(*SEARCH_COLUMNS))
         .writeStream.foreachBatch(staged_batches(spark, work, fmt))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

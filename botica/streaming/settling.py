@@ -20,6 +20,8 @@ from botica.sources.tables import read_table, table_exists
 from botica.workspace import new_folder
 
 PENDING, LATE, PUBLISHED = "pending", "late", "published"
+# How long after its arrival an event that comes again is known to be a repeated one.
+REMEMBERED = "7 days"
 
 # (all open events, the settled time, the batch before) -> tables; "pending" is one of them.
 Settle = Callable[[DataFrame, Column, int | None], dict[str, DataFrame]]
@@ -50,13 +52,23 @@ def of_all_batches(spark: SparkSession, state: str, name: str, fmt: str, schema:
     return stored.filter(F.col("batch_id") <= newest).drop("batch_id")
 
 
+def without_repeats(events: DataFrame, remembered: str = REMEMBERED) -> DataFrame:
+    """A stream's events less those whose ``event_id`` arrived within the time before.
+
+    What is remembered follows when events arrive and not their own times, so that an
+    event is never dropped for being late. State falls as soon as it is too old.
+    """
+    arrived = events.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remembered)
+    return arrived.dropDuplicatesWithinWatermark(["event_id"]).drop("_arrived")
+
+
 def settle_batch(
     batch: DataFrame, batch_id: int, state: str, delay: str, settle: Settle, fmt: str
 ) -> None:
     """Settles one batch of events with an ``event_id`` and a time ``ts``.
 
-    An event counts once while it is open. One that arrives when its time has been
-    settled, as a repeated or a late one, goes to the table of late events.
+    An event counts once while it is open. One that arrives when its time has been settled
+    goes to the table of late events; ``without_repeats`` keeps repeated ones out of it.
     """
     spark, schema = batch.sparkSession, batch.schema
     before = newest_batch(spark, state, batch_id)

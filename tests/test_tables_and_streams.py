@@ -109,6 +109,56 @@ def test_another_period_is_refused(spark, tmp_path):
     assert sinks.read_sales(spark, path).count() == 2
 
 
+def test_a_lost_file_is_noticed(spark, tmp_path, monkeypatch):
+    path = tmp_path / "sales"
+    sinks.append_sales(sales(spark, *[sale(i, i) for i in range(6)]), str(path))
+    listed = sinks.data_files
+
+    def lose_one(session, folder):
+        # After the write, one of the files is gone; the names are those of the files that are there.
+        names = listed(session, folder)
+        return names if lose_one.first else names - {sorted(names - lose_one.known)[0]}
+
+    lose_one.known, lose_one.first = listed(spark, str(path)), True
+    original = sinks.create_file
+
+    def after_write(session, file):
+        lose_one.first = False
+        original(session, file)
+
+    monkeypatch.setattr(sinks, "data_files", lose_one)
+    monkeypatch.setattr(sinks, "create_file", after_write)
+    with pytest.raises(sinks.LostRows, match="sent .* found"):
+        sinks.append_sales(sales(spark, sale(10, 1), sale(11, 50), sale(12, 90)), str(path))
+
+
+def test_a_checked_append_works_out_its_rows_once(spark, tmp_path):
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            counted.add(batch.num_rows)
+            yield batch
+
+    frame = sales(spark, *[sale(i, i) for i in range(40)]).mapInArrow(count, SALES_SCHEMA)
+    sinks.append_sales(frame, str(tmp_path / "sales"))
+    assert counted.value == 40
+    sinks.append_sales(frame.limit(0), str(tmp_path / "sales"))
+    assert sinks.read_sales(spark, str(tmp_path / "sales")).count() == 40
+
+
+@pytest.mark.parametrize("days, rows", [(400, 20), (400, 70), (3, 20), (0, 5)])
+def test_newest_sales_read_few_periods(spark, tmp_path, days, rows):
+    path = str(tmp_path / "sales")
+    every = sales(spark, *[sale(i, i) for i in range(days)])
+    sinks.append_sales(every, path)
+    if days:
+        found = sinks.newest_sales(spark, path, rows)
+        assert [r["transaction_id"] for r in found.collect()] == [str(i) for i in reversed(range(days))][:rows]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("PartitionFilters: [isnotnull(sale_period" in plan or "sale_period" in plan.split("PartitionFilters: [")[1].split("]")[0]) == (days > 30)
+
+
 def test_deduplication_cuts_before_the_shuffle(spark):
     plan = sinks.first_per_transaction(sales(spark, sale(1)))._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "WindowGroupLimit" in plan
@@ -482,6 +532,17 @@ def test_late_events_are_kept_apart(spark, tmp_path):
     assert settled_lines(spark, state) == [(7, 5, 1, 3)]
 
 
+def test_repeated_events_are_not_late(spark, tmp_path):
+    rows = [(k, 1, 600 * k, c.SET_QUANTITY, k % 3, 1) for k in range(40)]
+    folder, state, checkpoint = (str(tmp_path / n) for n in ("in", "state", "checkpoint"))
+    late = (100, 1, 900, c.SET_QUANTITY, 1, 1)
+    deliveries = [rows[:30], [*rows[30:], *rows[:5]], [late, *rows[:10], rows[39]], [late]]
+    for delivery in deliveries:
+        events(spark, delivery).coalesce(1).write.mode("append").parquet(folder)
+        run_cart_stream(spark, folder, state, checkpoint, "1 hour")
+    assert [r["event_id"] for r in live.late_events(spark, state).collect()] == [100]
+
+
 def test_pending_events_do_not_pile_up(spark, tmp_path):
     rows = [(i, i % 3, i * 600, ["set_qty", "set_qty", "set_qty", "save"][i // 3 % 4], 1, 1) for i in range(120)]
     folder, state, checkpoint = (str(tmp_path / n) for n in ("events", "state", "checkpoint"))
