@@ -28,8 +28,15 @@ _letter[97:123] = np.arange(97, 123)
 _letter[65:91] = np.arange(97, 123)
 _letter[128:] = np.arange(128, 256)
 
-_HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+# What opens something hidden, and what ends it: a comment, an element with its content, a tag.
+_OPENS = re.compile(rb"(?i)<(?:(!--)|(script|style|nav)\b)?")
+_ENDS = {
+    b"!--": re.compile(rb"-->"),
+    b"": re.compile(rb">"),
+    **{name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style", b"nav")},
+}
+_HTML_TAG = re.compile(rb"(?i)<html\b")
+_LANG = re.compile(rb"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -45,15 +52,53 @@ def trigrams(text: bytes) -> np.ndarray:
     return counts
 
 
+def _without_markup(html: bytes) -> bytes:
+    """Comments, scripts, styles, navigation and tags become a blank, in one pass.
+
+    The next end of each kind is looked for once and remembered, so that openings
+    without ends cost nothing more; such an opening is text, or the start of a tag.
+    """
+    kept: list[bytes] = []
+    known: dict[bytes, re.Match | None] = {}
+    text = at = 0
+    while True:
+        opening = _OPENS.search(html, at)
+        if opening is None:
+            break
+        kind = (opening[1] or opening[2] or b"").lower()
+        for name in dict.fromkeys((kind, b"")):
+            start = opening.end() if name else opening.start() + 1
+            if name not in known or (known[name] is not None and known[name].start() < start):
+                known[name] = _ENDS[name].search(html, start)
+            end = known[name]
+            if end is not None:
+                kept += [html[text : opening.start()], b" "]
+                text = at = end.end()
+                break
+        else:
+            at = opening.start() + 1
+    return b"".join([*kept, html[text:]])
+
+
 def visible(html: bytes) -> bytes:
     """The text of a page: without comments, scripts, styles, navigation and tags."""
-    return unescape(_HIDDEN.sub(b" ", html).decode("utf-8", "replace")).encode()
+    text = _without_markup(html).decode("utf-8", "replace")
+    # Numbers of characters that nobody has are not read as numbers: they may be very long.
+    text = re.sub(r"&#[0-9]{8,};?", "\ufffd", re.sub(r"&#0+(?=[0-9])", "&#", text))
+    return unescape(text).encode("utf-8", "replace")
 
 
 def declared_language(html: bytes) -> str | None:
     """The first part of the language that the html tag declares, in lower case."""
-    found = _DECLARED.search(html)
-    return found[1].lower().decode() if found else None
+    at = 0
+    while (tag := _HTML_TAG.search(html, at)) is not None:
+        end = html.find(b">", tag.end())
+        end = len(html) if end < 0 else end
+        found = _LANG.search(html, tag.end(), end)
+        if found:
+            return found[1].lower().decode()
+        at = end
+    return None
 
 
 def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,23 +19,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 2654435769
 _POINTS = 1 << 32
 _CELLS = 1 << 12
-# Slots of the schedule at most, but for one more per source; blocks grow beyond it.
-MOST_SLOTS = 1 << 21
+# Words of a block, at any size of the corpus.
+BLOCK_WORDS = 256
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: bool) -> DataFrame:
+    """Sizes and shuffled order; documents without an id are told apart by their row."""
     words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD))
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if keep else []
-    return numbered(
+    sized = numbered(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             words.cast("long").alias("size"),
-            F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
             *rest,
         ),
         "mix-sizes",
     )
+    named = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    return sized.withColumn("key", F.md5(named.cast("binary")))
 
 
 def _named(source: str = "source") -> list:
@@ -135,10 +137,8 @@ def _mix(sized: DataFrame, block_words: int | None, **shares) -> tuple[DataFrame
 
     ``at`` is the piece's first word in its source's stream.
     """
+    block_words = block_words or BLOCK_WORDS
     targets = written(source_targets(sized, **shares), "mix-targets")
-    words = targets.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    if block_words is None:
-        block_words = max(256, -(-words // MOST_SLOTS))
     source = ["unnamed", "name"]
     # Where a document begins in its source: sums by piece of the order, then within.
     docs = sized.select("row", "id", "size", "key", *_named()).withColumn("piece", F.substring("key", 1, 4))

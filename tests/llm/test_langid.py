@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import re
+import time
+
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
+from botica.llm import langid
 from botica.llm.langid import BUCKETS, declared_language, language_model, page_languages, trigrams, visible
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +70,32 @@ def test_nothing(spark, model, nothing):
     assert language_model(nothing) == {}
     one = spark.createDataFrame([(1, "http://a.b/", "x")], "page_id long, url string, html string")
     assert page_languages(one, {}).collect()[0].lang is None
+
+
+_SAME = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>")
+_SAME_LANG = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+_PARTS = st.sampled_from([b"<", b">", b"<!--", b"-->", b"<script", b"</script", b"<NAV ", b"</nav>", b"<style>", b"</STYLE ",
+                          b" ", b"a", b"<html", b" lang=", b"en", b"'", b"--", b"scripts"])
+
+
+@given(st.lists(_PARTS, max_size=25))
+def test_markup_is_cut_as_by_the_plain_expression(parts):
+    html = b"".join(parts)
+    assert langid._without_markup(html) == _SAME.sub(b" ", html)
+    found = _SAME_LANG.search(html)
+    assert langid.declared_language(html) == (found[1].lower().decode() if found else None)
+
+
+@pytest.mark.parametrize(
+    "piece", [b"<!--", b"<script ", b"<", b"<html ", b"<nav></na", b"&#9", b"<html lang", b"</script  ", b"<style>-->"]
+)
+def test_hostile_pages_take_seconds(piece):
+    html = piece * (5_000_000 // len(piece))
+    start = time.perf_counter()
+    langid.visible(html)
+    langid.declared_language(html)
+    assert time.perf_counter() - start < 20
+
+
+def test_character_numbers_of_any_length():
+    assert langid.visible(b"&#0000000000065;&#" + b"9" * 10_000 + b";b") == "A\ufffdb".encode()
