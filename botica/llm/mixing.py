@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from botica.llm.staging import numbered, written
+from botica.llm.staging import as_read, numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Fixed value: 2^32 divided by the golden ratio; multiples of it modulo 2^32 spread evenly.
@@ -23,16 +23,15 @@ _CELLS = 1 << 12
 BLOCK_WORDS = 256
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: bool) -> DataFrame:
-    """Sizes and shuffled order; documents without an id are told apart by their row."""
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *beside: str) -> DataFrame:
+    """Sizes, shuffled order and the columns ``beside``; documents without an id are told apart by their row."""
     words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD))
-    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if keep else []
     sized = numbered(
         docs.select(
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             words.cast("long").alias("size"),
-            *rest,
+            *beside,
         ),
         "mix-sizes",
     )
@@ -197,7 +196,7 @@ def mix(
     taken before, ``start`` its words before the piece. Every run of slots from the first
     on has the sources' words near their shares. Empty tables give an empty result.
     """
-    sized = _sized(docs, id_col, text_col, source_col, False)
+    sized = _sized(docs, id_col, text_col, source_col)
     mixed, _ = _mix(sized, block_words, **shares)
     return (
         sized.select("row", "id", "source")
@@ -223,7 +222,7 @@ def mixed_sources(
     its target, rounded. Texts without words, null ones too, have size 0 and give
     nothing; an empty table gives an empty result. Documents of one id are told apart.
     """
-    sized = _sized(docs, id_col, text_col, source_col, False)
+    sized = _sized(docs, id_col, text_col, source_col)
     mixed, targets = _mix(sized, block_words, **shares)
     taken = mixed.groupBy("row").agg(F.sum("words").alias("taken"))
     return (
@@ -240,19 +239,33 @@ def mix_documents(
     text_col: str = "text",
     source_col: str = "source",
     block_words: int | None = None,
+    plain_files: bool = False,
     **shares,
 ) -> DataFrame:
     """The documents of the mix, with their columns: a row for each time one is taken.
 
     They are dealt to partitions by ranges and ordered within them, by the slot and place
     of their first piece: a document over several blocks comes whole at the first of them.
-    A document taken in part keeps the words taken, with one blank between them.
+    A document taken in part keeps the words taken, with one blank between them. Texts
+    without words, null and empty ones too, are not taken; null sources are one source;
+    repeated rows are documents of their own; other columns stay as they are, null or
+    not; an empty table gives an empty result.
+
+    With ``plain_files``, ``docs`` that are Parquet files just as they were read are read
+    once more instead of being copied. Any other frame is copied first, as its rows could
+    differ when it is worked out again.
     """
-    sized = _sized(docs, id_col, text_col, source_col, True)
+    documents = as_read(docs) if plain_files else None
+    if documents is None:
+        copied = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+        documents = numbered(copied, "mix-documents", "place")
+    field = lambda c: f"document.`{c}`"
+    sized = _sized(documents, field(id_col), field(text_col), field(source_col), "place")
     mixed, _ = _mix(sized, block_words, **shares)
     times = mixed.groupBy("row", "pass").agg(
         F.min("start").alias("start"), F.sum("words").alias("words"), F.min(F.struct("at", "slot")).alias("first")
     )
+    times = sized.select("row", "place", "size").join(times, "row").drop("row")
     part = F.array_join(
         F.slice(
             F.regexp_extract_all(f"document.`{text_col}`", F.lit(WORD), F.lit(0)),
@@ -261,11 +274,10 @@ def mix_documents(
         ),
         " ",
     )
-    text = F.when(F.col("words") == F.col("size"), F.col(f"document.`{text_col}`")).otherwise(part)
+    text = F.when(F.col("words") == F.col("size"), F.col(field(text_col))).otherwise(part)
     return (
-        sized.select("row", "size", "document")
-        .join(times, "row")
+        documents.join(times, "place")
         .repartitionByRange("first.slot", "first.at")
         .sortWithinPartitions("first.slot", "first.at")
-        .select(*(text.alias(c) if c == text_col else F.col(f"document.`{c}`") for c in docs.columns))
+        .select(*(text.alias(c) if c == text_col else F.col(field(c)).alias(c) for c in docs.columns))
     )

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,6 +58,23 @@ def numbered(df: DataFrame, label: str, row: str = "row") -> DataFrame:
     return stored.select("*", number.alias(row))
 
 
+def as_read(df: DataFrame) -> DataFrame | None:
+    """``place`` (file and number in it) and ``document`` of each row of files read as they are.
+
+    Such rows are told apart without a copy of them, however often they are read again.
+    None for any other frame, in which a row of a file may stand several times; a read
+    that names one file twice is not for this.
+    """
+    if not df._jdf.queryExecution().analyzed().children().isEmpty() or "_metadata" in df.columns:
+        return None
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return df.select(place.alias("place"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("document"))
+    except AnalysisException:
+        # Rows in memory, or files whose rows Spark does not number.
+        return None
+
+
 def beside(docs: DataFrame, text_col: str) -> Column:
     """All columns but the text, as one that no name can clash with: ``rest``."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]

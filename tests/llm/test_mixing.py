@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 
 from botica.llm.mixing import WORD, mix_documents, mixed_sources, schedule, source_targets
+from botica.llm.staging import as_read
 
 
 def words(text):
@@ -68,7 +69,7 @@ def test_schedule_is_even_along_the_way(spark, messy, messy_rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     from botica.llm.mixing import _sized
 
-    shares = source_targets(_sized(docs, "doc_id", "text", "source", False))
+    shares = source_targets(_sized(docs, "doc_id", "text", "source"))
     slots = sorted(schedule(shares, 50).collect())
     total, quota = len(slots), {r.name: r.quota for r in shares.collect()}
     seen = Counter()
@@ -79,6 +80,20 @@ def test_schedule_is_even_along_the_way(spark, messy, messy_rows):
         assert abs(seen[name] - n / sum(quota.values()) * (total // 2)) < 4
 
 
+def test_files_as_read_give_the_same_mix(spark, messy, tmp_path):
+    folder = str(tmp_path / "docs")
+    messy.filter("doc_id is not null").repartition(3).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    assert as_read(docs).select("place").distinct().count() == docs.count()
+    # Rows in memory and rows of a further step have to be copied.
+    assert as_read(spark.createDataFrame([(1,)], "a int")) is None
+    assert as_read(docs.filter("doc_id > 0")) is None
+    read, copied = (mix_documents(docs, block_words=5, plain_files=plain) for plain in (True, False))
+    taken = lambda df: Counter((r.doc_id, r.source) for r in df.collect())
+    assert taken(read) == taken(copied)
+    assert read.columns == docs.columns
+
+
 def test_reruns_agree(messy):
     once = Counter(map(tuple, mixed_sources(messy).collect()))
     assert once == Counter(map(tuple, mixed_sources(messy.repartition(5)).collect()))
