@@ -11,7 +11,8 @@ from botica.functions.text import is_blank
 from botica.operators.catalog import NATURAL_KEY, dim_product
 from botica.operators.quality import enforce_schema
 from botica.schemas import CORRUPT_COLUMN, DIM_PRODUCT_SCHEMA, PRICE_LIST_HEADERS
-from botica.sinks.tables import newest_file, overwrite_table
+from botica.sinks.files import newest_file
+from botica.sinks.tables import overwrite_table
 from botica.sources.files import read_checked_semicolon_csv
 from botica.sources.tables import DEFAULT_FORMAT, read_table, table_exists
 from botica.workspace import new_folder, scratch

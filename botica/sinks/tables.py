@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +8,18 @@ from pyspark.sql import functions as F
 from botica.operators.quality import enforce_schema
 from botica.operators.reports import newest
 from botica.schemas import SALES_SCHEMA
+# Some of these are used by others from here.
+from botica.sinks.files import (  # noqa: F401
+    create_file,
+    data_files,
+    drop_folder,
+    file_system,
+    names_in,
+    newest_file,
+    numbered_folders,
+)
+from botica.sinks.files import rename as _rename
+from botica.sinks.keys import ids_near
 from botica.sources.tables import DEFAULT_FORMAT, as_pattern, read_table, table_exists
 
 # Partition column of the sales fact: the first day of the sale's period. A period
@@ -19,54 +30,6 @@ DEFAULT_PERIOD = "month"
 _NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    fs, target = _file_system(spark, path)
-    fs.delete(target, True)
-
-
-def names_in(spark: SparkSession, path: str) -> list[str]:
-    """The names in a folder; none if it is missing."""
-    fs, target = _file_system(spark, path)
-    if not fs.exists(target):
-        return []
-    return [status.getPath().getName() for status in fs.listStatus(target)]
-
-
-def numbered_folders(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
-    """The numbers among the names in a folder, after a prefix, in order."""
-    names = [n.removeprefix(prefix) for n in names_in(spark, path) if n.startswith(prefix)]
-    return sorted(int(name) for name in names if name.isdigit())
-
-
-def create_file(spark: SparkSession, path: str) -> None:
-    """An empty file, made at once; one that exists stays."""
-    fs, target = _file_system(spark, path)
-    fs.mkdirs(target.getParent())
-    if not fs.exists(target):
-        fs.create(target, False).close()
-
-
-def newest_file(spark: SparkSession, path: str) -> datetime:
-    """When a file of a folder was last written, by the driver's clock."""
-    fs, target = _file_system(spark, path)
-    found, newest = fs.listFiles(target, True), 0
-    while found.hasNext():
-        newest = max(newest, found.next().getModificationTime())
-    return datetime.fromtimestamp(newest / 1000)
-
-
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, from_path = _file_system(spark, source)
-    if not fs.rename(from_path, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
-        raise OSError(f"cannot rename {source} to {target}")
-
-
 def create_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
 
@@ -98,7 +61,7 @@ def overwrite_table(
     except Exception:
         drop_folder(spark, staged)
         raise
-    fs, target = _file_system(spark, path)
+    fs, target = file_system(spark, path)
     if not fs.exists(target):
         _rename(spark, staged, path)
         return
@@ -114,7 +77,7 @@ def overwrite_table(
 
 def _tidy(spark: SparkSession, path: str) -> None:
     """Removes what a run that broke off left beside a table, or brings the table back."""
-    fs, target = _file_system(spark, path)
+    fs, target = file_system(spark, path)
     parent, name = str(target.getParent()), target.getName()
     for left in names_in(spark, parent):
         if left.startswith(f"{name}__old_") and not fs.exists(target):
@@ -148,19 +111,6 @@ def _digest() -> list[Column]:
     ]
 
 
-def data_files(spark: SparkSession, path: str) -> set[str]:
-    """The files of a table that hold rows, by their names below it."""
-    fs, target = _file_system(spark, path)
-    if not fs.exists(target):
-        return set()
-    names, found, root = set(), fs.listFiles(target, True), fs.resolvePath(target).toString()
-    while found.hasNext():
-        name = found.next().getPath().toString().removeprefix(root).lstrip("/")
-        if not any(step.startswith(("_", ".")) for step in name.split("/")):
-            names.add(name)
-    return names
-
-
 def append_sales(
     sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
 ) -> None:
@@ -250,14 +200,19 @@ def first_per_transaction(sales: DataFrame) -> DataFrame:
 def new_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
     """The batch's transactions that the sales fact does not have yet.
 
-    A transaction is known by its id alone, whatever time it is delivered with. Of the
-    fact only the ids are read.
+    A transaction is known by its id alone, whatever time it is delivered with. Of a fact
+    in Parquet files only the ids in the batch's buckets are read, from an index
+    kept with it (``sinks/keys.py``); of another format, all ids.
     """
     spark = sales.sparkSession
     batch = first_per_transaction(sales)
     if not table_exists(spark, path, fmt):
         return batch
-    return batch.join(read_sales(spark, path, fmt).select("transaction_id"), "transaction_id", "left_anti")
+    if fmt == "parquet":
+        known = ids_near(sales, path, "transaction_id")
+    else:
+        known = read_sales(spark, path, fmt).select("transaction_id")
+    return batch.join(known, "transaction_id", "left_anti")
 
 
 def append_new_sales(

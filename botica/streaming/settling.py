@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from botica.sinks.tables import create_file, drop_folder, numbered_folders
+from botica.sinks.files import create_file, drop_folder, numbered_folders
 from botica.sources.tables import read_table, table_exists
 from botica.workspace import new_folder
 

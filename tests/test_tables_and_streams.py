@@ -18,6 +18,7 @@ from botica.schemas import (
     SALES_SCHEMA,
     SEARCH_SCHEMA,
 )
+from botica.sinks import keys
 from botica.sinks import tables as sinks
 from botica.sinks.refresh import is_stale, refresh_dimension, refresh_if_stale
 from botica.sources import files
@@ -100,6 +101,66 @@ def test_a_corrected_time_adds_nothing(spark, tmp_path):
     assert "ReadSchema: struct<transaction_id:string>" in plan
 
 
+def kept_ids(spark, folder):
+    return spark.read.parquet(f"{folder}/keys")
+
+
+def test_an_append_reads_only_its_own_buckets(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    sinks.append_sales(sales(spark, *[sale(i, i % 90) for i in range(2000)]), path)
+    batch = sales(spark, sale(7), sale(5000), sale(5001))
+    near = keys.ids_near(batch, path, "transaction_id", buckets=100)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "id_bucket" in plan
+    folder = keys.bring_up_to_date(spark, path, "transaction_id")
+    stored = kept_ids(spark, folder)
+    assert stored.select("id_bucket").distinct().count() == 100
+    assert sorted(r[0] for r in stored.select("transaction_id").collect()) == sorted(str(i) for i in range(2000))
+    hit = {r[0] for r in batch.select(keys.id_bucket("transaction_id", 100)).collect()}
+    read = {f.split("id_bucket=")[1].split("/")[0] for f in near.inputFiles()}
+    scanned = {r[0] for r in near.select(keys.id_bucket("transaction_id", 100)).distinct().collect()}
+    assert scanned == hit and len(read) == 100  # inputFiles lists the table, the filter prunes it
+    assert "7" in {r["transaction_id"] for r in near.collect()}
+    assert sinks.read_sales(spark, path).count() == 2000
+
+
+def test_the_index_follows_the_fact_after_broken_runs(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    add = lambda *rows: sinks.append_new_sales(sales(spark, *rows), path)
+    count = lambda: sinks.read_sales(spark, path).count()
+    add(sale(1), sale(2))
+    # Rows that came past the index, as of a writer that ended right after its append.
+    sinks.append_sales(sales(spark, sale(3, 40)), path)
+    add(sale(3, 40), sale(1), sale(4))
+    assert count() == 4
+    # Ids stored, but their files not named as covered: they are added once more.
+    folder = keys.bring_up_to_date(spark, path, "transaction_id")
+    last = keys.numbered_folders(spark, f"{folder}/covered")[-1]
+    keys.drop_folder(spark, f"{folder}/covered/{last}")
+    add(sale(4), sale(5))
+    assert count() == 5
+    # An index that was begun and not finished is passed over.
+    keys.create_file(spark, f"{path}/_ids/9/_buckets-8")
+    add(sale(5), sale(6))
+    assert count() == 6
+
+
+def test_the_index_is_made_anew(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    folders = []
+    for i in range(4):
+        sinks.append_sales(sales(spark, sale(i, 40 * i)), path)
+        folders.append(keys.bring_up_to_date(spark, path, "transaction_id", most_additions=2))
+    assert folders[0] == folders[1] == folders[2] != folders[3]
+    assert kept_ids(spark, folders[3]).count() == 4
+    # A file that left the fact takes its ids along.
+    gone = next(name for name in sorted(keys.data_files(spark, path)))
+    keys.drop_folder(spark, f"{path}/{gone}")
+    folder = keys.bring_up_to_date(spark, path, "transaction_id")
+    assert folder != folders[3] and kept_ids(spark, folder).count() == 3
+    assert sinks.new_sales(sales(spark, *[sale(i) for i in range(4)]), path).count() == 1
+
+
 def test_another_period_is_refused(spark, tmp_path):
     path = str(tmp_path / "sales")
     sinks.append_new_sales(sales(spark, sale(1)), path, period="month")
