@@ -118,21 +118,33 @@ def _stored_lines(spark: SparkSession, files: Sequence[str]) -> tuple[list[str],
     return [folder], []
 
 
-def _read_line(header: str) -> tuple[Column, Column, Column]:
-    """A line's needed fields, its corrupt text and problem, by one file header."""
+def _read_line(header: str) -> Column:
+    """An array of one: a line's needed fields, its corrupt text and problem, by one file header."""
     names = [trim_name(name) for name in next(csv.reader([header]), [])]
     missing = [c for c in ERP_REQUIRED if names.count(c) != 1]
+    nothing = F.lit(None).cast("string")
+
+    def row(fields: list[Column], torn: Column, problem: Column) -> Column:
+        return F.struct(
+            F.struct(*[f.alias(c) for f, c in zip(fields, ERP_NAMES, strict=True)]).alias("fields"),
+            torn.alias("torn"),
+            problem.alias("problem"),
+        )
+
     if missing:
         reason = F.lit(f"the header must have each of these once: {', '.join(missing)}")
-        return F.struct(*[F.lit(None).cast("string").alias(c) for c in ERP_NAMES]), F.col("value"), reason
+        return F.array(row([nothing] * len(ERP_NAMES), F.col("value"), reason))
     wanted = {n: k for k, n in enumerate(names) if n in ERP_NAMES}
     layout = ", ".join(f"{c} string" for c in [*(f"_{k}" for k in range(len(names))), CORRUPT_COLUMN])
+
+    def named(read: Column) -> Column:
+        torn = read[CORRUPT_COLUMN]
+        found = [read[f"_{wanted[c]}"] if c in wanted else nothing for c in ERP_NAMES]
+        return row(found, torn, F.when(torn.isNotNull(), "the line does not fit its header"))
+
+    # As the element of an array a line is parsed once, not once for each field that is taken from it.
     read = F.from_csv("value", layout, {"columnNameOfCorruptRecord": CORRUPT_COLUMN})
-    found = [
-        (read[f"_{wanted[c]}"] if c in wanted else F.lit(None).cast("string")).alias(c) for c in ERP_NAMES
-    ]
-    torn = read[CORRUPT_COLUMN]
-    return F.struct(*found), torn, F.when(torn.isNotNull(), "the line does not fit its header")
+    return F.transform(F.array(read), named)
 
 
 def read_erp_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
@@ -167,11 +179,8 @@ def read_erp_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     own = lines.join(headers.withColumnRenamed("_place", "_at"), FILE_COLUMN).filter("_place != _at")
     read = F.lit(None)
     for header in known:
-        fields, torn, problem = _read_line(header)
-        row = F.struct(fields.alias("fields"), torn.alias("torn"), problem.alias("problem"))
-        read = F.when(F.col("_header") == header, row).otherwise(read)
-    # Exploding a one-element array keeps Spark from parsing a line once for each of its fields.
-    rows = own.select(FILE_COLUMN, F.explode(F.array(read)).alias("_read"))
+        read = F.when(F.col("_header") == header, _read_line(header)).otherwise(read)
+    rows = own.select(FILE_COLUMN, F.explode(read).alias("_read"))
     rows = rows.select(
         "_read.fields.*",
         F.col("_read.torn").alias(CORRUPT_COLUMN),
