@@ -18,6 +18,7 @@ from botica.plans.sales_queries import priced_lines
 from botica.schemas import CORRUPT_COLUMN, ERP_SCHEMA, PRICE_LIST_HEADERS, SALES_SCHEMA
 from botica.sinks import tables as sinks
 from botica.sinks.refresh import refresh_if_stale
+from botica.sinks.snapshots import publish_version, read_version
 from botica.sources import files, tables
 from botica.workspace import new_folder
 
@@ -130,6 +131,16 @@ def overwrite_dim_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, path)
 
 
+def dim_versions_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Both versions of a dimension that is replaced while a reader holds the first."""
+    path = new_folder(spark, "dim-versions")
+    publish_version(b.dimension(spark, sf), path)
+    held = read_version(spark, path)
+    publish_version(held.withColumn("cap", F.lit("Sim")), path)
+    numbered = [df.withColumn("version", F.lit(n)) for n, df in enumerate((held, read_version(spark, path)))]
+    return numbered[0].unionByName(numbered[1])
+
+
 def raw_names_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "raw-names")
     sinks.overwrite_raw_names(b.price_list(spark, sf), path)
@@ -148,6 +159,7 @@ QUERIES = {
     "append_sales_idempotent": append_sales_idempotent,
     "refresh_dimension_roundtrip": refresh_dimension_roundtrip,
     "overwrite_dim_roundtrip": overwrite_dim_roundtrip,
+    "dim_versions_roundtrip": dim_versions_roundtrip,
     "raw_names_roundtrip": raw_names_roundtrip,
 }
 
@@ -183,5 +195,9 @@ FROM erp""",
 usable AS (SELECT * FROM price_list WHERE CAST(ggrem_code AS BIGINT) % 29 <> 0)
 {dim_select("usable")}""",
     "overwrite_dim_roundtrip": f"WITH {b.PRICE_LIST_SQL} {DIM_SELECT} (SELECT * REPLACE ('Sim' AS cap) FROM price_list)",
+    "dim_versions_roundtrip": f"""WITH {b.PRICE_LIST_SQL},
+kept AS (SELECT *, 0 AS version FROM price_list
+         UNION ALL SELECT * REPLACE ('Sim' AS cap), 1 AS version FROM price_list)
+{DIM_SELECT.replace("stripe", "stripe, version")} kept""",
     "raw_names_roundtrip": f"WITH {b.PRICE_LIST_SQL} SELECT {_RAW_SELECT} FROM price_list",
 }

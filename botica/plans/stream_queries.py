@@ -12,6 +12,7 @@ from botica.plans import sales_queries
 from botica.plans.bindings import plain
 from botica.plans.sales_queries import DEBOUNCE_GAP
 from botica.plans.storage_queries import FIRST_SQL
+from botica.sinks.snapshots import publish_version, read_version
 from botica.sinks.tables import read_sales
 from botica.sources.tables import read_table
 from botica.streaming import carts, sales, searches
@@ -60,6 +61,23 @@ def stream_unmatched_lines(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, _enriched(spark, sf)[1]).select("transaction_id", "product_id", "quantity")
 
 
+def stream_price_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of even orders come first; then prices rise by their taxes, and the rest comes."""
+    dimension, landing, out, unmatched, checkpoint = (
+        new_folder(spark, n) for n in ("dimension", "lines", "enriched", "unmatched", "checkpoint")
+    )
+    lines = b.table(spark, sf, "lineitem")
+    publish_version(b.dimension(spark, sf), dimension)
+    for half in (0, 1):
+        if half:
+            risen = read_version(spark, dimension).withColumn("unit_price", F.col("unit_price_after_taxes"))
+            publish_version(risen, dimension)
+        lines.filter(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(landing)
+        arrived = b.shipped_lines(spark.readStream.schema(lines.schema).parquet(landing))
+        sales.stream_lines_at_current_prices(arrived, dimension, out, unmatched, checkpoint).awaitTermination()
+    return plain(read_table(spark, out).select(*SALES_COLUMNS))
+
+
 # --- events, delivered in four parts by time; every 97th comes with the last part ---------
 # Every 89th of the earlier parts is delivered again with the last one.
 
@@ -118,6 +136,7 @@ QUERIES = {
     "stream_rejected_sales": stream_rejected_sales,
     "stream_enrich_lines": stream_enrich_lines,
     "stream_unmatched_lines": stream_unmatched_lines,
+    "stream_price_change": stream_price_change,
     "stream_cart_state": stream_cart_state,
     "stream_late_events": stream_late_events,
     "stream_debounce": stream_debounce,
@@ -125,12 +144,23 @@ QUERIES = {
 
 
 _ERP_FIRST_SQL = FIRST_SQL.replace("FROM priced)", "FROM erp_sales)")
+_VERSIONS_SQL = """versions AS (
+  SELECT *, 0 AS version FROM catalog
+  UNION ALL
+  SELECT * REPLACE (unit_price_after_taxes AS unit_price,
+                    CAST(unit_price_after_taxes - unit_price_after_taxes AS DECIMAL(18,2)) AS taxes_price),
+         1 AS version FROM catalog),
+"""
+_PRICE_CHANGE_SQL = b.SHIPPED_SQL.replace("shipped AS (", _VERSIONS_SQL + "shipped AS (", 1).replace(
+    "JOIN catalog c\n    ON", "JOIN versions c\n    ON c.version = l_orderkey % 2 AND"
+)
 _ACTIONS = ", ".join(f"'{a}'" for a in CART_ACTIONS)
 
 ORACLE = {
     "stream_append_sales": f"WITH {b.ERP_SALES_SQL}, {_ERP_FIRST_SQL} {b.SALES_SELECT} first_sales",
     "stream_rejected_sales": f"WITH {b.ERP_REJECTED_SQL}",
     "stream_enrich_lines": f"WITH {b.SHIPPED_SQL} {b.SALES_SELECT} shipped_priced",
+    "stream_price_change": f"WITH {_PRICE_CHANGE_SQL} {b.SALES_SELECT} shipped_priced",
     "stream_unmatched_lines": f"""WITH {b.CATALOG_SQL}
 SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id,
        CAST(l_partkey AS VARCHAR) AS product_id, CAST(l_quantity AS INTEGER) AS quantity

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,6 +41,25 @@ def create_file(spark: SparkSession, path: str) -> None:
         fs.create(target, False).close()
 
 
+def claim_file(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False if it is there already, so that one of several callers gets it."""
+    fs, target = file_system(spark, path)
+    fs.mkdirs(target.getParent())
+    try:
+        fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def written_at(spark: SparkSession, path: str) -> datetime:
+    """When a file was last written."""
+    fs, target = file_system(spark, path)
+    return datetime.fromtimestamp(fs.getFileStatus(target).getModificationTime() / 1000)
+
+
 def newest_file(spark: SparkSession, path: str) -> datetime:
     """When a file of a folder was last written, by the driver's clock."""
     fs, target = file_system(spark, path)

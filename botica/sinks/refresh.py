@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,12 @@ def refresh_dimension(
     path: str,
     fmt: str = DEFAULT_FORMAT,
     rejected_path: str | None = None,
+    replace: Callable[[DataFrame, str, str], object] = overwrite_table,
 ) -> None:
     """Replaces the dimension by the landed file's products.
 
+    With ``replace=publish_version`` (``sinks/snapshots.py``) they become the next version of
+    a dimension that others go on reading meanwhile.
     Lines that do not fit the header or lack the natural key or the name are left out and,
     with ``rejected_path``, stored there. A file without any product, or with two of one id,
     leaves the dimension as it is and raises ``ValueError``.
@@ -60,7 +64,7 @@ def refresh_dimension(
         if rejected_path is not None:
             bad = checked.filter(F.col("error").isNotNull())
             bad.write.format(fmt).mode("overwrite").save(rejected_path)
-        overwrite_table(enforce_schema(good, DIM_PRODUCT_SCHEMA), path, fmt)
+        replace(enforce_schema(good, DIM_PRODUCT_SCHEMA), path, fmt)
 
 
 def refresh_if_stale(
