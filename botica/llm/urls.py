@@ -1,7 +1,7 @@
 """Verdicts on URLs: rules by host and path, and boosted trees for all others.
 
 The URLs that a rule judges are the labelled ones. The trees learn from their wording
-alone: length, depth, shares of digits and signs, entropy, parameters, and how often
+alone: length, depth, shares of classes of characters, entropy of characters, parameters, and how often
 labelled URLs of like endings and words were blocked. Built-in functions only.
 """
 
@@ -18,8 +18,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NUMBERS = (
-    "url_length host_length path_length depth labels digits signs entropy parameters pairs longest "
-    "fragment secure"
+    "url_length host_length path_length depth labels vowels consonants digits steps signs entropy "
+    "parameters pairs longest fragment secure"
 ).split()
 # Stretches of the URL whose record among the labelled URLs is a feature.
 PARTS = ("top", "domain", "first", "ending")
@@ -62,11 +62,14 @@ def _numbers(urls: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    # Entropy from the counts of characters by class: 26 letters and 10 digits are too
-    # fine for short texts, vowels, other letters, digits, slashes and signs are not.
+    # Sorted characters stand in runs, one for each distinct one.
+    ordered = F.array_join(F.sort_array(F.split(url, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    entropy = F.aggregate(
+        F.transform(runs, lambda run: F.length(run) / n), F.lit(0.0), lambda bits, s: bits - s * F.log2(s)
+    )
     kinds = [r"[aeiouAEIOU]", r"[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]", r"[0-9]", r"[/.]", r"[^A-Za-z0-9/.]"]
-    shares = [F.regexp_count(url, F.lit(k)) / n for k in kinds]
-    entropy = sum((F.when(s > 0, -s * F.log2(s)).otherwise(0.0) for s in shares), F.lit(0.0))
+    vowels, consonants, digits, steps, signs = (F.regexp_count(url, F.lit(k)) / n for k in kinds)
     words = F.split(F.col("path"), "/")
     values = {
         "url_length": F.log1p(n),
@@ -74,8 +77,11 @@ def _numbers(urls: DataFrame) -> DataFrame:
         "path_length": F.log1p(F.length("path")),
         "depth": F.regexp_count("path", F.lit("/")),
         "labels": F.regexp_count("host", F.lit(r"\.")),
-        "digits": shares[2],
-        "signs": shares[4],
+        "vowels": vowels,
+        "consonants": consonants,
+        "digits": digits,
+        "steps": steps,
+        "signs": signs,
         "entropy": entropy,
         "parameters": F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("&")) + 1),
         "pairs": F.regexp_count(query, F.lit("=")),
@@ -94,7 +100,7 @@ def _numbers(urls: DataFrame) -> DataFrame:
     )
 
 
-def _records(labelled: DataFrame, strength: float) -> DataFrame:
+def _records(labelled: DataFrame) -> DataFrame:
     """kind, part, blocked, seen: what rules said of the URLs with each part."""
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("kind"), F.col(p).alias("part")) for p in PARTS)))
     rows = labelled.select((F.col("ruling") == "block").cast("double").alias("blocked"), each.alias("of"))
@@ -146,7 +152,7 @@ def url_verdicts(
     else:
         measured = _numbers(urls)
         labelled = measured.where("ruling is not null")
-        records = written(_records(labelled, strength), "url-records")
+        records = written(_records(labelled), "url-records")
         base = blocked / (blocked + allowed)
         rows = written(_with_records(measured, records, base, strength), "url-features")
         inputs = [*NUMBERS, *(f"share_{p}" for p in PARTS)]

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pytest
 
-from botica.llm.urls import RULES, url_verdicts
+from botica.llm.urls import RULES, _numbers, url_verdicts
 
 SCHEMA = "page_id long, url string, html string, host string, path string, rule string, row long, features string"
 URLS = [
@@ -42,6 +44,17 @@ def test_hosts_paths_and_rules(spark):
         assert r.verdict == rule[2] if rule else r.verdict in ("allow", "block")
 
 
+def test_entropy_is_that_of_characters(spark):
+    urls = [*URLS, "aab", "\U0001f600\U0001f600x", "\u2028\n\u2028", "ab" * 200_000, "x" * 1_000_000]
+    rows = [(u, *plain(u)[:2]) for u in urls]
+    found = _numbers(spark.createDataFrame(rows, "url string, host string, path string")).select("url", "entropy").collect()
+    assert len(found) == len(urls)
+    for r in found:
+        url = r.url or ""
+        shares = [c / len(url) for c in Counter(url).values()]
+        assert r.entropy == pytest.approx(-sum(s * math.log2(s) for s in shares), abs=1e-9), url[:40]
+
+
 def test_trees_learn_what_the_rules_say(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     found = url_verdicts(pages).collect()
