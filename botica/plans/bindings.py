@@ -181,38 +181,57 @@ def transaction_key() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order's time, before the catalog is looked up."""
+def _at_their_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line table with its orders' times, as numbers: texts are made when all joins are done."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = line_table(spark, sf_dir)
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _line_columns() -> list[Column]:
+    return [
         F.col("l_orderkey").cast("string").alias("cart_id"),
         transaction_key().alias("transaction_id"),
         (F.col("l_linenumber") * F.lit(LINE_NUMBER_WEIGHT) + F.col("l_partkey")).alias("line_seq"),
         F.col("o_orderdate").cast("timestamp").alias("sale_datetime"),
-        "l_partkey",
+    ]
+
+
+def _sold_columns() -> list[Column]:
+    return [
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
         F.col("l_discount").cast("decimal(9,4)").alias("discount_applied"),
+    ]
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their order's time, before the catalog is looked up."""
+    return _at_their_time(spark, sf_dir).select(
+        *_line_columns(),
+        "l_partkey",
+        *_sold_columns(),
         F.col("l_tax").cast("decimal(9,4)").alias("_tax"),
         "l_returnflag",
         "l_linestatus",
     )
 
 
-def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with product, price and tax, ready for pricing."""
-    part = table(spark, sf_dir, "part").select(
-        "p_partkey",
+def sale_lines(spark: SparkSession, sf_dir: str, dealt: int | None = None) -> DataFrame:
+    """Lines with product, price and tax, ready for pricing; ``dealt`` by order to so many tasks."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    tax = F.round(price * F.col("l_tax").cast("decimal(9,4)"), 2).cast("decimal(18,2)")
+    lines = _at_their_time(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return (lines.repartition(dealt, "l_orderkey") if dealt else lines).select(
+        *_line_columns(),
+        *_sold_columns(),
+        "l_returnflag",
+        "l_linestatus",
         F.col("p_name").alias("product_name"),
         F.col("p_brand").alias("industry_name"),
-        F.col("p_retailprice").cast("decimal(18,2)").alias("unit_price"),
-    )
-    lines = order_lines(spark, sf_dir)
-    return (
-        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("taxes_price", F.round(F.col("unit_price") * F.col("_tax"), 2).cast("decimal(18,2)"))
-        .drop("_tax", "l_partkey", "p_partkey")
+        price.alias("unit_price"),
+        tax.alias("taxes_price"),
     )
 
 
@@ -369,9 +388,9 @@ typed_lines AS (
 # --- ERP extract ----------------------------------------------------------------------
 
 
-def erp_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+def erp_extract(spark: SparkSession, sf_dir: str, dealt: int | None = None) -> DataFrame:
     """Every sale line as a row of the ERP extract; the discount is an amount."""
-    lines = sale_lines(spark, sf_dir)
+    lines = sale_lines(spark, sf_dir, dealt)
     gross = F.col("unit_price") * F.col("quantity")
     number = F.col("cart_id").cast("long")
     # Some discounts are a dime on the whole line, however large it is.
@@ -427,28 +446,28 @@ def erp_landing(spark: SparkSession, sf_dir: str) -> str:
     One third has its columns reversed, one third an unknown column in front. The names of
     their folders hold blanks and signs that mean something in patterns and addresses.
     """
-    extract = erp_extract(spark, sf_dir)
+    # Every till delivers files of its own; all lines of an order come in one file.
+    extract = erp_extract(spark, sf_dir, LANDED_FILES)
     number = F.col("store_location_id")
     own = F.split_part("transaction_id", F.lit("-"), F.lit(1)).cast("long")
     texts = {f: F.col(f).cast("string") for f in ERP_SCHEMA.fieldNames()}
     texts["sale_datetime"] = F.date_format("sale_datetime", TIMESTAMP_FORMAT)
     texts["quantity"] = F.when(own % 17 != 0, texts["quantity"])
     texts["product_name"] = F.when(own % 19 == 0, " \t").otherwise(texts["product_name"])
-    rows = extract.select(*[c.alias(f) for f, c in texts.items()], (own % 3).alias("_part"))
-    # Every till delivers files of its own.
-    rows = rows.repartition(LANDED_FILES)
     folder = new_folder(spark, "erp-landing")
     layouts = [texts, reversed(texts), ["note", *texts]]
     for part, names in enumerate(layouts):
-        own_rows = rows.filter(F.col("_part") == part).withColumn("note", number)
-        write_csv(own_rows.select(*names), f"{folder}/{_ODD_NAMES[part]}")
+        # Spark takes the filter down to the line table: each layout deals its own rows only.
+        rows = extract.filter(own % 3 == part).select(*[c.alias(f) for f, c in texts.items()]).withColumn("note", number)
+        write_csv(rows.select(*names), f"{folder}/{_ODD_NAMES[part]}", compression="gzip")
     return folder
 
 
-def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> str:
+def write_csv(df: DataFrame, path: str, delimiter: str = ",", compression: str = "none") -> str:
     """A CSV folder with headers; blanks around values are part of the value."""
     (
         df.write.option("header", True)
+        .option("compression", compression)
         .option("delimiter", delimiter)
         .option("timestampFormat", TIMESTAMP_FORMAT)
         .option("ignoreLeadingWhiteSpace", False)

@@ -12,6 +12,7 @@ from botica.plans import sales_queries
 from botica.plans.bindings import plain
 from botica.plans.sales_queries import DEBOUNCE_GAP
 from botica.plans.storage_queries import FIRST_SQL
+from botica.sinks.files import data_files
 from botica.sinks.snapshots import publish_version, read_version
 from botica.sinks.tables import read_sales
 from botica.sources.tables import read_table
@@ -26,11 +27,12 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _erp_stream(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """The folders of stored and of rejected sales, from files that arrive a few at a time."""
+    """The folders of stored and of rejected sales, from files that arrive in two halves."""
     landing = b.erp_landing(spark, sf)
+    half = max(1, -(-len(data_files(spark, landing)) // 2))
     out, rejected, checkpoint = (new_folder(spark, n) for n in ("sales", "rejected", "checkpoint"))
     sales.stream_erp_sales(
-        spark, landing, b.catalog(spark, sf), out, rejected, checkpoint, files_per_batch=b.LANDED_FILES * 3 // 2
+        spark, landing, b.catalog(spark, sf), out, rejected, checkpoint, files_per_batch=half
     ).awaitTermination()
     return out, rejected
 

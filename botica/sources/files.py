@@ -97,7 +97,7 @@ def _store_lines(spark: SparkSession, paths: Sequence[str], folder: str) -> None
         F.col("_metadata.file_path").alias(FILE_COLUMN),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_place"),
-    ).write.parquet(folder)
+    ).write.option("compression", "zstd").parquet(folder)
 
 
 def _stored_lines(spark: SparkSession, files: Sequence[str]) -> tuple[list[str], list[str]]:

@@ -11,6 +11,7 @@ from botica.operators import carts as c
 from botica.operators import pricing as p
 from botica.operators import quality as q
 from botica.operators import reports
+from botica.plans import bindings as b
 from botica.operators.ordered import in_ranges, next_value, running_sum
 from botica.operators.searches import debounce_searches
 from botica.schemas import SALES_SCHEMA
@@ -338,3 +339,37 @@ def test_newest(spark):
     assert reports.newest_first(frame).collect()[-1]["transaction_id"] == "null"
     plan = reports.newest(frame)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.fixture(scope="module")
+def shop(spark, tmp_path_factory):
+    """A folder of tables with 900 lines of 300 orders; each order's second line came twice."""
+    folder = str(tmp_path_factory.mktemp("shop"))
+    lines = spark.range(900).selectExpr(
+        "id div 3 + 1 AS l_orderkey", "CAST(greatest(id % 3, 1) AS INT) AS l_linenumber", "id div 3 % 20 + 1 AS l_partkey",
+        "7L AS l_suppkey", "CAST(id % 50 + 1 AS DOUBLE) AS l_quantity", "0.05D AS l_discount", "0.02D AS l_tax",
+        "'N' AS l_returnflag", "'O' AS l_linestatus", "DATE'1997-05-11' AS l_shipdate",
+    )
+    orders = spark.range(1, 301).selectExpr("id AS o_orderkey", "TIMESTAMP_NTZ'1997-05-01 00:00:00' AS o_orderdate")
+    part = spark.range(1, 21).selectExpr(
+        "id AS p_partkey", "concat('bolt ', id) AS p_name", "'Brand#1' AS p_brand", "CAST(900 + id AS DOUBLE) AS p_retailprice"
+    )
+    for name, rows in {"lineitem": lines, "orders": orders, "part": part}.items():
+        rows.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_lines_meet_products_as_numbers(spark, shop):
+    """Texts are made after the joins, so that none but the product's own is exchanged."""
+    plan = b.sale_lines(spark, shop)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("concat_ws") < plan.index("Join")
+    assert "concat_ws" not in plan[plan.index("Join") :]
+
+
+def test_all_lines_of_an_order_are_landed_in_one_file(spark, shop):
+    """So a line that is delivered twice comes twice in one batch, where the smaller one counts."""
+    text = spark.read.option("recursiveFileLookup", True).text(b.erp_landing(spark, shop))
+    key = F.regexp_extract("value", r"(\d+)-\d+-\d+-\d+", 1)
+    lines = text.select(key.alias("order"), F.col("_metadata.file_path").alias("file")).where("order <> ''")
+    assert lines.count() == 900
+    assert lines.groupBy("order").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
