@@ -48,6 +48,7 @@ def _add(spark: SparkSession, folder: str, ids: DataFrame, column: str, files: s
         ids.select(column, id_bucket(column, buckets).alias(BUCKET))
         .hint("rebalance", BUCKET)
         .write.mode("append")
+        .option("compression", "zstd")
         .partitionBy(BUCKET)
         .parquet(f"{folder}/keys")
     )

@@ -134,6 +134,7 @@ def append_sales(
         checked.hint("rebalance", SALES_PARTITION)
         .observe(sent, *_digest())
         .write.format(fmt)
+        .option("compression", "zstd")
         .mode("append")
         .partitionBy(SALES_PARTITION)
         .save(path)

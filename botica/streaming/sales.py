@@ -12,9 +12,9 @@ from botica.schemas import FILE_SCHEMA
 from botica.sinks.snapshots import read_version, record_version
 from botica.sinks.tables import append_new_sales
 from botica.sources.files import check_erp, erp_to_sales, read_erp_files
-from botica.sources.tables import DEFAULT_FORMAT, read_table
+from botica.sources.tables import DEFAULT_FORMAT
 from botica.streaming.staging import staged_batches
-from botica.workspace import new_folder, scratch
+from botica.workspace import scratch
 
 # Which version of the dimension each batch was priced with; readers of the table pass over it.
 VERSIONS_FOLDER = "_versions"
@@ -43,9 +43,8 @@ def stream_erp_sales(
             files = [row["path"] for row in batch.select("path").distinct().collect()]
             if not files:
                 return
-            folder = new_folder(spark, "erp-checked")
-            check_erp(read_erp_files(spark, files)).write.format(fmt).save(folder)
-            checked = read_table(spark, folder, fmt)
+            # The lines are stored once, by the reader; they are checked again for each of the two tables.
+            checked = check_erp(read_erp_files(spark, files))
             bad = rejected(checked)
             bad.write.format(fmt).mode("overwrite").save(f"{rejected_path}/batch_id={batch_id}")
             append_new_sales(erp_to_sales(accepted(checked), catalog), sales_path, fmt)
