@@ -33,7 +33,7 @@ SORTED = 1 << 20
 SPAN = 1 << 20
 # A key in more blocks than this, or with more bytes in one block, is split by its strings:
 # in most blocks a key has a stretch or a few of some 70 bytes.
-HOT_BLOCKS = 1 << 12
+HOT_BLOCKS = 1 << 13
 HOT_BYTES = 1 << 16
 # Places of one stretch in one block that a row holds.
 SPOTS = 1 << 16
@@ -195,7 +195,10 @@ def _keys(width: int, gram: int, bits: int):
 
 
 def _repeated(hot_blocks: int):
-    """For each block and bucket which of its keys repeat, and which of these are hot, a bit each."""
+    """For each block and bucket which of its keys repeat, and which of these are hot, a bit each.
+
+    No bits stand for keys none of which is hot.
+    """
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_group(parts, "bucket", 4096):
@@ -218,7 +221,8 @@ def _repeated(hot_blocks: int):
                 for k, (end, size) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)):
                     own = both[:, end - size : end]
                     if own[0].any():
-                        out.append((int(bucket[first]), int(block[first + k]), *(np.packbits(x).tobytes() for x in own)))
+                        bits = (np.packbits(x).tobytes() if x.any() else b"" for x in own)
+                        out.append((int(bucket[first]), int(block[first + k]), *bits))
                 if out:
                     columns = zip(*out, strict=True)
                     types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -241,7 +245,8 @@ def _asked(row: dict, width: int, gram: int, bits: int):
         if bucket in answers:
             for k, name in enumerate(("again", "hot")):
                 bitmap = np.frombuffer(answers[bucket][name], dtype=np.uint8)
-                marks[k, x:y] = np.unpackbits(bitmap, count=y - x)
+                if len(bitmap):
+                    marks[k, x:y] = np.unpackbits(bitmap, count=y - x)
     place = np.searchsorted(known, short)
     copies = np.zeros(len(row["ids"]), dtype=bool)
     copies[row["copies"] or []] = True
@@ -249,9 +254,10 @@ def _asked(row: dict, width: int, gram: int, bits: int):
     return doc[on], start[on], stop[on], key[on], marks[1][place][on]
 
 
-# What a stretch is sent with, column after column: its key's last bits, the document's id
-# and place in the block, where the stretch begins in it, and its bytes.
-_HEADER = (("key", "<u4"), ("id", "<i8"), ("doc", "<u4"), ("start", "<u4"), ("size", "<u4"))
+# What a stretch is sent with, column after column: some bits of its key, which part a bucket's
+# stretches for sorting, the document's id and place in the block, where the stretch begins in
+# it, and its bytes.
+_HEADER = (("key", "<u2"), ("id", "<i8"), ("doc", "<u4"), ("start", "<u4"), ("size", "<u4"))
 
 
 def _cold(width: int, gram: int, bits: int):
@@ -270,7 +276,7 @@ def _cold(width: int, gram: int, bits: int):
                 ids = np.array([i or 0 for i in row["ids"]], dtype=np.int64)
                 begin = np.cumsum(row["lens"]) - row["lens"]
                 head = {
-                    "key": short[order] & np.uint64((1 << 30) - 1),
+                    "key": (short[order] >> np.uint64(14)) & np.uint64((1 << 16) - 1),
                     "id": ids[doc[order]],
                     "doc": doc[order],
                     "start": start[order] - begin[doc[order]],
@@ -413,8 +419,6 @@ def _hot(width: int, gram: int, bits: int):
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for row in _entries(batch):
-                if not any(any(a["hot"]) for a in row["answers"]):
-                    continue
                 doc, start, stop, _, hot = _asked(row, width, gram, bits)
                 doc, start, stop = doc[hot], start[hot], stop[hot]
                 begin = np.cumsum(row["lens"]) - row["lens"]
@@ -468,15 +472,19 @@ def _hot_spans(stretches_of: DataFrame, width: int) -> DataFrame:
     """block, spans: what goes of the stretches of hot keys, string by string.
 
     Equal stretches, and then equal strings in them, are brought down to their smallest
-    id by sums in parts, so that no task meets all places of one.
+    id by sums in parts, so that no task meets all places of one. A string goes with its
+    stretch's number, not with its bytes, which would grow with the square of its length.
     """
     distinct = stretches_of.groupBy("stretch").agg(F.min("least").alias("least"))
+    distinct = numbered(distinct, "passage-stretches", "number")
     last = F.octet_length("stretch") - width
-    strings = distinct.select("stretch", "least", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    strings = strings.withColumn("string", F.substring("stretch", F.col("at") + 1, F.lit(width)))
+    strings = distinct.select("number", "least", "stretch", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    string = F.substring("stretch", F.col("at") + 1, F.lit(width)).alias("string")
+    strings = strings.select("number", "least", F.col("at").cast("int").alias("at"), string)
     least_ids = strings.groupBy("string").agg(F.min("least").alias("first"))
-    firsts = strings.join(least_ids, "string").groupBy("stretch")
+    firsts = strings.select("number", "at", "string").join(least_ids, "string").groupBy("number")
     firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("at", "first")))["first"].alias("firsts"))
+    firsts = distinct.select("number", "stretch").join(firsts, "number").select("stretch", "firsts")
     told = stretches_of.join(firsts, "stretch").select("block", "spots", "firsts")
     return told.mapInArrow(_settled(width), "block long, spans binary")
 
@@ -602,10 +610,14 @@ def repeated_passages(
     met = open_blocks.mapInArrow(
         _cold(width, gram, bits), "bucket long, block long, many long, n_bytes long, packed binary"
     )
-    met = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted(width), "block long, spans binary")
-    hot = open_blocks.mapInArrow(_hot(width, gram, bits), "stretch binary, block long, least long, spots binary")
-    hot = _hot_spans(written(hot, "passage-hot"), width)
-    spans = met.unionByName(hot).groupBy("block").agg(F.collect_list("spans").alias("spans"))
+    spans = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sorted(width), "block long, spans binary")
+    with_hot = asked.where(F.exists("answers", lambda a: F.octet_length(a["hot"]) > 0))
+    if not with_hot.isEmpty():
+        # Only texts of blocks with hot keys are exchanged again; these blocks' numbers go to every task.
+        few = text.join(F.broadcast(with_hot.select("block")), "block", "left_semi").join(with_hot, "block")
+        hot = few.mapInArrow(_hot(width, gram, bits), "stretch binary, block long, least long, spots binary")
+        spans = spans.unionByName(_hot_spans(written(hot, "passage-hot"), width))
+    spans = spans.groupBy("block").agg(F.collect_list("spans").alias("spans"))
     spans = written(spans, "passage-spans")
     whole = blocks.join(spans, "block", "left").join(asked.select("block", "copies"), "block", "left")
     return whole.mapInArrow(_cut(width, with_kept), _RESULT).drop("block", "at")

@@ -100,3 +100,22 @@ def test_keys_fill_buckets_evenly():
     key = passages.stretches(raw, np.array([len(raw)]), 50, 20)[3]
     counts = np.bincount((key >> np.uint64(61)).astype(int), minlength=8)
     assert counts.min() > 0.7 * counts.mean() and counts.max() < 1.3 * counts.mean()
+
+
+def test_no_hot_pass_without_hot_keys(spark, monkeypatch):
+    labels, keep = [], passages.written
+    monkeypatch.setattr(passages, "written", lambda df, label: labels.append(label) or keep(df, label))
+    rows = [(k, f"{story(300 + k, 20)} {story(5, 12)}") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, wanted in ((4096, False), (1, True)):
+        labels.clear()
+        check(passages.repeated_passages(docs, block_bytes=400, hot_blocks=hot).collect(), rows)
+        assert ("passage-hot" in labels) == wanted
+
+
+def test_strings_go_without_their_stretch(spark):
+    """A hot stretch of n bytes has n strings: with its bytes each, they would be n * n bytes."""
+    rows = spark.createDataFrame([(b"a" * 400, 1, 7, b"")], "stretch binary, block long, least long, spots binary")
+    plan = passages._hot_spans(rows, WIDTH)._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if " AS string#" in line]
+    assert made and not any(" stretch#" in line.split("AS string#")[0].split("substring")[0] for line in made)
