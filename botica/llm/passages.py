@@ -474,6 +474,8 @@ def _hot_spans(stretches_of: DataFrame, width: int) -> DataFrame:
     Equal stretches, and then equal strings in them, are brought down to their smallest
     id by sums in parts, so that no task meets all places of one. A string goes with its
     stretch's number, not with its bytes, which would grow with the square of its length.
+    No side of a join goes through the driver: the stored stretches are much alike, and
+    what they and their strings take in memory is not known from the size of their files.
     """
     distinct = stretches_of.groupBy("stretch").agg(F.min("least").alias("least"))
     distinct = numbered(distinct, "passage-stretches", "number")
@@ -482,10 +484,10 @@ def _hot_spans(stretches_of: DataFrame, width: int) -> DataFrame:
     string = F.substring("stretch", F.col("at") + 1, F.lit(width)).alias("string")
     strings = strings.select("number", "least", F.col("at").cast("int").alias("at"), string)
     least_ids = strings.groupBy("string").agg(F.min("least").alias("first"))
-    firsts = strings.select("number", "at", "string").join(least_ids, "string").groupBy("number")
+    firsts = strings.select("number", "at", "string").hint("merge").join(least_ids, "string").groupBy("number")
     firsts = firsts.agg(F.array_sort(F.collect_list(F.struct("at", "first")))["first"].alias("firsts"))
-    firsts = distinct.select("number", "stretch").join(firsts, "number").select("stretch", "firsts")
-    told = stretches_of.join(firsts, "stretch").select("block", "spots", "firsts")
+    firsts = distinct.select("number", "stretch").hint("merge").join(firsts, "number").select("stretch", "firsts")
+    told = stretches_of.hint("merge").join(firsts, "stretch").select("block", "spots", "firsts")
     return told.mapInArrow(_settled(width), "block long, spans binary")
 
 

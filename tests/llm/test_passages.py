@@ -119,3 +119,10 @@ def test_strings_go_without_their_stretch(spark):
     plan = passages._hot_spans(rows, WIDTH)._jdf.queryExecution().optimizedPlan().toString()
     made = [line for line in plan.splitlines() if " AS string#" in line]
     assert made and not any(" stretch#" in line.split("AS string#")[0].split("substring")[0] for line in made)
+
+
+def test_hot_strings_are_not_sent_through_the_driver(spark):
+    """A small file of stretches holds many strings: its size says nothing of theirs."""
+    rows = spark.createDataFrame([(b"a" * 400, 1, 7, b"")], "stretch binary, block long, least long, spots binary")
+    plan = passages._hot_spans(rows, WIDTH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastExchange" not in plan
