@@ -9,7 +9,9 @@ parent, at every step. Words never seen in training are spelt like all others.
 Customers are seated by Gibbs sampling, from the longest contexts up. Restaurants are
 dealt out by hash of the context, words by hash of the word, spellings by a context's
 last two bytes; counts are summed per block of texts before they are sent, and answers
-come back in the order of what was asked. What is seeded by its own content is seated
+come back in the order of what was asked. Words get numbers first: pairs of words are sent
+as numbers, which are shorter than hashes. Blocks are read where they are stored, and what
+is told to them is dealt to the partitions that read them. What is seeded by its own content is seated
 alike when it is read again. The upper restaurants of the spelling, at most 65,792
 numbers, are seated on the driver. Predictive probabilities are averaged over several
 seatings.
@@ -17,7 +19,6 @@ seatings.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,7 +190,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(id_type: pa.DataType):
     """A task's texts in blocks, a row each; their bytes are compressed."""
-    names = ["block", "ids", "held", "sizes", "size", "symbols"]
+    names = ["ids", "held", "sizes", "size", "symbols"]
 
     def tie(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, texts, size = [], [], [], 0
@@ -197,7 +198,6 @@ def _blocks(id_type: pa.DataType):
         def block() -> pa.RecordBatch:
             values = pa.concat_arrays(ids)
             columns = [
-                pa.array([int.from_bytes(os.urandom(8), "big") >> 1]),
                 pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([np.array([len(t) for t in texts], dtype="<i8").tobytes()], pa.binary()),
@@ -234,10 +234,10 @@ def _dealt(pieces: RDD, parts: int) -> RDD:
 
 
 def _gathered(pieces: RDD, work) -> RDD:
-    """``work(key, pieces by kind)`` for every key; a piece is (key, (kind, from, ...))."""
+    """``work(key, pieces by kind)`` for every key, in order; a piece is (key, (kind, from, ...))."""
 
     def run(rows):
-        held: dict[int, dict[str, list]] = {}
+        held: dict = {}
         for key, (kind, *rest) in rows:
             held.setdefault(key, {}).setdefault(kind, []).append(rest)
         for key in sorted(held):
@@ -250,9 +250,47 @@ def _gathered(pieces: RDD, work) -> RDD:
     return pieces.mapPartitions(run)
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Counts in as few bytes as the largest of them needs."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+def _told(pieces: RDD, blocks: RDD) -> RDD:
+    """Each block, as it is read, with its pieces by kind; a piece is (block's key, (kind, from, ...)).
+
+    The blocks are not exchanged: the pieces come to the partition that a block is read in.
+    Every block has a piece. The blocks of a partition are held at once, still compressed.
+    """
+    dealt = pieces.map(lambda piece: (piece[0][0], piece)).partitionBy(blocks.getNumPartitions(), _same).values()
+    told = _gathered(dealt, lambda key, of_key: [of_key])
+    more = told.getNumPartitions() - blocks.getNumPartitions()
+    if more > 0:
+        blocks = blocks.union(blocks.context.parallelize([], more))
+    return blocks.zip(told)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on, in as few bytes as the largest of each needs, and compressed."""
+    own = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    head = np.array([[len(c), c.itemsize] for c in own], dtype="<u4").tobytes()
+    # The first bytes of all numbers, then the second ones: they are alike.
+    body = b"".join([head, *(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in own)])
+    return np.array([len(own), len(body)], dtype="<u4").tobytes() + pa.compress(body, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> list[np.ndarray]:
+    many, size = np.frombuffer(packed, "<u4", 2).tolist()
+    body = pa.decompress(packed[8:], size, "zstd", asbytes=True)
+    columns, at = [], 8 * many
+    for length, width in np.frombuffer(body, "<u4", 2 * many).reshape(many, 2).tolist():
+        planes = np.frombuffer(body, np.uint8, length * width, at).reshape(width, length)
+        columns.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += length * width
+    return columns
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """The steps between neighbours, which are smaller than the numbers."""
+    return np.diff(ascending.astype(np.uint64), prepend=np.uint64(0))
+
+
+def _summed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _cut(homes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -299,24 +337,29 @@ class Block:
     def to_contexts(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         return _cut(_home(self.words, parts)[self.before])
 
+    def numbers(self, pieces: list, parts: int) -> np.ndarray:
+        """The numbers of the block's words: a word's place in its part, times the parts, and the part."""
+        given, found = dict(pieces), np.zeros(len(self.words), dtype=np.int64)
+        for part, at in self.to_words(parts):
+            found[at] = _summed(*_unpacked(given[part])).astype(np.int64) * parts + part
+        return found
+
 
 class Contexts:
     """A part's restaurants: the words that follow each word, with their counts."""
 
     def __init__(self, pieces: list):
-        runs = [np.repeat(contexts, lengths) for _, contexts, lengths, _, _ in pieces]
-        before = np.concatenate(runs)
-        word = np.concatenate([p[3] for p in pieces])
-        n = np.concatenate([p[4].astype(np.int64) for p in pieces])
-        order = np.lexsort((word, before))
-        before, word = before[order], word[order]
-        new_room = np.concatenate([[True], before[1:] != before[:-1]])
-        new = new_room | np.concatenate([[True], word[1:] != word[:-1]])
-        self.place = np.empty(len(order), dtype=np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        self.room = (np.cumsum(new_room) - 1)[new]
-        self.n = np.bincount(self.place, n, int(new.sum())).astype(np.int64)
-        self.word = word[new]
+        columns = [_unpacked(p[1]) for p in pieces]
+        self.senders, self.lengths = [p[0] for p in pieces], [c[1].astype(np.int64) for c in columns]
+        contexts = [np.repeat(_summed(c[0]), own) for c, own in zip(columns, self.lengths, strict=True)]
+        word, n = (np.concatenate([c[k] for c in columns]) for k in (2, 3))
+        self.cuts = np.cumsum([len(c) for c in contexts])[:-1]
+        # Sorted by context, then by word.
+        words = np.uint64(int(word.max()) + 1)
+        pairs, self.place = np.unique(np.concatenate(contexts) * words + word, return_inverse=True)
+        before, self.word = (x.astype(np.int64) for x in np.divmod(pairs, words))
+        self.room = np.cumsum(np.append(False, before[1:] != before[:-1]))
+        self.n = np.bincount(self.place, n, len(pairs)).astype(np.int64)
         self.asked, self.asks = np.unique(self.word[self.n > 0], return_inverse=True)
         self.seed = [len(self.n), int(self.n.sum())]
 
@@ -340,16 +383,18 @@ class Words:
 
     def __init__(self, pieces: dict[str, list]):
         own = pieces["word"]
-        every = np.concatenate([p[1] for p in own])
-        self.words, first, self.place = np.unique(every, return_index=True, return_inverse=True)
-        self.n = np.bincount(self.place, np.concatenate([p[2] for p in own]), len(self.words)).astype(np.int64)
-        self.cuts = np.cumsum([len(p[1]) for p in own])[:-1]
+        columns = [_unpacked(p[1]) for p in own]
+        every = np.concatenate([_summed(c[0]) for c in columns])
+        self.words, self._first, self.place = np.unique(every, return_index=True, return_inverse=True)
+        self.n = np.bincount(self.place, np.concatenate([c[1] for c in columns]), len(self.words)).astype(np.int64)
+        self.cuts = np.cumsum([len(c[0]) for c in columns])[:-1]
         self.senders = [p[0] for p in own]
-        self._first, self._own = first, own
-        asks = pieces.get("ask", [])
-        self.asks = [(p[0], np.searchsorted(self.words, p[1])) for p in asks]
+        self._own = [(p[2], c[2]) for p, c in zip(own, columns, strict=True)]
+        asks = [(p[0], *_unpacked(p[1])) for p in pieces.get("ask", [])]
+        self.asks = [(part, _summed(steps).astype(np.int64)) for part, steps, _ in asks]
         # The latest numbers of tables that the contexts sent, part by part.
-        sent = {p[0]: p[1] for p in pieces.get("tables", [])} or {p[0]: p[2] for p in asks}
+        told = {p[0]: _unpacked(p[1])[0] for p in pieces.get("tables", [])}
+        sent = told or {part: n for part, _, n in asks}
         self.customers = np.zeros(len(self.words), dtype=np.int64)
         for part, at in self.asks:
             self.customers[at] += sent[part].astype(np.int64)
@@ -357,7 +402,10 @@ class Words:
     def spellings(self) -> list[bytes]:
         starts = np.concatenate([[0], self.cuts]).astype(np.int64)
         piece = np.searchsorted(starts, self._first, side="right") - 1
-        opened = [(p[3], np.concatenate([[0], np.cumsum(p[4], dtype=np.int64)])) for p in self._own]
+        opened = []
+        for packed, sizes in self._own:
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            opened.append((pa.decompress(packed, int(ends[-1]), "zstd", asbytes=True), ends))
         found = []
         for k, at in zip(piece.tolist(), (self._first - starts[piece]).tolist(), strict=True):
             raw, ends = opened[k]
@@ -394,12 +442,14 @@ class Spellings:
     """A part's subtrees, for the contexts and bytes that the parts of the words ask for."""
 
     def __init__(self, pieces: list, weights: list | None = None):
-        keys, self.place = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
-        counts = {p[0]: p[1] for p in weights or ()} or {p[0]: p[2] for p in pieces}
-        n = np.bincount(self.place, np.concatenate([counts[p[0]] for p in pieces]), len(keys)).astype(np.int64)
+        asked = [(p[0], *_unpacked(p[1])) for p in pieces]
+        every = np.concatenate([_summed(steps) for _, steps, _ in asked]).astype(np.int64)
+        keys, self.place = np.unique(every, return_inverse=True)
+        counts = {p[0]: _unpacked(p[1])[0] for p in weights or ()} or {part: n for part, _, n in asked}
+        n = np.bincount(self.place, np.concatenate([counts[part] for part, _, _ in asked]), len(keys)).astype(np.int64)
         self.tree = Subtrees(keys, n)
-        self.cuts = np.cumsum([len(p[1]) for p in pieces])[:-1]
-        self.senders = [p[0] for p in pieces]
+        self.cuts = np.cumsum([len(steps) for _, steps, _ in asked])[:-1]
+        self.senders = [part for part, _, _ in asked]
 
 
 def _log_sum(a: np.ndarray, b, logs: np.ndarray) -> np.ndarray:
@@ -435,16 +485,15 @@ def score_texts(
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     id_field = slim.schema["id"]
-    layout = f"block long, ids array<{dict(slim.dtypes)['id']}>, held array<boolean>, sizes binary, size long, symbols binary"
-    # A block's number is drawn by the task that wrote it: only what is written counts.
+    layout = f"ids array<{dict(slim.dtypes)['id']}>, held array<boolean>, sizes binary, size long, symbols binary"
     tied = written(slim.mapInArrow(_blocks(to_arrow_type(id_field.dataType)), layout), "lm-blocks")
     result = T.StructType([T.StructField("id", id_field.dataType), *T.StructType.fromDDL(_RESULT).fields])
-    drawn = tied.select("block", "size").collect()
-    if not drawn:
+    total = tied.agg(F.sum("size")).first()[0]
+    if total is None:
         return spark.createDataFrame([], result)
-    number = {r.block: k for k, r in enumerate(sorted(drawn))}
-    parts = -(-sum(r.size for r in drawn) // PART_BYTES)
-    texts = tied.rdd.map(lambda row: (number[row["block"]], row.asDict()))
+    parts = -(-total // PART_BYTES)
+    # A block is known by the partition that reads it and its place there: written files are read alike each time.
+    texts = tied.rdd.mapPartitionsWithIndex(lambda p, rows: (((p, k), row.asDict()) for k, row in enumerate(rows)))
 
     def words_of(rows):
         for key, row in rows:
@@ -452,27 +501,36 @@ def score_texts(
             spelt = np.array(block.spellings(), dtype=object)
             for part, at in block.to_words(parts):
                 own = spelt[at].tolist()
-                sizes = _small(np.array([len(w) for w in own], dtype=np.int64))
-                yield part, ("word", key, block.words[at], _small(block.learned[at]), b"".join(own), sizes)
+                sizes = np.array([len(w) for w in own], dtype=np.int64)
+                packed = _packed(_steps(block.words[at]), block.learned[at], sizes)
+                yield part, ("word", key, packed, pa.compress(b"".join(own), "zstd", asbytes=True))
         release()
 
+    vocabulary = _dealt(texts.mapPartitions(words_of), parts)
+
+    def numbered(part, pieces):
+        own = Words(pieces)
+        for key, at in zip(own.senders, np.split(own.place, own.cuts), strict=True):
+            yield key, ("number", part, _packed(_steps(at)))
+
     def pairs_of(rows):
-        for key, row in rows:
+        for (key, row), pieces in rows:
             block = Block(row)
             block.pair()
+            number = block.numbers(pieces["number"], parts)
             for part, at in block.to_contexts(parts):
                 contexts, lengths = np.unique(block.before[at], return_counts=True)
-                piece = block.words[contexts], _small(lengths), block.words[block.word[at]], _small(block.pair_learned[at])
-                yield part, ("pair", key, *piece)
+                columns = _steps(number[contexts] // parts), lengths, number[block.word[at]], block.pair_learned[at]
+                yield part, ("pair", key, _packed(*columns))
         release()
 
-    vocabulary, pairs = (_dealt(texts.mapPartitions(of), parts) for of in (words_of, pairs_of))
+    pairs = _dealt(_told(_gathered(vocabulary, numbered), texts).mapPartitions(pairs_of), parts)
 
     def asks(part, pieces):
         rooms = Contexts(pieces["pair"])
         n = np.bincount(rooms.asks, minlength=len(rooms.asked))
-        for home, at in _cut(_home(rooms.asked, parts)):
-            yield home, ("ask", part, rooms.asked[at], _small(n[at]))
+        for home, at in _cut(rooms.asked % parts):
+            yield home, ("ask", part, _packed(_steps(rooms.asked[at] // parts), n[at]))
 
     asking = _dealt(_gathered(pairs, asks), parts)
 
@@ -485,7 +543,7 @@ def score_texts(
             keys, place, sizes = own.grams()
             n = np.bincount(place, np.repeat(weights(own, pieces), sizes), len(keys)).astype(np.int64)
             for home, at in _cut(_subtree(keys) % parts):
-                yield home, ("weights", part, _small(n[at])) if again else ("gram", part, keys[at], _small(n[at]))
+                yield home, ("weights", part, _packed(n[at])) if again else ("gram", part, _packed(_steps(keys[at]), n[at]))
 
         told = _dealt(_gathered(words, spell), parts)
         asked, told = (asked, asked.union(told)) if again else (told, told)
@@ -557,18 +615,18 @@ def score_texts(
 
         def parents(rooms: Contexts, pieces) -> np.ndarray:
             found, given = np.zeros(len(rooms.asked)), {p[0]: p[1] for p in pieces.get("parent", [])}
-            for home, at in _cut(_home(rooms.asked, parts)):
+            for home, at in _cut(rooms.asked % parts):
                 found[at] = given[home]
             return found
 
         def tables_sent(part, pieces):
             rooms = Contexts(pieces["pair"])
             every = list(rooms.seatings(parents(rooms, pieces), burn_in + samples, seed))[burn_in:]
-            yield part, ("seated", part, _small(sum(every)))
+            yield part, ("seated", part, _packed(sum(every)))
             last = every[-1]
             n = np.bincount(rooms.asks, last[rooms.n > 0], len(rooms.asked)).astype(np.int64)
-            for home, at in _cut(_home(rooms.asked, parts)):
-                yield home, ("tables", part, _small(n[at]))
+            for home, at in _cut(rooms.asked % parts):
+                yield home, ("tables", part, _packed(n[at]))
 
         told = _dealt(_gathered(seated, tables_sent), parts)
         words = vocabulary.union(asking).union(told)
@@ -586,56 +644,59 @@ def score_texts(
         def to_blocks(part, pieces):
             own = Words(pieces)
             chance = chances(own, pieces, seed + 2, before, tables, n_customers)[own.place].astype(np.float32)
-            n = _small(own.n[own.place])
+            n = own.n[own.place]
             for key, c, m in zip(own.senders, np.split(chance, own.cuts), np.split(n, own.cuts), strict=True):
-                yield key, ("word", part, m, c)
+                yield key, ("word", part, _packed(m), c)
 
         def pairs_to_blocks(part, pieces):
             rooms = Contexts(pieces["pair"])
-            mean = pieces["seated"][0][1] / samples
-            total = STRENGTH + rooms.in_room(rooms.n)
-            back = (STRENGTH + CONTEXT_DISCOUNT * rooms.in_room(mean)) / total
-            own = (rooms.n - CONTEXT_DISCOUNT * mean) / total
-            cuts = np.cumsum([len(p[3]) for p in pieces["pair"]])[:-1]
-            for piece, at in zip(pieces["pair"], np.split(rooms.place, cuts), strict=True):
-                starts = np.cumsum(piece[2], dtype=np.int64) - piece[2]
-                yield piece[0], ("pair", part, own[at].astype(np.float32), back[at[starts]].astype(np.float32), piece[2])
-
-        replies = _dealt(_gathered(words, to_blocks), len(drawn)).union(
-            _dealt(_gathered(pairs.union(told), pairs_to_blocks), len(drawn))
-        )
+            seated = _unpacked(pieces["seated"][0][1])[0].astype(np.int64)
+            of_room = [rooms.in_room(of).astype(np.int64) for of in (rooms.n, seated)]
+            # Numbers of customers and tables are mostly small, unlike the chances that follow from them.
+            for key, at, lengths in zip(rooms.senders, np.split(rooms.place, rooms.cuts), rooms.lengths, strict=True):
+                room = at[np.cumsum(lengths) - lengths]
+                yield key, ("pair", part, _packed(rooms.n[at], seated[at], *(of[room] for of in of_room), lengths))
+
+        replies = _gathered(words, to_blocks).union(_gathered(pairs.union(told), pairs_to_blocks))
     else:
 
         def unknown(part, pieces):
             own = Words(pieces)
             none = np.zeros(len(own.place), dtype=np.int64)
             for key, n in zip(own.senders, np.split(none, own.cuts), strict=True):
-                yield key, ("word", part, n, np.full(len(n), np.log10(UNKNOWN)))
+                yield key, ("word", part, _packed(n), np.full(len(n), np.log10(UNKNOWN)))
 
-        replies = _dealt(_gathered(words, unknown), len(drawn))
+        replies = _gathered(words, unknown)
+
+    def scored(rows):
+        for (_, row), pieces in rows:
+            yield from _scored(row, pieces, parts, samples, n_train, n_distinct)
+        release()
 
-    asking_texts = texts.map(lambda r: (r[0], ("text", 0, r[1])))
-    scored = _gathered(
-        _dealt(asking_texts, len(drawn)).union(replies), lambda key, p: _scored(p, parts, n_train, n_distinct)
-    )
-    return written(spark.createDataFrame(scored, result, verifySchema=False), "lm-scores")
+    rows = _told(replies, texts).mapPartitions(scored)
+    return written(spark.createDataFrame(rows, result, verifySchema=False), "lm-scores")
 
 
-def _scored(pieces: dict[str, list], parts: int, n_train: int, n_distinct: int) -> Iterator[tuple]:
+def _scored(
+    row: dict, pieces: dict[str, list], parts: int, samples: int, n_train: int, n_distinct: int
+) -> Iterator[tuple]:
     """The results of a block's texts."""
-    row = pieces["text"][0][1]
     block = Block(row)
     block.pair()
     counts, parent = np.zeros(len(block.words)), np.zeros(len(block.words))
     given = {p[0]: p[1:] for p in pieces["word"]}
     for part, at in block.to_words(parts):
-        counts[at], parent[at] = given[part]
+        n, parent[at] = given[part]
+        counts[at] = _unpacked(n)[0]
     chance = parent[block.word]
     given = {p[0]: p[1:] for p in pieces.get("pair", [])}
     if given:
         for part, at in block.to_contexts(parts):
-            own, back, lengths = given[part]
-            chance[at] = _log_sum(own, np.repeat(back, lengths), chance[at])
+            n, tables, room_n, room_tables, lengths = (c.astype(np.int64) for c in _unpacked(*given[part]))
+            total = STRENGTH + room_n
+            back = (STRENGTH + CONTEXT_DISCOUNT * (room_tables / samples)) / total
+            own = (n - CONTEXT_DISCOUNT * (tables / samples)) / np.repeat(total, lengths)
+            chance[at] = _log_sum(own.astype(np.float32), np.repeat(back.astype(np.float32), lengths), chance[at])
 
     def per_text(values: np.ndarray) -> np.ndarray:
         return np.bincount(np.repeat(np.arange(len(block.n_tokens)), block.n_tokens), values, len(block.n_tokens))
