@@ -279,7 +279,7 @@ def _unpacked(packed: bytes) -> list[np.ndarray]:
     columns, at = [], 8 * many
     for length, width in np.frombuffer(body, "<u4", 2 * many).reshape(many, 2).tolist():
         planes = np.frombuffer(body, np.uint8, length * width, at).reshape(width, length)
-        columns.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        columns.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
         at += length * width
     return columns
 
@@ -293,6 +293,16 @@ def _summed(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where one of each is, and the place of every value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    place = np.empty(len(values), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], place
+
+
 def _cut(homes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part, and the places of what goes there, in order."""
     order = np.argsort(homes, kind="stable")
@@ -312,7 +322,7 @@ class Block:
         self.raw = np.frombuffer(whole, dtype=np.uint8)
         words, self.n_tokens = _words(_opened(whole, row["sizes"]))
         learns = np.repeat(~np.array(row["held"], dtype=bool), self.n_tokens)
-        self.words, self.first, self.word_of = np.unique(words, return_index=True, return_inverse=True)
+        self.words, self.first, self.word_of = _distinct(words)
         self.learned = np.bincount(self.word_of[learns], minlength=len(self.words))
         self._learns = learns
 
@@ -378,26 +388,17 @@ class Contexts:
             yield tables
 
 
-class Words:
-    """A part's words: how often learned, spelling, and customers sent by the contexts."""
+class Vocabulary:
+    """A part's words, as the blocks sent them; each word's number in the part is its place."""
 
-    def __init__(self, pieces: dict[str, list]):
-        own = pieces["word"]
-        columns = [_unpacked(p[1]) for p in own]
+    def __init__(self, pieces: list):
+        columns = [_unpacked(p[1]) for p in pieces]
         every = np.concatenate([_summed(c[0]) for c in columns])
-        self.words, self._first, self.place = np.unique(every, return_index=True, return_inverse=True)
-        self.n = np.bincount(self.place, np.concatenate([c[1] for c in columns]), len(self.words)).astype(np.int64)
+        words, self._first, self.place = _distinct(every)
+        self.n = np.bincount(self.place, np.concatenate([c[1] for c in columns]), len(words)).astype(np.int64)
         self.cuts = np.cumsum([len(c[0]) for c in columns])[:-1]
-        self.senders = [p[0] for p in own]
-        self._own = [(p[2], c[2]) for p, c in zip(own, columns, strict=True)]
-        asks = [(p[0], *_unpacked(p[1])) for p in pieces.get("ask", [])]
-        self.asks = [(part, _summed(steps).astype(np.int64)) for part, steps, _ in asks]
-        # The latest numbers of tables that the contexts sent, part by part.
-        told = {p[0]: _unpacked(p[1])[0] for p in pieces.get("tables", [])}
-        sent = told or {part: n for part, _, n in asks}
-        self.customers = np.zeros(len(self.words), dtype=np.int64)
-        for part, at in self.asks:
-            self.customers[at] += sent[part].astype(np.int64)
+        self.senders = [p[0] for p in pieces]
+        self._own = [(p[2], c[2]) for p, c in zip(pieces, columns, strict=True)]
 
     def spellings(self) -> list[bytes]:
         starts = np.concatenate([[0], self.cuts]).astype(np.int64)
@@ -412,6 +413,27 @@ class Words:
             found.append(raw[ends[at] : ends[at + 1]])
         return found
 
+
+class Words:
+    """A part's words: how often learned, spelling, and customers sent by the contexts."""
+
+    def __init__(self, pieces: dict[str, list]):
+        [(_, packed, self._spelt)] = pieces["word"]
+        n, self._sizes = _unpacked(packed)
+        self.n = n.astype(np.int64)
+        asks = [(p[0], *_unpacked(p[1])) for p in pieces.get("ask", [])]
+        self.asks = [(part, _summed(steps).astype(np.int64)) for part, steps, _ in asks]
+        # The latest numbers of tables that the contexts sent, part by part.
+        told = {p[0]: _unpacked(p[1])[0] for p in pieces.get("tables", [])}
+        sent = told or {part: n for part, _, n in asks}
+        self.customers = np.zeros(len(self.n), dtype=np.int64)
+        for part, at in self.asks:
+            self.customers[at] += sent[part].astype(np.int64)
+
+    def spellings(self) -> list[bytes]:
+        sizes = self._sizes.astype("<i8")
+        return _opened(pa.decompress(self._spelt, int(sizes.sum()), "zstd", asbytes=True), sizes.tobytes())
+
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contexts and bytes of all spellings, where each byte's is, the spellings' sizes."""
         every, sizes = grams(self.spellings())
@@ -428,7 +450,7 @@ class Words:
 
     def seatings(self, spelt: np.ndarray, tables: float, sweeps: int, seed: int) -> Iterator[np.ndarray]:
         """Tables after each seating; ``tables`` is the number in the whole restaurant."""
-        random = np.random.default_rng([seed, len(self.words), int(self.customers.sum())])
+        random = np.random.default_rng([seed, len(self.n), int(self.customers.sum())])
         for _ in range(sweeps):
             new = (STRENGTH + WORD_DISCOUNT * tables) * 10.0**spelt
             yield seat(self.customers, lambda k, t, o=new: o[k], WORD_DISCOUNT, random)
@@ -503,13 +525,21 @@ def score_texts(
                 own = spelt[at].tolist()
                 sizes = np.array([len(w) for w in own], dtype=np.int64)
                 packed = _packed(_steps(block.words[at]), block.learned[at], sizes)
-                yield part, ("word", key, packed, pa.compress(b"".join(own), "zstd", asbytes=True))
+                yield part, ("found", key, packed, pa.compress(b"".join(own), "zstd", asbytes=True))
         release()
 
-    vocabulary = _dealt(texts.mapPartitions(words_of), parts)
+    found = _dealt(texts.mapPartitions(words_of), parts)
+
+    def distinct(part, pieces):
+        own = Vocabulary(pieces["found"])
+        spelt = own.spellings()
+        sizes = np.array([len(w) for w in spelt], dtype=np.int64)
+        yield part, ("word", part, _packed(own.n, sizes), pa.compress(b"".join(spelt), "zstd", asbytes=True))
+
+    vocabulary = _dealt(_gathered(found, distinct), parts)
 
     def numbered(part, pieces):
-        own = Words(pieces)
+        own = Vocabulary(pieces["found"])
         for key, at in zip(own.senders, np.split(own.place, own.cuts), strict=True):
             yield key, ("number", part, _packed(_steps(at)))
 
@@ -524,7 +554,7 @@ def score_texts(
                 yield part, ("pair", key, _packed(*columns))
         release()
 
-    pairs = _dealt(_told(_gathered(vocabulary, numbered), texts).mapPartitions(pairs_of), parts)
+    pairs = _dealt(_told(_gathered(found, numbered), texts).mapPartitions(pairs_of), parts)
 
     def asks(part, pieces):
         rooms = Contexts(pieces["pair"])
@@ -642,11 +672,10 @@ def score_texts(
         tables = tables_of(words, seed + 2, before)
 
         def to_blocks(part, pieces):
-            own = Words(pieces)
-            chance = chances(own, pieces, seed + 2, before, tables, n_customers)[own.place].astype(np.float32)
-            n = own.n[own.place]
-            for key, c, m in zip(own.senders, np.split(chance, own.cuts), np.split(n, own.cuts), strict=True):
-                yield key, ("word", part, _packed(m), c)
+            own, asked = Words(pieces), Vocabulary(pieces["found"])
+            chance = chances(own, pieces, seed + 2, before, tables, n_customers).astype(np.float32)
+            for key, at in zip(asked.senders, np.split(asked.place, asked.cuts), strict=True):
+                yield key, ("word", part, _packed(own.n[at]), chance[at])
 
         def pairs_to_blocks(part, pieces):
             rooms = Contexts(pieces["pair"])
@@ -657,16 +686,16 @@ def score_texts(
                 room = at[np.cumsum(lengths) - lengths]
                 yield key, ("pair", part, _packed(rooms.n[at], seated[at], *(of[room] for of in of_room), lengths))
 
-        replies = _gathered(words, to_blocks).union(_gathered(pairs.union(told), pairs_to_blocks))
+        replies = _gathered(words.union(found), to_blocks).union(_gathered(pairs.union(told), pairs_to_blocks))
     else:
 
         def unknown(part, pieces):
-            own = Words(pieces)
+            own = Vocabulary(pieces["found"])
             none = np.zeros(len(own.place), dtype=np.int64)
             for key, n in zip(own.senders, np.split(none, own.cuts), strict=True):
                 yield key, ("word", part, _packed(n), np.full(len(n), np.log10(UNKNOWN)))
 
-        replies = _gathered(words, unknown)
+        replies = _gathered(found, unknown)
 
     def scored(rows):
         for (_, row), pieces in rows:

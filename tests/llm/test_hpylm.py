@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from math import log10
 from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark import RDD
 
-from botica.llm.hpylm import END, ORDER, Subtrees, grams, score_texts, seat, seat_upper, symbols
+from botica.llm.hpylm import END, ORDER, Subtrees, _packed, _unpacked, grams, score_texts, seat, seat_upper, symbols
 
 SF = "/root/testdata/sf0.001"
 
@@ -151,3 +153,25 @@ def test_spelling_looks_five_bytes_back(spark):
     learned = [" ".join(word(1) for _ in range(40)) for _ in range(60)]
     right, wrong = scored(spark, learned, " ".join(word(1) for _ in range(30)), " ".join(word(5) for _ in range(30)))
     assert right > wrong + 20
+
+
+def test_little_is_exchanged(spark, monkeypatch):
+    """Pairs of words are told as numbers, and texts stay where they are stored."""
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdefghij"), 8)) for _ in range(4000)]
+    texts = [" ".join(names[k] for k in rng.integers(0, 4000, 200)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    sizes, deal = [], RDD.partitionBy
+
+    def dealt(pieces, *rest):
+        sizes.append(pieces.map(lambda piece: len(pickle.dumps(piece))).sum())
+        return deal(pieces, *rest)
+
+    monkeypatch.setattr(RDD, "partitionBy", dealt)
+    assert score_texts(docs).count() == len(texts)
+    assert sum(sizes) < 1.6 * sum(map(len, texts))
+
+
+def test_packed_numbers_come_back():
+    columns = [np.array(c) for c in ([0, 1, 255], [], [256, 70_000], [2**40, 5])] + [np.array([2**64 - 1], np.uint64)]
+    assert [c.tolist() for c in _unpacked(_packed(*columns))] == [c.tolist() for c in columns]
