@@ -10,9 +10,9 @@ Customers are seated by Gibbs sampling, from the longest contexts up. Restaurant
 dealt out by hash of the context, words by hash of the word, spellings by a context's
 last two bytes; counts are summed per block of texts before they are sent, and answers
 come back in the order of what was asked. Words get numbers first: pairs of words are sent
-as numbers, which are shorter than hashes. Blocks are read where they are stored, and what
-is told to them is dealt to the partitions that read them. What is seeded by its own content is seated
-alike when it is read again. The upper restaurants of the spelling, at most 65,792
+as numbers, which are shorter than hashes. Blocks of texts are exchanged once, compressed, and read
+from there by every step; what is told to them is dealt alike, so that one worker a task reads first
+that, then block after block. What is seeded by its own content is seated alike when it is read again. The upper restaurants of the spelling, at most 65,792
 numbers, are seated on the driver. Predictive probabilities are averaged over several
 seatings.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from botica.llm.staging import ship_code, written
+from botica.llm.staging import as_read, ship_code, written
 from botica.llm.words import as_bytes, many_word_hashes, mix, release
 
 # Bytes of the longest context; a context and a symbol fit a 64-bit number.
@@ -221,7 +221,12 @@ def _blocks(id_type: pa.DataType):
         if texts:
             yield block()
 
-    return tie
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tie(parts)
+        # The worker waits beside those of the next steps.
+        release()
+
+    return run
 
 
 def _same(key: int) -> int:
@@ -250,18 +255,32 @@ def _gathered(pieces: RDD, work) -> RDD:
     return pieces.mapPartitions(run)
 
 
+def _at_home(key: tuple[int, int], what) -> tuple:
+    """A block, or a piece for it, for its partition: those read together are spread over several."""
+    return sum(key), (key, what)
+
+
 def _told(pieces: RDD, blocks: RDD) -> RDD:
-    """Each block, as it is read, with its pieces by kind; a piece is (block's key, (kind, from, ...)).
+    """Each block with its pieces by kind; a piece is (block's key, (kind, from, ...)).
 
-    The blocks are not exchanged: the pieces come to the partition that a block is read in.
-    Every block has a piece. The blocks of a partition are held at once, still compressed.
+    Both are dealt alike, so that one worker reads them: all pieces of a partition first,
+    then its blocks one by one. Every block has a piece.
     """
-    dealt = pieces.map(lambda piece: (piece[0][0], piece)).partitionBy(blocks.getNumPartitions(), _same).values()
-    told = _gathered(dealt, lambda key, of_key: [of_key])
-    more = told.getNumPartitions() - blocks.getNumPartitions()
-    if more > 0:
-        blocks = blocks.union(blocks.context.parallelize([], more))
-    return blocks.zip(told)
+    dealt = _dealt(pieces.map(lambda piece: _at_home(*piece)), blocks.getNumPartitions())
+
+    def run(rows):
+        held: dict = {}
+        for _, (key, what) in rows:
+            if isinstance(what, dict):
+                of_key = held.pop(key)
+                for kind in of_key:
+                    of_key[kind].sort(key=lambda piece: piece[0])
+                yield (key, what), of_key
+            else:
+                kind, *rest = what
+                held.setdefault(key, {}).setdefault(kind, []).append(rest)
+
+    return dealt.union(blocks).mapPartitions(run)
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -508,17 +527,20 @@ def score_texts(
     slim = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
     id_field = slim.schema["id"]
     layout = f"ids array<{dict(slim.dtypes)['id']}>, held array<boolean>, sizes binary, size long, symbols binary"
-    tied = written(slim.mapInArrow(_blocks(to_arrow_type(id_field.dataType)), layout), "lm-blocks")
+    # Blocks are known by their places, so a lost one must be tied again from the same rows in the same order.
+    stored = slim if as_read(docs) is not None else written(slim, "lm-texts")
     result = T.StructType([T.StructField("id", id_field.dataType), *T.StructType.fromDDL(_RESULT).fields])
-    total = tied.agg(F.sum("size")).first()[0]
+    # A blank and an end come after each text.
+    total = stored.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 2)).first()[0]
     if total is None:
         return spark.createDataFrame([], result)
     parts = -(-total // PART_BYTES)
-    # A block is known by the partition that reads it and its place there: written files are read alike each time.
-    texts = tied.rdd.mapPartitionsWithIndex(lambda p, rows: (((p, k), row.asDict()) for k, row in enumerate(rows)))
+    tied = stored.mapInArrow(_blocks(to_arrow_type(id_field.dataType)), layout).rdd
+    keyed = tied.mapPartitionsWithIndex(lambda p, rows: (_at_home((p, k), row.asDict()) for k, row in enumerate(rows)))
+    texts = _dealt(keyed, tied.getNumPartitions())
 
     def words_of(rows):
-        for key, row in rows:
+        for _, (key, row) in rows:
             block = Block(row)
             spelt = np.array(block.spellings(), dtype=object)
             for part, at in block.to_words(parts):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter
 from math import log10
 from zlib import crc32
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark import RDD
 
+from botica.llm import hpylm
 from botica.llm.hpylm import END, ORDER, Subtrees, _packed, _unpacked, grams, score_texts, seat, seat_upper, symbols
 
 SF = "/root/testdata/sf0.001"
@@ -175,3 +177,24 @@ def test_little_is_exchanged(spark, monkeypatch):
 def test_packed_numbers_come_back():
     columns = [np.array(c) for c in ([0, 1, 255], [], [256, 70_000], [2**40, 5])] + [np.array([2**64 - 1], np.uint64)]
     assert [c.tolist() for c in _unpacked(_packed(*columns))] == [c.tolist() for c in columns]
+
+
+def test_one_worker_a_task_reads_texts(spark, monkeypatch):
+    """Executors hold one Python worker for each task, and in it one block after another."""
+    seen, tell = [], hpylm._told
+
+    def told(*given):
+        seen.append(tell(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(hpylm, "_told", told)
+    monkeypatch.setattr(hpylm, "BLOCK_BYTES", 1 << 14)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = score_texts(docs).collect()
+    check([tuple(r) for r in docs.collect()], rows)
+    assert len(seen) == 2
+    for rdd in seen:
+        # The last stage: what stands above the first exchange.
+        stage = rdd.toDebugString().decode().split("+-(")[0]
+        assert len(re.findall(r"\bPythonRDD\[", stage)) == 1
+        assert rdd.count() > rdd.getNumPartitions()
