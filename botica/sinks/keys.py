@@ -93,15 +93,27 @@ def bring_up_to_date(
     return folder
 
 
+def _hit(batch: DataFrame, column: str, buckets: int) -> list[int]:
+    return [row[BUCKET] for row in batch.select(id_bucket(column, buckets).alias(BUCKET)).distinct().collect()]
+
+
 def ids_near(
     batch: DataFrame, path: str, column: str, buckets: int = DEFAULT_BUCKETS, most_additions: int = MOST_ADDITIONS
 ) -> DataFrame:
     """Of a table's ids those in the buckets of a batch; all ids that the batch has are among them.
 
-    The batch's buckets, at most as many as the index has, are found from its ids alone.
+    The batch's buckets, at most as many as the index has, are found from its ids alone. A batch
+    that hits more than half of them gets all ids, from the table's own files: an index would
+    spare it little, so that none is made or brought up to date for it.
     """
     spark = batch.sparkSession
+    complete = _complete(spark, path)
+    made_with = _buckets(spark, _index_folder(path, complete[-1])) if complete else buckets
+    hit = _hit(batch, column, made_with)
+    if len(hit) > made_with // 2:
+        return spark.read.schema(f"`{column}` string").parquet(path).select(column)
     folder = bring_up_to_date(spark, path, column, buckets, most_additions)
-    hit = batch.select(id_bucket(column, _buckets(spark, folder)).alias(BUCKET)).distinct().collect()
+    if _buckets(spark, folder) != made_with:
+        hit = _hit(batch, column, _buckets(spark, folder))
     keys = spark.read.schema(f"`{column}` string, {BUCKET} int").parquet(f"{folder}/keys")
-    return keys.filter(F.col(BUCKET).isin([row[BUCKET] for row in hit])).select(column)
+    return keys.filter(F.col(BUCKET).isin(hit)).select(column)

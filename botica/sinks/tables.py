@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from botica.sources.tables import DEFAULT_FORMAT, as_pattern, read_table, table_
 # should fill at least some files: "day" suits large daily volumes.
 SALES_PARTITION = "sale_period"
 DEFAULT_PERIOD = "month"
+# Notes the period in the name of an empty file of the fact's folder.
+_PERIOD_MARK = "_period-"
 # Fixed value: where Spark puts rows whose partition column is NULL.
 _NO_PERIOD = "__HIVE_DEFAULT_PARTITION__"
 
@@ -96,6 +99,12 @@ def _with_period(sales: DataFrame, period: str) -> DataFrame:
     return sales.withColumn(SALES_PARTITION, F.date_trunc(period, "sale_datetime").cast("date"))
 
 
+def _refuse_other_period(spark: SparkSession, path: str, period: str) -> None:
+    noted = [n.removeprefix(_PERIOD_MARK) for n in names_in(spark, path) if n.startswith(_PERIOD_MARK)]
+    if noted and noted != [period]:
+        raise ValueError(f"{path} is partitioned by {noted[0]}, not by {period}")
+
+
 class LostRows(RuntimeError):
     """What a table holds after a write is not what was written."""
 
@@ -112,7 +121,11 @@ def _digest() -> list[Column]:
 
 
 def append_sales(
-    sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
+    sales: DataFrame,
+    path: str,
+    fmt: str = DEFAULT_FORMAT,
+    period: str = DEFAULT_PERIOD,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Appends to the sales fact, which is partitioned by the period of the sale.
 
@@ -121,25 +134,28 @@ def append_sales(
     one is refused. The rows, totals and keys that go out are counted while they are
     written and compared with those of the files that are new after it, so that the batch
     is worked out once; a difference raises ``LostRows``. The names of the fact's files
-    are listed for it, as every reader of plain files does.
+    are listed for it, as every reader of plain files does. ``finish`` makes sales of rows
+    that have at least a ``sale_datetime``, each of its own row alone; it is done after the
+    rows are gathered, so that what it derives is not exchanged.
     """
-    spark, mark = sales.sparkSession, "_period-"
-    noted = [n.removeprefix(mark) for n in names_in(spark, path) if n.startswith(mark)]
-    if noted and noted != [period]:
-        raise ValueError(f"{path} is partitioned by {noted[0]}, not by {period}")
-    checked = _with_period(enforce_schema(sales, SALES_SCHEMA), period)
+    spark = sales.sparkSession
+    _refuse_other_period(spark, path, period)
+    if finish:
+        gathered = finish(_with_period(sales, period).hint("rebalance", SALES_PARTITION))
+        checked = _with_period(enforce_schema(gathered, SALES_SCHEMA), period)
+    else:
+        checked = _with_period(enforce_schema(sales, SALES_SCHEMA), period).hint("rebalance", SALES_PARTITION)
     before = data_files(spark, path)
     sent = Observation("sales sent")
     (
-        checked.hint("rebalance", SALES_PARTITION)
-        .observe(sent, *_digest())
+        checked.observe(sent, *_digest())
         .write.format(fmt)
         .option("compression", "zstd")
         .mode("append")
         .partitionBy(SALES_PARTITION)
         .save(path)
     )
-    create_file(spark, f"{path}/{mark}{period}")
+    create_file(spark, f"{path}/{_PERIOD_MARK}{period}")
     if fmt != "delta":
         check_written(spark, path, data_files(spark, path) - before, sent.get, fmt)
 
@@ -198,6 +214,20 @@ def first_per_transaction(sales: DataFrame) -> DataFrame:
     )
 
 
+def _known_ids(sales: DataFrame, path: str, fmt: str) -> DataFrame | None:
+    """The fact's ids among which are all that the batch has; None where there is no fact."""
+    spark = sales.sparkSession
+    if not table_exists(spark, path, fmt):
+        return None
+    if fmt == "parquet":
+        return ids_near(sales, path, "transaction_id")
+    return read_sales(spark, path, fmt).select("transaction_id")
+
+
+def _without_known(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    return batch if known is None else batch.join(known, "transaction_id", "left_anti")
+
+
 def new_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> DataFrame:
     """The batch's transactions that the sales fact does not have yet.
 
@@ -205,19 +235,70 @@ def new_sales(sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT) -> DataFra
     in Parquet files only the ids in the batch's buckets are read, from an index
     kept with it (``sinks/keys.py``); of another format, all ids.
     """
-    spark = sales.sparkSession
-    batch = first_per_transaction(sales)
-    if not table_exists(spark, path, fmt):
-        return batch
-    if fmt == "parquet":
-        known = ids_near(sales, path, "transaction_id")
-    else:
-        known = read_sales(spark, path, fmt).select("transaction_id")
-    return batch.join(known, "transaction_id", "left_anti")
+    return _without_known(first_per_transaction(sales), _known_ids(sales, path, fmt))
+
+
+def _all_new(sales: DataFrame, known: DataFrame | None) -> bool:
+    """Whether no id comes twice in a batch, or is known; False also where two ids share a hash.
+
+    Of a row nothing but the hash of its id is exchanged.
+    """
+    number = F.xxhash64("transaction_id").alias("number")
+    ids = sales.select(number, F.lit(False).alias("seen"))
+    if known is not None:
+        ids = ids.unionByName(known.select(number, F.lit(True).alias("seen")))
+    # Dealt first: sums of numbers that hardly repeat would only fill memory before the exchange.
+    ids = ids.repartition("number").groupBy("number")
+    counted = ids.agg(F.count_if(~F.col("seen")).alias("sent"), F.bool_or("seen").alias("seen"))
+    return counted.filter((F.col("sent") > 1) | ((F.col("sent") > 0) & F.col("seen"))).count() == 0
+
+
+def _adopt(spark: SparkSession, staged: str, path: str, period: str) -> None:
+    """Moves the files of a staged batch into the fact."""
+    create_file(spark, f"{path}/{_PERIOD_MARK}{period}")
+    for name in sorted(data_files(spark, staged)):
+        fs, target = file_system(spark, f"{path}/{name}")
+        fs.mkdirs(target.getParent())
+        _rename(spark, f"{staged}/{name}", f"{path}/{name}")
 
 
 def append_new_sales(
-    sales: DataFrame, path: str, fmt: str = DEFAULT_FORMAT, period: str = DEFAULT_PERIOD
+    sales: DataFrame,
+    path: str,
+    fmt: str = DEFAULT_FORMAT,
+    period: str = DEFAULT_PERIOD,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Appends each transaction once, however often it is delivered."""
-    append_sales(new_sales(sales, path, fmt).select(*SALES_SCHEMA.fieldNames()), path, fmt, period)
+    """Appends each transaction once, however often it is delivered.
+
+    Plain files are first written next to the fact, by period, and their ids looked through.
+    Where none repeats and none is known the files move into the fact as they are, so that
+    the rows were exchanged once. Otherwise the rows that the batch has more than once or
+    that the fact has are left out, and the others exchanged by their ids and appended. A run
+    that breaks off while files move leaves a part of the batch, which the next delivery
+    knows; what it left next to the fact goes with the next append. ``finish`` is that of
+    ``append_sales``.
+    """
+    columns = SALES_SCHEMA.fieldNames()
+    if fmt != "parquet":
+        sales = finish(sales) if finish else sales
+        append_sales(new_sales(sales, path, fmt).select(*columns), path, fmt, period)
+        return
+    spark = sales.sparkSession
+    _refuse_other_period(spark, path, period)
+    _, target = file_system(spark, path)
+    parent, mark = target.getParent().toString(), f"{target.getName()}__batch_"
+    for left in names_in(spark, parent):
+        if left.startswith(mark):
+            drop_folder(spark, f"{parent}/{left}")
+    staged = f"{path}__batch_{uuid.uuid4().hex}"
+    try:
+        append_sales(sales if finish else sales.select(*columns), staged, fmt, period, finish)
+        batch = spark.read.schema(SALES_SCHEMA).parquet(staged).select(*columns)
+        known = _known_ids(batch, path, fmt)
+        if _all_new(batch, known):
+            _adopt(spark, staged, path, period)
+        elif known is None or _without_known(batch.select("transaction_id"), known).count():
+            append_sales(_without_known(first_per_transaction(batch), known).select(*columns), path, fmt, period)
+    finally:
+        drop_folder(spark, staged)

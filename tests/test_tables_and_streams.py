@@ -161,6 +161,82 @@ def test_the_index_is_made_anew(spark, tmp_path):
     assert sinks.new_sales(sales(spark, *[sale(i) for i in range(4)]), path).count() == 1
 
 
+def test_a_batch_of_new_ids_is_not_dealt_by_id(spark, tmp_path, monkeypatch):
+    path, dealt = str(tmp_path / "sales"), []
+    original = sinks.first_per_transaction
+
+    def first(batch):
+        dealt.append(True)
+        return original(batch)
+
+    monkeypatch.setattr(sinks, "first_per_transaction", first)
+    # What a broken run left beside the fact goes; another table's rows stay.
+    sinks.append_sales(sales(spark, sale(1)), f"{path}__batch_left")
+    sinks.append_sales(sales(spark, sale(1)), f"{path}_b")
+    sinks.append_new_sales(sales(spark, *[sale(i, 20 * i) for i in range(30)]), path)
+    sinks.append_new_sales(sales(spark, *[sale(i, 20 * i) for i in range(30, 60)]), path)
+    assert not dealt
+    # Nothing new, whatever the times: nothing is added.
+    files_before = keys.data_files(spark, path)
+    sinks.append_new_sales(sales(spark, *[sale(i, 3) for i in range(50)]), path)
+    assert not dealt and keys.data_files(spark, path) == files_before
+    sinks.append_new_sales(sales(spark, sale(59, 1), sale(60, 1, quantity=2), sale(60, 50)), path)
+    assert dealt
+    stored = {r["transaction_id"]: r["quantity"] for r in sinks.read_sales(spark, path).collect()}
+    assert stored == {str(i): 1 for i in range(61)} and sinks.read_sales(spark, path).count() == 61
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["sales", "sales_b"]
+
+
+def test_ids_repeated_in_the_fact_alone_are_none_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    sinks.append_sales(sales(spark, sale(1), sale(1, 40)), path)
+    sinks.append_new_sales(sales(spark, sale(2)), path)
+    assert sorted(r["transaction_id"] for r in sinks.read_sales(spark, path).collect()) == ["1", "1", "2"]
+
+
+def test_a_move_that_breaks_off_is_made_up_for(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "sales")
+    batch = sales(spark, *[sale(i, 40 * i) for i in range(4)])
+    moved, rename = [], sinks._rename
+
+    def broken(session, source, target):
+        if len(moved) == 2:
+            raise OSError("no")
+        moved.append(target)
+        rename(session, source, target)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(sinks, "_rename", broken)
+        with pytest.raises(OSError):
+            sinks.append_new_sales(batch, path)
+    assert sinks.read_sales(spark, path).count() == 2
+    sinks.append_new_sales(batch, path)
+    assert sorted(r["transaction_id"] for r in sinks.read_sales(spark, path).collect()) == ["0", "1", "2", "3"]
+
+
+def test_a_large_batch_makes_no_index(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    batch = sales(spark, *[sale(i) for i in range(1000)])
+    sinks.append_sales(batch, path)
+    assert keys.ids_near(batch, path, "transaction_id").count() == 1000
+    assert "_ids" not in sinks.names_in(spark, path)
+    assert keys.ids_near(sales(spark, sale(7)), path, "transaction_id").filter("transaction_id = '7'").count() == 1
+    assert "_ids" in sinks.names_in(spark, path)
+
+
+def test_what_finish_derives_is_not_exchanged(spark, tmp_path):
+    seen, path = [], str(tmp_path / "sales")
+    lines = sales(spark, sale(1), sale(2, 40)).drop("total_price")
+
+    def finish(gathered):
+        seen.append(gathered.columns)
+        return gathered.withColumn("total_price", F.col("unit_price")).select(*SALES_SCHEMA.fieldNames())
+
+    sinks.append_new_sales(lines, path, finish=finish)
+    assert seen and "total_price" not in seen[0]
+    assert sorted(map(tuple, sinks.read_sales(spark, path).drop("sale_period").collect())) == [sale(1), sale(2, 40)]
+
+
 def test_another_period_is_refused(spark, tmp_path):
     path = str(tmp_path / "sales")
     sinks.append_new_sales(sales(spark, sale(1)), path, period="month")
