@@ -8,7 +8,10 @@ PLACEHOLDER = "-"
 
 
 # White space of any script, and the separators that text tools strip with it.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_PLAIN = r"(?s)\A[!-~](?:.*[!-~])?\z"
 
 
 def trimmed(column: Column) -> Column:
@@ -16,8 +19,7 @@ def trimmed(column: Column) -> Column:
 
     Most texts begin and end with a visible ASCII character, which is soon seen.
     """
-    plain = F.substring(column, 1, 1).between("!", "~") & F.substring(column, -1, 1).between("!", "~")
-    return F.when(plain, column).otherwise(F.regexp_replace(column, _EDGES, ""))
+    return F.when(F.rlike(column, F.lit(_PLAIN)), column).otherwise(F.btrim(column, F.lit(_WHITE)))
 
 
 def contains_ignoring_case(column: Column, term: str) -> Column:

@@ -7,11 +7,17 @@ from botica.functions.text import trimmed
 
 # Fixed value: how dates and times are typed and exported.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# The format has no year 0.
+_ALL_DIGITS = r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
 def timestamp_of(text: Column) -> Column:
-    """The time in a trimmed text."""
-    return F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))
+    """The time in a trimmed text.
+
+    Most times have all their digits; Spark's cast reads those as the format does, and much faster.
+    """
+    slow = F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))
+    return F.when(F.rlike(text, F.lit(_ALL_DIGITS)), text.try_cast("timestamp")).otherwise(slow)
 
 
 def parse_timestamp(column: Column) -> Column:

@@ -54,9 +54,8 @@ def check_fields(
     of a number, which becomes texts for rejected rows only.
     """
     fields = list(dict.fromkeys([*required, *texts, *parsers]))
-    # One trimming expression for all fields keeps the compiled code small enough for the JVM to optimise.
-    rows = raw.select("*", F.explode(F.array(F.transform(F.array(*fields), trimmed))).alias("_text"))
-    text = {f: F.col("_text")[k] for k, f in enumerate(fields)}
+    rows = raw.select("*", *[trimmed(F.col(f)).alias(f"_text_{f}") for f in fields])
+    text = {f: F.col(f"_text_{f}") for f in fields}
     blank = {f: F.coalesce(text[f] == "", F.lit(True)) for f in fields}
     rows = _once(rows, "_value", {f: parse(text[f]) for f, parse in parsers.items()})
     rules = [(f"{f} is required", blank[f]) for f in required]
