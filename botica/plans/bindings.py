@@ -14,6 +14,7 @@ from botica.functions.timing import TIMESTAMP_FORMAT
 from botica.operators.carts import DELETE, SAVE, SEARCH, SET_QUANTITY
 from botica.operators.catalog import catalog_view, dim_product
 from botica.schemas import ERP_SCHEMA, PRICE_LIST_HEADERS
+from botica.sinks.files import file_system
 from botica.workspace import new_folder
 
 # Sequence numbers: line number first, part number second.
@@ -222,8 +223,15 @@ def sale_lines(spark: SparkSession, sf_dir: str, dealt: int | None = None) -> Da
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
     price = F.col("p_retailprice").cast("decimal(18,2)")
     tax = F.round(price * F.col("l_tax").cast("decimal(9,4)"), 2).cast("decimal(18,2)")
-    lines = _at_their_time(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return (lines.repartition(dealt, "l_orderkey") if dealt else lines).select(
+    bought = F.col("l_partkey") == F.col("p_partkey")
+    if dealt:
+        # Products come first, so that the join with the orders leaves the lines as they are dealt.
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(dealt, "o_orderkey")
+        lines = line_table(spark, sf_dir).join(part, bought).repartition(dealt, "l_orderkey")
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    else:
+        lines = _at_their_time(spark, sf_dir).join(part, bought)
+    return lines.select(
         *_line_columns(),
         *_sold_columns(),
         "l_returnflag",
@@ -388,22 +396,20 @@ typed_lines AS (
 # --- ERP extract ----------------------------------------------------------------------
 
 
-def erp_extract(spark: SparkSession, sf_dir: str, dealt: int | None = None) -> DataFrame:
+def erp_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sale line as a row of the ERP extract; the discount is an amount."""
-    lines = sale_lines(spark, sf_dir, dealt)
+    return sale_lines(spark, sf_dir).select(*_erp_columns())
+
+
+def _erp_columns() -> list[Column]:
     gross = F.col("unit_price") * F.col("quantity")
     number = F.col("cart_id").cast("long")
     # Some discounts are a dime on the whole line, however large it is.
     amount = F.when(number % 11 == 0, F.lit("0.10").cast("decimal(18,2)")).otherwise(
         F.round(gross * F.col("discount_applied"), 2).cast("decimal(18,2)")
     )
-    return lines.select(
-        "transaction_id",
-        "sale_datetime",
-        "product_id",
-        "product_name",
-        "quantity",
-        "unit_price",
+    return [
+        *map(F.col, ("transaction_id", "sale_datetime", "product_id", "product_name", "quantity", "unit_price")),
         (gross - amount).cast("decimal(18,2)").alias("total_price"),
         F.when(number % 3 == 0, "Cash").otherwise("Credit Card").alias("payment_method"),
         F.concat(F.lit("EMP"), number % 10).alias("employee_id"),
@@ -413,7 +419,7 @@ def erp_extract(spark: SparkSession, sf_dir: str, dealt: int | None = None) -> D
         amount.alias("discount_applied"),
         (number % 50).cast("int").alias("loyalty_points_earned"),
         F.concat(F.lit("LOC"), number % 7).alias("store_location_id"),
-    )
+    ]
 
 
 ERP_SQL = (
@@ -436,10 +442,16 @@ erp AS (
         FROM sale_lines))"""
 )
 
-LANDED_FILES = 8
+# Files of each layout: so many at least, and one for so many bytes of the line table.
+LANDED_FILES, LANDED_BYTES = 8, 16 << 20
 _ODD_NAMES = ("till 7 [north]", "100%41#b", "{a,b} *?")
 
 
+def landed_files(spark: SparkSession, sf_dir: str) -> int:
+    fs, path = file_system(spark, f"{sf_dir}/lineitem.parquet")
+    return max(LANDED_FILES, -(-fs.getContentSummary(path).getLength() // LANDED_BYTES))
+
+
 def erp_landing(spark: SparkSession, sf_dir: str) -> str:
     """The extract as landed files with headers of three orders, and fields left blank.
 
@@ -447,9 +459,9 @@ def erp_landing(spark: SparkSession, sf_dir: str) -> str:
     their folders hold blanks and signs that mean something in patterns and addresses.
     """
     # Every till delivers files of its own; all lines of an order come in one file.
-    extract = erp_extract(spark, sf_dir, LANDED_FILES)
-    number = F.col("store_location_id")
-    own = F.split_part("transaction_id", F.lit("-"), F.lit(1)).cast("long")
+    own = F.col("cart_id").cast("long")
+    extract = sale_lines(spark, sf_dir, landed_files(spark, sf_dir)).select(*_erp_columns(), own.alias("own"))
+    number, own = F.col("store_location_id"), F.col("own")
     texts = {f: F.col(f).cast("string") for f in ERP_SCHEMA.fieldNames()}
     texts["sale_datetime"] = F.date_format("sale_datetime", TIMESTAMP_FORMAT)
     texts["quantity"] = F.when(own % 17 != 0, texts["quantity"])

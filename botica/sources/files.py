@@ -118,10 +118,30 @@ def _stored_lines(spark: SparkSession, files: Sequence[str]) -> tuple[list[str],
     return [folder], []
 
 
+def _names(header: str) -> list[str]:
+    return [trim_name(name) for name in next(csv.reader([header]), [])]
+
+
+def _lacking(names: list[str]) -> list[str]:
+    return [c for c in ERP_REQUIRED if names.count(c) != 1]
+
+
+def _places(header: str) -> tuple[Column, Column]:
+    """How many fields the lines under a header have, and at which of them the needed ones lie.
+
+    Both are NULL where the header lacks a required column.
+    """
+    names = _names(header)
+    if _lacking(names):
+        return F.lit(None).cast("int"), F.lit(None).cast("array<int>")
+    wanted = {n: k for k, n in enumerate(names) if n in ERP_NAMES}
+    return F.lit(len(names)), F.array(*[F.lit(wanted.get(c)).cast("int") for c in ERP_NAMES])
+
+
 def _read_line(header: str) -> Column:
-    """An array of one: a line's needed fields, its corrupt text and problem, by one file header."""
-    names = [trim_name(name) for name in next(csv.reader([header]), [])]
-    missing = [c for c in ERP_REQUIRED if names.count(c) != 1]
+    """A line's needed fields, its corrupt text and problem, by one file header."""
+    names = _names(header)
+    missing = _lacking(names)
     nothing = F.lit(None).cast("string")
 
     def row(fields: list[Column], torn: Column, problem: Column) -> Column:
@@ -133,7 +153,7 @@ def _read_line(header: str) -> Column:
 
     if missing:
         reason = F.lit(f"the header must have each of these once: {', '.join(missing)}")
-        return F.array(row([nothing] * len(ERP_NAMES), F.col("value"), reason))
+        return row([nothing] * len(ERP_NAMES), F.col("value"), reason)
     wanted = {n: k for k, n in enumerate(names) if n in ERP_NAMES}
     layout = ", ".join(f"{c} string" for c in [*(f"_{k}" for k in range(len(names))), CORRUPT_COLUMN])
 
@@ -144,7 +164,32 @@ def _read_line(header: str) -> Column:
 
     # As the element of an array a line is parsed once, not once for each field that is taken from it.
     read = F.from_csv("value", layout, {"columnNameOfCorruptRecord": CORRUPT_COLUMN})
-    return F.transform(F.array(read), named)
+    return F.transform(F.array(read), named)[0]
+
+
+def _parsed(lines: DataFrame, known: Sequence[str]) -> DataFrame:
+    """The fields of lines that have the number of their header, ``_kind``, with its ``_count`` and ``_places``.
+
+    A line without a quote that has as many fields as its header is cut at its commas, which
+    gives what the CSV parser gives and is much faster; the parser reads the others.
+    """
+    cut = F.when(~F.contains("value", F.lit('"')), F.split("value", ","))
+    rows = lines.select(FILE_COLUMN, "value", "_kind", "_count", "_places", cut.alias("_cut"))
+    read = F.lit(None)
+    for kind, header in enumerate(known):
+        read = F.when(F.col("_kind") == kind, _read_line(header)).otherwise(read)
+    fits = F.size("_cut") == F.col("_count")
+    rows = rows.select(FILE_COLUMN, "_cut", "_places", fits.alias("_fits"), F.when(~F.coalesce(fits, F.lit(False)), read).alias("_read"))
+    fields = [
+        F.when(F.col("_fits"), F.nullif(F.get("_cut", F.col("_places")[k]), F.lit(""))).otherwise(F.col(f"_read.fields.{c}")).alias(c)
+        for k, c in enumerate(ERP_NAMES)
+    ]
+    return rows.select(
+        *fields,
+        F.col("_read.torn").alias(CORRUPT_COLUMN),
+        F.col("_read.problem").alias(PROBLEM_COLUMN),
+        FILE_COLUMN,
+    )
 
 
 def read_erp_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
@@ -176,17 +221,18 @@ def read_erp_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     known = [row["_header"] for row in headers.select("_header").distinct().collect()]
     if not known:
         return gone
-    own = lines.join(headers.withColumnRenamed("_place", "_at"), FILE_COLUMN).filter("_place != _at")
-    read = F.lit(None)
-    for header in known:
-        read = F.when(F.col("_header") == header, _read_line(header)).otherwise(read)
-    rows = own.select(FILE_COLUMN, F.explode(read).alias("_read"))
-    rows = rows.select(
-        "_read.fields.*",
-        F.col("_read.torn").alias(CORRUPT_COLUMN),
-        F.col("_read.problem").alias(PROBLEM_COLUMN),
-        FILE_COLUMN,
+    kind, count, places = (F.lit(None).cast(t) for t in ("int", "int", "array<int>"))
+    for k, header in enumerate(known):
+        its = F.col("_header") == header
+        kind, count, places = (
+            F.when(its, value).otherwise(rest)
+            for value, rest in zip((F.lit(k), *_places(header)), (kind, count, places), strict=True)
+        )
+    # Worked out for each file, not for each line.
+    headers = headers.select(
+        FILE_COLUMN, F.col("_place").alias("_at"), kind.alias("_kind"), count.alias("_count"), places.alias("_places")
     )
+    rows = _parsed(lines.join(headers, FILE_COLUMN).filter("_place != _at"), known)
     return rows.unionByName(gone) if lost else rows
 
 
@@ -208,41 +254,48 @@ def check_erp(rows: DataFrame) -> DataFrame:
     )
 
 
-def erp_to_sales(extract: DataFrame, catalog: DataFrame) -> DataFrame:
-    """ERP rows as sales, matched by column name and completed from the catalog.
+def erp_lines(extract: DataFrame, catalog: DataFrame) -> DataFrame:
+    """ERP rows with industry and tax from the catalog, the columns that ``price_erp_lines`` needs.
 
-    The extract states the discount of the whole line as an amount, and its total. Both
-    totals of a sale follow from those, the second by adding the taxes; the fact's
-    fraction and unit amounts are derived. A product that the catalog does not have
-    keeps its row.
+    A product that the catalog does not have keeps its row.
     """
     known = catalog.select(
         F.col("id").alias("product_id"), F.col("industry_name"), F.col("taxes_price")
     )
-    gross = F.col("unit_price") * F.col("quantity")
-    fraction = F.when(gross > 0, to_fraction(F.col("discount_applied"), gross))
-    lines = (
-        extract.select(
-            F.col("transaction_id").alias("cart_id"),
-            "transaction_id",
-            "sale_datetime",
-            "product_id",
-            "product_name",
-            "unit_price",
-            "quantity",
-            clamp_fraction(fraction).alias("discount_applied"),
-            F.coalesce(
-                "total_price", gross - F.coalesce("discount_applied", F.lit(0).cast(MONEY))
-            ).cast(MONEY).alias("_stated_total"),
-        )
+    return (
+        extract.select(*ERP_REQUIRED)
         .join(known, "product_id", "left")
         .withColumn("industry_name", F.coalesce("industry_name", F.lit(UNKNOWN_INDUSTRY)))
         .withColumn("taxes_price", F.coalesce("taxes_price", F.lit(0).cast(MONEY)))
     )
+
+
+def price_erp_lines(lines: DataFrame) -> DataFrame:
+    """Sales of lines made by ``erp_lines``, each from its own row alone.
+
+    The extract states the discount of the whole line as an amount, and its total. Both
+    totals of a sale follow from those, the second by adding the taxes; the fact's
+    fraction and unit amounts are derived.
+    """
+    gross = F.col("unit_price") * F.col("quantity")
+    fraction = F.when(gross > 0, to_fraction(F.col("discount_applied"), gross))
+    stated = F.coalesce("total_price", gross - F.coalesce("discount_applied", F.lit(0).cast(MONEY))).cast(MONEY)
     taxes = line_total(F.col("quantity"), F.col("taxes_price"))
+    others = [c for c in lines.columns if c not in ("total_price", "discount_applied")]
+    sales = lines.select(
+        F.col("transaction_id").alias("cart_id"),
+        *others,
+        clamp_fraction(fraction).alias("discount_applied"),
+        stated.alias("_stated_total"),
+    )
     return (
-        price_lines(lines)
+        price_lines(sales)
         .withColumn("total_price", F.col("_stated_total"))
         .withColumn("total_price_after_taxes", (F.col("_stated_total") + taxes).cast(MONEY))
         .select(*SALES_COLUMNS)
     )
+
+
+def erp_to_sales(extract: DataFrame, catalog: DataFrame) -> DataFrame:
+    """ERP rows as sales, matched by column name and completed from the catalog."""
+    return price_erp_lines(erp_lines(extract, catalog))

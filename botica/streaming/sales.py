@@ -11,7 +11,7 @@ from botica.operators.quality import accepted, rejected
 from botica.schemas import FILE_SCHEMA
 from botica.sinks.snapshots import read_version, record_version
 from botica.sinks.tables import append_new_sales
-from botica.sources.files import check_erp, erp_to_sales, read_erp_files
+from botica.sources.files import check_erp, erp_lines, price_erp_lines, read_erp_files
 from botica.sources.tables import DEFAULT_FORMAT
 from botica.streaming.staging import staged_batches
 from botica.workspace import scratch
@@ -47,7 +47,7 @@ def stream_erp_sales(
             checked = check_erp(read_erp_files(spark, files))
             bad = rejected(checked)
             bad.write.format(fmt).mode("overwrite").save(f"{rejected_path}/batch_id={batch_id}")
-            append_new_sales(erp_to_sales(accepted(checked), catalog), sales_path, fmt)
+            append_new_sales(erp_lines(accepted(checked), catalog), sales_path, fmt, finish=price_erp_lines)
 
     return (
         spark.readStream.format("binaryFile")

@@ -373,3 +373,21 @@ def test_all_lines_of_an_order_are_landed_in_one_file(spark, shop):
     lines = text.select(key.alias("order"), F.col("_metadata.file_path").alias("file")).where("order <> ''")
     assert lines.count() == 900
     assert lines.groupBy("order").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+
+
+def test_dealt_lines_are_exchanged_twice(spark, shop):
+    """By product, and by order, as they are dealt."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = b.sale_lines(spark, shop, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning(l_") == 2
+    assert "Exchange hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_more_lines_are_landed_in_more_files(spark, shop, monkeypatch):
+    assert b.landed_files(spark, shop) == b.LANDED_FILES
+    monkeypatch.setattr(b, "LANDED_BYTES", 100)
+    assert b.landed_files(spark, shop) > b.LANDED_FILES

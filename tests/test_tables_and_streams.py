@@ -477,6 +477,54 @@ def test_erp_columns_are_found_by_name(spark, tmp_path, catalog):
     assert "product_id" in bad["z"]["errors"][0] and "quantity" in bad["q"]["errors"][0]
 
 
+ODD_LINES = [
+    *ERP_ROWS,
+    ERP_ROWS[0].replace("Tablets", ""),
+    ERP_ROWS[0].replace("Tablets", " \t"),
+    ERP_ROWS[0].replace("Tablets", '"Tab,lets"'),
+    ERP_ROWS[0].replace("Tablets", '"Tab ""x"" lets"'),
+    ERP_ROWS[0].replace("Tablets", 'Tab "x" lets'),
+    ERP_ROWS[0].replace("Tablets", '"open'),
+    ERP_ROWS[0].replace("Tablets", '""'),
+    ERP_ROWS[0].replace("Tablets", "back\\slash\\"),
+    ERP_ROWS[0].replace("Tablets", "ü\u00a0\u3000'#\x00"),
+    ERP_ROWS[0].replace("Tablets", "\ufeff"),
+    ERP_ROWS[0] + ",",
+    ERP_ROWS[0][: -len(",L1")],
+    ERP_ROWS[0].replace(",L1", ","),
+    "," + ERP_ROWS[0].split(",", 1)[1],
+    "# " + ERP_ROWS[0],
+    "," * 14,
+    "," * 13,
+    "x",
+    '"',
+]
+
+
+def test_cut_lines_have_the_fields_of_the_parser(spark, tmp_path, monkeypatch):
+    erp_file(tmp_path / "in", "a.csv", ODD_LINES)
+    erp_file(tmp_path / "in", "b.csv", ODD_LINES, ",".join(reversed(ERP_HEADER.split(","))))
+    few = [n for n in ERP_HEADER.split(",") if n != "payment_method"]
+    erp_file(tmp_path / "in", "c.csv", ODD_LINES, ",".join(few))
+    read = lambda: sorted(map(str, files.read_erp_files(spark, [str(tmp_path / "in")]).collect()))
+    cut = read()
+    nothing = F.lit(None).cast("int"), F.lit(None).cast("array<int>")
+    monkeypatch.setattr(files, "_places", lambda header: nothing)
+    assert cut == read() and len(cut) == 3 * len(ODD_LINES)
+
+
+def test_plain_lines_do_not_meet_the_parser(spark, tmp_path, monkeypatch):
+    erp_file(tmp_path / "in", "a.csv", [ERP_ROWS[0], ERP_ROWS[2]])
+    original = files._read_line
+
+    def fail(header):
+        return F.when(F.raise_error(F.lit("parsed")).cast("string").isNull(), original(header))
+
+    monkeypatch.setattr(files, "_read_line", fail)
+    rows = files.read_erp_files(spark, [str(tmp_path / "in")])
+    assert sorted(r["transaction_id"] for r in rows.collect()) == ["A1", "A3"]
+
+
 ODD_NAMES = ["with space.csv", "p%41.csv", "b[1].csv", "{x,y}.csv", "a*.csv", "q?.csv", "h#1.csv", "ü+&=;.csv"]
 
 
